@@ -1,0 +1,21 @@
+"""Named queries over the driver's tables, with the SQL that must agree."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def status_by_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analogue: events stand for captured prompts, event_type for the tool."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"status_by_tool": status_by_tool}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"status_by_tool": "select event_type as tool, count(*) as n, max(ts) as last_ts from events group by 1"}
