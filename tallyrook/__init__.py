@@ -1 +1,8 @@
 """Batch and incremental processing of prompt-event logs on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to executors by value, so that these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
