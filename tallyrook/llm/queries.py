@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality_rules, secret_scan, sharding, url_filter
+from . import bpe, hamming_topk, jaccard_join, mixing, pii, quality_rules, secret_scan, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.report(toxicity.score(docs, grammar))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -27,10 +34,31 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(quality_rules.judge_quality(_table(spark, sf_dir, "documents")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")))
 
 
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 100."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming_topk.report(hamming_topk.nearest_codes(vectors, vectors.where("vec_id % 100 = 0")))
+
+
+def tokenizer_path() -> str:
+    """The tokenizer's file, from TOKENIZER_FILE if that is set."""
+    import public_tokenizers
+
+    return os.environ.get("TOKENIZER_FILE") or str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(bpe.encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(sharding.shard_documents(_table(spark, sf_dir, "documents")))
 
@@ -40,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_secret_scan, op3_pii, op4_quality_rules, op6_url_filter, op9_sharding, op10_mixing]
+    found = [op1_secret_scan, op2_toxicity, op3_pii, op4_quality_rules, op5_jaccard_join, op6_url_filter, op7_hamming_topk, op8_bpe, op9_sharding, op10_mixing]
     return {f.__name__: f for f in found}
 
 
