@@ -1,4 +1,9 @@
-"""Named queries over the driver's tables, with the SQL that must agree."""
+"""Named queries over the driver's tables, with the SQL that must agree.
+
+The tables are not prompt logs. Each query applies an operator to a stand-in: events are captured
+prompts (event_type the tool, user_id the session), conversations are transcripts, documents
+are texts to redact.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,294 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as fx
+from ..operators import budget, filters, matching, reports
+from ..policy import Policy
+
+#: 2024-01-31, the day after the last event; the clock of all queries.
+NOW = "timestamp_ntz'2024-01-31 00:00:00'"
+#: The driver's events are sparse; ten minutes, the default, would match a handful.
+WIDE = 6 * 3600 * 1_000_000
+RULES = ((r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\s*[:=]\s*["']?)[A-Za-z0-9+/_.=-]{6,}""", "$1[REDACTED]"), (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[IP]"))
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events")
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Even ids as direct captures, odd ones as recovered."""
+    e = _events(spark, sf_dir).select(F.col("event_id").alias("id"), "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return e.where("id % 2 = 0"), e.where("id % 2 = 1")
+
+
+def status_by_tool(spark, sf_dir):
+    """A1."""
+    return reports.status(_events(spark, sf_dir), tool="event_type")
+
+
+def silent_tools(spark, sf_dir):
+    """A2: a tool is silent if its last event is a minute older than the newest."""
+    return reports.silent(reports.status(_events(spark, sf_dir), tool="event_type"), F.expr("interval 1 minute")).select("tool", "n", "silent")
+
+
+def human_prompts(spark, sf_dir):
+    """F4, P1."""
+    return filters.human(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", F.col("text").alias("prompt"))
+
+
+def _injected(spark, sf_dir):
+    extra = F.regexp_replace("props", r"\}$", ', "response": "x"}')
+    return _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 7 == 0, extra).otherwise(F.col("props")).alias("raw"))
+
+
+def strict_keys(spark, sf_dir):
+    """Every seventh row has a field that the schema does not know."""
+    return filters.judge_lines(_injected(spark, sf_dir), allowed=("k",), required=("k",)).where("reason = 'ok'").select("event_id")
+
+
+def quarantine_digest(spark, sf_dir):
+    """K4, X1."""
+    bad = filters.judge_lines(_injected(spark, sf_dir), allowed=("k",)).withColumn("line_no", F.col("event_id"))
+    return filters.quarantined(bad)
+
+
+def redact_text(spark, sf_dir):
+    """P2, X5."""
+    return _t(spark, sf_dir, "documents").select("doc_id", fx.redact(F.col("text"), RULES).alias("text"))
+
+
+def exact_text_dedup(spark, sf_dir):
+    """The first document of each text."""
+    return _t(spark, sf_dir, "documents").groupBy(fx.digest(F.col("text")).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+def known_id_anti(spark, sf_dir):
+    """Events whose id is not among the even ones that are durable."""
+    e = _events(spark, sf_dir)
+    return matching.new_events(e, e.where("event_id % 2 = 0"), ["event_id"]).select("event_id", "event_type")
+
+
+def correlate_candidates(spark, sf_dir):
+    """J3, first half."""
+    return matching.candidates(*_sides(spark, sf_dir), ["event_type", "user_id"], WIDE)
+
+
+def correlate_one_to_one(spark, sf_dir):
+    """J3."""
+    return matching.correlate(*_sides(spark, sf_dir), ["event_type", "user_id"], WIDE)
+
+
+def unmatched_recovered(spark, sf_dir):
+    """J4 after J3."""
+    direct, recovered = _sides(spark, sf_dir)
+    return matching.unmatched(recovered, matching.correlate(direct, recovered, ["event_type", "user_id"], WIDE)).select("id")
+
+
+def alias_bijection(spark, sf_dir):
+    """Odd documents as old ids, even ones as events, matched by text."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", fx.digest(F.col("text")).alias("h"))
+    return matching.aliases(d.where("doc_id % 2 = 1").select("h", F.col("doc_id").alias("old_id")), d.where("doc_id % 2 = 0").select("h", F.col("doc_id").alias("event_id")), "h")
+
+
+def alias_void(spark, sf_dir):
+    """Aliases whose event is divisible by 4 come back as exact."""
+    exact = _t(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("event_id"))
+    return matching.void_aliases(alias_bijection(spark, sf_dir), exact)
+
+
+def manifest_equality(spark, sf_dir):
+    """Nation as the manifest, against a copy that lacks, adds and changes a row."""
+    m = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.sha2("n_name", 256).alias("sha256"))
+    found = m.where("path <> 'NATION_3'").withColumn("sha256", F.when(F.col("path").endswith("5"), "0").otherwise(F.col("sha256")))
+    extra = _t(spark, sf_dir, "region").select(F.col("r_name").alias("path"), F.sha2("r_name", 256).alias("sha256"))
+    return matching.compare(m, found.unionByName(extra), "path", "sha256")
+
+
+def manifest_rows(spark, sf_dir):
+    """Rows of nation and of a copy with other region keys, both ways."""
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return matching.set_difference(n, n.withColumn("n_regionkey", F.when(F.col("n_nationkey") % 5 == 0, 9).otherwise(F.col("n_regionkey")).cast("int")))
+
+
+def batch_budget(spark, sf_dir):
+    """At most 100 prompts or 20 000 bytes."""
+    c = filters.human(_t(spark, sf_dir, "conversations"))
+    return budget.within_budget(c, ["conv_id", "turn"], Policy(batch_rows=100, batch_bytes=20_000), "text").select("conv_id", "turn")
+
+
+def batch_cursor(spark, sf_dir):
+    """L1: where each conversation goes on after batch_budget."""
+    c = filters.human(_t(spark, sf_dir, "conversations"))
+    taken = budget.within_budget(c, ["conv_id", "turn"], Policy(batch_rows=100, batch_bytes=20_000), "text")
+    return budget.cursor(c, taken, ["conv_id", "turn"], "conv_id", "turn")
+
+
+def reserve_then_budget(spark, sf_dir):
+    """Known conversations do not use up the budget."""
+    c = filters.human(_t(spark, sf_dir, "conversations"))
+    return budget.reserved_budget(c, [c.where("conv_id % 2 = 0")], ["conv_id", "turn"], ["conv_id", "turn"], Policy(batch_rows=50, batch_bytes=20_000), "text").select("conv_id", "turn")
+
+
+def retention(spark, sf_dir):
+    """15 days."""
+    return filters.retained(_events(spark, sf_dir), F.expr(NOW), Policy(retention_days=15)).select("event_id", "ts")
+
+
+def pending_merge(spark, sf_dir):
+    """A backup of ids not divisible by 3, and a queue of even ones, twice."""
+    e = _events(spark, sf_dir).select("event_id", "event_type", "ts")
+    pending = e.where("event_id % 2 = 0")
+    return matching.merge_pending(e.where("event_id % 3 <> 0"), pending.unionByName(pending), ["event_id"]).drop("ts")
+
+
+def _days(spark, sf_dir):
+    return _events(spark, sf_dir).select("user_id", F.to_date("ts").alias("day"), "event_type")
+
+
+def sessions_without_prompts(spark, sf_dir):
+    """A3: user-days without a click."""
+    d = _days(spark, sf_dir)
+    return d.select("user_id", "day").distinct().join(d.where("event_type = 'click'").select("user_id", "day"), ["user_id", "day"], "left_anti")
+
+
+def quiet_session_runs(spark, sf_dir):
+    """A3: runs of a user's active days without a click."""
+    d = _days(spark, sf_dir)
+    return reports.quiet_runs(d.select("user_id", "day").distinct(), d.where("event_type = 'click'"), "user_id", "day")
+
+
+def repeated_repairs(spark, sf_dir):
+    """A4: two or more errors of a user in a day."""
+    return reports.repeated(_days(spark, sf_dir).where("event_type = 'error'"), [F.col("user_id"), F.col("day")], 2)
+
+
+def queue_age(spark, sf_dir):
+    """A5: purchases as the queue."""
+    return reports.queue_age(_events(spark, sf_dir).where("event_type = 'purchase'"), F.expr(NOW), F.expr("interval 7 days"))
+
+
+def partial_sources(spark, sf_dir):
+    """Sources with a text over 20 000 bytes."""
+    d = _t(spark, sf_dir, "documents").select("source", F.when(F.octet_length("text") > 20_000, "oversize").otherwise("ok").alias("reason"))
+    return filters.partial_sources(d, "source")
+
+
+def version_floor(spark, sf_dir):
+    """Versions made from ids."""
+    v = F.concat_ws(".", (F.col("event_id") % 3).cast("string"), (F.col("event_id") % 140).cast("string"), F.concat((F.col("event_id") % 60).cast("string"), F.when(F.col("event_id") % 11 == 0, "-rc1").otherwise("")))
+    e = _events(spark, sf_dir).select("event_id", F.lit("cli").alias("tool"), v.alias("version"))
+    return filters.stable_clients(e, {"cli": "1.0.58"}).select("event_id", "version")
+
+
+def health_rollup(spark, sf_dir):
+    """A9."""
+    return reports.health(_events(spark, sf_dir), "event_type")
+
+
+def report_by_day(spark, sf_dir):
+    """A8."""
+    return reports.rollup(_events(spark, sf_dir).withColumnRenamed("user_id", "session_id"), "event_type")
+
+
+def byte_truncate(spark, sf_dir):
+    """1 000 bytes with a mark."""
+    return _t(spark, sf_dir, "documents").select("doc_id", fx.truncate_bytes(F.col("text"), 1000, "[CUT]").alias("text"))
+
+
+def prefix_digest(spark, sf_dir):
+    """The digest of the first 64 bytes."""
+    return _t(spark, sf_dir, "documents").select("doc_id", fx.prefix_digest(F.col("text"), 64).alias("sha256"))
+
+
+def latest_per_session(spark, sf_dir):
+    """A session's last event."""
+    e = _events(spark, sf_dir)
+    return matching.first_per_id(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id")
+
+
+def repo_scope(spark, sf_dir):
+    """urls' paths as folders, below /en but not below /en/9."""
+    p = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "://[^/]*(/[^?#]*)", 1), r"^(/en/)([0-9])", "$1$2/").alias("cwd"))
+    nested = spark.createDataFrame([("/en/9",)], "root string")
+    return filters.in_scope(p, "/en", nested)[0].select("page_id")
+
+
+def registry_drift(spark, sf_dir):
+    """The store against a registry that lost and changed rows."""
+    e = _events(spark, sf_dir).select("event_id", "event_type")
+    public = e.where("event_id % 10 <> 0").withColumn("event_type", F.when(F.col("event_id") % 13 == 0, "x").otherwise(F.col("event_type")))
+    return matching.compare(e, public, "event_id", "event_type")
+
+
+_SIDES = "with d as (select event_id as id, event_type, user_id, ts from events where event_id % 2 = 0), r as (select event_id as id, event_type, user_id, ts from events where event_id % 2 = 1)"
+_WALK = """with recursive d as (select event_id as id, event_type, user_id, ts, row_number() over (partition by event_type, user_id order by ts, event_id) as n from events where event_id % 2 = 0),
+r as (select event_id as id, event_type, user_id, ts, row_number() over (partition by event_type, user_id order by ts, event_id) as n from events where event_id % 2 = 1),
+w(event_type, user_id, i, j, a, b) as (
+  select event_type, user_id, 1::bigint, 1::bigint, null::bigint, null::bigint from (select distinct event_type, user_id from d)
+  union all
+  select w.event_type, w.user_id,
+    case when abs(epoch_us(d.ts) - epoch_us(r.ts)) <= 21600000000 or d.ts < r.ts then w.i + 1 else w.i end,
+    case when abs(epoch_us(d.ts) - epoch_us(r.ts)) <= 21600000000 or d.ts >= r.ts then w.j + 1 else w.j end,
+    case when abs(epoch_us(d.ts) - epoch_us(r.ts)) <= 21600000000 then d.id end,
+    case when abs(epoch_us(d.ts) - epoch_us(r.ts)) <= 21600000000 then r.id end
+  from w join d on d.event_type = w.event_type and d.user_id = w.user_id and d.n = w.i join r on r.event_type = w.event_type and r.user_id = w.user_id and r.n = w.j)"""
+_RAW = "select event_id, case when event_id % 7 = 0 then regexp_replace(props, '\\}$', ', \"response\": \"x\"}') else props end as raw from events"
+_BUDGET = "select *, sum(strlen(text)) over (order by conv_id, turn) as s, row_number() over (order by conv_id, turn) as k from conversations where role = 'user'"
+_ALIAS = """with a as (select o.doc_id as old_id, e.doc_id as event_id, count(*) over (partition by o.doc_id) as x, count(*) over (partition by e.doc_id) as y
+from documents o join documents e on o.text = e.text and o.doc_id % 2 = 1 and e.doc_id % 2 = 0) select old_id, event_id from a where x = 1 and y = 1"""
 
-def status_by_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analogue: events stand for captured prompts, event_type for the tool."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+ORACLES = {
+    "status_by_tool": "select event_type as tool, count(*) as n, max(ts) as last_ts from events group by 1",
+    "silent_tools": "select event_type as tool, count(*) as n, max(max(ts)) over () - max(ts) > interval 1 minute as silent from events group by 1",
+    "human_prompts": "select conv_id, turn, text as prompt from conversations where role = 'user'",
+    "strict_keys": f"select event_id from ({_RAW}) where len(list_filter(json_keys(raw::json), lambda x: x not in ('k'))) = 0",
+    "quarantine_digest": f"select event_id as line_no, strlen(raw) as n_bytes, sha256(raw) as sha256, 'unknown' as reason from ({_RAW}) where len(list_filter(json_keys(raw::json), lambda x: x not in ('k'))) > 0",
+    "redact_text": r"""select doc_id, regexp_replace(regexp_replace(text, '(?i)((?:password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["'']?)[A-Za-z0-9+/_.=-]{6,}', '\1[REDACTED]', 'g'), '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}', '[IP]', 'g') as text from documents""",
+    "exact_text_dedup": "select sha256(text) as sha256, min(doc_id) as doc_id, count(*) as n from documents group by text",
+    "known_id_anti": "select event_id, event_type from events e where not exists (select 1 from events d where d.event_id = e.event_id and d.event_id % 2 = 0)",
+    "correlate_candidates": f"{_SIDES} select d.id as direct_id, r.id as recovered_id from d join r on d.event_type = r.event_type and d.user_id = r.user_id and abs(epoch_us(d.ts) - epoch_us(r.ts)) <= 21600000000",
+    "correlate_one_to_one": f"{_WALK} select a as direct_id, b as recovered_id from w where a is not null",
+    "unmatched_recovered": f"{_WALK} select id from r where id not in (select b from w where b is not null)",
+    "alias_bijection": _ALIAS,
+    "alias_void": f"select event_id, old_id from ({_ALIAS}) where event_id % 4 = 0",
+    "manifest_equality": """with m as (select n_name as path, sha256(n_name) as h from nation), f as (select path, case when path like '%5' then '0' else h end as h from m where path <> 'NATION_3' union all select r_name, sha256(r_name) from region)
+select coalesce(m.path, f.path) as path, case when f.path is null then 'missing' when m.path is null then 'extra' else 'changed' end as state from m full join f on m.path = f.path where m.h is distinct from f.h""",
+    "manifest_rows": """with c as (select n_nationkey, (case when n_nationkey % 5 = 0 then 9 else n_regionkey end)::int as n_regionkey from nation), n as (select n_nationkey, n_regionkey from nation)
+select *, 'left' as side from (select * from n except all select * from c) union all select *, 'right' as side from (select * from c except all select * from n)""",
+    "batch_budget": f"select conv_id, turn from ({_BUDGET}) where k <= 100 and (s <= 20000 or k = 1)",
+    "batch_cursor": f"select conv_id, min(turn) as turn from ({_BUDGET}) where not (k <= 100 and (s <= 20000 or k = 1)) group by 1",
+    "reserve_then_budget": "select conv_id, turn from (select *, sum(strlen(text)) over (order by conv_id, turn) as s, row_number() over (order by conv_id, turn) as k from conversations where role = 'user' and conv_id % 2 <> 0) where k <= 50 and (s <= 20000 or k = 1)",
+    "retention": "select event_id, ts from events where ts >= timestamp '2024-01-31' - interval 15 days",
+    "pending_merge": "select event_id, event_type from events where event_id % 3 <> 0 or event_id % 2 = 0",
+    "sessions_without_prompts": "select user_id, ts::date as day from events group by 1, 2 having not bool_or(event_type = 'click')",
+    "quiet_session_runs": """with d as (select user_id, ts::date as day, bool_or(event_type = 'click') as hit from events group by 1, 2), g as (select *, sum(hit::int) over (partition by user_id order by day) as run from d)
+select user_id, min(day) as "first", max(day) as "last", count(*) as n from g where not hit group by user_id, run""",
+    "repeated_repairs": "select user_id, ts::date as day, count(*) as n from events where event_type = 'error' group by 1, 2 having count(*) >= 2",
+    "queue_age": "select min(ts) as oldest, count(*) as n, timestamp '2024-01-31' - min(ts) > interval 7 days as late from events where event_type = 'purchase'",
+    "partial_sources": "select source, bool_or(strlen(text) > 20000) as partial from documents group by 1",
+    "version_floor": "select event_id, concat(event_id % 3, '.', event_id % 140, '.', event_id % 60) as version from events where event_id % 11 <> 0 and [event_id % 3, event_id % 140, event_id % 60] >= [1, 0, 58]",
+    "health_rollup": "select event_type as code, count(*) as n, max(ts) as last_ts from events group by 1",
+    "report_by_day": "select ts::date as day, event_type as tool, count(*) as n, count(distinct user_id) as sessions from events group by 1, 2",
+    "latest_per_session": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
+    "repo_scope": r"with p as (select page_id, regexp_replace(regexp_extract(url, '://[^/]*(/[^?#]*)', 1), '^(/en/)([0-9])', '\1\2/') as cwd from pages) select page_id from p where (cwd = '/en' or starts_with(cwd, '/en/')) and not (cwd = '/en/9' or starts_with(cwd, '/en/9/'))",
+    "registry_drift": "select event_id, case when event_id % 10 = 0 then 'missing' else 'changed' end as state from events where event_id % 10 = 0 or event_id % 13 = 0",
+}
+QUERIES = (
+    status_by_tool, silent_tools, human_prompts, strict_keys, quarantine_digest, redact_text, exact_text_dedup, known_id_anti, correlate_candidates, correlate_one_to_one,
+    unmatched_recovered, alias_bijection, alias_void, manifest_equality, manifest_rows, batch_budget, batch_cursor, reserve_then_budget, retention, pending_merge,
+    sessions_without_prompts, quiet_session_runs, repeated_repairs, queue_age, partial_sources, version_floor, health_rollup, report_by_day, byte_truncate, prefix_digest,
+    latest_per_session, repo_scope, registry_drift,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"status_by_tool": status_by_tool}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"status_by_tool": "select event_type as tool, count(*) as n, max(ts) as last_ts from events group by 1"}
+    return dict(ORACLES)
