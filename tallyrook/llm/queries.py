@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hamming_topk, jaccard_join, mixing, pii, quality_rules, secret_scan, sharding, toxicity, url_filter
+from . import bpe, hamming_topk, jaccard_join, mixing, oracles, pii, quality_rules, secret_scan, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

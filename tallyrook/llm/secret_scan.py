@@ -47,7 +47,7 @@ MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
     Rule("chat", r"xox[abprs]-[0-9A-Za-z-]{10,250}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}"),
     Rule("maps", r"AIza[0-9A-Za-z_-]{35}"),
 )
 RULES = BASE + MORE
