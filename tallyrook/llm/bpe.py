@@ -136,8 +136,10 @@ def _encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         tokenizer, pieces = vocabulary.tokenizer(), vocabulary.pieces()
         last: tuple = (None, b"", b"")
         for b in batches:
-            code, distinct = pd.factorize(b["word"])
-            fresh = list(distinct)
+            word = b["word"].to_numpy(object)
+            starts = np.ones(len(word), bool)
+            starts[1:] = word[1:] != word[:-1]
+            code, fresh = np.cumsum(starts) - 1, list(word[starts])
             known = bool(fresh) and fresh[0] == last[0]
             got = tokenizer.encode_batch(fresh[known:], add_special_tokens=False)
             ids = [np.array(g.ids, "<u4") for g in got]
