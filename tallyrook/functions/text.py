@@ -28,7 +28,7 @@ def truncate_bytes(c: Column, limit: int, mark: str) -> Column:
         raise ValueError("the mark is longer than the limit")
     raw = c.cast("binary")
     cuts = [F.try_validate_utf8(F.substring(raw, 1, room - i).cast("string")) for i in range(4) if room - i >= 0]
-    return F.when(F.octet_length(c) <= limit, c).otherwise(F.concat(F.coalesce(*cuts, F.lit("")), F.lit(mark)))
+    return F.when(c.isNull() | (F.octet_length(c) <= limit), c).otherwise(F.concat(F.coalesce(*cuts, F.lit("")), F.lit(mark)))
 
 
 def redact(c: Column, rules: Sequence[tuple[str, str]] = REDACTION) -> Column:
