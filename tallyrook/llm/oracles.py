@@ -26,7 +26,7 @@ f as (select doc_id, k, kind, hit, e - length(hit) as s, e from g where case k {
 def _digest(kinds: list[str], spans: str) -> str:
     counts = ", ".join(f"count(*) filter (f.kind = '{k}') as n_{k}" for k in kinds)
     joined = "string_agg(concat(f.kind, ':', f.s, ':', f.e), ',' order by f.s, f.k)"
-    return f"select t.doc_id, {counts}, sha256(coalesce({joined} filter (f.k < {len(kinds)}), '')) as base_sha256, coalesce({joined}, '') as spans from t left join {spans} f on f.doc_id = t.doc_id group by t.doc_id"
+    return f"select t.doc_id, {counts}, sha256(coalesce({joined} filter (f.k < {len(kinds)}), '')) as base_sha256, coalesce({joined} filter (f.k is not null), '') as spans from t left join {spans} f on f.doc_id = t.doc_id group by t.doc_id"
 
 
 def op1_secret_scan() -> str:
