@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import url_filter
+from .quality_rules import FEATURES, SCALE, Outliers
 from .secret_scan import RULES
 
 _WORDS = r"list_filter(string_split_regex({}, '[ \t-\r]+'), lambda z: z <> '')"
@@ -56,6 +57,57 @@ add_ as (select f.doc_id, f.k, case when strength >= 0.95 then 'term' else 'clas
 every as (select doc_id, k, kind, s, e from f where k < 4 union all select * from add_) {_digest(['email', 'ip', 'card', 'phone'], 'every')}"""
 
 
+def op4_quality_rules() -> str:
+    rule, d, scale = Outliers(), range(len(FEATURES)), SCALE
+    ridge = (rule.floor * scale) ** 2
+    m, low = [f"m{i}" for i in d], [f"l{i}{j}" for i in d for j in range(i + 1)]
+
+    def distance(est: str) -> str:
+        z = []
+        for i in d:
+            rest = f"x{i} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(i))
+            z.append(f"({rest}) / l{i}{i} as z{i}")
+        return f"select r.*, {', '.join(z)}, {' + '.join(f'z{i} * z{i}' for i in d)} as d2 from r join {est} using (g) where n_words > 0"
+
+    def chol() -> str:
+        out = []
+        for i in d:
+            for j in range(i + 1):
+                rest = f"(p{i}{j} / n - m{i} * m{j}) * {rule.consistency} + {ridge if i == j else 0.0}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+                out.append(f"sqrt(greatest({rest}, {ridge / 4})) as l{i}{j}" if i == j else f"({rest}) / l{j}{j} as l{i}{j}")
+        return ", ".join(out)
+
+    steps = ""
+    for k in range(rule.steps):
+        sums = ", ".join([f"sum(x{i})::double as s{i}" for i in d] + [f"sum(x{i}::hugeint * x{j})::double as p{i}{j}" for i in d for j in range(i + 1)])
+        steps += f"""near{k} as (select *, floor(ln(1 + d2) * 256)::int as bin from ({distance(f"est{k}")})),
+cum{k} as (select *, sum(n) over (partition by g order by bin) as c, sum(n) over (partition by g) as a from (select g, bin, count(*) as n from near{k} group by 1, 2)),
+lim{k} as (select g, min(bin) as top from cum{k} where c >= ceil(a * {rule.keep}) group by 1),
+sum{k} as (select g, count(*)::double as n, {sums} from near{k} join lim{k} using (g) where bin <= top group by 1),
+est{k + 1} as (select g, {', '.join(m + low)} from (select *, {', '.join(f's{i} / n as m{i}' for i in d)}, {chol()} from sum{k})),
+"""
+    median = "select g, j, min(v) as mid from (select *, sum(n) over (partition by g, j order by v) as c, sum(n) over (partition by g, j) as a from (select g, j, v, count(*) as n from {} group by 1, 2, 3)) where 2 * c >= a group by 1, 2"
+    start = [f"max(case when j = {i} then mid end)::double as m{i}" for i in d] + [(f"greatest(max(case when j = {i} then mad end) * 1.4826, {rule.floor * scale})" if i == j else "0.0::double") + f" as l{i}{j}" for i in d for j in range(i + 1)]
+    return f"""with t as (select doc_id, lang, source, coalesce(text, '') as x from documents),
+w as (select *, {_WORDS.format("x")} as w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^ \t-\r]')) as lines from t),
+win as (select doc_id, i, array_to_string(w[i : i + 4], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) > 5)),
+rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, k) > 1),
+cov as (select doc_id, sum(c)::bigint as c from (select doc_id, least(5, coalesce(lead(i) over (partition by doc_id order by i) - i, 5)) as c from rep) group by 1),
+b as (select doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) as n_lines,
+  len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c, 0) as n_repeat_words from w left join cov using (doc_id)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, greatest(n_words, 1) as nz, round(ln(1 + n_words) * {scale})::bigint as x0, round(ln(1 + word_chars / nz) * {scale})::bigint as x1,
+  round(ln(1 + 100 * n_symbols / greatest(word_chars, 1)) * {scale})::bigint as x2, round(4 * n_dup_lines / greatest(n_lines, 1) * {scale})::bigint as x3, round(4 * n_repeat_words / nz * {scale})::bigint as x4 from b),
+own as (select *, sum(case when n < {rule.least} then n else 0 end) over (partition by lang) as many from (select lang, source, count(*) as n from f group by 1, 2)),
+grp as (select lang, source, case when n >= {rule.least} then concat(coalesce('=' || lang, '-'), '|', coalesce('=' || source, '-')) when many >= {rule.least} then coalesce('=' || lang, '-') else '*' end as g from own),
+r as (select f.*, g from f join grp on f.lang is not distinct from grp.lang and f.source is not distinct from grp.source),
+long as (select g, unnest(range({len(FEATURES)})) as j, unnest([x0, x1, x2, x3, x4]) as v from r where n_words > 0),
+mid as ({median.format("long")}), away as (select long.g, long.j, abs(v - mid) as v from long join mid using (g, j)),
+mad as (select g, j, mid as mad from ({median.format("away")})),
+est0 as (select g, {', '.join(start)} from mid join mad using (g, j) group by g),
+{steps}far as ({distance(f"est{rule.steps}")})
+select r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, not r.base_failed and coalesce(far.d2, 0) <= {rule.cutoff} as kept from r left join far using (doc_id)"""
+
+
 def op5_jaccard_join() -> str:
     return f"""with recursive w as (select doc_id, {_WORDS.format(_AZ)} as w from documents),
 s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) end as sh from w),
@@ -113,4 +165,4 @@ select doc_id, size, source_size, target, (least(floor(rate * rnk + u) - floor(r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op1_secret_scan, op3_pii, op5_jaccard_join, op6_url_filter, op7_hamming_topk, op10_mixing)}
+    return {f.__name__: f() for f in (op1_secret_scan, op3_pii, op4_quality_rules, op5_jaccard_join, op6_url_filter, op7_hamming_topk, op10_mixing)}
