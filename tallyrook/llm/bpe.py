@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, body
+from .common import body
 
 #: Fixed value: how byte-level BPE splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Words that a task remembers at once while it encodes.
+REMEMBER = 1_000_000
+
 
 def _byte_chars() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary: itself if it
@@ -89,101 +94,141 @@ class Splitter:
         return [w for i, p in enumerate(self.special.split(text)) if p for w in ([p] if i % 2 else self.part(p))]
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte of each, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
-
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _split_blocks(docs: DataFrame, vocabulary: Vocabulary, id_type: T.DataType) -> DataFrame:
-    """Splits texts into words. A block is one batch of documents: its rows hold their words as
-    places in the block's list of distinct words, and one more row holds that list."""
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("_id", id_type), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter, part = Splitter(vocabulary), TaskContext.get().partitionId()
-        for n, b in enumerate(batches):
-            seen: defaultdict = defaultdict()
-            seen.default_factory = seen.__len__
-            codes = []
-            for text in b["_text"]:
-                w = splitter(text)
-                codes.append(np.fromiter(map(seen.__getitem__, w), np.uint32, len(w)))
-            # frequent words get small places, which compress
-            often = np.bincount(np.concatenate(codes), minlength=len(seen)) if seen else np.zeros(0, np.int64)
-            order = np.argsort(-often, kind="stable")
-            place = np.empty(len(seen), np.uint32)
-            place[order] = np.arange(len(seen), dtype=np.uint32)
-            words = np.array(list(seen), object)[order] if seen else np.zeros(0, object)
-            block = (part << 32) + n
-            yield pd.DataFrame({"block": block, "_id": b["_id"], "codes": [_pack(place[c]) for c in codes], "words": None})
-            yield pd.DataFrame({"block": [block], "_id": [None], "codes": [None], "words": [words]})
-
-    return docs.mapInPandas(split, schema)
-
-
-def _encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(block, place, ids, raw) of (block, place, word). Equal words stand together after one
-    shuffle, so each distinct word is encoded once, and decoded once through the pieces of its ids."""
+def _pack_parts(parts: list[bytes]) -> bytes:
+    sizes = _pack(np.fromiter(map(len, parts), np.uint32, len(parts)))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unpack_parts(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(_unpack(data[4 : 4 + n])).tolist()
+    flat = zstandard.ZstdDecompressor().decompress(data[4 + n :])
+    return [flat[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def _blocks(batches: Iterator[pd.DataFrame], splitter: Splitter) -> Iterator[tuple[int, pd.DataFrame, list[np.ndarray], list[str]]]:
+    """(block, batch, each text's words as places, the distinct words): a block is one batch of
+    documents, and frequent words come first, as small places compress."""
+    part = TaskContext.get().partitionId()
+    for n, b in enumerate(batches):
+        seen: defaultdict = defaultdict()
+        seen.default_factory = seen.__len__
+        codes = []
+        for text in b["_text"]:
+            w = splitter(text)
+            codes.append(np.fromiter(map(seen.__getitem__, w), np.uint32, len(w)))
+        often = np.bincount(np.concatenate([np.zeros(0, np.uint32), *codes]), minlength=len(seen))
+        order = np.argsort(-often, kind="stable")
+        place = np.empty(len(seen), np.uint32)
+        place[order] = np.arange(len(seen), dtype=np.uint32)
+        words = list(seen)
+        yield (part << 32) + n, b, [place[c] for c in codes], [words[i] for i in order.tolist()]
+
+
+def _word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(block, words, ids): the encoded words of each block.
+
+    Each block deals its distinct words into buckets by hash, packed. A bucket meets in one task,
+    which encodes each distinct word once and sends the ids back to the blocks that asked.
+    """
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block, _, _, words in _blocks(batches, Splitter(vocabulary)):
+            buckets: list[list[bytes]] = [[] for _ in range(n)]
+            for w in words:
+                raw = w.encode()
+                buckets[zlib.crc32(raw) % n].append(raw)
+            rows = [(k, _pack_parts(sorted(ws))) for k, ws in enumerate(buckets) if ws]
+            yield pd.DataFrame({"block": block, "bucket": [k for k, _ in rows], "words": [w for _, w in rows]})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, pieces = vocabulary.tokenizer(), vocabulary.pieces()
-        last: tuple = (None, b"", b"")
+        tokenizer, known = vocabulary.tokenizer(), {}
         for b in batches:
-            word = b["word"].to_numpy(object)
-            starts = np.ones(len(word), bool)
-            starts[1:] = word[1:] != word[:-1]
-            code, fresh = np.cumsum(starts) - 1, list(word[starts])
-            known = bool(fresh) and fresh[0] == last[0]
-            got = tokenizer.encode_batch(fresh[known:], add_special_tokens=False)
-            ids = [np.array(g.ids, "<u4") for g in got]
-            rows = [(i.tobytes(), b"".join(pieces[i])) for i in ids]
-            rows = [last[1:], *rows] if known else rows
-            if fresh:
-                last = (fresh[-1], *rows[-1])
-            table = np.empty(len(rows), object)
-            table[:] = rows
-            both = table[code]
-            yield pd.DataFrame({"block": b["block"], "place": b["place"], "ids": [r[0] for r in both], "raw": [r[1] for r in both]})
-
-    n = max(1, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return words.repartition(n, "word").sortWithinPartitions("word").mapInPandas(encode, "block long, place int, ids binary, raw binary")
+            out = []
+            for data in b["words"]:
+                words = _unpack_parts(data)
+                fresh = [w for w in words if w not in known]
+                if len(known) + len(fresh) > REMEMBER:
+                    known.clear()
+                    fresh = words
+                got = tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
+                known.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(fresh, got))
+                out.append(_pack_ids([known[w] for w in words]))
+            yield pd.DataFrame({"block": b["block"], "words": b["words"], "ids": out})
+
+    named = docs.mapInPandas(name, "block long, bucket int, words binary")
+    return named.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(encode, "block long, words binary, ids binary")
+
+
+def _pack_ids(ids: list[bytes]) -> bytes:
+    sizes = _pack(np.fromiter((len(i) // 4 for i in ids), np.uint32, len(ids)))
+    return len(sizes).to_bytes(4, "little") + sizes + _pack(np.frombuffer(b"".join(ids), "<u4"))
+
+
+def _unpack_ids(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:4], "little")
+    ends = (4 * np.cumsum(_unpack(data[4 : 4 + n]))).tolist()
+    flat = _unpack(data[4 + n :]).tobytes()
+    return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, n_tokens, ids, decoded), one row for each of docs: ids as little-endian unsigned
     32-bit integers, and the text that they decode to.
 
-    Words are split where the texts are read. Each block of documents, one Arrow batch, names its
-    distinct words; a word's rows from all blocks meet once and are encoded once; the ids go back
-    to the blocks and, by place, into the documents. What is shuffled is a word per block instead
-    of one per occurrence, and a block's table is bounded by the batch. Null texts count as empty,
-    which have no ids; ids may be null or repeat; other columns do not matter; an empty table
-    stays empty.
+    Words are split where the texts are read, once to build the table of distinct words and
+    once to look them up; that costs less than to store and shuffle the texts. What is shuffled is a
+    word per block instead of one per occurrence, and each text as places in its block's list. The
+    ids join the places, and the pieces join the ids. Should the rows of a block differ between the
+    two readings, its words that the table lacks are encoded where they are needed, so results
+    never depend on it. A block's table is bounded by the batch. Null texts count as empty, which
+    have no ids; ids may be null or repeat; other columns do not matter; an empty table stays empty.
     """
     vocabulary = Vocabulary.load(path)
-    scratch = Scratch(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
-    blocks = scratch.save(_split_blocks(docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text")), vocabulary, id_type))
-    words = blocks.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
-    table = _encode_words(words, vocabulary)
-    texts = blocks.where("codes is not null").select("block", "_id", "codes")
+    slim = docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"))
+    placed = T.StructType([T.StructField("block", T.LongType()), T.StructField("_id", id_type), T.StructField("codes", T.BinaryType()), T.StructField("list", T.BinaryType())])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block, b, codes, words in _blocks(batches, Splitter(vocabulary)):
+            yield pd.DataFrame({"block": block, "_id": b["_id"], "codes": [_pack(c) for c in codes], "list": None})
+            yield pd.DataFrame({"block": [block], "_id": [None], "codes": [None], "list": [_pack_parts([w.encode() for w in words])]})
+
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, raw = np.full(len(right), b"", object), np.full(len(right), b"", object)
-        ids[right["place"]], raw[right["place"]] = right["ids"], right["raw"]
-        codes = [_unpack(c) for c in left["codes"]]
+        listed = left["list"].notna()
+        texts = left[~listed]
+        if not len(texts):
+            return pd.DataFrame({"_id": texts["_id"], "n_tokens": [], "ids": [], "decoded": []})
+        words = [w for data in left.loc[listed, "list"] for w in _unpack_parts(data)]
+        table: dict[bytes, bytes] = {}
+        for w, i in zip(right["words"], right["ids"]):
+            table.update(zip(_unpack_parts(w), _unpack_ids(i)))
+        lacking = [w for w in words if w not in table]
+        if lacking:
+            got = vocabulary.tokenizer().encode_batch([w.decode() for w in lacking], add_special_tokens=False)
+            table.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(lacking, got))
+        pieces = vocabulary.pieces()
+        ids, raw = np.full(len(words), b"", object), np.full(len(words), b"", object)
+        for k, w in enumerate(words):
+            ids[k] = table[w]
+            raw[k] = b"".join(pieces[np.frombuffer(ids[k], "<u4")])
+        codes = [_unpack(c) for c in texts["codes"]]
         out = [b"".join(ids[c]) for c in codes]
-        return pd.DataFrame({"_id": left["_id"], "n_tokens": [len(x) // 4 for x in out], "ids": out, "decoded": [b"".join(raw[c]).decode("utf-8", "replace") for c in codes]})
+        return pd.DataFrame({"_id": texts["_id"], "n_tokens": [len(x) // 4 for x in out], "ids": out, "decoded": [b"".join(raw[c]).decode("utf-8", "replace") for c in codes]})
 
-    return texts.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(join, schema)
+    return slim.mapInPandas(place, placed).groupBy("block").cogroup(_word_table(slim, vocabulary).groupBy("block")).applyInPandas(join, schema)
 
 
 def id_list(ids: bytes) -> list[int]:
