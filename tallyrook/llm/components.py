@@ -27,7 +27,6 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         both = now.select(F.col("c").alias("x"), F.col("p").alias("y")).union(now.select(F.col("p").alias("x"), F.col("c").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("c"), F.col("m").alias("p")).distinct()
-        large = scratch.read(scratch.write(large))
         low = large.groupBy("c").agg(F.min("p").alias("m"))
         small = large.join(low, "c").where("p <> m").select(F.col("p").alias("c"), F.col("m").alias("p")).union(low.select("c", F.col("m").alias("p"))).distinct()
         old, e = e, scratch.write(small)

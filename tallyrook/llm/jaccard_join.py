@@ -22,7 +22,7 @@ class Join:
     """Sets of `width`-word shingles link when num/den of their union is shared.
 
     classes: (least count, k, groups) for each class of frequent tokens, which are indexed by
-    combinations of k within each of so many groups. frequent: tokens that may be so classed, the
+    combinations of k within each of so many groups; k = 1 just puts them behind rarer ones. frequent: tokens that may be so classed, the
     most frequent first; the table is broadcast, and tokens beyond it are indexed singly.
     single_from: sets of more shingles than this index single tokens, as their combinations would
     be many; sets near it index both ways. stars: rounds that test one member of each list
@@ -32,14 +32,15 @@ class Join:
     width: int = 3
     num: int = 90
     den: int = 100
-    classes: tuple[tuple[int, int, int], ...] = ((32, 2, 8), (4096, 3, 32))
+    classes: tuple[tuple[int, int, int], ...] = ((2, 1, 1), (8, 1, 1), (32, 2, 8), (4096, 3, 32))
     frequent: int = 200_000
     single_from: int = 1_500
     stars: int = 2
     send: int = 500_000
 
 
-BITS = 512
+#: Bits of every set, and of sets from WIDE_FROM shingles on.
+BITS, WIDE, WIDE_FROM = 512, 8192, 900
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -133,9 +134,9 @@ class Indexer:
         return np.unique(np.concatenate(out))
 
 
-def _bits(s: np.ndarray) -> np.ndarray:
+def _bits(s: np.ndarray, bits: int) -> np.ndarray:
     """The parity of tokens by hash, as 64-bit words: two sets differ in at least as many tokens as bits."""
-    odd = (np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)
+    odd = (np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -155,23 +156,24 @@ def _frequent(scratch: Scratch, hashed: DataFrame, rule: Join) -> tuple[np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], ["t", "n"])
 
     counts = hashed.select("w").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= rule.classes[0][0]).orderBy(F.desc("n"), "t").limit(rule.frequent).toPandas()
-    t = top["t"].to_numpy(np.int64).view(np.uint64)
-    c = np.searchsorted([least for least, _, _ in rule.classes], top["n"].to_numpy(np.int64), side="right").astype(np.int8)
+    top = counts.where(F.col("n") >= rule.classes[0][0]).orderBy(F.desc("n"), "t").limit(rule.frequent).toArrow()
+    t = top["t"].to_numpy().view(np.uint64)
+    c = np.searchsorted([least for least, _, _ in rule.classes], top["n"].to_numpy(), side="right").astype(np.int8)
     order = np.argsort(t)
     return t[order], c[order]
 
 
 def _index(hashed: DataFrame, indexer: Indexer, rule: Join) -> DataFrame:
-    """(_id, n, node, sigs, bits): node is the md5 of the sorted set."""
-    schema = T.StructType([hashed.schema["_id"], T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sigs", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+    """(_id, n, node, sigs, bits, wide): node is the md5 of the sorted set; small sets have no wide."""
+    schema = T.StructType([hashed.schema["_id"], T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sigs", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_shingles(w, rule.width) for w in _lists(b.column(1))]
             node = pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary())
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, node, _long_lists([indexer(s) for s in sets]), _long_lists([_bits(s) for s in sets])], ["_id", "n", "node", "sigs", "bits"])
+            wide = [_bits(s, WIDE) if len(s) >= WIDE_FROM else np.zeros(0, np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), n, node, _long_lists([indexer(s) for s in sets]), _long_lists([_bits(s, BITS) for s in sets]), _long_lists(wide)], schema.names)
 
     return hashed.select("_id", "w").mapInArrow(index, schema)
 
@@ -193,14 +195,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, rule: Join) -> DataFrame:
 
 def _near(a: str, b: str, rule: Join) -> Column:
     """What two linked sets must pass: sizes in proportion, and few enough odd bits that differ."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    odd = sum((F.bit_count(F.get(F.col(f"{a}.bits"), i).bitwiseXOR(F.get(F.col(f"{b}.bits"), i))) for i in range(1, BITS // 64)), F.bit_count(F.get(F.col(f"{a}.bits"), 0).bitwiseXOR(F.get(F.col(f"{b}.bits"), 0))))
+    na, nb, x, y = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.bits"), F.col(f"{b}.bits")
+    odd = sum((F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(1, BITS // 64)), F.bit_count(F.get(x, 0).bitwiseXOR(F.get(y, 0))))
     return (F.least(na, nb) * rule.den >= F.greatest(na, nb) * rule.num) & (odd * (rule.den + rule.num) <= (na + nb) * (rule.den - rule.num))
 
 
+def _with_ends(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with those columns of a's node as x and of b's as y."""
+    end = lambda k, s: nodes.select(F.col("nid").alias(k), F.struct("n", *columns).alias(s))
+    return pairs.join(end("a", "x"), "a").join(end("b", "y"), "b")
+
+
+def _still_near(pairs: DataFrame, nodes: DataFrame, rule: Join) -> DataFrame:
+    """The pairs that pass the wide bits too, where both have them."""
+    far = F.aggregate(F.zip_with("x.wide", "y.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = far * (rule.den + rule.num) <= (F.col("x.n") + F.col("y.n")) * (rule.den - rule.num)
+    return _with_ends(pairs, nodes, "wide").where(F.when((F.size("x.wide") > 0) & (F.size("y.wide") > 0), close).otherwise(True)).select("a", "b")
+
+
 def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Join) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
-    pairs = scratch.save(pairs)
+    pairs = scratch.save(_still_near(pairs, nodes, rule))
     ends = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
     wanted = scratch.save(nodes.join(ends, "nid").select("nid", "rep", "node"))
     sets = scratch.save(_sets(docs, wanted, rule))
@@ -213,9 +228,9 @@ def jaccard_groups(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id",
     """(_id, n_shingles, component_id), one row for each of docs.
 
     Equal sets are one node. Nodes that share an index entry stand in a list. First one member of
-    each list is tested against the others, which joins most of a group of near copies; then, in the
-    lists that still hold several components, all pairs across components with one end outside
-    the list's largest component. So every link either was tested or lies within one component, and a
+    each list is tested against the others and leaves it, which joins most of a group of near copies;
+    then, in the lists that still hold several components, all pairs across components with one
+    end outside the list's largest component. So every link either was tested or lies within one component, and a
     list of near copies costs its length rather than its square.
 
     Null, empty and blank texts have no shingles and are components of their own, whatever they share; a
@@ -227,13 +242,11 @@ def jaccard_groups(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id",
     hashed = slim.select("_id", _word_hashes(F.col("_text")).alias("w"))
     indexer = Indexer(rule, *_frequent(scratch, hashed, rule))
     rows = scratch.save(_index(hashed, indexer, rule))
-    same = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"))
+    same = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     nodes = scratch.save(same.withColumn("nid", F.monotonically_increasing_id()))
     posts = nodes.select("nid", F.explode("sigs").alias("sig"))
     shared = posts.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
     lists = scratch.save(posts.join(shared, "sig").select("sig", "nid"))
-    slim_nodes = nodes.select("nid", "rep", "node", "n", "bits")
-    short = nodes.select("nid", "n", "bits")
     labels = None  # (nid, root) of linked nodes
 
     def placed(at: DataFrame) -> DataFrame:
@@ -253,19 +266,21 @@ def jaccard_groups(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id",
     for r in range(rule.stars):
         at = scratch.save(placed(lists))
         pivot = at.groupBy("sig").agg(F.min_by(F.struct("nid", "root"), F.xxhash64("sig", "nid", F.lit(r))).alias("p"))
-        pairs = at.join(pivot, "sig").where("root <> p.root").select(F.least("nid", "p.nid").alias("a"), F.greatest("nid", "p.nid").alias("b")).distinct()
-        with_a = pairs.join(short.select(F.col("nid").alias("a"), F.struct("n", "bits").alias("x")), "a")
-        near = with_a.join(short.select(F.col("nid").alias("b"), F.struct("n", "bits").alias("y")), "b").where(_near("x", "y", rule)).select("a", "b")
-        labels = joined(_verified(scratch, slim, slim_nodes, near, rule))
-
-    at = scratch.save(placed(lists).join(short, "nid"))
+        told = scratch.save(at.join(pivot, "sig").where("nid <> p.nid"))
+        pairs = told.where("root <> p.root").select(F.least("nid", "p.nid").alias("a"), F.greatest("nid", "p.nid").alias("b")).distinct()
+        near = _with_ends(pairs, nodes, "bits").where(_near("x", "y", rule)).select("a", "b")
+        labels = joined(_verified(scratch, slim, nodes, near, rule))
+        # the member that was tested against all others has done its part
+        lists = told.select("sig", "nid")
+
+    at = scratch.save(placed(lists).join(nodes.select("nid", "n", "bits"), "nid"))
     sizes = at.groupBy("sig", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
     told = scratch.save(at.join(main, "sig"))
     few, every = told.where("root <> main").alias("x"), told.alias("y")
     across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.nid") < F.col("y.nid")))
     rest = few.join(every, across & _near("x", "y", rule)).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
-    labels = joined(_verified(scratch, slim, slim_nodes, rest, rule))
+    labels = joined(_verified(scratch, slim, nodes, rest, rule))
 
     home = nodes.select("node", "nid", "rep").join(labels, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     ids = home.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -134,7 +134,7 @@ def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return out.withColumn("d2", d2).drop(*[f"m{i}" for i in range(d)], *[f"z{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
-def _concentrate(rows: DataFrame, estimates: DataFrame, rule: Outliers) -> DataFrame:
+def _concentrate(scratch: Scratch, rows: DataFrame, estimates: DataFrame, rule: Outliers) -> DataFrame:
     """New estimates from the `keep` of each group that lie nearest by the old ones.
 
     Distances fall into fixed narrow classes, and the classes up to the one in which the share is
@@ -145,7 +145,8 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, rule: Outliers) -> DataF
     bins = near.groupBy("g", "bin").agg(F.count("*").alias("n"))
     by = Window.partitionBy("g")
     run = bins.withColumns({"c": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
-    limit = run.where(F.col("c") >= F.ceil(F.col("all") * rule.keep)).groupBy("g").agg(F.min("bin").alias("limit"))
+    # written, so that the rows of a large group need not meet its limit in one task
+    limit = scratch.save(run.where(F.col("c") >= F.ceil(F.col("all") * rule.keep)).groupBy("g").agg(F.min("bin").alias("limit")))
     kept = near.join(limit, "g").where("bin <= limit")
     exact = lambda c: F.sum(c.cast("decimal(28,0)")).cast("double")
     sums = kept.groupBy("g").agg(
@@ -182,7 +183,7 @@ def judge_quality(docs: DataFrame, rule: Outliers = Outliers(), id_col: str = "d
     told = rows.where("n_words > 0").select("g", *FEATURES)
     estimates = scratch.save(_start(told, rule.floor))
     for _ in range(rule.steps):
-        estimates = scratch.save(_concentrate(told, estimates, rule))
+        estimates = scratch.save(_concentrate(scratch, told, estimates, rule))
     d = len(FEATURES)
     blank = estimates.groupBy().agg(F.count("*").alias("n"))  # noqa: F841
     left = rows.where("n_words = 0").withColumn("d2", F.lit(None).cast("double"))

@@ -30,7 +30,7 @@ def _deal(scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
     return r.withColumn("shard", F.when(turn < n, turn).otherwise(2 * n - 1 - turn).cast("int")).drop("_neg", "_rank")
 
 
-def _propagate(linked: DataFrame, still: DataFrame, mean: DataFrame, rule: Balance) -> DataFrame:
+def _propagate(scratch: Scratch, linked: DataFrame, still: DataFrame, mean: DataFrame, rule: Balance) -> DataFrame:
     """One step over the linked documents.
 
     Each asks for the shard that holds most bytes of its group. A shard admits requests, in the
@@ -39,7 +39,7 @@ def _propagate(linked: DataFrame, still: DataFrame, mean: DataFrame, rule: Balan
     """
     held = linked.groupBy("group", "shard").agg(F.sum("size").alias("b"))
     best = held.groupBy("group").agg(F.max(F.struct("b", (-F.col("shard")).alias("s"))).alias("m")).select("group", (-F.col("m.s")).alias("goal"))
-    asked = linked.join(best, "group").withColumn("bucket", F.pmod(F.xxhash64("_key"), F.lit(rule.buckets)).cast("int"))
+    asked = linked.join(scratch.save(best), "group").withColumn("bucket", F.pmod(F.xxhash64("_key"), F.lit(rule.buckets)).cast("int"))
     flow = asked.where("goal <> shard").groupBy("goal", "bucket").agg(F.sum("size").alias("b"))
     flow = flow.withColumn("upto", F.sum("b").over(Window.partitionBy("goal").orderBy("bucket")))
     own = linked.groupBy("shard").agg(F.sum("size").alias("own"))
@@ -91,7 +91,8 @@ def shard_documents(docs: DataFrame, rule: Balance = Balance(), id_col: str = "d
         F.when(F.length(text) > 0, F.md5(text)).alias("group"),
     ).withColumn("_key", F.md5(F.concat_ws(":", F.col("_id").cast("string"), "text_crc32")))
     dealt = scratch.save(_deal(scratch, slim, rule.shards).withColumn("_row", F.monotonically_increasing_id()))
-    many = dealt.where("group is not null").groupBy("group").agg(F.count("*").alias("_m")).where("_m > 1").select("group", F.lit(True).alias("_linked"))
+    # written, so that the join deals both sides anew and a large group can be split
+    many = scratch.save(dealt.where("group is not null").groupBy("group").agg(F.count("*").alias("_m")).where("_m > 1").select("group", F.lit(True).alias("_linked")))
     mean = scratch.save(dealt.agg((F.sum("size") / rule.shards).alias("mean"), F.avg("size").alias("each")))  # one row
     kind = F.when(F.col("_linked"), "linked").when(F.col("size") <= rule.filler * F.col("each"), "filler").otherwise("large")
     dealt = scratch.save(dealt.join(many, "group", "left").join(F.broadcast(mean), F.lit(True)).withColumn("_kind", kind).drop("_linked", "mean", "each"))
@@ -100,7 +101,7 @@ def shard_documents(docs: DataFrame, rule: Balance = Balance(), id_col: str = "d
     still = scratch.save(shards.join(large, "shard", "left").select("shard", F.coalesce("own", F.lit(0)).alias("still")))
     linked = dealt.where("_kind = 'linked'")
     for _ in range(rule.rounds):
-        linked = scratch.save(_propagate(linked, still, mean, rule))
+        linked = scratch.save(_propagate(scratch, linked, still, mean, rule))
     firm = linked.unionByName(dealt.where("_kind = 'large'"))
     loads = shards.join(firm.groupBy("shard").agg(F.sum("size").alias("own")), "shard", "left").select("shard", F.coalesce("own", F.lit(0)).alias("load"))
     placed = scratch.save(firm.unionByName(_fill(dealt.where("_kind = 'filler'"), loads, rule)))
