@@ -25,7 +25,9 @@ from .common import body
 LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 WORDS = f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Words that a task remembers at once while it encodes.
-REMEMBER = 1_000_000
+REMEMBER = 200_000
+#: Words that the tokenizer encodes in one call, which makes an object of a kilobyte for each.
+AT_ONCE = 4_096
 
 
 def _byte_chars() -> dict[str, int]:
@@ -134,6 +136,14 @@ def _blocks(batches: Iterator[pd.DataFrame], splitter: Splitter) -> Iterator[tup
         yield (part << 32) + n, b, [place[c] for c in codes], [words[i] for i in order.tolist()]
 
 
+def _encoded(tokenizer, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """(word, ids), a few words at a time."""
+    for i in range(0, len(words), AT_ONCE):
+        part = words[i : i + AT_ONCE]
+        for w, g in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
+            yield w, np.array(g.ids, "<u4").tobytes()
+
+
 def _word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(block, words, ids): the encoded words of each block.
 
@@ -161,8 +171,7 @@ def _word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 if len(known) + len(fresh) > REMEMBER:
                     known.clear()
                     fresh = words
-                got = tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-                known.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(fresh, got))
+                known.update(_encoded(tokenizer, fresh))
                 out.append(_pack_ids([known[w] for w in words]))
             yield pd.DataFrame({"block": b["block"], "words": b["words"], "ids": out})
 
@@ -217,8 +226,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             table.update(zip(_unpack_parts(w), _unpack_ids(i)))
         lacking = [w for w in words if w not in table]
         if lacking:
-            got = vocabulary.tokenizer().encode_batch([w.decode() for w in lacking], add_special_tokens=False)
-            table.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(lacking, got))
+            table.update(_encoded(vocabulary.tokenizer(), lacking))
         pieces = vocabulary.pieces()
         ids, raw = np.full(len(words), b"", object), np.full(len(words), b"", object)
         for k, w in enumerate(words):

@@ -24,6 +24,8 @@ CLASSES = ("other", "insult", "threat", "target", "negation", "report", "end")
 OTHER, INSULT, HURT, WHOM, NOT, SAYS, END = range(7)
 #: Prefixes of a word that may stand in the lexicon.
 STEMS = range(3, 10)
+#: Words that a task remembers at once; those forgotten are classed again when they come back.
+REMEMBER = 100_000
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,7 @@ class Grammar:
 
         class Known(dict):
             def __missing__(self, word: str) -> tuple[int, bool, float]:
-                if len(self) > 1_000_000:
+                if len(self) >= REMEMBER:
                     self.clear()
                 w = _TRIM.sub("", word.lower())
                 weight = lexicon.get("=" + w, 0.0)
