@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ WORDS = f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{
 REMEMBER = 200_000
 #: Words that the tokenizer encodes in one call, which makes an object of a kilobyte for each.
 AT_ONCE = 4_096
+#: Characters of text in a block, unless one text has more.
+BLOCK = 8 << 20
 
 
 def _byte_chars() -> dict[str, int]:
@@ -58,6 +62,13 @@ class Vocabulary:
         t.no_padding()
         return t
 
+    def splitter(self):
+        """The tokenizer's splitter of texts, without its table of words."""
+        from tokenizers import Tokenizer
+
+        plain = json.loads(self.content) | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        return Tokenizer.from_str(json.dumps(plain)).pre_tokenizer
+
     def specials(self) -> dict[str, int]:
         return {a["content"]: a["id"] for a in json.loads(self.content)["added_tokens"]}
 
@@ -81,7 +92,7 @@ class Splitter:
         self.find = re.compile(WORDS).findall
         special = [re.escape(s) for s in sorted(vocabulary.specials(), key=len, reverse=True)]
         self.special = re.compile("(" + "|".join(special) + ")") if special else None
-        self.own = vocabulary.tokenizer().pre_tokenizer
+        self.own = vocabulary.splitter()
 
     def part(self, text: str) -> list[str]:
         try:
@@ -117,23 +128,36 @@ def _unpack_parts(data: bytes) -> list[bytes]:
     return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
 
-def _blocks(batches: Iterator[pd.DataFrame], splitter: Splitter) -> Iterator[tuple[int, pd.DataFrame, list[np.ndarray], list[str]]]:
-    """(block, batch, each text's words as places, the distinct words): a block is one batch of
-    documents, and frequent words come first, as small places compress."""
-    part = TaskContext.get().partitionId()
-    for n, b in enumerate(batches):
-        seen: defaultdict = defaultdict()
-        seen.default_factory = seen.__len__
-        codes = []
-        for text in b["_text"]:
-            w = splitter(text)
-            codes.append(np.fromiter(map(seen.__getitem__, w), np.uint32, len(w)))
-        often = np.bincount(np.concatenate([np.zeros(0, np.uint32), *codes]), minlength=len(seen))
-        order = np.argsort(-often, kind="stable")
-        place = np.empty(len(seen), np.uint32)
-        place[order] = np.arange(len(seen), dtype=np.uint32)
-        words = list(seen)
-        yield (part << 32) + n, b, [place[c] for c in codes], [words[i] for i in order.tolist()]
+def _blocks(batches: Iterator[pa.RecordBatch], splitter: Splitter) -> Iterator[tuple[int, pa.Array, list[np.ndarray], list[str]]]:
+    """(block, ids, each text's words as places, the distinct words): a block is a run of
+    documents of (_id, _text), and frequent words come first, as small places compress."""
+    part, n = TaskContext.get().partitionId(), 0
+    for b in batches:
+        for ids, texts in _runs(b):
+            seen: defaultdict = defaultdict()
+            seen.default_factory = seen.__len__
+            codes = []
+            for text in texts:
+                w = splitter(text.as_py())
+                codes.append(np.fromiter(map(seen.__getitem__, w), np.uint32, len(w)))
+            often = np.bincount(np.concatenate([np.zeros(0, np.uint32), *codes]), minlength=len(seen))
+            order = np.argsort(-often, kind="stable")
+            place = np.empty(len(seen), np.uint32)
+            place[order] = np.arange(len(seen), dtype=np.uint32)
+            words = list(seen)
+            yield (part << 32) + n, ids, [place[c] for c in codes], [words[i] for i in order.tolist()]
+            n += 1
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The ids and texts of a batch, cut where a block is full."""
+    size = np.cumsum(pc.utf8_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < b.num_rows:
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + BLOCK, side="right")))
+        yield b.column(0).slice(start, end - start), b.column(1).slice(start, end - start)
+        start = end
 
 
 def _encoded(tokenizer, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -152,14 +176,15 @@ def _word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, words in _blocks(batches, Splitter(vocabulary)):
             buckets: list[list[bytes]] = [[] for _ in range(n)]
             for w in words:
                 raw = w.encode()
                 buckets[zlib.crc32(raw) % n].append(raw)
             rows = [(k, _pack_parts(sorted(ws))) for k, ws in enumerate(buckets) if ws]
-            yield pd.DataFrame({"block": block, "bucket": [k for k, _ in rows], "words": [w for _, w in rows]})
+            where = pa.array([k for k, _ in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), where, pa.array([w for _, w in rows], pa.binary())], ["block", "bucket", "words"])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, known = vocabulary.tokenizer(), {}
@@ -175,7 +200,7 @@ def _word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 out.append(_pack_ids([known[w] for w in words]))
             yield pd.DataFrame({"block": b["block"], "words": b["words"], "ids": out})
 
-    named = docs.mapInPandas(name, "block long, bucket int, words binary")
+    named = docs.mapInArrow(name, "block long, bucket int, words binary")
     return named.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(encode, "block long, words binary, ids binary")
 
 
@@ -200,7 +225,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     word per block instead of one per occurrence, and each text as places in its block's list. The
     ids join the places, and the pieces join the ids. Should the rows of a block differ between the
     two readings, its words that the table lacks are encoded where they are needed, so results
-    never depend on it. A block's table is bounded by the batch. Null texts count as empty, which
+    never depend on it. A block's table is bounded by BLOCK or its one longer text. Null texts count as empty, which
     have no ids; ids may be null or repeat; other columns do not matter; an empty table stays empty.
     """
     vocabulary = Vocabulary.load(path)
@@ -208,22 +233,20 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     slim = docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"))
     placed = T.StructType([T.StructField("block", T.LongType()), T.StructField("_id", id_type), T.StructField("codes", T.BinaryType()), T.StructField("list", T.BinaryType())])
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block, b, codes, words in _blocks(batches, Splitter(vocabulary)):
-            yield pd.DataFrame({"block": block, "_id": b["_id"], "codes": [_pack(c) for c in codes], "list": None})
-            yield pd.DataFrame({"block": [block], "_id": [None], "codes": [None], "list": [_pack_parts([w.encode() for w in words])]})
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, codes, words in _blocks(batches, Splitter(vocabulary)):
+            n, listed = len(ids), pa.array([_pack_parts([w.encode() for w in words])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), ids, pa.array([_pack(c) for c in codes], pa.binary()), pa.nulls(n, pa.binary())], placed.names)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, ids.type), pa.nulls(1, pa.binary()), listed], placed.names)
 
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
-    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        listed = left["list"].notna()
-        texts = left[~listed]
-        if not len(texts):
-            return pd.DataFrame({"_id": texts["_id"], "n_tokens": [], "ids": [], "decoded": []})
-        words = [w for data in left.loc[listed, "list"] for w in _unpack_parts(data)]
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left.filter(pc.is_null(left["list"]))
+        words = [w for data in left["list"].drop_null() for w in _unpack_parts(data.as_py())]
         table: dict[bytes, bytes] = {}
         for w, i in zip(right["words"], right["ids"]):
-            table.update(zip(_unpack_parts(w), _unpack_ids(i)))
+            table.update(zip(_unpack_parts(w.as_py()), _unpack_ids(i.as_py())))
         lacking = [w for w in words if w not in table]
         if lacking:
             table.update(_encoded(vocabulary.tokenizer(), lacking))
@@ -232,11 +255,15 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for k, w in enumerate(words):
             ids[k] = table[w]
             raw[k] = b"".join(pieces[np.frombuffer(ids[k], "<u4")])
-        codes = [_unpack(c) for c in texts["codes"]]
-        out = [b"".join(ids[c]) for c in codes]
-        return pd.DataFrame({"_id": texts["_id"], "n_tokens": [len(x) // 4 for x in out], "ids": out, "decoded": [b"".join(raw[c]).decode("utf-8", "replace") for c in codes]})
-
-    return slim.mapInPandas(place, placed).groupBy("block").cogroup(_word_table(slim, vocabulary).groupBy("block")).applyInPandas(join, schema)
+        out, decoded = [], []
+        for c in texts["codes"]:
+            at = _unpack(c.as_py())
+            out.append(b"".join(ids[at]))
+            decoded.append(b"".join(raw[at]).decode("utf-8", "replace"))
+        columns = [texts["_id"], pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array(decoded, pa.string())]
+        return pa.Table.from_arrays(columns, schema.names)
+
+    return slim.mapInArrow(place, placed).groupBy("block").cogroup(_word_table(slim, vocabulary).groupBy("block")).applyInArrow(join, schema)
 
 
 def id_list(ids: bytes) -> list[int]:

@@ -258,6 +258,14 @@ def test_bpe(spark):
         assert got[i]["decoded"] == t.decode(ids, skip_special_tokens=False) == (text or "")
 
 
+def test_bpe_small_blocks_and_large_ids(spark, monkeypatch):
+    """Ids beyond a double's whole numbers stay, with null ids beside them and blocks of few texts."""
+    monkeypatch.setattr(bpe, "BLOCK", 10)
+    rows = [(2**53 + 1, "one two three"), (2**53 + 3, "four"), (None, "one two"), (5, None), (5, "one")]
+    got = bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path())
+    assert sorted(((r["_id"], r["decoded"]) for r in got.collect()), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
+
+
 def test_latin_words_split_alike():
     """The fast splitter is used for Latin-1 only; there it must agree with the tokenizer's."""
     s = bpe.Splitter(bpe.Vocabulary.load(tokenizer_path()))
