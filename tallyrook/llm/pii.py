@@ -75,7 +75,7 @@ def terms(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
-    """(key, told): for each text's md5 the terms to take out, as a map from term to strength.
+    """(t, strength): the terms to take out wherever they stand, with the most that each tells of any entity.
 
     All counts are over all documents, copies included; what carries support is different texts.
     Pairs are only those that stand in one text, so their number is linear in the text.
@@ -93,28 +93,24 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), text_col:
     often = docs.select(F.explode(terms(body(text_col))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     size = docs.agg(F.count("*").alias("n"))  # one row
     ratio = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
-    told = scratch.save(
-        co.join(often, "t").join(F.broadcast(size), F.lit(True)).where("n_e < n").withColumn("strength", ratio).where(F.col("strength") >= rule.generalise).select("e", "t", "strength")
-    )
-    return (
-        both.select("key", "e", "t").join(told, ["e", "t"]).groupBy("key", "t").agg(F.max("strength").alias("strength"))
-        .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "strength"))).alias("told"))
-    )
+    told = co.join(often, "t").join(F.broadcast(size), F.lit(True)).where("n_e < n").withColumn("strength", ratio).where(F.col("strength") >= rule.generalise)
+    return told.groupBy("t").agg(F.max("strength").alias("strength"))
 
 
 def find_pii(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
     """docs with `pii`: sorted spans of the four kinds, and of `term` (taken out) and `class`
-    (generalised) for terms that disclose an entity named in the same text.
+    (generalised) for terms that disclose an entity, in every text that holds such a term.
 
-    Added spans never overlap the others. Texts without an entity pass by the join. A null or
+    Added spans never overlap the others. Texts without a telling term pass by the join. A null or
     empty text has no spans; repeated rows get equal spans; a column named `pii` is replaced;
     an empty table gives an empty one.
     """
-    text = body(text_col)
-    told = Scratch(docs.sparkSession).save(disclosing_terms(docs, rule, text_col))
-    based = docs.drop("pii").withColumn("_base", base_spans(text))
-    plain = based.where(F.size("_base") == 0).withColumnRenamed("_base", "pii")
-    rich = based.where(F.size("_base") > 0).withColumn("_key", F.md5(text)).alias("d").join(told.alias("k"), F.col("d._key") == F.col("k.key"), "left")
+    text, scratch = body(text_col), Scratch(docs.sparkSession)
+    telling = scratch.save(disclosing_terms(docs, rule, text_col))
+    held = docs.select(F.md5(text).alias("key"), F.explode(terms(text)).alias("t")).join(telling, "t").groupBy("key", "t").agg(F.max("strength").alias("strength"))
+    told = scratch.save(held.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "strength"))).alias("told")))
+    based = docs.drop("pii").withColumn("_base", base_spans(text)).withColumn("_key", F.md5(text))
+    every = based.alias("d").join(told.alias("k"), F.col("d._key") == F.col("k.key"), "left")
     body_ = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
     strength = lambda s: F.col("k.told")[F.lower(s["hit"])]
     free = lambda s: ~F.exists("d._base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
@@ -123,7 +119,7 @@ def find_pii(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "
         lambda s: s.withField("kind", F.when(strength(s) >= rule.remove, F.lit("term")).otherwise(F.lit("class"))),
     )
     found = F.when(F.col("k.told").isNull(), F.col("d._base")).otherwise(F.array_sort(F.concat("d._base", added)))
-    return rich.select("d.*", found.alias("pii")).drop("_base", "_key").unionByName(plain)
+    return every.select("d.*", found.alias("pii")).drop("_base", "_key")
 
 
 def sanitise(found: DataFrame, text_col: str = "text") -> DataFrame:

@@ -110,6 +110,20 @@ def test_disclosing_terms(spark):
     assert "zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[5] == texts[5]
 
 
+def test_telling_terms_without_their_entity(spark):
+    """A telling term goes from texts that name no entity or another one, too."""
+    texts = [f"Contact zorblax at z@example.com about topic number {w}" for w in ("alpha", "beta", "gamma")] + ["yesterday zorblax called", "Write other@site.org or ask Zorblax today", None, ""]
+    texts += [f"common words about topic number {i} here" for i in range(40)]
+    found = pii.find_pii(docs_of(spark, texts))
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert len(rows) == len(texts)
+    for i in range(5):
+        assert "zorblax" in {s["hit"].lower() for s in rows[i]["pii"] if s["kind"] in ("term", "class")}, i
+    assert all(not rows[i]["pii"] for i in range(5, len(texts)))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(found).collect()}
+    assert clean[3] == "yesterday [word] called" and clean[4] == "Write [EMAIL] or ask [name] today"
+
+
 def test_statistics(spark):
     texts = [None, "", " \n ", "a b c d e " * 3, "a b c d e", "x\nx\n\n \ny\nx", "# * $ a|b <>", "a b c d e f a b c d e g h", "z " * 30, " ".join(f"w{i}" for i in range(3000)), "é\u00a0b c"]
     for r in quality_rules.statistics(docs_of(spark, texts)).collect():
