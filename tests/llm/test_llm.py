@@ -104,6 +104,16 @@ def test_private_keys_go_whole(spark):
     assert clean[8] == "before [SECRET] opens a key, after it" and clean[4] == "before [SECRET]\n-----BEGIN PUBLIC KEY-----\nafter it" and clean[5] == "before [SECRET] after it [SECRET]"
 
 
+def test_long_tokens_go_whole(spark):
+    """No length cuts a token; runs of its first letters stay fast."""
+    head, long = "eyJ" + "a" * 20, "Zx9_" * 750
+    tokens = [f"{head}.eyJ{long}.{long}", f"eyJ{long}.eyJ{'b' * 20}.{'c' * 43}", "ghp_" + "a1B2" * 100, "xoxb-" + "12-ab" * 100, f"eyJeyJ{long}eyJ.eyJ{long}eyJ.{long}"]
+    texts = [f"before {t} after" for t in tokens] + [f"x{head}.eyJabc.{long} {head}.{head}.{long}.{long}", "eyJ" * 50_000 + ".eyJ" + "." + "eyJ" * 2000]
+    clean = masked_as_planned(spark, texts[:-1])
+    assert all(clean[i] == "before [SECRET] after" for i in range(len(tokens)))
+    assert secret_scan.scan_secrets(docs_of(spark, texts[-1:])).first()["secrets"] == []
+
+
 PRIVATE = [
     None, "", "a@b.co, c@d.e_f@g.hi x@y", "mail first.last+tag@sub.example.com.", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3", "card 4111 1111 1111 1111, 4111111111111112, 4111-1111-1111-1111-",
     "+1 (555) 123-4567 +12 +44.20.7946.0958 x", "é" * 30 + " a@b.co", "a" * 20_000, "1.2.3." * 3000, "x@" + "a." * 20_000 + "b", "0 " * 5000, "+1" + " 2" * 5000,
