@@ -85,11 +85,11 @@ class TailReader(DataSourceStreamReader):
         for path, to in end.items():
             known = start.get(path, {"end": 0, "sha256": ""})
             at = known["end"]
+            if known == to:
+                continue
             if at:
-                try:
-                    _, _, prefix = measure(path, at)
-                except (OSError, ValueError):
-                    continue
+                # an error fails the batch, so that its retry reads the same range
+                _, _, prefix = measure(path, at)
                 at = at if prefix == known["sha256"] and at <= to["end"] else 0
             while at < to["end"]:
                 stop = min(at + self.piece_bytes, to["end"])

@@ -195,6 +195,28 @@ def test_tail_reads_pieces_once(tmp_path):
     assert reader.partitions(to, reader.latestOffset())[0].start == 0
 
 
+def test_tail_fails_rather_than_skips(tmp_path, monkeypatch):
+    """A file that can't be read for a moment fails the batch; the retry has its bytes."""
+    p, idle = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    p.write_text("one\n")
+    idle.write_text("idle\n")
+    reader = TailReader({"path": str(tmp_path / "*.jsonl")})
+    old = reader.latestOffset()
+    with p.open("a") as f:
+        f.write("two\n")
+    new = reader.latestOffset()
+
+    def refuse(path, *_):
+        raise OSError(path)
+
+    with monkeypatch.context() as m:
+        m.setattr("tallyrook.sources.tail.measure", refuse)
+        with pytest.raises(OSError):
+            reader.partitions(old, new)
+        assert reader.partitions(new, new) == []
+    assert [r[2] for q in reader.partitions(old, new) for r in reader.read(q)] == ["two"]
+
+
 def _line(i, **more):
     return json.dumps({k: f"{k}{i}" for k in EVENT_FIELDS if k != "ts"} | {"ts": "2024-01-01T00:00:00Z"} | more)
 
