@@ -72,10 +72,16 @@ def unmatched(recovered: DataFrame, pairs: DataFrame, id_col: str = "id") -> Dat
 
 
 def aliases(old: DataFrame, events: DataFrame, on: str) -> DataFrame:
-    """(old_id, event_id) where the match is one to one both ways. old has old_id, events event_id."""
-    both = old.select(on, "old_id").join(events.select(on, "event_id"), on)
-    one = both.withColumns({"a": F.count("*").over(Window.partitionBy("old_id")), "b": F.count("*").over(Window.partitionBy("event_id"))})
-    return one.where("a = 1 and b = 1").select("old_id", "event_id")
+    """(old_id, event_id) where the match is one to one both ways. old has old_id, events event_id.
+
+    Each side meets only the counts of the other, so that copies are never paired."""
+
+    def alone(side: DataFrame, other: DataFrame, id_col: str) -> DataFrame:
+        many = other.groupBy(on).agg(F.count("*").alias("_n"))
+        met = side.select(on, id_col).join(many, on).groupBy(id_col).agg(F.sum("_n").alias("_n"), F.min(on).alias(on))
+        return met.where("_n = 1").select(on, id_col)
+
+    return alone(old, events, "old_id").join(alone(events, old, "event_id"), on).select("old_id", "event_id")
 
 
 def void_aliases(alias: DataFrame, exact: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -132,6 +133,21 @@ def test_direct_at_0_and_12_recovered_at_11(spark):
     assert [tuple(p) for p in matching.correlate(d, r, ["k"], 600_000_000).collect()] == [(2, 3)]
 
 
+def test_aliases_pair_no_copies(spark):
+    """Against counting all pairs; ids under several texts and nulls included. Two sides of 50 000 copies end soon."""
+    rng = random.Random(4)
+    old = [(rng.choice([None, *range(25)]), rng.randrange(30)) for _ in range(40)]
+    events = [(rng.choice([None, *range(25)]), rng.randrange(30)) for _ in range(40)]
+    pairs = [(a, b) for x, a in old for y, b in events if x is not None and x == y]
+    want = sorted((a, b) for a, b in pairs if sum(p[0] == a for p in pairs) == 1 == sum(p[1] == b for p in pairs))
+    frame = lambda rows, name: spark.createDataFrame(rows, f"h int, {name} long")
+    assert want and sorted(map(tuple, matching.aliases(frame(old, "old_id"), frame(events, "event_id"), "h").collect())) == want
+    many = spark.range(50_000)
+    start = time.monotonic()
+    got = matching.aliases(many.selectExpr("if(id = 0, 1, 0) h", "id old_id"), many.selectExpr("if(id = 7, 1, 0) h", "id event_id"), "h").collect()
+    assert [tuple(r) for r in got] == [(0, 7)] and time.monotonic() - start < 60
+
+
 def test_budget(spark):
     rows = [(i, "x" * n) for i, n in enumerate((50, 10, 10, 10, 10))]
     df = spark.createDataFrame(rows, "n int, prompt string")
