@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -20,18 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import body
+from .common import body, release, small_batches
 
 #: The letters, numbers and white space of Latin-1, and how byte-level BPE splits
 #: such a text into words. What can start alike keeps the tokenizer's order.
 LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 WORDS = f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Words that a task remembers at once while it encodes.
-REMEMBER = 200_000
 #: Words that the tokenizer encodes in one call, which makes an object of a kilobyte for each.
 AT_ONCE = 4_096
 #: Characters of text in a block, unless one text has more.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 def _byte_chars() -> dict[str, int]:
@@ -72,15 +69,13 @@ class Vocabulary:
     def specials(self) -> dict[str, int]:
         return {a["content"]: a["id"] for a in json.loads(self.content)["added_tokens"]}
 
-    def pieces(self) -> np.ndarray:
-        """The bytes of each id."""
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after another, and where each id's begin, with the end."""
         own, special, chars = json.loads(self.content)["model"]["vocab"], self.specials(), _byte_chars()
         table = {i: bytes(chars[c] for c in p) for p, i in own.items() if p not in special}
         table |= {i: p.encode() for p, i in special.items()}
-        out = np.full(max(table) + 1, b"", object)
-        for i, b in table.items():
-            out[i] = b
-        return out
+        parts = [table.get(i, b"") for i in range(max(table) + 1)]
+        return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 class Splitter:
@@ -130,34 +125,39 @@ def _unpack_parts(data: bytes) -> list[bytes]:
 
 def _blocks(batches: Iterator[pa.RecordBatch], splitter: Splitter) -> Iterator[tuple[int, pa.Array, list[np.ndarray], list[str]]]:
     """(block, ids, each text's words as places, the distinct words): a block is a run of
-    documents of (_id, _text), and frequent words come first, as small places compress."""
-    part, n = TaskContext.get().partitionId(), 0
+    documents of (_id, _text) up to BLOCK characters, over batches of any size, and frequent words
+    come first, as small places compress."""
+    part, block, held = TaskContext.get().partitionId(), 0, 0
+    ids: list = []
+    codes: list[np.ndarray] = []
+    seen: defaultdict = defaultdict()
+    seen.default_factory = seen.__len__
+
+    def full() -> tuple[int, pa.Array, list[np.ndarray], list[str]]:
+        often = np.bincount(np.concatenate(codes), minlength=len(seen))
+        order = np.argsort(-often, kind="stable")
+        place = np.empty(len(seen), np.uint32)
+        place[order] = np.arange(len(seen), dtype=np.uint32)
+        words = list(seen)
+        return (part << 32) + block, pa.concat_arrays(ids), [place[c] for c in codes], [words[i] for i in order.tolist()]
+
     for b in batches:
-        for ids, texts in _runs(b):
-            seen: defaultdict = defaultdict()
-            seen.default_factory = seen.__len__
-            codes = []
-            for text in texts:
-                w = splitter(text.as_py())
-                codes.append(np.fromiter(map(seen.__getitem__, w), np.uint32, len(w)))
-            often = np.bincount(np.concatenate([np.zeros(0, np.uint32), *codes]), minlength=len(seen))
-            order = np.argsort(-often, kind="stable")
-            place = np.empty(len(seen), np.uint32)
-            place[order] = np.arange(len(seen), dtype=np.uint32)
-            words = list(seen)
-            yield (part << 32) + n, ids, [place[c] for c in codes], [words[i] for i in order.tolist()]
-            n += 1
-
-
-def _runs(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """The ids and texts of a batch, cut where a block is full."""
-    size = np.cumsum(pc.utf8_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < b.num_rows:
-        before = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, before + BLOCK, side="right")))
-        yield b.column(0).slice(start, end - start), b.column(1).slice(start, end - start)
-        start = end
+        start = 0
+        for i, cell in enumerate(b.column(1)):
+            text = cell.as_py()
+            if codes and held + len(text) > BLOCK:
+                ids.append(b.column(0).slice(start, i - start))
+                yield full()
+                start, block, held = i, block + 1, 0
+                ids.clear()
+                codes.clear()
+                seen.clear()
+            w = splitter(text)
+            codes.append(np.fromiter(map(seen.__getitem__, w), np.uint32, len(w)))
+            held += len(text)
+        ids.append(b.column(0).slice(start))
+    if codes:
+        yield full()
 
 
 def _encoded(tokenizer, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -168,40 +168,46 @@ def _encoded(tokenizer, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
             yield w, np.array(g.ids, "<u4").tobytes()
 
 
-def _word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(block, words, ids): the encoded words of each block.
+def _dealt(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(bucket, which of the words, their checksum): a word's bucket follows from the word alone."""
+    at = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(at, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(words) else []:
+        yield int(at[part[0]]), part, zlib.crc32(b"\0".join(words[i] for i in part.tolist()))
+
+
+def _word_table(docs: DataFrame, vocabulary: Vocabulary, buckets: int) -> DataFrame:
+    """(block, bucket, mark, ids): the ids of each block's words, a row for each bucket of them.
 
     Each block deals its distinct words into buckets by hash, packed. A bucket meets in one task,
-    which encodes each distinct word once and sends the ids back to the blocks that asked.
+    which encodes each distinct word once and sends its ids to all blocks that asked. The words
+    themselves stay in the block; mark is their checksum.
     """
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, words in _blocks(batches, Splitter(vocabulary)):
-            buckets: list[list[bytes]] = [[] for _ in range(n)]
-            for w in words:
-                raw = w.encode()
-                buckets[zlib.crc32(raw) % n].append(raw)
-            rows = [(k, _pack_parts(sorted(ws))) for k, ws in enumerate(buckets) if ws]
-            where = pa.array([k for k, _ in rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), where, pa.array([w for _, w in rows], pa.binary())], ["block", "bucket", "words"])
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, known = vocabulary.tokenizer(), {}
+            raw = [w.encode() for w in words]
+            rows = [(k, m, _pack_parts([raw[i] for i in part.tolist()])) for k, part, m in _dealt(raw, buckets)]
+            columns = [pa.array([block] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary())))]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "mark", "words"])
+        release()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, known, now = vocabulary.tokenizer(), {}, None
         for b in batches:
             out = []
-            for data in b["words"]:
-                words = _unpack_parts(data)
-                fresh = [w for w in words if w not in known]
-                if len(known) + len(fresh) > REMEMBER:
-                    known.clear()
-                    fresh = words
-                known.update(_encoded(tokenizer, fresh))
+            for bucket, data in zip(b["bucket"].to_pylist(), b["words"]):
+                if bucket != now:
+                    known, now = {}, bucket
+                words = _unpack_parts(data.as_py())
+                known.update(_encoded(tokenizer, [w for w in words if w not in known]))
                 out.append(_pack_ids([known[w] for w in words]))
-            yield pd.DataFrame({"block": b["block"], "words": b["words"], "ids": out})
+            yield pa.RecordBatch.from_arrays([b["block"], b["bucket"], b["mark"], pa.array(out, pa.binary())], ["block", "bucket", "mark", "ids"])
+        del tokenizer, known
+        release()
 
-    named = docs.mapInArrow(name, "block long, bucket int, words binary")
-    return named.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(encode, "block long, words binary, ids binary")
+    named = docs.mapInArrow(name, "block long, bucket int, mark long, words binary")
+    return named.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode, "block long, bucket int, mark long, ids binary")
 
 
 def _pack_ids(ids: list[bytes]) -> bytes:
@@ -209,11 +215,15 @@ def _pack_ids(ids: list[bytes]) -> bytes:
     return len(sizes).to_bytes(4, "little") + sizes + _pack(np.frombuffer(b"".join(ids), "<u4"))
 
 
-def _unpack_ids(data: bytes) -> list[bytes]:
+def _unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(how many ids each word has, the ids of all)."""
     n = int.from_bytes(data[:4], "little")
-    ends = (4 * np.cumsum(_unpack(data[4 : 4 + n]))).tolist()
-    flat = _unpack(data[4 + n :]).tobytes()
-    return [flat[i:j] for i, j in zip([0, *ends], ends)]
+    return _unpack(data[4 : 4 + n]).astype(np.int64), _unpack(data[4 + n :])
+
+
+def _runs_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of these sizes, one run after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,14 +233,18 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Words are split where the texts are read, once to build the table of distinct words and
     once to look them up; that costs less than to store and shuffle the texts. What is shuffled is a
     word per block instead of one per occurrence, and each text as places in its block's list. The
-    ids join the places, and the pieces join the ids. Should the rows of a block differ between the
-    two readings, its words that the table lacks are encoded where they are needed, so results
-    never depend on it. A block's table is bounded by BLOCK or its one longer text. Null texts count as empty, which
-    have no ids; ids may be null or repeat; other columns do not matter; an empty table stays empty.
+    ids join the places, and each id its piece. Should the rows of a block differ between the two
+    readings, a checksum tells, and its words are encoded where they are needed, so results never
+    depend on it. A block's table is bounded by BLOCK or its one longer text; there are four buckets of
+    words for each task that reads, so a bucket does not grow with the input. Null texts count as
+    empty, which have no ids; ids may be null or repeat; other columns do not matter; an empty table
+    stays empty.
     """
+    small_batches(docs.sparkSession)
     vocabulary = Vocabulary.load(path)
     id_type = docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"))
+    buckets = 4 * max(1, slim.rdd.getNumPartitions())
     placed = T.StructType([T.StructField("block", T.LongType()), T.StructField("_id", id_type), T.StructField("codes", T.BinaryType()), T.StructField("list", T.BinaryType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,32 +252,49 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             n, listed = len(ids), pa.array([_pack_parts([w.encode() for w in words])], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), ids, pa.array([_pack(c) for c in codes], pa.binary()), pa.nulls(n, pa.binary())], placed.names)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, ids.type), pa.nulls(1, pa.binary()), listed], placed.names)
+        release()
 
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    once: dict = {}  # a task's own, as it gets this function by value
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not once:
+            once["pieces"] = vocabulary.pieces()
+        piece, begin = once["pieces"]
         texts = left.filter(pc.is_null(left["list"]))
         words = [w for data in left["list"].drop_null() for w in _unpack_parts(data.as_py())]
-        table: dict[bytes, bytes] = {}
-        for w, i in zip(right["words"], right["ids"]):
-            table.update(zip(_unpack_parts(w.as_py()), _unpack_ids(i.as_py())))
-        lacking = [w for w in words if w not in table]
-        if lacking:
-            table.update(_encoded(vocabulary.tokenizer(), lacking))
-        pieces = vocabulary.pieces()
-        ids, raw = np.full(len(words), b"", object), np.full(len(words), b"", object)
-        for k, w in enumerate(words):
-            ids[k] = table[w]
-            raw[k] = b"".join(pieces[np.frombuffer(ids[k], "<u4")])
+        sent = {(k, m): i for k, m, i in zip(right["bucket"].to_pylist(), right["mark"].to_pylist(), right["ids"])}
+        order, sizes, flat = [], [], []
+        for k, part, m in _dealt(words, buckets):
+            if (k, m) in sent:
+                n, ids = _unpack_ids(sent[k, m].as_py())
+            else:
+                n, ids = _unpack_ids(_pack_ids([i for _, i in _encoded(vocabulary.tokenizer(), [words[w] for w in part.tolist()])]))
+            order.append(part)
+            sizes.append(n)
+            flat.append(ids)
+        none = [np.zeros(0, np.int64)]
+        order, sizes, tokens = np.concatenate([*none, *order]).astype(np.int64), np.concatenate([*none, *sizes]).astype(np.int64), np.concatenate([np.zeros(0, np.uint32), *flat])
+        # each word's ids, and the bytes of their pieces
+        n_ids, n_bytes = np.empty((2, len(words)), np.int64)
+        id_at, byte_at = np.empty((2, len(words)), np.int64)
+        n_ids[order], id_at[order] = sizes, np.cumsum(sizes) - sizes
+        width = begin[tokens.astype(np.int64) + 1] - begin[tokens]
+        raw, upto = piece[_runs_of(begin[tokens], width)], np.concatenate([[0], np.cumsum(width)])
+        byte_at[order] = upto[id_at[order]]
+        n_bytes[order] = upto[id_at[order] + n_ids[order]] - byte_at[order]
         out, decoded = [], []
         for c in texts["codes"]:
             at = _unpack(c.as_py())
-            out.append(b"".join(ids[at]))
-            decoded.append(b"".join(raw[at]).decode("utf-8", "replace"))
+            out.append(tokens[_runs_of(id_at[at], n_ids[at])].astype("<u4").tobytes())
+            decoded.append(raw[_runs_of(byte_at[at], n_bytes[at])].tobytes().decode("utf-8", "replace"))
         columns = [texts["_id"], pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array(decoded, pa.string())]
-        return pa.Table.from_arrays(columns, schema.names)
+        done = pa.Table.from_arrays(columns, schema.names)
+        del words, sent, flat, out, decoded, columns, raw
+        release()
+        return done
 
-    return slim.mapInArrow(place, placed).groupBy("block").cogroup(_word_table(slim, vocabulary).groupBy("block")).applyInArrow(join, schema)
+    return slim.mapInArrow(place, placed).groupBy("block").cogroup(_word_table(slim, vocabulary, buckets).groupBy("block")).applyInArrow(join, schema)
 
 
 def id_list(ids: bytes) -> list[int]:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +24,34 @@ class Scratch:
     """Tables written to the folder in spark.checkpoint.dir, which all executors share.
 
     A written table cuts the lineage, survives lost executors and carries its size, so that
-    Spark's own threshold decides later joins. Where the setting is absent, as in tests on one
-    machine, a temporary folder takes its place.
+    Spark's own threshold decides later joins. Where the setting is absent, a temporary folder takes
+    its place on a local master, as in tests; on a cluster that is an error, since executors do not
+    share it. Steps drop the tables that nothing reads any more, and the rest goes when the driver
+    ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="scratch-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.base = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: dict[int, str] = {}
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self.drop(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
-        return self.spark.read.schema(df.schema).parquet(self.write(df))
+        path = self.write(df)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(saved)] = path
+        return saved
 
     def write(self, df: DataFrame) -> str:
         self.count += 1
@@ -49,6 +67,37 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def forget(self, *saved: DataFrame) -> None:
+        """Removes saved tables that no later step reads, not even one that is yet to run."""
+        for df in saved:
+            self.drop(self.paths.pop(id(df)))
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch, where it is larger, to 4 MB or one row.
+
+    Spark's own limit is 64 MB, which the JVM and each Python worker hold several times.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, most)
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system. Workers outlive their
+    tasks, and what they keep counts beside the executor's heap in later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, maps and variants apart, by which repeated rows can be told and ordered."""
+    plain = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
 
 def body(name: str = "text") -> Column:
     """The text, a null read as empty."""

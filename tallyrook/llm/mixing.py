@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, body, n_words, ranked
+from .common import Scratch, body, n_words, ranked, row_hash
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int) -> DataFrame:
@@ -65,18 +65,28 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tupl
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as the mix takes it. Rows of one id,
-    source and text share their copies evenly by row number."""
-    ids = [options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")]
-    same = ["_id", "source", "_hash"]
-    chosen = mix_sources(docs, **options).groupBy(*same).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    keyed = docs.withColumn("_h", F.xxhash64(body(ids[1]))).alias("d")
-    on = F.col(f"d.{ids[0]}").eqNullSafe(F.col("c._id")) & F.col(f"d.{ids[2]}").eqNullSafe(F.col("c.source")) & (F.col("d._h") == F.col("c._hash"))
-    got = keyed.join(chosen.alias("c"), on).select("d.*", "c._copies", "c._rows")
-    alone = got.where("_rows = 1")
-    # equal rows are interchangeable: one stands for all, which needs no numbering of them
-    many = got.where("_rows > 1").dropDuplicates([*ids[::2], "_h"])
-    return alone.unionByName(many).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The mix itself: the columns of docs, each row as often as the mix takes it.
+
+    Rows equal in id, source and text may differ in other columns. They share the copies of their
+    group evenly, in the order of a hash of the whole row, so each keeps its own columns and none
+    comes more than `most` times. Null ids and sources are values like others, null and empty texts
+    have size 0 and come as often as their source's rate says, columns may have any names, an empty
+    table stays empty.
+    """
+    id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    scratch, key = Scratch(docs.sparkSession), ["_id", "source", "_hash"]
+    chosen = scratch.save(mix_sources(docs, **options).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"))
+    whole = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(body(text_col)).alias("_hash"), row_hash(docs).alias("_order"), F.struct("*").alias("_row")).alias("d")
+    on = F.col("d._id").eqNullSafe(F.col("c._id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d._hash") == F.col("c._hash"))
+
+    def found(part: DataFrame) -> DataFrame:
+        return whole.join(part.alias("c"), on).select("d.*", "c._copies", "c._rows")
+
+    nth = ranked(scratch, found(chosen.where("_rows > 1")), key, ["_order"], "_nth")
+    share = (F.col("_nth") * F.col("_copies")).cast("decimal(38,0)"), ((F.col("_nth") - 1) * F.col("_copies")).cast("decimal(38,0)")
+    dealt = nth.withColumn("_copies", F.floor(share[0] / F.col("_rows")) - F.floor(share[1] / F.col("_rows")))
+    every = found(chosen.where("_rows = 1")).select("_row", "_copies").unionByName(dealt.select("_row", "_copies"))
+    return every.where("_copies > 0").select(F.explode(F.array_repeat("_row", F.col("_copies").cast("int"))).alias("_row")).select("_row.*")
 
 
 def report(mixed: DataFrame) -> DataFrame:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, words
+from .common import Scratch, body, release, small_batches, words
 
 #: Closed word classes in English, German, French and Spanish.
 TARGET = "you your yours yourself u he she they them his her their du dich dir ihr euch dein deine er sie tu toi te vous votre ton il elle ils elles eres usted tú ti vosotros ellos ellas".split()
@@ -22,8 +23,8 @@ REPORT = "said says say told tells wrote writes called quoted reported according
 THREAT = "kill hurt destroy beat stab shoot punch burn hang töten umbringen schlagen vernichten zerstören tuer frapper détruire brûler matar golpear destruir quemar".split()
 CLASSES = ("other", "insult", "threat", "target", "negation", "report", "end")
 OTHER, INSULT, HURT, WHOM, NOT, SAYS, END = range(7)
-#: Prefixes of a word that may stand in the lexicon.
-STEMS = range(3, 10)
+#: Lengths of a stem: the beginning that several words of the lexicon share.
+STEMS = range(5, 10)
 #: Words that a task remembers at once; those forgotten are classed again when they come back.
 REMEMBER = 100_000
 
@@ -82,27 +83,35 @@ def compose(parts: Sequence[Transducer]) -> tuple[np.ndarray, np.ndarray]:
 
 GRAMMAR = (_negating(0.25, 3), _reporting(0.5), _targeting(1.25), _threatening(3.0), _heaping(1.25))
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FEATURES = 4
 
 
 @dataclass(frozen=True)
 class Fit:
     """sample: labelled documents from which lexicon and weights are learnt, at most; the lowest by
-    a hash of the id. lexicon: stems, at most. support: documents of the class that a stem needs.
-    odds: its least log odds."""
+    a hash of the id. lexicon: words, at most. support: documents of the class that a word needs.
+    odds: its least log odds. surprise: the least signed root of its likelihood ratio, which chance
+    does not reach. sharing: different words of the lexicon that a stem needs. neutral: no word
+    beyond the lexicon that begins with a stem may stand in a larger share of all documents."""
 
     sample: int = 20_000
     lexicon: int = 4_000
     support: int = 4
     odds: float = 1.5
+    surprise: float = 3.9
+    sharing: int = 3
+    neutral: float = 1e-4
     ridge: float = 1.0
 
 
 @dataclass
 class Grammar:
-    """A lexicon of weighted insult stems, the composed grammar, and the weights of its scores."""
+    """A lexicon of weighted insults, whole words as =word and stems as they are, the composed
+    grammar, and the weights of a document's features."""
 
     lexicon: dict[str, float]
-    weights: list[float] = field(default_factory=lambda: [-3.0, 1.0, 1.0, 1.0, 0.0])
+    weights: list[float] = field(default_factory=lambda: [-3.0, 1.0, 0.5, 1.0])
 
     def reader(self):
         """word -> (symbols, weight), remembered for each word that a task has met."""
@@ -115,9 +124,8 @@ class Grammar:
                     self.clear()
                 w = _TRIM.sub("", word.lower())
                 weight = lexicon.get("=" + w, 0.0)
-                for k in STEMS:
-                    if k <= len(w):
-                        weight = max(weight, lexicon.get(w[:k], 0.0))
+                if not weight:
+                    weight = max((lexicon.get(w[:k], 0.0) for k in STEMS if k <= len(w)), default=0.0)
                 kind = fixed.get(w, OTHER)
                 found = (kind if kind else INSULT if weight else OTHER, word[-1:] in ".,;:!?…", weight or 1.0)
                 self[word] = found
@@ -125,18 +133,18 @@ class Grammar:
 
         return Known()
 
-    def features(self, texts: pd.Series) -> np.ndarray:
-        """Of each text: 1, log of the sum over clauses, the best clause, clauses by length, and the
-        share of clauses with a match."""
+    def features(self, texts: Iterable[str]) -> np.ndarray:
+        """Of each text: 1, log of the best clause, log of the number of clauses with a match, and
+        their share of all clauses."""
         nxt, factor = compose(GRAMMAR)
         nxt, factor = nxt.tolist(), factor.tolist()
-        known, out = self.reader(), np.zeros((len(texts), 5))
-        out[:, 0] = 1.0
-        for row, text in enumerate(texts):
-            read = [known[w] for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        known, out = self.reader(), []
+        for text in texts:
+            read = [known[w] for w in _WORD.findall(text)]
             if not any(k in (INSULT, HURT) for k, _, _ in read):
+                out.append((1.0, 0.0, 0.0, 0.0))
                 continue
-            state, clause, total, best, matched, clauses = 0, 0.0, 0.0, 0.0, 0, 1
+            state, clause, best, matched, clauses = 0, 0.0, 0.0, 0, 1
             for kind, ends, weight in read:
                 if kind:
                     if kind == INSULT or kind == HURT:
@@ -145,13 +153,13 @@ class Grammar:
                         clause *= factor[state][kind]
                 state = nxt[state][kind]
                 if ends:
-                    total, best, matched, clauses = total + clause, max(best, clause), matched + (clause > 0), clauses + 1
+                    best, matched, clauses = max(best, clause), matched + (clause > 0), clauses + 1
                     state, clause = nxt[state][END], 0.0
-            total, best, matched = total + clause, max(best, clause), matched + (clause > 0)
-            out[row] = 1.0, math.log1p(total), math.log1p(best), math.log1p(100 * total / len(read)), matched / clauses
-        return out
+            best, matched = max(best, clause), matched + (clause > 0)
+            out.append((1.0, math.log1p(best), math.log1p(matched), matched / clauses))
+        return np.array(out, float).reshape(-1, FEATURES)
 
-    def scores(self, texts: pd.Series) -> np.ndarray:
+    def scores(self, texts: Iterable[str]) -> np.ndarray:
         z = np.clip(self.features(texts) @ np.array(self.weights), -30, 30)
         return 1 / (1 + np.exp(-z))
 
@@ -162,55 +170,108 @@ def held_out(id_col: str):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    keep = ridge * np.eye(x.shape[1])
-    keep[0, 0] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    """Weights by Newton's method. All but the first are held at 0 or above, so that a match never
+    makes a text less toxic: the most negative one leaves until none is."""
+    free = list(range(x.shape[1]))
+    while True:
+        w, part = np.zeros(len(free)), x[:, free]
+        keep = ridge * np.eye(len(free))
+        keep[0, 0] = 1e-6
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            step = np.linalg.solve((part * (p * (1 - p) + 1e-9)[:, None]).T @ part + keep, part.T @ (y - p) - keep @ w)
+            w = w + np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-8:
+                break
+        worst = int(np.argmin(w[1:])) + 1 if len(free) > 1 else 0
+        if not worst or w[worst] >= 0:
+            out = np.zeros(x.shape[1])
+            out[free] = w
+            return out
+        free.pop(worst)
+
+
+def _bare_words(text: str) -> Column:
+    """The different words of a text in lower case, without what surrounds their letters and digits."""
+    bare = F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.array_distinct(F.filter(bare, lambda w: F.length(w) >= 3))
+
+
+def _learnt_words(rows: DataFrame, pos: int, neg: int, rule: Fit) -> dict[str, float]:
+    """Words (word, log odds) that stand in the class far more often than chance makes likely."""
+    seen = rows.select("_y", F.explode(_bare_words("_text")).alias("word")).groupBy("word").agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("n"))
+    share = (F.col("p") + F.col("n")) / (pos + neg)
+    term = lambda have, want: F.when(have > 0, have * F.log(have / want)).otherwise(0.0)
+    ratio = term(F.col("p"), share * pos) + term(F.col("n"), share * neg) + term(pos - F.col("p"), (1 - share) * pos) + term(neg - F.col("n"), (1 - share) * neg)
+    odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
+    told = seen.where(F.col("p") >= rule.support).withColumns({"odds": odds, "surprise": F.sqrt(2 * F.greatest(ratio, F.lit(0.0)))})
+    best = told.where((F.col("odds") >= rule.odds) & (F.col("surprise") >= rule.surprise)).orderBy(F.desc("surprise"), "word").limit(rule.lexicon)
+    return {r["word"]: float(r["odds"]) for r in best.collect()}  # at most rule.lexicon rows
+
+
+def _stems(docs: DataFrame, found: dict[str, float], text_col: str, rule: Fit) -> dict[str, float]:
+    """Stems of the lexicon's words with the least odds of these. All documents are asked whether
+    another word that begins so is frequent; only words with the first letters of a stem are counted."""
+    held = Counter(w[:k] for w in found for k in STEMS if k <= len(w))
+    stems = {s: min(o for w, o in found.items() if w.startswith(s)) for s, n in held.items() if n >= rule.sharing}
+    if not stems:
+        return {}
+    first = sorted({s[: STEMS[0]] for s in stems})
+    spread = docs.select(F.explode(_bare_words(text_col)).alias("word")).where(F.substring("word", 1, STEMS[0]).isin(first)).groupBy("word").agg(F.count("*").alias("n"))
+    known = docs.sparkSession.createDataFrame([(w,) for w in found], "word string")
+    cut = F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.length("word"), F.lit(STEMS[-1]))), lambda k: F.col("word").substr(F.lit(1), k))
+    worst = spread.join(F.broadcast(known), "word", "left_anti").select("n", F.explode(cut).alias("stem")).where(F.col("stem").isin(sorted(stems))).groupBy("stem").agg(F.max("n").alias("n")).collect()
+    limit = rule.neutral * docs.count()
+    return {s: o for s, o in stems.items() if s not in {r["stem"] for r in worst if r["n"] > limit}}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rule: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
-    """Learns from labelled rows that are not held out, at most rule.sample of them. Without labels
-    of both classes the grammar keeps its default weights and an empty lexicon."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sample = known.groupBy(id_col).agg(F.max(label_col).alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(rule.sample)
+    """Learns from labelled rows that are not held out, at most rule.sample of them, read once.
+
+    Null ids and labels are left out; of rows that repeat an id the least text counts, of labels
+    the largest; null texts count as empty. Without labels of both classes the grammar keeps its
+    default weights and an empty lexicon.
+    """
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
+    sample = known.groupBy("_id").agg(F.max("_y").cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rule.sample)
     sample = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)  # at most rule.sample ids
-    rows = docs.select(id_col, body(text_col).alias("_text")).join(F.broadcast(sample), id_col).dropDuplicates([id_col])
-    totals = dict(rows.groupBy("_y").count().collect())
+    plain = docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"))
+    rows = scratch.save(plain.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_text").alias("_text")))
+    totals = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
+        scratch.forget(rows)
         return Grammar({})
-    bare = F.transform(words(F.lower("_text")), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    cuts = lambda w: F.concat(F.array(F.concat(F.lit("="), w)), F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.length(w), F.lit(STEMS[-1]))), lambda k: w.substr(F.lit(1), k)))
-    stems = F.array_distinct(F.flatten(F.transform(F.filter(F.array_distinct(bare), lambda w: F.length(w) >= STEMS[0]), cuts)))
-    seen = rows.select("_y", F.explode(stems).alias("stem")).groupBy("stem").agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("n"))
-    odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-    best = seen.where(F.col("p") >= rule.support).withColumn("odds", odds).where(F.col("odds") >= rule.odds)
-    top = best.withColumn("z", F.col("odds") * F.sqrt("p")).orderBy(F.desc("z"), "stem").limit(rule.lexicon).collect()
-    grammar = Grammar({r["stem"]: float(r["odds"]) for r in top})
-    columns = [f"f{i}" for i in range(5)]
+    found = _learnt_words(rows, pos, neg, rule)
+    grammar = Grammar({f"={w}": o for w, o in found.items()} | _stems(plain, found, "_text", rule))
+    columns = [f"f{i}" for i in range(FEATURES)]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame(grammar.features(b["_text"]), columns=columns).assign(y=b["_y"].to_numpy())
+        release()
 
     got = rows.mapInPandas(measure, ", ".join(f"{c} double" for c in columns) + ", y int").toPandas()  # at most rule.sample rows
+    scratch.forget(rows)
+    got = got.sort_values([*columns, "y"], kind="stable")  # sums that no order of rows changes
     grammar.weights = _logistic(got[columns].to_numpy(), got["y"].to_numpy(float), rule.ridge).tolist()
     return grammar
 
 
 def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on). Null texts count as empty; the score
-    depends on the text alone, so repeated rows agree; columns of these names are replaced."""
+    depends on the text alone, so repeated rows agree; columns of these names are replaced; an
+    empty table stays empty. A very long text costs time by its length, and no more memory than its words."""
+
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        return pd.Series(grammar.scores(texts))
+    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(grammar.scores(texts))
+        release()
 
     return docs.withColumn("score", rate(body(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -312,6 +312,16 @@ def test_bpe(spark):
         assert got[i]["decoded"] == t.decode(ids, skip_special_tokens=False) == (text or "")
 
 
+def test_bpe_words_of_other_blocks(spark, monkeypatch):
+    """If the two readings cut blocks in other ways, checksums tell, and ids stay right."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "_word_table", lambda docs, v, n, table=bpe._word_table: table(docs.where("_id % 2 = 0"), v, n))
+    t, texts = Tokenizer.from_file(tokenizer_path()), [f"some words {i} here and there" for i in range(20)]
+    for r in bpe.encode_decode(docs_of(spark, texts), tokenizer_path()).collect():
+        assert bpe.id_list(bytes(r["ids"])) == t.encode(texts[r["_id"]], add_special_tokens=False).ids and r["decoded"] == texts[r["_id"]]
+
+
 def test_bpe_small_blocks_and_large_ids(spark, monkeypatch):
     """Ids beyond a double's whole numbers stay, with null ids beside them and blocks of few texts."""
     monkeypatch.setattr(bpe, "BLOCK", 10)
@@ -379,6 +389,25 @@ def test_mixing(spark):
     assert sorted(map(tuple, again[key].to_numpy())) == sorted(map(tuple, out[key].to_numpy()))
 
 
+def test_take_keeps_every_row_and_column(spark):
+    """Rows equal in id, text and source are different documents if another column differs."""
+    rows = [(1, "a b", "s", lang, h, h, h, h) for lang, h in (("en", 5), ("fr", 6), ("de", 7))] + [(1, "a b", "s", "es", 8, 8, 8, 8)] * 2 + [(i, "w " * (i % 9), "s" if i % 2 else None, "en", i, i, i, i) for i in range(10, 90)] + [(None, None, None, None, None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, _h long, _copies long, _rows long, _i long").withColumn("_row", F.struct("lang")).withColumn("m", F.create_map(F.lit("k"), F.col("lang")))
+    # all are asked for twice, as the share of 4 stops at 2 times each source's size
+    got = mixing.take(df, share=(4, 1))
+    assert got.columns == df.columns
+    plain = lambda d: sorted((tuple(r[c] for c in df.columns[:8]) for r in d.collect()), key=repr)
+    worded = lambda rs: [r for r in rs if (r[1] or "").strip()]
+    assert worded(plain(got)) == worded(sorted(plain(df) * 2, key=repr))
+    # at 150 % no row goes beyond 2, and equal rows share what their group is given
+    one = Counter(plain(mixing.take(df)))
+    most = Counter(plain(df))
+    assert all(n <= 2 * most[r] for r, n in one.items())
+    group = lambda c: sum(n for r, n in c.items() if r[0] == 1)
+    want = mixing.mix_sources(df).where("_id = 1").agg(F.sum("copies")).first()[0]
+    assert group(one) == want and max(one[r] / most[r] for r in one if r[0] == 1) - min(one[r] / most[r] for r in most if r[0] == 1) <= 1
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.report(toxicity.score(docs, toxicity.fit(docs, labels)))
@@ -387,18 +416,75 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_grammar(spark):
-    g = toxicity.Grammar({"=scum": 3.0, "idio": 2.0})
-    import pandas as pd
-
-    best = lambda t: g.features(pd.Series([t]))[0, 2]
+    g = toxicity.Grammar({"=scum": 3.0, "idiot": 2.0})
+    best = lambda t: g.features([t])[0, 1]
     assert best("you scum.") > best("scum.") > best("not scum.") > 0
     assert best("he said scum.") < best("scum.") and best("") == 0 and best("I will kill you.") > best("kill time.")
-    assert best("idiots everywhere") > 0
+    assert best("idiots everywhere") > 0 and best("scummy") == 0
     empty = docs_of(spark, [None, ""])
     assert {r["score"] for r in toxicity.score(empty, g).collect()} == {1 / (1 + np.exp(3.0))}
+    assert toxicity.score(empty.limit(0), g).count() == 0
     assert toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int")).lexicon == {}
 
 
+def test_toxicity_composition():
+    """The product transducer against each transducer stepped on its own over random words."""
+    rng = np.random.default_rng(9)
+    nxt, factor = toxicity.compose(toxicity.GRAMMAR)
+    for _ in range(300):
+        state, own = 0, [0] * len(toxicity.GRAMMAR)
+        for x in rng.integers(0, len(toxicity.CLASSES), 30).tolist():
+            steps = [t.step(q, x) for t, q in zip(toxicity.GRAMMAR, own)]
+            own = [q for q, _ in steps]
+            assert np.isclose(factor[state, x], np.prod([f for _, f in steps]))
+            state = int(nxt[state, x])
+        x = toxicity.END
+        assert nxt[state, x] == 0 and all(t.step(q, x)[0] == 0 for t, q in zip(toxicity.GRAMMAR, own))
+
+
+def test_toxicity_by_brute_force(spark):
+    """Scores of a small table by stepping each transducer over each word, with the fitted lexicon and weights."""
+    bad, good = ["you utter moron, go away.", "she said you are scum.", "not an idiot", "idiot moron scum! you scum", "I will kill you."], ["we walk home.", "the path is long", "kill time", ""]
+    texts = (bad * 12 + good * 30) + [None]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(t in bad)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    g = toxicity.fit(docs, labels, toxicity.Fit(surprise=2.0))
+    assert {"=moron", "=scum", "=idiot"} <= set(g.lexicon) and all(w >= 0 for w in g.weights[1:])
+    reader = g.reader()
+    for r in toxicity.score(docs, g).collect():
+        clauses, part, own = [], 0.0, [0] * len(toxicity.GRAMMAR)
+        for w in (r["text"] or "").split():
+            kind, ends, weight = reader[w]
+            steps = [t.step(q, kind) for t, q in zip(toxicity.GRAMMAR, own)]
+            f, own = float(np.prod([x for _, x in steps])), [q for q, _ in steps]
+            part = part + weight * f if kind in (toxicity.INSULT, toxicity.HURT) else part * f if kind == toxicity.WHOM else part
+            if ends:
+                clauses, part, own = [*clauses, part], 0.0, [0] * len(toxicity.GRAMMAR)
+        clauses.append(part)
+        z = np.dot(g.weights, [1, np.log1p(max(clauses)), np.log1p(sum(c > 0 for c in clauses)), sum(c > 0 for c in clauses) / len(clauses)])
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-z))), r["text"]
+
+
+NEUTRAL = [
+    "They travel by train along the mountain path every summer and tell their friends about it.", "The trade route passes the cathedral; you can see the patio from there.", "He said the weather was not bad, and she wrote a letter to her friend.",
+    "Beat the eggs, burn the incense and hang the picture on the wall.", "The path of the statistics class was traced by a pathologist.", "Nous mangeons du pain, et vous?", "Wir gehen nach Hause.", "",
+]
+
+
+def test_toxicity_leaves_neutral_sentences(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    g = toxicity.fit(docs, labels)
+    assert all(len(k.lstrip("=")) >= 3 and (k.startswith("=") or len(k) >= 5) for k in g.lexicon) and all(w >= 0 for w in g.weights[1:])
+    assert (g.scores(NEUTRAL) < 0.5).all()
+
+
+def test_stems_need_several_words_and_no_neutral_one(spark):
+    texts = ["brainless", "brainlet", "brainlo", "pathetic", "pathetics", "pathetical"] * 20 + ["the patheton of it"] * 400
+    docs = docs_of(spark, texts)
+    got = toxicity._stems(docs, {"brainless": 3.0, "brainlet": 2.0, "brainlo": 4.0, "pathetic": 3.0, "pathetics": 3.0, "pathetical": 3.0}, "text", toxicity.Fit(neutral=0.1))
+    assert got == {"brain": 2.0, "brainl": 2.0, "patheti": 3.0, "pathetic": 3.0}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     for out in (
