@@ -60,8 +60,8 @@ def _targeting(lift: float) -> Transducer:
 
 
 def _threatening(follow: float) -> Transducer:
-    """A threat counts in full once its target follows."""
-    return Transducer(2, {(0, HURT): (1, 0.5), (1, HURT): (1, 0.5), (1, WHOM): (0, follow)})
+    """A threat counts little until its target follows, as most such verbs have harmless objects."""
+    return Transducer(2, {(0, HURT): (1, 0.2), (1, HURT): (1, 0.2), (1, WHOM): (0, follow)})
 
 
 def _heaping(lift: float) -> Transducer:
@@ -81,10 +81,12 @@ def compose(parts: Sequence[Transducer]) -> tuple[np.ndarray, np.ndarray]:
     return nxt, factor
 
 
-GRAMMAR = (_negating(0.25, 3), _reporting(0.5), _targeting(1.25), _threatening(3.0), _heaping(1.25))
+GRAMMAR = (_negating(0.25, 3), _reporting(0.5), _targeting(1.25), _threatening(6.0), _heaping(1.25))
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FEATURES = 4
+#: What a clause must weigh to count as matched.
+MATCH = 1.0
 
 
 @dataclass(frozen=True)
@@ -153,9 +155,9 @@ class Grammar:
                         clause *= factor[state][kind]
                 state = nxt[state][kind]
                 if ends:
-                    best, matched, clauses = max(best, clause), matched + (clause > 0), clauses + 1
+                    best, matched, clauses = max(best, clause), matched + (clause >= MATCH), clauses + 1
                     state, clause = nxt[state][END], 0.0
-            best, matched = max(best, clause), matched + (clause > 0)
+            best, matched = max(best, clause), matched + (clause >= MATCH)
             out.append((1.0, math.log1p(best), math.log1p(matched), matched / clauses))
         return np.array(out, float).reshape(-1, FEATURES)
 

@@ -461,7 +461,7 @@ def test_toxicity_by_brute_force(spark):
             if ends:
                 clauses, part, own = [*clauses, part], 0.0, [0] * len(toxicity.GRAMMAR)
         clauses.append(part)
-        z = np.dot(g.weights, [1, np.log1p(max(clauses)), np.log1p(sum(c > 0 for c in clauses)), sum(c > 0 for c in clauses) / len(clauses)])
+        z = np.dot(g.weights, [1, np.log1p(max(clauses)), np.log1p(sum(c >= toxicity.MATCH for c in clauses)), sum(c >= toxicity.MATCH for c in clauses) / len(clauses)])
         assert np.isclose(r["score"], 1 / (1 + np.exp(-z))), r["text"]
 
 
