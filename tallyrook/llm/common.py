@@ -93,6 +93,20 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Buckets of a sieve: what it broadcasts has at most so many rows, whatever the data.
+SIEVE = 1 << 18
+
+
+def bucket_of(*values: Column) -> Column:
+    return F.pmod(F.xxhash64(*values), F.lit(SIEVE)).cast("int")
+
+
+def sieve(wanted: DataFrame, *columns: str, name: str = "_bucket") -> DataFrame:
+    """The buckets of wanted's values, to be broadcast: a row whose bucket is not among them matches
+    none. It thins out what an exact join or count must shuffle, and decides nothing."""
+    return F.broadcast(wanted.select(bucket_of(*[F.col(c) for c in columns]).alias(name)).distinct())
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of the whole row, maps and variants apart, by which repeated rows can be told and ordered."""
     plain = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]

@@ -45,13 +45,15 @@ def op3_pii() -> str:
         ("term", r"[\pL\pN]{4,}", "true"),
     ]
     return f"""with {_spans(base)},
-ent as (select distinct doc_id, md5(x) as key, concat(kind, ':', case kind when 'email' then lower(hit) when 'ip' then hit else {digits} end) as e from f join t using (doc_id) where k < 4),
+plain as (select doc_id, kind, case kind when 'email' then lower(hit) when 'ip' then hit else {digits} end as v from f where k < 4),
+ent as (select distinct doc_id, md5(x) as key, unnest([concat(kind, ':', v), concat(kind, ':', case kind when 'email' then '@' || split_part(v, '@', -1) when 'ip' then concat(split_part(v, '.', 1), '.', split_part(v, '.', 2), '.*')
+  when 'card' then v[1:6] || '*' else v[1:4] || '*' end), kind]) as e from plain join t using (doc_id)),
 term as (select distinct doc_id, lower(hit) as w from f where k = 4),
 often as (select w, count(*) as n_t from term group by 1), size as (select count(*) as n from t),
 ents as (select e, count(*) as n_e, count(distinct key) as texts from ent group by 1 having count(distinct key) >= 3),
 co as (select e, w, n_e, count(*) as n_et from ent join ents using (e) join term using (doc_id) group by 1, 2, 3 having count(distinct key) >= 3),
-told as (select e, w, ln(n * n_et / (n_e * n_t)) / ln(n / n_e) as strength from co join often using (w), size where n_e < n),
-tell as (select doc_id, w, max(strength) as strength from ent join told using (e) join term using (doc_id, w) where strength >= 0.75 group by 1, 2),
+told as (select w, max(ln(n * n_et / (n_e * n_t)) / ln(n / n_e)) as strength from co join often using (w), size where n_e < n group by 1),
+tell as (select doc_id, w, strength from told join term using (w) where strength >= 0.75),
 add_ as (select f.doc_id, f.k, case when strength >= 0.95 then 'term' else 'class' end as kind, f.s, f.e from f join tell on tell.doc_id = f.doc_id and tell.w = lower(f.hit)
   where f.k = 4 and not exists (select 1 from f b where b.doc_id = f.doc_id and b.k < 4 and b.s < f.e and f.s < b.e)),
 every as (select doc_id, k, kind, s, e from f where k < 4 union all select * from add_) {_digest(['email', 'ip', 'card', 'phone'], 'every')}"""

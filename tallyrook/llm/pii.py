@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, body, counted, listed, no_spans, sha, spans
+from .common import Scratch, body, bucket_of, counted, listed, no_spans, sha, sieve, spans
 
 #: The kinds in their order, in Java's syntax. A run starts at its first character or
 #: where the last match ended, and possessive repeats never go back: the same matches as the plain
@@ -23,11 +23,17 @@ TERM = r"[\p{L}\p{N}]{4,}"
 @dataclass(frozen=True)
 class Disclosure:
     """A term t discloses an entity e by PMI(e;t) / IC(e): 1 if every text with t names e.
-    min_texts: different texts that must hold both. generalise, remove: the two thresholds."""
+
+    An entity is a value, or one of the classes that pool values too rare to be estimated on their
+    own: an address's mail domain, an IP address's network, a card's issuer, a number's area,
+    and the kind. min_texts: different texts that must hold both. generalise, remove: the two
+    thresholds. salts: parts into which the texts of one key are dealt.
+    """
 
     min_texts: int = 3
     generalise: float = 0.75
     remove: float = 0.95
+    salts: int = 16
 
 
 def _digits(hit: Column) -> Column:
@@ -64,9 +70,14 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.coalesce(p, no_spans()) for p in parts]))
 
 
-def _entity(span: Column) -> Column:
+def _entities(span: Column) -> Column:
+    """What a span names: the value, its class, and its kind."""
     plain = F.when(span["kind"] == "email", F.lower(span["hit"])).when(span["kind"] == "ip", span["hit"]).otherwise(_digits(span["hit"]))
-    return F.concat_ws(":", span["kind"], plain)
+    pool = (
+        F.when(span["kind"] == "email", F.concat(F.lit("@"), F.substring_index(plain, "@", -1))).when(span["kind"] == "ip", F.concat(F.substring_index(plain, ".", 2), F.lit(".*")))
+        .when(span["kind"] == "card", F.concat(F.substring(plain, 1, 6), F.lit("*"))).otherwise(F.concat(F.substring(plain, 1, 4), F.lit("*")))
+    )
+    return F.array(F.concat_ws(":", span["kind"], plain), F.concat_ws(":", span["kind"], pool), span["kind"])
 
 
 def terms(text: Column) -> Column:
@@ -78,48 +89,59 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), text_col:
     """(t, strength): the terms to take out wherever they stand, with the most that each tells of any entity.
 
     All counts are over all documents, copies included; what carries support is different texts.
-    Pairs are only those that stand in one text, so their number is linear in the text.
+    Pairs are those that stand in one text: the entities that enough texts name times the text's
+    terms. They are counted without a join, so that a common entity meets in no task; sieves leave
+    out rare entities before, and the other terms of all documents after.
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(body(text_col).alias("_t")).withColumn("_s", base_spans(F.col("_t"))).where(F.size("_s") > 0)
     texts = scratch.save(
-        named.select(F.md5("_t").alias("key"), F.array_distinct(F.transform("_s", _entity)).alias("entities"), terms(F.col("_t")).alias("terms"))
+        named.select(F.md5("_t").alias("key"), F.array_distinct(F.flatten(F.transform("_s", _entities))).alias("entities"), terms(F.col("_t")).alias("terms"))
         .groupBy("key", "entities", "terms").agg(F.count("*").alias("copies"))
     )
-    by_entity = texts.select("key", "copies", "terms", F.explode("entities").alias("e"))
-    entities = by_entity.groupBy("e").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts_e")).where(F.col("texts_e") >= rule.min_texts)
-    both = by_entity.join(entities, "e").select("key", "copies", "e", "n_e", F.explode("terms").alias("t"))
-    co = both.groupBy("e", "t", "n_e").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts_et")).where(F.col("texts_et") >= rule.min_texts)
-    often = docs.select(F.explode(terms(body(text_col))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    by_entity = texts.select("copies", "terms", F.explode("entities").alias("e"))
+    entities = scratch.save(by_entity.groupBy("e").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts_e")).where(F.col("texts_e") >= rule.min_texts).select("e", "n_e"))
+    both = by_entity.join(sieve(entities, "e"), bucket_of(F.col("e")) == F.col("_bucket"), "left_semi").select("copies", "e", F.explode("terms").alias("t"))
+    co = scratch.save(both.groupBy("e", "t").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts_et")).where(F.col("texts_et") >= rule.min_texts).select("e", "t", "n_et"))
+    every = docs.select(F.explode(terms(body(text_col))).alias("t"))
+    often = every.join(sieve(co, "t"), bucket_of(F.col("t")) == F.col("_bucket"), "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     size = docs.agg(F.count("*").alias("n"))  # one row
+    # an entity's pairs are dealt by their terms
+    salt = F.pmod(F.xxhash64("t"), F.lit(rule.salts)).cast("int")
+    dealt = entities.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rule.salts - 1))))
     ratio = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
-    told = co.join(often, "t").join(F.broadcast(size), F.lit(True)).where("n_e < n").withColumn("strength", ratio).where(F.col("strength") >= rule.generalise)
-    return told.groupBy("t").agg(F.max("strength").alias("strength"))
+    told = co.withColumn("salt", salt).join(dealt, ["e", "salt"]).join(often, "t").join(F.broadcast(size), F.lit(True)).where("n_e < n")
+    return told.withColumn("strength", ratio).where(F.col("strength") >= rule.generalise).groupBy("t").agg(F.max("strength").alias("strength"))
 
 
 def find_pii(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
     """docs with `pii`: sorted spans of the four kinds, and of `term` (taken out) and `class`
     (generalised) for terms that disclose an entity, in every text that holds such a term.
 
-    Added spans never overlap the others. Texts without a telling term pass by the join. A null or
-    empty text has no spans; repeated rows get equal spans; a column named `pii` is replaced;
-    an empty table gives an empty one.
+    Added spans never overlap the others. Only texts that may hold a telling term are shuffled. A
+    null or empty text has no spans; repeated rows get equal spans; a column named `pii` is
+    replaced, all others stay, whatever their names; an empty table gives an empty one.
     """
-    text, scratch = body(text_col), Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    rest = docs.drop("pii")
+    rows = rest.select(F.struct("*").alias("row"), body(text_col).alias("t")).withColumn("key", F.md5("t"))
     telling = scratch.save(disclosing_terms(docs, rule, text_col))
-    held = docs.select(F.md5(text).alias("key"), F.explode(terms(text)).alias("t")).join(telling, "t").groupBy("key", "t").agg(F.max("strength").alias("strength"))
-    told = scratch.save(held.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "strength"))).alias("told")))
-    based = docs.drop("pii").withColumn("_base", base_spans(text)).withColumn("_key", F.md5(text))
-    every = based.alias("d").join(told.alias("k"), F.col("d._key") == F.col("k.key"), "left")
-    body_ = F.coalesce(F.col(f"d.{text_col}"), F.lit(""))
-    strength = lambda s: F.col("k.told")[F.lower(s["hit"])]
-    free = lambda s: ~F.exists("d._base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    every = rows.select("key", F.explode(terms(F.col("t"))).alias("w"))
+    held = every.join(sieve(telling, "t"), bucket_of(F.col("w")) == F.col("_bucket"), "left_semi").join(telling.withColumnRenamed("t", "w"), "w").groupBy("key", "w").agg(F.max("strength").alias("strength"))
+    told = scratch.save(held.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("w", "strength"))).alias("told")))
+    flagged = rows.join(sieve(told, "key"), bucket_of(F.col("key")) == F.col("_bucket"), "left")
+    plain = flagged.where("_bucket is null").select("row", base_spans(F.col("t")).alias("pii"))
+    salted = flagged.where("_bucket is not null").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(rule.salts)).cast("int"))
+    dealt = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rule.salts - 1))))
+    based = salted.join(dealt, ["key", "salt"], "left").withColumn("base", base_spans(F.col("t")))
+    strength = lambda s: F.col("told")[F.lower(s["hit"])]
+    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.transform(
-        F.filter(spans(body_, TERM, 4, "term"), lambda s: strength(s).isNotNull() & free(s)),
+        F.filter(spans(F.col("t"), TERM, 4, "term"), lambda s: strength(s).isNotNull() & free(s)),
         lambda s: s.withField("kind", F.when(strength(s) >= rule.remove, F.lit("term")).otherwise(F.lit("class"))),
     )
-    found = F.when(F.col("k.told").isNull(), F.col("d._base")).otherwise(F.array_sort(F.concat("d._base", added)))
-    return every.select("d.*", found.alias("pii")).drop("_base", "_key")
+    found = based.select("row", F.when(F.col("told").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added))).alias("pii"))
+    return plain.unionByName(found).select("row.*", "pii")
 
 
 def sanitise(found: DataFrame, text_col: str = "text") -> DataFrame:

@@ -150,6 +150,25 @@ def test_disclosing_terms(spark):
     assert "zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[5] == texts[5]
 
 
+def test_telling_terms_agree_with_sql(spark, tmp_path):
+    """Where terms are told, by a value or by its class alone, the query and its SQL agree; rare values are pooled."""
+    import duckdb
+
+    from tallyrook.llm import oracles, queries
+
+    texts = [f"Contact zorblax at z@example.com about topic number {w}" for w in ("alpha", "beta", "gamma")] + ["yesterday zorblax called", "ask Zorblax or write other@site.org", None, ""]
+    texts += [f"our quibblenet host 10.20.{i}.7 runs here" for i in range(6)] + ["the quibblenet is old"] + [f"pay by plonkard {4111111111111111} or {i}" for i in range(3)] * 2
+    texts += [f"common words about topic number {i} here or there" for i in range(60)]
+    docs_of(spark, texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_pii(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(oracles.oracle_sql()["op3_pii"]).df().sort_values("doc_id")
+    assert got[want.columns].to_numpy().tolist() == want.to_numpy().tolist()
+    told = {texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for i, x in zip(got["doc_id"], got["spans"]) for s in x.split(",") if s.startswith(("term", "class"))}
+    assert {"zorblax", "Zorblax", "quibblenet", "plonkard"} <= told and not told & {"about", "topic", "number", "here"}
+
+
 def test_telling_terms_without_their_entity(spark):
     """A telling term goes from texts that name no entity or another one, too."""
     texts = [f"Contact zorblax at z@example.com about topic number {w}" for w in ("alpha", "beta", "gamma")] + ["yesterday zorblax called", "Write other@site.org or ask Zorblax today", None, ""]
