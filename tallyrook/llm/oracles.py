@@ -69,27 +69,32 @@ def op4_quality_rules() -> str:
         for i in d:
             rest = f"x{i} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(i))
             z.append(f"({rest}) / l{i}{i} as z{i}")
-        return f"select r.*, {', '.join(z)}, {' + '.join(f'z{i} * z{i}' for i in d)} as d2 from r join {est} using (g) where n_words > 0"
+        return f"select r.*, s, {', '.join(z)}, {' + '.join(f'z{i} * z{i}' for i in d)} as d2 from r join {est} using (g) where n_words > 0"
 
-    def chol() -> str:
-        out = []
+    def chol(cov, least: float, scaled: str = "") -> str:
+        """l_ij by name, or k_ij first and l_ij = k_ij times the scale of row i."""
+        name, out = ("k" if scaled else "l"), []
         for i in d:
             for j in range(i + 1):
-                rest = f"(p{i}{j} / n - m{i} * m{j}) * {rule.consistency} + {ridge if i == j else 0.0}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-                out.append(f"sqrt(greatest({rest}, {ridge / 4})) as l{i}{j}" if i == j else f"({rest}) / l{j}{j} as l{i}{j}")
-        return ", ".join(out)
+                rest = cov(i, j) + "".join(f" - {name}{i}{k} * {name}{j}{k}" for k in range(j))
+                out.append(f"sqrt(greatest({rest}, {least})) as {name}{i}{j}" if i == j else f"({rest}) / {name}{j}{j} as {name}{i}{j}")
+        return ", ".join(out + ([f"k{i}{j} * {scaled}{i} as l{i}{j}" for i in d for j in range(i + 1)] if scaled else []))
 
+    step_cov = lambda i, j: f"(p{i}{j} / n - m{i} * m{j}) * {rule.consistency} + {ridge if i == j else 0.0}"
     steps = ""
     for k in range(rule.steps):
         sums = ", ".join([f"sum(x{i})::double as s{i}" for i in d] + [f"sum(x{i}::hugeint * x{j})::double as p{i}{j}" for i in d for j in range(i + 1)])
         steps += f"""near{k} as (select *, floor(ln(1 + d2) * 256)::int as bin from ({distance(f"est{k}")})),
-cum{k} as (select *, sum(n) over (partition by g order by bin) as c, sum(n) over (partition by g) as a from (select g, bin, count(*) as n from near{k} group by 1, 2)),
-lim{k} as (select g, min(bin) as top from cum{k} where c >= ceil(a * {rule.keep}) group by 1),
-sum{k} as (select g, count(*)::double as n, {sums} from near{k} join lim{k} using (g) where bin <= top group by 1),
-est{k + 1} as (select g, {', '.join(m + low)} from (select *, {', '.join(f's{i} / n as m{i}' for i in d)}, {chol()} from sum{k})),
+cum{k} as (select *, sum(n) over (partition by g, s order by bin) as c, sum(n) over (partition by g, s) as a from (select g, s, bin, count(*) as n from near{k} group by 1, 2, 3)),
+lim{k} as (select g, s, min(bin) as top from cum{k} where c >= ceil(a * {rule.keep}) group by 1, 2),
+sum{k} as (select g, s, count(*)::double as n, {sums} from near{k} join lim{k} using (g, s) where bin <= top group by 1, 2),
+est{k + 1} as (select g, s, {', '.join(m + low)} from (select *, {', '.join(f's{i} / n as m{i}' for i in d)}, {chol(step_cov, ridge / 4)} from sum{k})),
 """
     median = "select g, j, min(v) as mid from (select *, sum(n) over (partition by g, j order by v) as c, sum(n) over (partition by g, j) as a from (select g, j, v, count(*) as n from {} group by 1, 2, 3)) where 2 * c >= a group by 1, 2"
-    start = [f"max(case when j = {i} then mid end)::double as m{i}" for i in d] + [(f"greatest(max(case when j = {i} then mad end) * 1.4826, {rule.floor * scale})" if i == j else "0.0::double") + f" as l{i}{j}" for i in d for j in range(i + 1)]
+    middle = [f"max(case when j = {i} then mid end)::double as m{i}" for i in d] + [f"greatest(max(case when j = {i} then mad end) * 1.4826, {rule.floor * scale}) as c{i}" for i in d]
+    moments = ", ".join(f"sum({n}{i} * {n}{j})::double as {n}{i}{j}" for n in "ab" for i in d for j in range(i + 1))
+    start = lambda n: lambda i, j: (f"{n}{i}{j} / n / {float(scale * scale)}" if n else ("1.0" if i == j else "0.0")) + f" + {rule.blur if i == j else 0.0}"
+    starts = " union all ".join(f"select g, {s} as s, {', '.join(m + low)} from (select *, {chol(start(n), rule.blur / 4, 'c')} from mom join cen using (g))" for s, n in enumerate(("", "a", "b")))
     return f"""with t as (select doc_id, lang, source, coalesce(text, '') as x from documents),
 w as (select *, {_WORDS.format("x")} as w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^ \t-\r]')) as lines from t),
 win as (select doc_id, i, array_to_string(w[i : i + 4], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) > 5)),
@@ -105,8 +110,13 @@ r as (select f.*, g from f join grp on f.lang is not distinct from grp.lang and
 long as (select g, unnest(range({len(FEATURES)})) as j, unnest([x0, x1, x2, x3, x4]) as v from r where n_words > 0),
 mid as ({median.format("long")}), away as (select long.g, long.j, abs(v - mid) as v from long join mid using (g, j)),
 mad as (select g, j, mid as mad from ({median.format("away")})),
-est0 as (select g, {', '.join(start)} from mid join mad using (g, j) group by g),
-{steps}far as ({distance(f"est{rule.steps}")})
+cen as (select g, {', '.join(middle)} from mid join mad using (g, j) group by g),
+zed as (select g, {', '.join(f'(x{i} - m{i}) / c{i} as z{i}' for i in d)}, sqrt({' + '.join(f'z{i} * z{i}' for i in d)}) as len from r join cen using (g) where n_words > 0),
+tra as (select g, {', '.join(f'round(z{i} / (1 + abs(z{i})) * {scale})::bigint as a{i}' for i in d)}, {', '.join(f'round(case when len > 0 then z{i} / len else 0.0 end * {scale})::bigint as b{i}' for i in d)} from zed),
+mom as (select g, count(*)::double as n, {moments} from tra group by g),
+est0 as ({starts}),
+{steps}best as (select * from est{rule.steps} qualify row_number() over (partition by g order by {' + '.join(f'ln(l{i}{i})' for i in d)}, s) = 1),
+far as ({distance("best")})
 select r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, not r.base_failed and coalesce(far.d2, 0) <= {rule.cutoff} as kept from r left join far using (doc_id)"""
 
 

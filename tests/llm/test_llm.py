@@ -194,6 +194,27 @@ def test_statistics(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
 
 
+def mcd(x, rule):
+    """By plain numpy: for each start its log determinant and all squared distances."""
+    med = lambda v: sorted(v)[-(-len(v) // 2) - 1]
+    m0, scale = np.array([med(c) for c in x.T]), quality_rules.SCALE
+    c0 = np.array([max(med(np.abs(c - med(c))) * 1.4826, rule.floor * scale) for c in x.T])
+    z = (x - m0) / c0
+    length = np.sqrt((z**2).sum(1))[:, None]
+    half = lambda v: np.where(v >= 0, np.floor(v + 0.5), np.ceil(v - 0.5))
+    shapes = [np.eye(5), *((lambda q: q.T @ q / len(x) / scale**2)(half(v * scale)) for v in (z / (1 + np.abs(z)), np.divide(z, length, out=np.zeros_like(z), where=length > 0)))]
+    out = []
+    for shape in shapes:
+        m, low = m0, np.linalg.cholesky(shape + rule.blur * np.eye(5)) * c0[:, None]
+        for _ in range(rule.steps):
+            bins = np.floor(np.log1p((np.linalg.solve(low, (x - m).T) ** 2).sum(0)) * 256)
+            near = x[bins <= np.sort(bins)[int(np.ceil(len(x) * rule.keep)) - 1]]
+            m = near.mean(0)
+            low = np.linalg.cholesky(((near.T @ near) / len(near) - np.outer(m, m)) * rule.consistency + np.eye(5) * (rule.floor * scale) ** 2)
+        out.append((np.log(np.diag(low)).sum(), (np.linalg.solve(low, (x - m).T) ** 2).sum(0)))
+    return out
+
+
 def test_outliers_against_numpy(spark):
     """The same estimates by plain numpy."""
     rule = quality_rules.Outliers()
@@ -202,20 +223,33 @@ def test_outliers_against_numpy(spark):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in quality_rules.judge_quality(docs, rule).collect()}
     x = np.array([[r[f] for f in quality_rules.FEATURES] for r in quality_rules.statistics(docs).orderBy("doc_id").collect()], float)
-    med = lambda v: sorted(v)[-(-len(v) // 2) - 1]
-    m = np.array([med(c) for c in x.T])
-    low = np.diag([max(med(np.abs(c - med(c))) * 1.4826, rule.floor * quality_rules.SCALE) for c in x.T])
-    for _ in range(rule.steps):
-        z = np.linalg.solve(low, (x - m).T)
-        bins = np.floor(np.log1p((z**2).sum(0)) * 256)
-        near = x[bins <= np.sort(bins)[int(np.ceil(len(x) * rule.keep)) - 1]]
-        m = near.mean(0)
-        low = np.linalg.cholesky(((near.T @ near) / len(near) - np.outer(m, m)) * rule.consistency + np.eye(5) * (rule.floor * quality_rules.SCALE) ** 2)
-    d2 = (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+    d2 = min(mcd(x, rule), key=lambda e: e[0])[1]
     assert np.allclose([got[i]["distance"] for i in range(len(x))], d2, rtol=1e-6)
     assert not any(got[i]["kept"] for i in range(120, 124)) and sum(got[i]["kept"] for i in range(120)) > 80
 
 
+def masked_rows():
+    """250 rows along a line of two features, and 50 in one place beside it."""
+    rng = np.random.default_rng(12)
+    t = rng.normal(0, 1000, 250)
+    line = np.stack([t, t + rng.normal(0, 60, 250), *rng.normal(0, 300, (3, 250))], 1)
+    beside = np.stack([1500 + rng.normal(0, 60, 50), -1500 + rng.normal(0, 60, 50), *rng.normal(0, 300, (3, 50))], 1)
+    return np.round(np.concatenate([line, beside]))
+
+
+def test_outliers_that_one_start_misses(spark):
+    """Outliers that the uncorrelated start takes for the middle: another start has a smaller determinant, and finds them."""
+    rule, x = quality_rules.Outliers(), masked_rows()
+    starts = mcd(x, rule)
+    assert starts[0][0] > min(d for d, _ in starts) + 0.1 and (starts[0][1][250:] <= rule.cutoff).mean() > 0.9
+    rows = spark.createDataFrame([("g", i % rule.salts, *map(int, r)) for i, r in enumerate(x)], "g string, salt int, x0 long, x1 long, x2 long, x3 long, x4 long")
+    e = quality_rules.minimum_determinant(Scratch(spark), rows, rule).first()
+    low = np.array([[e[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    d2 = (np.linalg.solve(low, (x - np.array([e[f"m{i}"] for i in range(5)])).T) ** 2).sum(0)
+    assert e["s"] > 0 and np.allclose(d2, min(starts, key=lambda s: s[0])[1], rtol=1e-6)
+    assert (d2[250:] > rule.cutoff).all() and (d2[:250] <= rule.cutoff).all()
+
+
 @pytest.mark.parametrize("rule", [jaccard_join.Join(), jaccard_join.Join(width=5, num=80), jaccard_join.Join(classes=((2, 2, 2), (6, 3, 2)), single_from=40, stars=1)])
 def test_jaccard(spark, rule):
     rng = np.random.default_rng(3)
