@@ -61,10 +61,17 @@ def with_markers(rows: DataFrame, markers: Sequence[str]) -> DataFrame:
 
 def in_scope(rows: DataFrame, root: str, nested: DataFrame, cwd: str = "cwd") -> tuple[DataFrame, DataFrame]:
     """(inside, deferred): rows below root and below no nested repository (nested: one column
-    `root`); rows whose cwd is unknown are tried again later and must not advance a cursor."""
+    `root`); rows whose cwd is unknown are tried again later and must not advance a cursor.
+
+    Each different folder meets nested by all folders above it, an equality that needs no loop over
+    nested roots.
+    """
     known = rows.where(F.col(cwd).isNotNull() & within(F.col(cwd), F.lit(root)))
-    inside = known.join(nested.select(F.col("root").alias("_nested")), within(F.col(cwd), F.col("_nested")), "left_anti")
-    return inside, rows.where(F.col(cwd).isNull())
+    parts = F.split(cwd, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    roots = nested.select(F.regexp_replace("root", "/+$", "").alias("_root")).distinct()
+    inner = known.select(cwd).distinct().withColumn("_root", F.explode(above)).join(roots, "_root", "left_semi").select(cwd).distinct()
+    return known.join(inner, cwd, "left_anti"), rows.where(F.col(cwd).isNull())
 
 
 def stable_clients(rows: DataFrame, floors: dict[str, str], tool: str = "tool", version: str = "version") -> DataFrame:
@@ -90,11 +97,12 @@ def conform(rows: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return rows.withColumnsRenamed({k: v for k, v in aliases.items() if k in rows.columns})
 
 
-def to_events(rows: DataFrame, repo: str, device: str, policy: Policy = Policy()) -> DataFrame:
+def to_events(rows: DataFrame, repo: str, device: str, policy: Policy = Policy(), keep: Sequence[str] = ()) -> DataFrame:
     """The event contract: redacted and limited prompts, the identity or else the device, and a
-    flag where redaction grew a prompt beyond the limit."""
+    flag where redaction grew a prompt beyond the limit. keep: columns that stay beside it."""
     safe = redact(F.col("prompt")) if policy.redact else F.col("prompt")
     return rows.select(
+        *keep,
         "event_id", "tool", "session_id", "ts",
         truncate_bytes(safe, policy.prompt_bytes, policy.mark).alias("prompt"),
         F.coalesce("identity", F.lit(device)).alias("identity"),

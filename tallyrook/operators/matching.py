@@ -2,68 +2,115 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch
+
 
 def new_events(events: DataFrame, durable: DataFrame, keys: Sequence[str] = ("tool", "event_id")) -> DataFrame:
     """Events whose id is not durable yet. Against the store itself, so an id is never forgotten."""
-    return events.join(durable.select(*keys).distinct(), list(keys), "left_anti")
+    return events.join(durable.select(*keys), list(keys), "left_anti")
 
 
 def first_per_id(events: DataFrame, keys: Sequence[str] = ("tool", "event_id"), order: Sequence[Column] = ()) -> DataFrame:
-    """One row for each id, the first by order."""
+    """One row for each id, the first by order. Spark takes the first of each partition before it shuffles."""
     by = Window.partitionBy(*keys).orderBy(*(order or [F.col("ts")]))
     return events.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
 
 
 def candidates(direct: DataFrame, recovered: DataFrame, keys: Sequence[str], micros: int, id_col: str = "id", ts: str = "ts") -> DataFrame:
-    """All (direct_id, recovered_id) of equal keys no further apart than micros, both ends included."""
-    d, r = direct.alias("d"), recovered.alias("r")
-    on: Column = F.abs(F.unix_micros(F.col(f"d.{ts}")) - F.unix_micros(F.col(f"r.{ts}"))) <= micros
-    for k in keys:
-        on &= F.col(f"d.{k}") == F.col(f"r.{k}")
-    return d.join(r, on).select(F.col(f"d.{id_col}").alias("direct_id"), F.col(f"r.{id_col}").alias("recovered_id"))
+    """All (direct_id, recovered_id) of equal keys no further apart than micros, both ends included.
+
+    The join is on the keys and on a stretch of time as long as the window, in which and in whose
+    neighbours a direct event stands, so that a common key does not meet itself over all time.
+    """
+    side = lambda df, own: df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.unix_micros(F.col(ts)).alias(f"{own}_t"), F.col(id_col).alias(f"{own}_id"))
+    span = max(micros, 1)
+    at = F.expr(f"direct_t div {span}")
+    d = side(direct, "direct").withColumn("slot", F.explode(F.array(at - 1, at, at + 1)))
+    r = side(recovered, "recovered").withColumn("slot", F.expr(f"recovered_t div {span}"))
+    both = d.join(r, [*[f"k{i}" for i in range(len(keys))], "slot"])
+    return both.where(F.abs(F.col("direct_t") - F.col("recovered_t")) <= micros).select("direct_id", "recovered_id")
+
+
+def _walk(names: Sequence[str], micros: int):
+    """Pairs events that come sorted by (names, piece, t, id). What waits is of one side and within the window."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, side, waiting = None, True, deque()
+        for b in batches:
+            left, right = [], []
+            keys = zip(*[b[n].to_pylist() for n in (*names, "piece")])
+            for key, t, direct, own in zip(keys, b["t"].to_pylist(), b["direct"].to_pylist(), b["id"].to_pylist()):
+                if key != now:
+                    now = key
+                    waiting.clear()
+                while waiting and t - waiting[0][0] > micros:
+                    waiting.popleft()
+                if waiting and side != direct:
+                    _, other = waiting.popleft()
+                    left.append(own if direct else other)
+                    right.append(other if direct else own)
+                else:
+                    side = direct
+                    waiting.append((t, own))
+            kind = b.schema.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["direct_id", "recovered_id"])
+
+    return walk
 
 
 def correlate(direct: DataFrame, recovered: DataFrame, keys: Sequence[str], micros: int, id_col: str = "id", ts: str = "ts") -> DataFrame:
     """(direct_id, recovered_id): the most one-to-one pairs of equal keys within micros.
 
-    A key's events fall into islands where neighbours are further apart than the window; no pair
-    crosses islands, so these are matched apart, and a key of any length stays in many small
-    groups. Within an island two pointers go over both sides in the order of (time, id): the two
-    earliest pair if near enough, else the earlier one is left. Null keys and times match nothing.
+    Two pointers go over both sides of a key in the order of (time, id): the two earliest pair if
+    near enough, else the earlier one is left. Null keys and times match nothing.
+
+    Events are dealt by range of (key, time), so that no key is whole in one task. There each learns
+    how near the other side comes, and those that it does not come near leave. A key is cut wherever
+    no pair can cross, that is where on either side the next event is too far from the last one of the
+    other; the pieces are dealt by hash, and a task walks through its sorted pieces in batches
+    and remembers no more than what may still be matched. Only a key in which both sides are dense
+    throughout is walked through by a single task.
     """
-    side = lambda df, own: df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.unix_micros(F.col(ts)).alias("t"), F.col(id_col).alias("id"), F.lit(own).alias("direct"))
+    scratch = Scratch(direct.sparkSession)
     names = [f"k{i}" for i in range(len(keys))]
+    side = lambda df, own: df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.unix_micros(F.col(ts)).alias("t"), F.col(id_col).alias("id"), F.lit(own).alias("direct"))
     both = side(direct, True).unionByName(side(recovered, False)).dropna(subset=[*names, "t"])
-    by = Window.partitionBy(*names).orderBy("t", "direct", "id")
-    starts = F.coalesce(F.col("t") - F.lag("t").over(by) > micros, F.lit(False)).cast("long")
-    islands = both.withColumn("_s", starts).withColumn("island", F.sum("_s").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    order = ["t", "direct", "id"]
+    n = max(8, int(direct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = scratch.save(both.repartitionByRange(n, *names, *order).withColumn("part", F.spark_partition_id()))
+    d, r = F.when(F.col("direct"), F.col("t")), F.when(~F.col("direct"), F.col("t"))
+    # what a part must know of the same key in others: a row for each part that a key goes on from, and for its start
+    seen = at.groupBy("part", *names).agg(F.max(d).alias("d1"), F.max(r).alias("r1"), F.min(d).alias("d0"), F.min(r).alias("r0"))
+    by = Window.partitionBy(*names).orderBy("part")
+    earlier, later = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*names).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = seen.select("part", *names, F.max("d1").over(earlier).alias("pd"), F.max("r1").over(earlier).alias("pr"), F.min("d0").over(later).alias("nd"), F.min("r0").over(later).alias("nr"))
+    carried = scratch.save(carried.where("coalesce(pd, pr, nd, nr) is not null"))
+    inside = Window.partitionBy("part", *names)
+    before = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    after = inside.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    near = at.join(F.broadcast(carried), ["part", *names], "left")  # at most two rows a part
+    near = near.withColumns({
+        "pd": F.greatest("pd", F.max(d).over(before)), "pr": F.greatest("pr", F.max(r).over(before)),
+        "nd": F.least("nd", F.min(d).over(after)), "nr": F.least("nr", F.min(r).over(after)),
+    })
+    last, following = F.when(F.col("direct"), F.col("pr")).otherwise(F.col("pd")), F.when(F.col("direct"), F.col("nr")).otherwise(F.col("nd"))
+    met = F.coalesce(F.col("t") - last <= micros, F.lit(False)) | F.coalesce(following - F.col("t") <= micros, F.lit(False))
+    crossing = F.coalesce(F.least("nr", r) - F.col("pd") <= micros, F.lit(False)) | F.coalesce(F.least("nd", d) - F.col("pr") <= micros, F.lit(False))
+    kept = near.withColumns({"met": met, "cut": (~crossing).cast("long")}).withColumn("cuts", F.sum("cut").over(inside.orderBy(*order)))
+    kept = scratch.save(kept.where("met").select("part", *names, *order, "cuts"))
+    most = kept.groupBy("part", *names).agg(F.max("cuts").alias("cuts"))
+    shift = most.withColumn("shift", F.coalesce(F.sum("cuts").over(earlier), F.lit(0))).where("shift > 0").drop("cuts")
+    pieces = kept.join(F.broadcast(shift), ["part", *names], "left").withColumn("piece", F.col("cuts") + F.coalesce("shift", F.lit(0)))
+    dealt = pieces.repartition(n, *names, "piece").sortWithinPartitions(*names, "piece", "t", "id")
     id_type = direct.schema[id_col].dataType.simpleString()
-
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"], kind="stable")
-        a, b = rows[rows["direct"]], rows[~rows["direct"]]
-        at, bt = a["t"].to_numpy(np.int64), b["t"].to_numpy(np.int64)
-        i = j = 0
-        left, right = [], []
-        while i < len(at) and j < len(bt):
-            if abs(at[i] - bt[j]) <= micros:
-                left.append(i)
-                right.append(j)
-                i, j = i + 1, j + 1
-            elif at[i] < bt[j]:
-                i += 1
-            else:
-                j += 1
-        return pd.DataFrame({"direct_id": a["id"].to_numpy()[left], "recovered_id": b["id"].to_numpy()[right]})
-
-    return islands.groupBy(*names, "island").applyInPandas(pair, f"direct_id {id_type}, recovered_id {id_type}")
+    return dealt.select(*names, "piece", "t", "direct", "id").mapInArrow(_walk(names, micros), f"direct_id {id_type}, recovered_id {id_type}")
 
 
 def unmatched(recovered: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFrame:
@@ -86,7 +133,8 @@ def aliases(old: DataFrame, events: DataFrame, on: str) -> DataFrame:
 
 def void_aliases(alias: DataFrame, exact: DataFrame) -> DataFrame:
     """Aliases whose event came back under its own id: their progress is void, and a full scan is due."""
-    return alias.join(exact.select("event_id").distinct(), "event_id", "left_semi")
+    keys = [c for c in ("tool", "event_id") if c in alias.columns and c in exact.columns]
+    return alias.join(exact.select(*keys), keys, "left_semi")
 
 
 def compare(expected: DataFrame, found: DataFrame, key: str, value: str) -> DataFrame:

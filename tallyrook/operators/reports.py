@@ -46,9 +46,14 @@ def health(log: DataFrame, code: str = "code") -> DataFrame:
     return log.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
 
 
-def listing(events: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The log: chosen columns in the order of time and id."""
-    return events.select(*columns)
+def listing(events: DataFrame, columns: Sequence[str], order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """The log: chosen columns in the order of time and id, by a distributed sort."""
+    return events.orderBy(*order).select(*columns)
+
+
+def in_file_order(lines: DataFrame, path: str = "path", offset: str = "offset") -> DataFrame:
+    """Lines of transcripts by file and place."""
+    return lines.orderBy(path, offset)
 
 
 def rollup(events: DataFrame, tool: str = "tool", ts: str = "ts") -> DataFrame:

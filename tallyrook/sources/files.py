@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..policy import Policy
+from ..operators.filters import accepted, judge_lines, quarantined
+from ..policy import EVENT_FIELDS, Policy, check_name
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,14 +39,49 @@ def read_policy(spark: SparkSession, path: str) -> Policy:
     return Policy.from_json(spark.read.text(path, wholetext=True).first()[0])
 
 
-def append_store(events: DataFrame, path: str) -> None:
-    """Appends to the private store; the commit protocol makes the files durable together."""
-    events.write.mode("append").parquet(path)
-
-
-def rebuild_registry(private: DataFrame, path: str) -> None:
-    """Writes the public registry anew from the private store, a folder for each user."""
-    private.withColumn("user", F.col("identity")).repartition("user").sortWithinPartitions("user", "ts", "event_id").write.mode("overwrite").partitionBy("user").json(path)
+def read_registry(spark: SparkSession, path: str, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
+    """(events, evidence) of the public registry, strictly: lines with any other field, without a
+    needed one or malformed are left out, and only their digest is kept. What is missing then comes
+    back when the registry is rebuilt from the private store."""
+    lines = spark.read.text(f"{path}").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    judged = judge_lines(lines, policy, EVENT_FIELDS, ("event_id", "tool", "prompt"))
+    schema = ", ".join(f"{f} {'timestamp' if f == 'ts' else 'string'}" for f in EVENT_FIELDS)
+    return accepted(judged, schema), quarantined(judged)
+
+
+def append_store(events: DataFrame, path: str, origin: str = "direct") -> None:
+    """Appends to the private store; the commit protocol makes the files durable together. origin tells
+    direct captures from recovered ones."""
+    if origin not in ("direct", "recovered"):
+        raise ValueError(f"not an origin: {origin}")
+    events.withColumn("origin", F.lit(origin)).write.mode("append").parquet(path)
+
+
+def rebuild_registry(private: DataFrame, path: str, users: int = 10_000) -> None:
+    """Writes the public registry anew from the private store, a folder for each user.
+
+    A user's events are dealt by a hash of their ids, so none is whole in one task, and each file is in
+    the order of time. It is written beside the old one, and takes its place when it is whole. Users are
+    folders, so their names must be plain, and there can be only so many.
+    """
+    spark = private.sparkSession
+    names = [r["identity"] for r in private.select("identity").distinct().limit(users + 1).collect()]
+    if len(names) > users:
+        raise ValueError(f"more than {users} users")
+    for name in names:
+        check_name(name)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    new, old, to = (jvm.Path(f"{path.rstrip('/')}{end}") for end in (".new", ".old", ""))
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    dealt = private.select(*[c for c in EVENT_FIELDS if c in private.columns], F.col("identity").alias("user"), F.pmod(F.xxhash64("event_id"), F.lit(8)).alias("_part"))
+    dealt = dealt.repartition("user", "_part").sortWithinPartitions("user", "ts", "event_id").drop("_part")
+    dealt.write.mode("overwrite").partitionBy("user").option("ignoreNullFields", "true").json(new.toString())
+    fs.delete(old, True)
+    if fs.exists(to):
+        fs.rename(to, old)
+    if not fs.rename(new, to):
+        raise RuntimeError(f"the registry could not be renamed to {path}")
+    fs.delete(old, True)
 
 
 def write_quarantine(bad: DataFrame, path: str) -> None:
@@ -57,5 +93,7 @@ def write_quarantine(bad: DataFrame, path: str) -> None:
 
 
 def write_health(codes: DataFrame, path: str) -> None:
-    """Appends (ts, code); codes are plain upper-case words."""
-    codes.where(F.col("code").rlike("^[A-Z][A-Z0-9_]{0,63}$")).select("ts", "code").write.mode("append").parquet(path)
+    """Appends (ts, code). A code is a plain upper-case word; anything else, which could be content, is an error."""
+    fine = F.col("code").isNotNull() & F.col("code").rlike("^[A-Z][A-Z0-9_]{0,63}$")
+    checked = F.when(fine, F.col("code")).otherwise(F.raise_error(F.lit("not a health code")))
+    codes.select("ts", checked.cast("string").alias("code")).write.mode("append").parquet(path)

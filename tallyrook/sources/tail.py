@@ -1,4 +1,4 @@
-"""A streaming source that follows files as they grow."""
+"""Transcripts as they grow: a streaming source, and reads of byte ranges that are authenticated."""
 
 from __future__ import annotations
 
@@ -6,25 +6,34 @@ import glob
 import hashlib
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 BLOCK = 1 << 20
+LINES = "path string, start long, offset long, `end` long, raw string, n_bytes long, sha256 string, upto string"
 
 
 class Piece(InputPartition):
-    """Bytes [start, end) of a file."""
+    """Bytes [start, end) of a file: the lines whose newline lies there."""
 
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
 
 
+def _regular(path: str) -> os.stat_result:
+    found = os.lstat(path)
+    if not stat.S_ISREG(found.st_mode):
+        raise ValueError(f"not a regular file: {path}")
+    return found
+
+
 def _open(path: str):
     """A regular file, not a link, and the one that was looked at."""
-    before = os.lstat(path)
-    if not stat.S_ISREG(before.st_mode):
-        raise ValueError(f"not a regular file: {path}")
+    before = _regular(path)
     f = os.fdopen(os.open(path, os.O_RDONLY | os.O_NOFOLLOW), "rb")
     now = os.fstat(f.fileno())
     if (now.st_dev, now.st_ino) != (before.st_dev, before.st_ino):
@@ -33,35 +42,139 @@ def _open(path: str):
     return f
 
 
-def measure(path: str, known: int = 0) -> tuple[int, str, str | None]:
-    """(end of the last whole line, digest up to it, digest up to known or None if the file is shorter).
-    One pass over a file whose size is fixed when it is opened."""
+def listed(pattern: str) -> dict[str, dict]:
+    """{path: size and identity} of the regular files that match. Nothing is opened."""
+    out = {}
+    for path in sorted(glob.glob(pattern)):
+        try:
+            found = _regular(path)
+        except (OSError, ValueError):
+            continue
+        out[path] = {"size": found.st_size, "file": f"{found.st_dev}:{found.st_ino}"}
+    return out
+
+
+def _line_start(f, at: int) -> int:
+    """Where the line that holds the byte before `at` begins, if that byte ends no line; else `at`."""
+    upto = at
+    while upto > 0:
+        start = max(0, upto - BLOCK)
+        f.seek(start)
+        cut = f.read(upto - start).rfind(b"\n")
+        if cut >= 0:
+            return start + cut + 1
+        upto = start
+    return 0
+
+
+def lines_in(path: str, start: int, end: int, line_bytes: int) -> Iterator[tuple]:
+    """Lines whose newline lies in [start, end): (path, start, offset, end, raw, n_bytes, sha256, upto).
+
+    A line that began before comes whole; one that has not ended yet is left to the read in which it
+    does. What is decoded and what is hashed are the same bytes, read once in blocks: sha256 is the
+    line's digest, upto that of all bytes from the first line's beginning to this line's end. A line over
+    the limit, or one that is no UTF-8, has no raw.
+    """
     with _open(path) as f:
-        size = os.fstat(f.fileno()).st_size
-        whole, at, last, end = hashlib.sha256(), 0, hashlib.sha256().hexdigest(), 0
-        prefix = whole.hexdigest() if known == 0 else None
-        while at < size:
-            block = f.read(min(BLOCK, size - at))
+        at = first = _line_start(f, start)
+        f.seek(at)
+        every, line, size, kept = hashlib.sha256(), hashlib.sha256(), 0, []
+        offset = at
+        while at < end:
+            block = f.read(min(BLOCK, end - at))
             if not block:
-                break
-            cuts = sorted({c for c in (known - at, block.rfind(b"\n") + 1) if 0 < c <= len(block)})
-            done = 0
-            for c in cuts:
-                whole.update(block[done:c])
-                done = c
-                if at + c == known:
-                    prefix = whole.hexdigest()
-                if c == block.rfind(b"\n") + 1:
-                    last, end = whole.hexdigest(), at + c
-            whole.update(block[done:])
+                raise ValueError(f"the file is shorter than it was: {path}")
             at += len(block)
-        return end, last, prefix
+            for part in _split(block):
+                every.update(part)
+                body = part.removesuffix(b"\n")
+                line.update(body)
+                size += len(body)
+                if size <= line_bytes:
+                    kept.append(body)
+                else:
+                    kept.clear()
+                if part.endswith(b"\n"):
+                    try:
+                        raw = b"".join(kept).decode() if size <= line_bytes else None
+                    except UnicodeDecodeError:
+                        raw = None
+                    yield path, first, offset, offset + size + 1, raw, size, line.hexdigest(), every.copy().hexdigest()
+                    offset += size + 1
+                    line, size, kept = hashlib.sha256(), 0, []
+
+
+def _split(block: bytes) -> Iterator[bytes]:
+    """Parts that end in a newline, and what follows the last; other breaks of lines are content."""
+    start = 0
+    while (cut := block.find(b"\n", start)) >= 0:
+        yield block[start : cut + 1]
+        start = cut + 1
+    if start < len(block):
+        yield block[start:]
+
+
+def _pieces(path: str, start: int, end: int, piece_bytes: int) -> Iterator[tuple[str, int, int]]:
+    while start < end:
+        stop = min(start + piece_bytes, end)
+        yield path, start, stop
+        start = stop
+
+
+def read_ranges(spark: SparkSession, ranges: Sequence[tuple[str, int, int]], line_bytes: int, piece_bytes: int = 64 << 20) -> DataFrame:
+    """The lines of byte ranges (path, start, end), read by tasks in pieces. An error fails the job."""
+    rows = [p for r in ranges for p in _pieces(*r, piece_bytes)]
+    todo = spark.createDataFrame(rows, "path string, start long, `end` long").repartition(max(1, len(rows)), "path", "start")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, start, end in zip(*[b[c].to_pylist() for c in ("path", "start", "end")]):
+                held, size = [], 0
+                for row in lines_in(path, start, end, line_bytes):
+                    held.append(row)
+                    size += len(row[4] or "")
+                    if size > BLOCK:
+                        yield _batch(held)
+                        held, size = [], 0
+                yield _batch(held)
+
+    return todo.mapInArrow(read, LINES)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+    names = ("path", "start", "offset", "end", "raw", "n_bytes", "sha256", "upto")
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def broken(known: DataFrame) -> DataFrame:
+    """The paths of known (path, start, end, sha256) of which some range does not hold any more:
+    tasks read each range again. A file that is gone, shorter or no regular one is broken, too."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = []
+            for path, start, end, want in zip(*[b[c].to_pylist() for c in ("path", "start", "end", "sha256")]):
+                digest, left = hashlib.sha256(), end - start
+                try:
+                    with _open(path) as f:
+                        f.seek(start)
+                        while left and (block := f.read(min(BLOCK, left))):
+                            digest.update(block)
+                            left -= len(block)
+                except (OSError, ValueError):
+                    left = -1
+                if left or digest.hexdigest() != want:
+                    bad.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])
+
+    return known.select("path", "start", "end", "sha256").mapInArrow(check, "path string").distinct()
 
 
 class TailReader(DataSourceStreamReader):
-    """The offset holds, for each file, how far it was read and the digest of all before. If that
-    prefix no longer holds, the file is read again from its start, and permanent deduplication by id
-    drops what was read before."""
+    """The offset holds each file's size and identity. The driver looks at nothing else of a file; tasks
+    read what was added. A file that was replaced or cut is read again from its start. One that was
+    rewritten in place is not noticed here, but by recover(), which authenticates what it has read."""
 
     def __init__(self, options: dict):
         self.pattern, self.line_bytes = options["path"], int(options.get("lineBytes", 8 << 20))
@@ -71,55 +184,20 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        out = {}
-        for path in sorted(glob.glob(self.pattern)):
-            try:
-                end, digest, _ = measure(path)
-            except (OSError, ValueError):
-                continue
-            out[path] = {"end": end, "sha256": digest}
-        return out
+        return listed(self.pattern)
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         pieces = []
         for path, to in end.items():
-            known = start.get(path, {"end": 0, "sha256": ""})
-            at = known["end"]
-            if known == to:
-                continue
-            if at:
-                # an error fails the batch, so that its retry reads the same range
-                _, _, prefix = measure(path, at)
-                at = at if prefix == known["sha256"] and at <= to["end"] else 0
-            while at < to["end"]:
-                stop = min(at + self.piece_bytes, to["end"])
-                pieces.append(Piece(path, at, stop))
-                at = stop
+            known = start.get(path, {"size": 0, "file": to["file"]})
+            at = known["size"] if known["file"] == to["file"] and known["size"] <= to["size"] else 0
+            pieces += [Piece(*p) for p in _pieces(path, at, to["size"], self.piece_bytes)]
         return pieces
 
     def read(self, piece: Piece) -> Iterator[tuple]:
-        """Lines that start in the piece: (path, offset, raw, n_bytes, sha256). A line over the limit has
-        no raw, only its length and digest."""
-        with _open(piece.path) as f:
-            if piece.start:
-                f.seek(piece.start - 1)
-                f.readline() if f.read(1) != b"\n" else None
-            while (at := f.tell()) < piece.end:
-                digest, size, kept = hashlib.sha256(), 0, []
-                while True:
-                    part = f.readline(BLOCK)
-                    body = part.removesuffix(b"\n")
-                    digest.update(body)
-                    size += len(body)
-                    if size <= self.line_bytes:
-                        kept.append(body)
-                    if not part or part.endswith(b"\n"):
-                        break
-                try:
-                    raw = b"".join(kept).decode() if size <= self.line_bytes else None
-                except UnicodeDecodeError:
-                    raw = None
-                yield piece.path, at, raw, size, digest.hexdigest()
+        """An error fails the batch, so that its retry reads the same range."""
+        for path, _, offset, _, raw, size, digest, _ in lines_in(piece.path, piece.start, piece.end, self.line_bytes):
+            yield path, offset, raw, size, digest
 
     def commit(self, end: dict) -> None:
         pass
@@ -137,3 +215,8 @@ class TailSource(DataSource):
 
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)
+
+
+def cursors(known: DataFrame) -> DataFrame:
+    """(path, offset): how far each file has been taken."""
+    return known.groupBy("path").agg(F.max("end").alias("offset"))

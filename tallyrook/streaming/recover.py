@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import threading
+import time
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.filters import accepted, judge_lines
-from ..operators.matching import first_per_id, new_events
+from ..functions.scratch import Scratch
+from ..operators.budget import within_budget
+from ..operators.filters import accepted, in_scope, judge_lines, to_events
+from ..operators.matching import correlate, first_per_id, new_events, void_aliases
 from ..policy import EVENT_FIELDS, Policy
-from ..sources.tail import TailSource
+from ..sources.files import append_store, write_health
+from ..sources.tail import TailSource, broken, cursors, listed, read_ranges
 
 EVENT_SCHEMA = "event_id string, tool string, session_id string, ts timestamp, prompt string, identity string, repo string, branch string, commit string"
+LINE_SCHEMA = f"{EVENT_SCHEMA}, role string, cwd string"
+STORE_SCHEMA = f"{EVENT_SCHEMA}, origin string"
+REQUIRED = ("event_id", "tool", "session_id", "prompt")
+RANGES, ALIASES = "path string, start long, `end` long, sha256 string", "tool string, old_id string, event_id string"
+
+
+@dataclass(frozen=True)
+class Recovery:
+    """What a pass goes by. root: the repository's folder, below which a line's cwd must lie; without
+    it all lines are in scope. nested: repositories below it that are not it. repo: the project's
+    fixed identity. device: the identity of events that have none."""
+
+    root: str | None = None
+    nested: tuple[str, ...] = ()
+    repo: str = "local"
+    device: str = "device"
+    policy: Policy = field(default_factory=Policy)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -25,34 +50,202 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def append_batch(store: str, quarantine: str, prepare: Callable[[DataFrame], DataFrame], policy: Policy = Policy()) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step. A batch that runs again after a crash appends nothing twice, since it
-    leaves out ids that the store holds."""
+def judged_lines(lines: DataFrame, policy: Policy) -> DataFrame:
+    """lines with `reason`. A line of another role than user is `other`: neither event nor evidence."""
+    judged = judge_lines(lines, policy, [*EVENT_FIELDS, "role", "cwd"], REQUIRED)
+    unread = F.when(F.col("n_bytes") > policy.line_bytes, "oversize").otherwise("malformed")
+    role = F.coalesce(F.get_json_object("raw", "$.role"), F.lit("user"))
+    kind = F.when(F.col("raw").isNull(), unread).when(F.col("reason").isin("ok", "unknown", "missing") & (role != "user"), "other")
+    return judged.withColumn("reason", kind.otherwise(F.col("reason")))
 
-    def step(lines: DataFrame, _: int) -> None:
-        spark = lines.sparkSession
-        judged = judge_lines(lines, policy, EVENT_FIELDS, ("event_id", "tool", "session_id", "prompt"))
-        judged = judged.withColumn("reason", F.when(F.col("raw").isNull(), F.when(F.col("n_bytes") > policy.line_bytes, "oversize").otherwise("malformed")).otherwise(F.col("reason")))
-        bad = judged.where("reason <> 'ok'").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason")
-        events = prepare(accepted(judged.select("path", "offset", "raw", "reason"), EVENT_SCHEMA)).select(*EVENT_FIELDS)
-        known = read_or_empty(spark, store, EVENT_SCHEMA)
-        new_events(first_per_id(events), known).write.mode("append").parquet(store)
-        old = read_or_empty(spark, quarantine, "path string, line_no long, n_bytes long, sha256 string, reason string")
-        bad.join(old, ["path", "line_no", "sha256"], "left_anti").select("path", "line_no", "n_bytes", "sha256", "reason").write.mode("append").parquet(quarantine)
 
-    return step
+def append_evidence(bad: DataFrame, path: str) -> None:
+    """Appends what is not there yet: where, how long, digest and reason."""
+    old = read_or_empty(bad.sparkSession, path, "path string, line_no long, n_bytes long, sha256 string, reason string")
+    bad.join(old, ["path", "line_no", "sha256"], "left_anti").select("path", "line_no", "n_bytes", "sha256", "reason").write.mode("append").parquet(path)
+
+
+class State:
+    """The scan's state: which ranges of which file were taken, with their digests, and the aliases.
+
+    A version is a folder that appears by one rename, so a crash leaves the last one. Losing
+    all of it costs a full scan and changes nothing, as ids in the store are permanent.
+    """
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.hadoop = spark._jvm.org.apache.hadoop.fs
+        self.fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-def recover(spark: SparkSession, pattern: str, store: str, quarantine: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, policy: Policy = Policy(), timeout: int = 300) -> bool:
-    """One pass over all that has grown; True if it ended within the timeout (the watchdog).
+    def _at(self, path: str):
+        return self.hadoop.Path(path)
 
-    Run it from a scheduler; a checkpoint admits one query at a time. Losing the checkpoint costs
-    a full scan and changes nothing, as ids in the store are permanent.
+    def versions(self) -> list[int]:
+        if not self.fs.exists(self._at(self.path)):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._at(self.path))]
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"v=(\d+)", n)))
+
+    def age(self) -> float | None:
+        """Seconds since the last version."""
+        found = self.versions()
+        return time.time() - self.fs.getFileStatus(self._at(f"{self.path}/v={found[-1]}")).getModificationTime() / 1000 if found else None
+
+    def read(self) -> tuple[DataFrame, DataFrame]:
+        found = self.versions()
+        at = f"{self.path}/v={found[-1]}" if found else f"{self.path}/none"
+        return read_or_empty(self.spark, f"{at}/ranges", RANGES), read_or_empty(self.spark, f"{at}/aliases", ALIASES)
+
+    def write(self, ranges: DataFrame, aliases: DataFrame) -> None:
+        found = self.versions()
+        new, to = f"{self.path}/new-{uuid.uuid4().hex}", f"{self.path}/v={(found[-1] if found else 0) + 1}"
+        ranges.select("path", "start", "end", "sha256").write.parquet(f"{new}/ranges")
+        aliases.select("tool", "old_id", "event_id").write.parquet(f"{new}/aliases")
+        if not self.fs.rename(self._at(new), self._at(to)):
+            raise RuntimeError(f"the state could not be renamed to {to}")
+        for v in found[:-1]:
+            self.fs.delete(self._at(f"{self.path}/v={v}"), True)
+
+    def lock(self, seconds: float) -> bool:
+        """Takes the lock if nobody has it, or if its owner must have been stopped by the watchdog."""
+        at = self._at(f"{self.path}/lock")
+        if self.fs.exists(at) and time.time() - self.fs.getFileStatus(at).getModificationTime() / 1000 > seconds:
+            self.fs.delete(at, False)
+        self.fs.mkdirs(self._at(self.path))
+        try:
+            return bool(self.fs.createNewFile(at))
+        except Exception as e:
+            if self.fs.exists(at):  # another pass was faster
+                return False
+            raise e
+
+    def unlock(self) -> None:
+        self.fs.delete(self._at(f"{self.path}/lock"), False)
+
+
+def recover_pass(spark: SparkSession, pattern: str, store: str, quarantine: str, state: State, rules: Recovery = Recovery(), health: str | None = None) -> dict:
+    """One pass: what it appended, deferred and refused, as counts.
+
+    Each file goes on behind what was taken of it, if all of that still has its digest; else it is
+    read again from the start. Lines of people in this repository become redacted events; what the
+    store has under the same id (J1), what a direct capture answers for one to one (J3) and known
+    aliases (J5) are left out before the budget is spent, so repeats cannot starve later events. After
+    the append the cursor of each file moves to its first line that is deferred, for want of a folder
+    or of budget. A crash before that repeats the pass, which then finds the ids in the store.
     """
+    policy, scratch = rules.policy, Scratch(spark)
+    known, aliases = state.read()
+    known = scratch.save(known)
+    files = listed(pattern)
+    lost = {r["path"] for r in broken(known).collect()}
+    at = {r["path"]: r["offset"] for r in cursors(known).collect()}
+    lost |= {p for p, offset in at.items() if p in files and files[p]["size"] < offset}
+    todo = [(p, 0 if p in lost else at.get(p, 0), f["size"]) for p, f in files.items()]
+    lines = judged_lines(read_ranges(spark, [t for t in todo if t[1] < t[2]], policy.line_bytes), policy)
+    place = ["path", "start", "offset", "end", "upto", "n_bytes", "sha256", "reason", "cwd"]
+    parsed = lines.withColumn("_e", F.when(F.col("reason") == "ok", F.from_json("raw", LINE_SCHEMA))).select(*[c for c in lines.columns if c != "raw"], "_e.*")
+    # raw lines are not stored, not even here
+    rows = scratch.save(to_events(parsed, rules.repo, rules.device, policy, keep=place))
+    append_evidence(rows.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason"), quarantine)
+
+    events = rows.where("reason = 'ok'")
+    deferred = events.limit(0)
+    if rules.root is not None:
+        events, deferred = in_scope(events, rules.root, spark.createDataFrame([(r,) for r in rules.nested], "root string"))
+    durable = read_or_empty(spark, store, STORE_SCHEMA)
+    deferred = new_events(deferred, durable)
+    void = scratch.save(void_aliases(aliases, events.select("tool", "event_id")))
+    aliases = scratch.save(aliases.join(void, ["tool", "old_id"], "left_anti"))
+    first = first_per_id(events, order=[F.col("ts").asc_nulls_last(), F.col("path"), F.col("offset")])
+    fresh = new_events(first, durable)
+    fresh = scratch.save(fresh.join(aliases.select("tool", F.col("old_id").alias("event_id")), ["tool", "event_id"], "left_anti"))
+    free = durable.where("origin = 'direct'").join(aliases.select("tool", "event_id"), ["tool", "event_id"], "left_anti")
+    free = free.join(events.select("tool", "event_id"), ["tool", "event_id"], "left_anti")  # those answer for themselves
+    side = lambda df: df.select("tool", "session_id", "ts", F.sha2("prompt", 256).alias("text"), F.struct("tool", "event_id").alias("id"))
+    pairs = scratch.save(correlate(side(free), side(fresh), ["tool", "session_id", "text"], policy.correlation_minutes * 60_000_000))
+    met = pairs.select("recovered_id.tool", F.col("recovered_id.event_id").alias("old_id"), F.col("direct_id.event_id").alias("event_id"))
+    wanted = fresh.join(met.select("tool", F.col("old_id").alias("event_id")), ["tool", "event_id"], "left_anti")
+    taken = scratch.save(within_budget(wanted, ["path", "offset"], policy))
+    append_store(taken.select(*EVENT_FIELDS), store, "recovered")
+
+    waiting = scratch.save(wanted.join(taken.select("tool", "event_id"), ["tool", "event_id"], "left_anti").select("path", "offset").unionByName(deferred.select("path", "offset")))
+    stop = waiting.groupBy("path").agg(F.min("offset").alias("stop"))
+    done = rows.join(stop, "path", "left").where(F.col("stop").isNull() | (F.col("offset") < F.col("stop")))
+    new = done.groupBy("path", "start").agg(F.max("end").alias("end"), F.max_by("upto", "end").alias("sha256"))
+    held = known.where(~F.col("path").isin(sorted(lost))) if lost else known
+    # an alias whose event came back under its own id voids what was scanned
+    again = void.count() > 0
+    ranges = scratch.save((new if again else held.unionByName(new)).select("path", "start", "end", "sha256").where(F.lit(not again)))
+    gone = broken(ranges)
+    state.write(ranges.join(gone, "path", "left_anti"), aliases.unionByName(met.select("tool", "old_id", "event_id")))
+    counts = {r["reason"]: r["count"] for r in rows.groupBy("reason").count().collect()}
+    refused = sum(n for r, n in counts.items() if r not in ("ok", "other"))
+    out = {"appended": taken.count(), "deferred": waiting.count(), "refused": refused, "truncated": taken.where("truncated").count(), "rescanned": len(lost), "voided": int(again)}
+    if health:
+        codes = {"PARTIAL_TRANSCRIPT": counts.get("malformed", 0) + counts.get("oversize", 0), "QUARANTINED": refused, "PROMPT_TRUNCATED": out["truncated"], "RESCANNED": out["rescanned"], "ALIAS_VOIDED": out["voided"]}
+        write_health(spark.createDataFrame([(c,) for c, n in codes.items() if n], "code string").select(F.current_timestamp().alias("ts"), "code"), health)
+    scratch.end()
+    return out
+
+
+def recover(
+    spark: SparkSession, pattern: str, store: str, quarantine: str, checkpoint: str, rules: Recovery = Recovery(), health: str | None = None, timeout: int = 300, throttled: bool = False
+) -> bool:
+    """Passes until nothing new is appended; True if they ended within the timeout (the watchdog).
+
+    checkpoint holds the state, and a lock that admits one run at a time. throttled: leaves at once
+    if the last pass is younger than policy.recovery_minutes, as for a scheduler that asks often.
+    """
+    state = State(spark, checkpoint)
+    age = state.age()
+    if throttled and age is not None and age < 60 * rules.policy.recovery_minutes:
+        return True
+    if not state.lock(timeout):
+        return False
+    group, stopped = f"recover-{uuid.uuid4().hex}", threading.Event()
+    spark.sparkContext.setJobGroup(group, "recovery", interruptOnCancel=True)
+
+    def stop() -> None:
+        stopped.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    watchdog = threading.Timer(timeout, stop)
+    watchdog.daemon = True
+    watchdog.start()
+    try:
+        more = True
+        while more and not stopped.is_set():
+            done = recover_pass(spark, pattern, store, quarantine, state, rules, health)
+            more = bool(done["appended"] or done["voided"])
+    except Exception:
+        if not stopped.is_set():
+            raise
+    finally:
+        watchdog.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        state.unlock()
+    return not stopped.is_set()
+
+
+def append_batch(store: str, quarantine: str, prepare: Callable[[DataFrame], DataFrame] | None = None, policy: Policy = Policy()) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step over the tail source. A batch that runs again after a crash appends nothing
+    twice, since it leaves out ids that the store holds. Events are redacted, unless prepare does otherwise."""
+    ready = prepare or (lambda events: to_events(events, "local", "device", policy))
+
+    def step(lines: DataFrame, _: int) -> None:
+        judged = judged_lines(lines, policy)
+        bad = judged.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason")
+        events = ready(accepted(judged.select("path", "offset", "raw", "reason"), LINE_SCHEMA)).select(*EVENT_FIELDS)
+        append_store(new_events(first_per_id(events), read_or_empty(lines.sparkSession, store, STORE_SCHEMA)), store, "recovered")
+        append_evidence(bad, quarantine)
+
+    return step
+
+
+def follow(spark: SparkSession, pattern: str, store: str, quarantine: str, checkpoint: str, policy: Policy = Policy(), every: Sequence[str] | None = None):
+    """A streaming query that appends what files gain, every policy.recovery_minutes, or once over all
+    that is there if every is empty. It goes by ids alone; recover() correlates, defers and keeps a budget."""
     spark.dataSource.register(TailSource)
     lines = spark.readStream.format("tail").option("path", pattern).option("lineBytes", policy.line_bytes).load()
-    query = lines.writeStream.foreachBatch(append_batch(store, quarantine, prepare, policy)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    done = query.awaitTermination(timeout)
-    if not done:
-        query.stop()
-    return bool(done)
+    trigger = {"processingTime": f"{policy.recovery_minutes} minutes"} if every is None else {"availableNow": True}
+    return lines.writeStream.foreachBatch(append_batch(store, quarantine, policy=policy)).option("checkpointLocation", checkpoint).trigger(**trigger).start()

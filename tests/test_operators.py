@@ -14,7 +14,8 @@ from tallyrook.functions import text as fx
 from tallyrook.operators import budget, filters, matching, reports
 from tallyrook.policy import ENVELOPE_FORBIDDEN, ENVELOPE_REQUIRED, EVENT_FIELDS, Policy, check_name
 from tallyrook.sources import files
-from tallyrook.sources.tail import Piece, TailReader, measure
+from tallyrook.sources import tail
+from tallyrook.sources.tail import Piece, TailReader
 from tallyrook.streaming import recover as rec
 
 T0 = datetime(2024, 1, 1)
@@ -82,6 +83,7 @@ def test_scope(spark):
     rows = spark.createDataFrame([("/r",), ("/r/a",), ("/r/sub/x",), ("/rx",), (None,)], "cwd string")
     inside, later = filters.in_scope(rows, "/r", spark.createDataFrame([("/r/sub",)], "root string"))
     assert {r["cwd"] for r in inside.collect()} == {"/r", "/r/a"} and later.count() == 1
+    assert "NestedLoop" not in inside._jdf.queryExecution().toString()
 
 
 def test_events_are_redacted_and_limited(spark):
@@ -126,6 +128,30 @@ def test_one_to_one_is_largest(spark):
     assert left.count() == len(r) + 1 - len(pairs)
 
 
+def test_one_to_one_with_a_hot_key(spark):
+    """One key with most rows, both sides dense, dealt over several parts: the pairs of two pointers over all of it."""
+    rng = random.Random(5)
+    rows = [(i, 1 if i % 10 else i, rng.randrange(4_000_000)) for i in range(3000)]
+    frame = lambda odd: spark.createDataFrame([(i, k, t) for i, k, t in rows if i % 2 == odd], "id long, k long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") / 1000))
+    for micros in (200_000, 20_000_000):
+        want = []
+        for key in {k for _, k, _ in rows}:
+            a, b = (sorted((t, i) for i, k, t in rows if k == key and i % 2 == odd) for odd in (0, 1))
+            i = j = 0
+            while i < len(a) and j < len(b):
+                if abs(a[i][0] - b[j][0]) * 1000 <= micros:
+                    want.append((a[i][1], b[j][1]))
+                    i, j = i + 1, j + 1
+                elif a[i][0] < b[j][0]:
+                    i += 1
+                else:
+                    j += 1
+        got = matching.correlate(frame(0), frame(1), ["k"], micros)
+        assert len(want) > 100 and sorted(map(tuple, got.collect())) == sorted(want)
+        pairs = {(i, j) for i, k, t in rows for j, q, u in rows if i % 2 == 0 and j % 2 == 1 and k == q and abs(t - u) * 1000 <= micros} if micros < 10**6 else None
+        assert pairs is None or set(map(tuple, matching.candidates(frame(0), frame(1), ["k"], micros).collect())) == pairs
+
+
 def test_direct_at_0_and_12_recovered_at_11(spark):
     schema = "id int, k int, ts timestamp"
     d = spark.createDataFrame([(1, 1, T0), (2, 1, T0 + timedelta(minutes=12))], schema)
@@ -164,6 +190,23 @@ def test_status_shows_zero(spark):
     assert got == {"a": (1, False), "b": (1, True), "c": (0, True)}
 
 
+def test_log_is_in_order(spark):
+    rows = [(T0 + timedelta(minutes=(7 * i) % 10), f"e{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "ts timestamp, event_id string").repartition(4)
+    assert [r["event_id"] for r in reports.listing(df, ["event_id"]).collect()] == [e for _, e in sorted(rows)]
+    lines = spark.createDataFrame([(p, i) for p in "ba" for i in (3, 1, 2)], "path string, offset long").repartition(4)
+    assert [tuple(r) for r in reports.in_file_order(lines).collect()] == [(p, i) for p in "ab" for i in (1, 2, 3)]
+
+
+def test_kinds_markers_and_publication(spark):
+    rows = spark.createDataFrame([("SessionStart", "t", "u", "r", "m"), ("Other", "t", "u", "r", None), ("UserPromptSubmit", "x", "u", "r", "m")], "hook_event_name string, tool string, identity string, repo string, mark string")
+    assert filters.of_kinds(rows).count() == 2 and filters.with_markers(rows, ["mark", "tool"]).count() == 2
+    assert filters.publishable(rows, ["t"], "u", "r").count() == 2 and filters.publishable(rows, ["t"], "v", "r").count() == 0
+    assert filters.conform(spark.createDataFrame([("x",)], "sessionId string"), {"sessionId": "session_id", "other": "y"}).columns == ["session_id"]
+    ids = spark.createDataFrame([("p", "t", "s", T0), (None, "t", "s", T0), (None, None, "s", T0)], "prompt_id string, turn_id string, session_id string, ts timestamp")
+    assert [r[0] for r in ids.select(fx.native_id()).collect()] == ["p", "t", "s/2024-01-01 00:00:00"]
+
+
 def test_manifest(spark):
     m = spark.createDataFrame([(f"p{i}", f"h{i}") for i in range(6)], "path string, sha256 string")
     assert matching.manifest_ok(m, m).first()[0]
@@ -191,31 +234,54 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "registry")).count() == 2 and (tmp_path / "registry/user=u1").is_dir()
 
 
-def test_tail_reads_pieces_once(tmp_path):
+def test_tail_reads_pieces_once(tmp_path, monkeypatch):
     p = tmp_path / "a.jsonl"
-    lines = [f"line {i} " + "é" * (i % 30) for i in range(500)]
-    p.write_text("\n".join(lines) + "\n" + "torn", encoding="utf-8")
-    end, digest, prefix = measure(str(p), 9)
+    lines = [f"line {i} " + "é" * (i % 30) + "\r" * (i % 3) for i in range(500)]
+    p.write_bytes(("\n".join(lines) + "\n" + "torn").encode())
     raw = p.read_bytes()
-    assert end == raw.rfind(b"\n") + 1 and digest == hashlib.sha256(raw[:end]).hexdigest() and prefix == hashlib.sha256(raw[:9]).hexdigest()
-    assert measure(str(p), 10**9)[2] is None
     reader = TailReader({"path": str(tmp_path / "*.jsonl"), "pieceBytes": "777"})
     to = reader.latestOffset()
     pieces = reader.partitions({}, to)
     assert len(pieces) > 5 and [r[2] for q in pieces for r in reader.read(q)] == lines
+    with p.open("a") as f:
+        f.write(" no more\nnext\n")
+    later = reader.latestOffset()
+    assert [r[2] for q in reader.partitions(to, later) for r in reader.read(q)] == ["torn no more", "next"]
     (tmp_path / "link.jsonl").symlink_to(p)
     assert list(reader.latestOffset()) == [str(p)]
     with pytest.raises(ValueError):
         list(reader.read(Piece(str(tmp_path / "link.jsonl"), 0, 5)))
-    p.write_bytes(b"other\n" + raw)
-    assert reader.partitions(to, reader.latestOffset())[0].start == 0
+    (tmp_path / "b").write_bytes(b"other\n" + raw)
+    os.replace(tmp_path / "b", p)
+    assert reader.partitions(later, reader.latestOffset())[0].start == 0
+
+    def refuse(*_, **__):
+        raise AssertionError("the driver opened a file")
+
+    with monkeypatch.context() as m:
+        m.setattr(tail.os, "open", refuse)
+        m.setattr("builtins.open", refuse)
+        assert reader.partitions({}, reader.latestOffset())
+
+
+def test_lines_have_their_digests(tmp_path):
+    """The digest up to a line is that of the bytes from the first line on, for pieces that begin within a line, too."""
+    p, lines = tmp_path / "a", ["a" * 40, "", "é" * 30, "x" * 100, "end"]
+    raw = ("\n".join(lines) + "\n").encode()
+    p.write_bytes(raw)
+    for start in range(0, len(raw)):
+        for path, first, offset, end, text, n, sha, upto in tail.lines_in(str(p), start, len(raw), 90):
+            body = raw[offset : end - 1]
+            assert (n, sha, upto) == (len(body), hashlib.sha256(body).hexdigest(), hashlib.sha256(raw[first:end]).hexdigest())
+            assert text == (body.decode() if n <= 90 else None) and raw[end - 1 : end] == b"\n" and (first == 0 or raw[first - 1 : first] == b"\n")
+    halves = [r[2] for a in (0, 75) for r in tail.lines_in(str(p), a, 75 if a == 0 else len(raw), 90)]
+    assert halves == [r[2] for r in tail.lines_in(str(p), 0, len(raw), 90)]
 
 
 def test_tail_fails_rather_than_skips(tmp_path, monkeypatch):
     """A file that can't be read for a moment fails the batch; the retry has its bytes."""
-    p, idle = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    p = tmp_path / "a.jsonl"
     p.write_text("one\n")
-    idle.write_text("idle\n")
     reader = TailReader({"path": str(tmp_path / "*.jsonl")})
     old = reader.latestOffset()
     with p.open("a") as f:
@@ -225,12 +291,15 @@ def test_tail_fails_rather_than_skips(tmp_path, monkeypatch):
     def refuse(path, *_):
         raise OSError(path)
 
+    assert reader.partitions(new, new) == []
     with monkeypatch.context() as m:
-        m.setattr("tallyrook.sources.tail.measure", refuse)
+        m.setattr(tail, "_open", refuse)
         with pytest.raises(OSError):
-            reader.partitions(old, new)
-        assert reader.partitions(new, new) == []
+            list(reader.read(reader.partitions(old, new)[0]))
     assert [r[2] for q in reader.partitions(old, new) for r in reader.read(q)] == ["two"]
+    cut = Piece(str(p), 0, 100)
+    with pytest.raises(ValueError):
+        list(reader.read(cut))
 
 
 def _line(i, **more):
@@ -256,6 +325,144 @@ def test_recovery(spark, tmp_path):
     assert not any("secret" in str(r) for r in evidence.collect())
 
 
+def _pass(spark, tmp_path, rules=rec.Recovery(), health=None):
+    return rec.recover_pass(spark, str(tmp_path / "src" / "*.jsonl"), str(tmp_path / "store"), str(tmp_path / "bad"), rec.State(spark, str(tmp_path / "state")), rules, health)
+
+
+def _ids(spark, tmp_path):
+    return sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "store")).collect())
+
+
+def _write(tmp_path, name, *lines):
+    (tmp_path / "src").mkdir(exist_ok=True)
+    with (tmp_path / "src" / name).open("a") as f:
+        f.write("".join(x + "\n" for x in lines))
+
+
+def test_no_raw_secret_is_stored(spark, tmp_path):
+    """Neither store, evidence nor state has a secret; other roles are no evidence; what is alarming is in the health log."""
+    secret = "token=abcdefghij"
+    _write(tmp_path, "a.jsonl", _line(1, prompt=f"my {secret} here"), _line(2, response=secret), _line(3, role="assistant", response=secret), _line(4, role="user"), '{"torn ' + secret)
+    got = _pass(spark, tmp_path, health=str(tmp_path / "health"))
+    assert (got["appended"], got["refused"]) == (2, 2) and _ids(spark, tmp_path) == ["event_id1", "event_id4"]
+    text = [str(r) for part in ("store", "bad") for r in spark.read.parquet(str(tmp_path / part)).collect()]
+    assert not any("abcdefghij" in t for t in text) and any("token=[REDACTED]" in t for t in text)
+    assert {r["code"] for r in spark.read.parquet(str(tmp_path / "health")).collect()} == {"PARTIAL_TRANSCRIPT", "QUARANTINED"}
+    step = rec.append_batch(str(tmp_path / "store2"), str(tmp_path / "bad2"))
+    step(spark.createDataFrame([("p", 0, _line(1, prompt=secret), 9, "x")], "path string, offset long, raw string, n_bytes long, sha256 string"), 0)
+    assert spark.read.parquet(str(tmp_path / "store2")).first()["prompt"] == "token=[REDACTED]"
+
+
+def test_noise_does_not_starve(spark, tmp_path):
+    """Known ids and direct captures use up no budget; the cursor stays at the first line that waits."""
+    noise = [_line(i) for i in range(20)]
+    direct = spark.createDataFrame([(f"own{i}", "tool", "session_id", T0 + timedelta(minutes=3), f"said {i}", "u", "r", "b", "c") for i in range(5)], rec.EVENT_SCHEMA)
+    files.append_store(direct, str(tmp_path / "store"))
+    stored = [_line(i, tool="tool") for i in range(20)]
+    files.append_store(spark.createDataFrame([(f"event_id{i}", "tool", "s", T0, "p", "u", "r", "b", "c") for i in range(20)], rec.EVENT_SCHEMA), str(tmp_path / "store"), "recovered")
+    echoes = [_line(100 + i, tool="tool", session_id="session_id", prompt=f"said {i}") for i in range(5)]
+    _write(tmp_path, "a.jsonl", *stored, *echoes, *[_line(i, tool="tool") for i in range(200, 205)])
+    rules = rec.Recovery(policy=Policy(batch_rows=2))
+    state = rec.State(spark, str(tmp_path / "state"))
+    got = _pass(spark, tmp_path, rules)
+    assert got["appended"] == 2 and got["deferred"] == 3 and {"event_id200", "event_id201"} <= set(_ids(spark, tmp_path))
+    whole = "\n".join([*stored, *echoes, *[_line(i, tool="tool") for i in range(200, 202)]]).encode() + b"\n"
+    assert {r["path"]: r["offset"] for r in tail.cursors(state.read()[0]).collect()} == {str(tmp_path / "src" / "a.jsonl"): len(whole)}
+    assert {(r["old_id"], r["event_id"]) for r in state.read()[1].collect()} == {(f"event_id{100 + i}", f"own{i}") for i in range(5)}
+    assert [_pass(spark, tmp_path, rules)["appended"] for _ in range(3)] == [2, 1, 0]
+    assert len(_ids(spark, tmp_path)) == len(set(_ids(spark, tmp_path))) == 30
+    # a direct capture that turns up under its own id voids its alias: all is scanned again, and its echo is an event
+    _write(tmp_path, "a.jsonl", json.dumps(json.loads(_line(0)) | {"event_id": "own0", "tool": "tool"}))
+    assert _pass(spark, tmp_path, rules)["voided"] == 1 and state.read()[0].count() == 0
+    _pass(spark, tmp_path, rules)
+    assert "event_id100" in _ids(spark, tmp_path) and noise
+
+
+def test_unknown_folders_are_deferred(spark, tmp_path):
+    """A line without a folder is tried again and holds the cursor; lines of other repositories are done."""
+    rules = rec.Recovery(root="/r", nested=("/r/sub",))
+    _write(tmp_path, "a.jsonl", _line(1, cwd="/r/x"), _line(2, cwd="/other"), _line(3, cwd="/r/sub/y"), _line(4), _line(5, cwd="/r"))
+    got = _pass(spark, tmp_path, rules)
+    assert got["deferred"] == 1 and _ids(spark, tmp_path) == ["event_id1", "event_id5"]
+    at = [r["offset"] for r in tail.cursors(rec.State(spark, str(tmp_path / "state")).read()[0]).collect()]
+    assert at == [len("".join(x + "\n" for x in (_line(1, cwd="/r/x"), _line(2, cwd="/other"), _line(3, cwd="/r/sub/y"))))]
+    assert _pass(spark, tmp_path, rules)["deferred"] == 1 and len(_ids(spark, tmp_path)) == 2
+    src = tmp_path / "src" / "a.jsonl"
+    src.write_text(src.read_text().replace(_line(4), _line(4, cwd="/r/z")))  # now it is known
+    assert _pass(spark, tmp_path, rules)["appended"] == 1 and _ids(spark, tmp_path) == ["event_id1", "event_id4", "event_id5"]
+
+
+def test_crash_before_the_cursor_moves(spark, tmp_path, monkeypatch):
+    """The store has the events, the state does not: the next pass appends nothing twice and moves on."""
+    _write(tmp_path, "a.jsonl", *[_line(i) for i in range(4)])
+
+    def die(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(rec.State, "write", die)
+        with pytest.raises(RuntimeError):
+            _pass(spark, tmp_path)
+    assert len(_ids(spark, tmp_path)) == 4 and rec.State(spark, str(tmp_path / "state")).versions() == []
+    assert _pass(spark, tmp_path)["appended"] == 0 and len(_ids(spark, tmp_path)) == 4
+    assert rec.State(spark, str(tmp_path / "state")).read()[0].count() == 1
+
+
+def test_rewrites_are_found_by_digest(spark, tmp_path):
+    """A file rewritten in place, no shorter and under the same name, is read again from its start."""
+    _write(tmp_path, "a.jsonl", _line(1), _line(2))
+    _pass(spark, tmp_path)
+    src = tmp_path / "src" / "a.jsonl"
+    with src.open("r+") as f:
+        f.write(_line(7) + "\n" + _line(2) + "\n" + _line(8) + "\n")
+    got = _pass(spark, tmp_path)
+    assert got["rescanned"] == 1 and got["appended"] == 2 and _ids(spark, tmp_path) == [f"event_id{i}" for i in (1, 2, 7, 8)]
+
+
+def test_one_runner_and_its_cadence(spark, tmp_path):
+    _write(tmp_path, "a.jsonl", _line(1))
+    run = lambda **more: rec.recover(spark, str(tmp_path / "src" / "*.jsonl"), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "state"), **more)
+    state = rec.State(spark, str(tmp_path / "state"))
+    assert state.lock(300) and not state.lock(300) and not run()
+    state.unlock()
+    assert run() and _ids(spark, tmp_path) == ["event_id1"]
+    _write(tmp_path, "a.jsonl", _line(2))
+    assert run(throttled=True) and len(_ids(spark, tmp_path)) == 1
+    assert run() and len(_ids(spark, tmp_path)) == 2
+
+
+def test_follow(spark, tmp_path):
+    """The streaming query appends what files gain, each id once, and redacted."""
+    run = lambda: rec.follow(spark, str(tmp_path / "src" / "*.jsonl"), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "check"), every=()).awaitTermination()
+    _write(tmp_path, "a.jsonl", _line(1, prompt="secret=abcdefgh"), _line(2))
+    run()
+    _write(tmp_path, "a.jsonl", _line(2), _line(3))
+    run()
+    assert _ids(spark, tmp_path) == ["event_id1", "event_id2", "event_id3"]
+    assert "abcdefgh" not in str(spark.read.parquet(str(tmp_path / "store")).collect())
+
+
+def test_registry_is_read_strictly_and_rebuilt(spark, tmp_path):
+    """A line with another field is left out, with its digest as evidence; rebuilding from the private store brings it back."""
+    events = spark.createDataFrame([(str(i), "t", "s", T0 + timedelta(minutes=i), f"p{i}", f"u{i % 2}", "r", "b", "c") for i in range(8)], rec.EVENT_SCHEMA)
+    path = str(tmp_path / "registry")
+    files.rebuild_registry(events, path)
+    found, bad = files.read_registry(spark, path)
+    assert found.count() == 8 and bad.count() == 0
+    part = next((tmp_path / "registry" / "user=u1").glob("*.json"))
+    part.write_text(part.read_text() + json.dumps({"event_id": "9", "tool": "t", "prompt": "x", "response": "hidden"}) + "\n")
+    (tmp_path / "registry" / "user=u1" / f".{part.name}.crc").unlink(missing_ok=True)
+    found, bad = files.read_registry(spark, path)
+    assert found.count() == 8 and [r["reason"] for r in bad.collect()] == ["unknown"] and "hidden" not in str(bad.collect())
+    assert matching.compare(events, found, "event_id", "prompt").count() == 0
+    files.rebuild_registry(events, path)
+    assert files.read_registry(spark, path)[1].count() == 0 and not (tmp_path / "registry.new").exists() and not (tmp_path / "registry.old").exists()
+    with pytest.raises(ValueError):
+        files.rebuild_registry(events.withColumn("identity", F.lit("../x")), path)
+    with pytest.raises(Exception, match="not a health code"):
+        files.write_health(spark.createDataFrame([(T0, "free text")], "ts timestamp, code string"), str(tmp_path / "health"))
+
+
 def test_crash_between_append_and_cursor(spark, tmp_path):
     """The batch is appended, then the query dies before its commit: the retry adds nothing."""
     store, bad = str(tmp_path / "store"), str(tmp_path / "bad")
@@ -266,6 +473,24 @@ def test_crash_between_append_and_cursor(spark, tmp_path):
     assert spark.read.parquet(store).count() == 1 and spark.read.parquet(bad).count() == 1
 
 
+@pytest.mark.parametrize("gone", [["tallyrook/llm", "tests/llm"], ["tallyrook/llm", "tests/llm", "corpus_pipeline.py"], ["tallyrook/llm/*.py", "tests/llm"], ["corpus_pipeline.py"]])
+def test_entry_without_optional_parts(tmp_path, gone):
+    """A copy without the corpus operators imports, lists the other queries, and pytest collects its tests."""
+    import shutil
+    import subprocess
+    import sys
+
+    home, to = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tmp_path / "copy"
+    shutil.copytree(home, to, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for g in gone:
+        for path in to.glob(g):
+            shutil.rmtree(path) if path.is_dir() else path.unlink()
+    code = "import __spark_entry__ as e; q = set(e.queries()); assert 'status_by_tool' in q and set(e.oracle_sql()) <= q; print(sorted(x for x in q if x.startswith('op') or x == 'pipeline'))"
+    out = subprocess.run([sys.executable, "-W", "error", "-c", code], check=True, cwd=to, capture_output=True, text=True).stdout
+    assert ("op1_secret_scan" in out) == (gone == ["corpus_pipeline.py"]) and "pipeline" not in out
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"], check=True, cwd=to, capture_output=True)
+
+
 def test_imports_without_optional_parts():
     """The library does not import its llm part."""
     import subprocess
