@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..policy import REDACTION
@@ -51,6 +51,13 @@ def within(path: Column, root: Column) -> Column:
     return (path == base) | path.startswith(F.concat(base, F.lit("/")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def native_id() -> Column:
     """The event's own id: prompt_id, else turn_id, else session and time."""
     return F.coalesce("prompt_id", "turn_id", F.concat_ws("/", "session_id", F.col("ts").cast("string")))

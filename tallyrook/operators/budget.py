@@ -18,10 +18,11 @@ def within_budget(events: DataFrame, order: Sequence[str], policy: Policy = Poli
     No more than batch_rows can pass, so the running sum sees just the first batch_rows, which
     Spark takes from each partition before it meets them in one task.
     """
-    head = events.withColumn("_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).orderBy(*order).limit(policy.batch_rows)
-    by = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = head.withColumns({"_sum": F.sum("_bytes").over(by), "_nth": F.count("*").over(by)})
-    return run.where((F.col("_sum") <= policy.batch_bytes) | (F.col("_nth") == 1)).drop("_bytes", "_sum", "_nth")
+    head = events.orderBy(*order).limit(policy.batch_rows).select(F.struct("*").alias("row"))
+    size = F.coalesce(F.octet_length(f"row.{text}"), F.lit(0)).cast("long")
+    by = Window.orderBy(*[f"row.{c}" for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    run = head.withColumns({"upto": F.sum(size).over(by), "nth": F.count("*").over(by)})
+    return run.where((F.col("upto") <= policy.batch_bytes) | (F.col("nth") == 1)).select("row.*")
 
 
 def cursor(events: DataFrame, taken: DataFrame, keys: Sequence[str], path: str = "path", offset: str = "offset") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import Scratch
+from ..functions.text import free_name
 
 
 def new_events(events: DataFrame, durable: DataFrame, keys: Sequence[str] = ("tool", "event_id")) -> DataFrame:
@@ -20,7 +21,8 @@ def new_events(events: DataFrame, durable: DataFrame, keys: Sequence[str] = ("to
 def first_per_id(events: DataFrame, keys: Sequence[str] = ("tool", "event_id"), order: Sequence[Column] = ()) -> DataFrame:
     """One row for each id, the first by order. Spark takes the first of each partition before it shuffles."""
     by = Window.partitionBy(*keys).orderBy(*(order or [F.col("ts")]))
-    return events.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
+    nth = free_name(events, "_rn")
+    return events.withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1).drop(nth)
 
 
 def candidates(direct: DataFrame, recovered: DataFrame, keys: Sequence[str], micros: int, id_col: str = "id", ts: str = "ts") -> DataFrame:

@@ -236,6 +236,116 @@ def registry_drift(spark, sf_dir):
     return matching.compare(e, public, "event_id", "event_type")
 
 
+def _envelopes(spark, sf_dir):
+    """Envelopes made from events: every 5th without a folder, every 7th of a sub-agent, every 11th with another field, every 13th long."""
+    by = lambda n: F.col("event_id") % n == 0
+    part = lambda name, c: F.concat(F.lit(f'"{name}":"'), c, F.lit('"'))
+    fields = [
+        part("session_id", F.col("user_id").cast("string")), part("turn_id", F.col("event_id").cast("string")), F.when(~by(5), part("cwd", F.lit("/r"))), part("permission_mode", F.lit("ask")),
+        part("prompt", F.when(by(13), F.repeat(F.lit("x"), 400)).otherwise(F.col("event_type"))), F.when(by(7), part("agent_id", F.lit("a"))), F.when(by(11), part("response", F.lit("r"))),
+    ]
+    raw = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.when(by(17), F.lit("")).otherwise(F.lit("}")))
+    return _events(spark, sf_dir).select("event_id", raw.alias("raw"))
+
+
+def envelope_verdicts(spark, sf_dir):
+    """What the envelope's contract says of each, with a limit of 400 bytes; every 17th is cut."""
+    return filters.judge_envelopes(_envelopes(spark, sf_dir), Policy(envelope_bytes=400)).select("event_id", "reason")
+
+
+def envelope_fields(spark, sf_dir):
+    """The accepted envelopes as columns."""
+    return filters.accepted(filters.judge_envelopes(_envelopes(spark, sf_dir), Policy(envelope_bytes=400)), "session_id string, turn_id string, cwd string, prompt string")
+
+
+def event_kinds(spark, sf_dir):
+    """two event types are allowed."""
+    return filters.of_kinds(_events(spark, sf_dir), ("click", "signup"), "event_type").select("event_id", "event_type")
+
+
+def provider_markers(spark, sf_dir):
+    """two markers, made from ids, that a provider's rows must both carry."""
+    rows = _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 2 == 0, "a").alias("m1"), F.when(F.col("event_id") % 3 == 0, "b").alias("m2"))
+    return filters.with_markers(rows, ["m1", "m2"]).select("event_id")
+
+
+def native_ids(spark, sf_dir):
+    """The event's own id: prompt, else turn, else session and time."""
+    rows = _events(spark, sf_dir).select(
+        "event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("p"), "event_id")).alias("prompt_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("t"), "event_id")).alias("turn_id"),
+        F.col("user_id").alias("session_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+    )
+    return rows.select("event_id", fx.native_id().alias("native_id"))
+
+
+def _cwds(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "://[^/]*(/[^?#]*)", 1), r"^(/en/)([0-9])", "$1$2/").alias("cwd"))
+    return p.withColumn("cwd", F.when(F.col("page_id") % 4 != 0, F.col("cwd")))
+
+
+def deferred_rows(spark, sf_dir):
+    """rows whose folder is unknown, as every fourth is here, wait."""
+    return filters.in_scope(_cwds(spark, sf_dir), "/en", spark.createDataFrame([("/en/9",)], "root string"))[1].select("page_id")
+
+
+def deferred_cursor(spark, sf_dir):
+    """A transcript (a page's language) goes on at its first row that waits."""
+    rows = _cwds(spark, sf_dir).withColumns({"path": F.col("page_id") % 10, "offset": F.col("page_id")})
+    waiting = filters.in_scope(rows, "/en", spark.createDataFrame([("/en/9",)], "root string"))[1]
+    return budget.cursor(rows, rows.join(waiting.select("page_id"), "page_id", "left_anti"), ["page_id"])
+
+
+def republish_check(spark, sf_dir):
+    """the store's rows of one user and project, of two tools."""
+    rows = _events(spark, sf_dir).select("event_id", F.col("event_type").alias("tool"), F.concat(F.lit("u"), F.col("user_id") % 10).alias("identity"), F.when(F.col("event_id") % 9 == 0, "other").otherwise("repo").alias("repo"))
+    return filters.publishable(rows, ["click", "purchase"], "u7", "repo").select("event_id")
+
+
+def event_contract(spark, sf_dir):
+    """Prompts as events; every third has no identity."""
+    c = _t(spark, sf_dir, "conversations").select(
+        F.concat_ws("/", "conv_id", "turn").alias("event_id"), F.lit("tool").alias("tool"), F.col("conv_id").cast("string").alias("session_id"), F.lit(None).cast("timestamp").alias("ts"),
+        F.concat(F.lit("token=abcdefgh "), "text").alias("prompt"), F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("u"), "conv_id")).alias("identity"), F.lit("main").alias("branch"), F.lit("c0").alias("commit"),
+    )
+    return filters.to_events(c, "repo", "device").drop("ts")
+
+
+def truncation_alerts(spark, sf_dir):
+    """Prompts that are over 100 bytes once redacted are cut with a mark, and told."""
+    c = _t(spark, sf_dir, "conversations").select(
+        F.concat_ws("/", "conv_id", "turn").alias("event_id"), *[F.lit(None).cast("string").alias(x) for x in ("tool", "session_id", "ts", "identity", "branch", "commit")], F.concat(F.lit("secret=abcdef "), "text").alias("prompt")
+    )
+    return filters.to_events(c, "repo", "device", Policy(prompt_bytes=100, mark="[CUT]")).select("event_id", "prompt", "truncated")
+
+
+def provider_names(spark, sf_dir):
+    """Another provider's field names become ours."""
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("eventId"), F.col("event_type").alias("HookEventName"), "user_id")
+    return filters.conform(rows, {"eventId": "event_id", "HookEventName": "hook_event_name", "absent": "other"})
+
+
+def registry_strict(spark, sf_dir):
+    """Registry lines, of which every sixth has a response; these are left out."""
+    e = _events(spark, sf_dir)
+    line = F.concat(F.lit('{"event_id":"'), "event_id", F.lit('","tool":"'), "event_type", F.lit('","prompt":"p"'), F.when(F.col("event_id") % 6 == 0, ',"response":"x"').otherwise(""), F.lit("}"))
+    return filters.accepted(filters.judge_lines(e.select(line.alias("raw")), required=("event_id", "tool", "prompt")), "event_id string, tool string, prompt string")
+
+
+def torn_tails(spark, sf_dir):
+    """Documents as files; what follows the last newline is a torn write."""
+    return filters.torn_tails(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
+
+
+def log_listing(spark, sf_dir):
+    """The log, in order."""
+    return reports.listing(_events(spark, sf_dir), ["event_id", "event_type", "ts"])
+
+
+def lines_in_order(spark, sf_dir):
+    """L2: turns by conversation and place."""
+    return reports.in_file_order(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
+
+
 _SIDES = "with d as (select event_id as id, event_type, user_id, ts from events where event_id % 2 = 0), r as (select event_id as id, event_type, user_id, ts from events where event_id % 2 = 1)"
 _WALK = """with recursive d as (select event_id as id, event_type, user_id, ts, row_number() over (partition by event_type, user_id order by ts, event_id) as n from events where event_id % 2 = 0),
 r as (select event_id as id, event_type, user_id, ts, row_number() over (partition by event_type, user_id order by ts, event_id) as n from events where event_id % 2 = 1),
@@ -248,6 +358,16 @@ w(event_type, user_id, i, j, a, b) as (
     case when abs(epoch_us(d.ts) - epoch_us(r.ts)) <= 21600000000 then d.id end,
     case when abs(epoch_us(d.ts) - epoch_us(r.ts)) <= 21600000000 then r.id end
   from w join d on d.event_type = w.event_type and d.user_id = w.user_id and d.n = w.i join r on r.event_type = w.event_type and r.user_id = w.user_id and r.n = w.j)"""
+_CWDS = r"select page_id, case when page_id % 4 <> 0 then regexp_replace(regexp_extract(url, '://[^/]*(/[^?#]*)', 1), '^(/en/)([0-9])', '\1\2/') end as cwd from pages"
+
+
+def _cut(text: str, limit: int, mark: str) -> str:
+    """A text of at most limit bytes: the longest of four prefixes that is UTF-8."""
+    room = limit - len(mark)
+    cuts = ", ".join(f"try(decode(encode({text})[1:{room - i}]))" for i in range(4))
+    return f"case when strlen({text}) <= {limit} then {text} else coalesce({cuts}, '') || '{mark}' end"
+
+
 _RAW = "select event_id, case when event_id % 7 = 0 then regexp_replace(props, '\\}$', ', \"response\": \"x\"}') else props end as raw from events"
 _BUDGET = "select *, sum(strlen(text)) over (order by conv_id, turn) as s, row_number() over (order by conv_id, turn) as k from conversations where role = 'user'"
 _ALIAS = """with a as (select o.doc_id as old_id, e.doc_id as event_id, count(*) over (partition by o.doc_id) as x, count(*) over (partition by e.doc_id) as y
@@ -285,6 +405,26 @@ select user_id, min(day) as "first", max(day) as "last", count(*) as n from g wh
     "version_floor": "select event_id, concat(event_id % 3, '.', event_id % 140, '.', event_id % 60) as version from events where event_id % 11 <> 0 and [event_id % 3, event_id % 140, event_id % 60] >= [1, 0, 58]",
     "health_rollup": "select event_type as code, count(*) as n, max(ts) as last_ts from events group by 1",
     "report_by_day": "select ts::date as day, event_type as tool, count(*) as n, count(distinct user_id) as sessions from events group by 1, 2",
+    "envelope_verdicts": """select event_id, case when event_id % 13 = 0 then 'oversize' when event_id % 17 = 0 then 'malformed' when event_id % 7 = 0 then 'forbidden' when event_id % 11 = 0 then 'unknown' when event_id % 5 = 0 then 'missing' else 'ok' end as reason from events""",
+    "envelope_fields": "select event_id, user_id::varchar as session_id, event_id::varchar as turn_id, '/r' as cwd, event_type as prompt from events where event_id % 13 <> 0 and event_id % 17 <> 0 and event_id % 7 <> 0 and event_id % 11 <> 0 and event_id % 5 <> 0",
+    "event_kinds": "select event_id, event_type from events where event_type in ('click', 'signup')",
+    "provider_markers": "select event_id from events where event_id % 6 = 0",
+    "native_ids": "select event_id, case when event_id % 2 = 0 then concat('p', event_id) when event_id % 3 = 0 then concat('t', event_id) else concat(user_id, '/', strftime(ts, '%Y-%m-%d %H:%M:%S')) end as native_id from events",
+    "deferred_rows": f"select page_id from ({_CWDS}) where cwd is null",
+    "deferred_cursor": f'select page_id % 10 as path, min(page_id) as "offset" from ({_CWDS}) where cwd is null group by 1',
+    "republish_check": "select event_id from events where event_type in ('click', 'purchase') and user_id % 10 = 7 and event_id % 9 <> 0",
+    "event_contract": r"""select concat(conv_id, '/', turn) as event_id, 'tool' as tool, conv_id::varchar as session_id,
+  regexp_replace(regexp_replace(concat('token=abcdefgh ', text), '(?i)((?:password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["'']?)[A-Za-z0-9+/_.=-]{6,}', '\1[REDACTED]', 'g'), 'AKIA[A-Z0-9]{16,}', '[REDACTED]', 'g') as prompt,
+  case when conv_id % 3 <> 0 then concat('u', conv_id) else 'device' end as identity, sha256('repo') as repo, 'main' as branch, 'c0' as "commit", false as truncated from conversations""",
+    "truncation_alerts": f"""with p as (select concat(conv_id, '/', turn) as event_id, regexp_replace(regexp_replace(concat('secret=abcdef ', text), '(?i)((?:password|passwd|secret|token|api_?key)["'']?\\s*[:=]\\s*["'']?)[A-Za-z0-9+/_.=-]{{6,}}', '\\1[REDACTED]', 'g'), 'AKIA[A-Z0-9]{{16,}}', '[REDACTED]', 'g') as t from conversations)
+select event_id, {_cut("t", 100, "[CUT]")} as prompt, strlen(t) > 100 as truncated from p""",
+    "provider_names": "select event_id, event_type as hook_event_name, user_id from events",
+    "registry_strict": "select event_id::varchar as event_id, event_type as tool, 'p' as prompt from events where event_id % 6 <> 0",
+    "torn_tails": "with t as (select doc_id as path, string_split(text, chr(10))[-1] as tail from documents) select path, strlen(tail) as n_bytes, sha256(tail) as sha256 from t where tail <> ''",
+    "log_listing": "select event_id, event_type, ts from events",
+    "lines_in_order": "select conv_id, turn, role from conversations",
+    "byte_truncate": f"select doc_id, {_cut('text', 1000, '[CUT]')} as text from documents",
+    "prefix_digest": "select doc_id, sha256(encode(text)[1:64]) as sha256 from documents",
     "latest_per_session": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "repo_scope": r"with p as (select page_id, regexp_replace(regexp_extract(url, '://[^/]*(/[^?#]*)', 1), '^(/en/)([0-9])', '\1\2/') as cwd from pages) select page_id from p where (cwd = '/en' or starts_with(cwd, '/en/')) and not (cwd = '/en/9' or starts_with(cwd, '/en/9/'))",
     "registry_drift": "select event_id, case when event_id % 10 = 0 then 'missing' else 'changed' end as state from events where event_id % 10 = 0 or event_id % 13 = 0",
@@ -293,7 +433,8 @@ QUERIES = (
     status_by_tool, silent_tools, human_prompts, strict_keys, quarantine_digest, redact_text, exact_text_dedup, known_id_anti, correlate_candidates, correlate_one_to_one,
     unmatched_recovered, alias_bijection, alias_void, manifest_equality, manifest_rows, batch_budget, batch_cursor, reserve_then_budget, retention, pending_merge,
     sessions_without_prompts, quiet_session_runs, repeated_repairs, queue_age, partial_sources, version_floor, health_rollup, report_by_day, byte_truncate, prefix_digest,
-    latest_per_session, repo_scope, registry_drift,
+    latest_per_session, repo_scope, registry_drift, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check,
+    event_contract, truncation_alerts, provider_names, registry_strict, torn_tails, log_listing, lines_in_order,
 )
 
 
