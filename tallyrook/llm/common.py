@@ -2,77 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch
+
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = " \t\n\u000b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CHUNK = 1024
 
 
-class Scratch:
-    """Tables written to the folder in spark.checkpoint.dir, which all executors share.
-
-    A written table cuts the lineage, survives lost executors and carries its size, so that
-    Spark's own threshold decides later joins. Where the setting is absent, a temporary folder takes
-    its place on a local master, as in tests; on a cluster that is an error, since executors do not
-    share it. Steps drop the tables that nothing reads any more, and the rest goes when the driver
-    ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = tempfile.mkdtemp(prefix="scratch-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.base = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-        self.count = 0
-        self.paths: dict[int, str] = {}
-        atexit.register(self._end)
-
-    def _end(self) -> None:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            self.drop(self.base)
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = self.write(df)
-        saved = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(saved)] = path
-        return saved
-
-    def write(self, df: DataFrame) -> str:
-        self.count += 1
-        path = f"{self.base}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
-        return path
-
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.parquet(path)
-
-    def drop(self, path: str) -> None:
-        """Removes a table that no later step reads."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    def forget(self, *saved: DataFrame) -> None:
-        """Removes saved tables that no later step reads, not even one that is yet to run."""
-        for df in saved:
-            self.drop(self.paths.pop(id(df)))
-
-
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lowers the session's limit of bytes in an Arrow batch, where it is larger, to 4 MB or one row.
 
@@ -160,12 +106,13 @@ def running(steps: Column) -> Column:
     return let(steps, lambda s: F.when(F.size(s) == 0, longs).when(F.size(s) <= CHUNK, within(s)).otherwise(chunked(s)))
 
 
-def spans(text: Column, pattern: str, order: int, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
+def spans(text: Column, pattern: str | Column, order: int, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """The leftmost non-overlapping matches as array<struct<start,k,end,kind,hit>>, in code points.
 
     The pieces between the matches and the matches themselves give every place by running sums,
-    with the regular expressions that the JVM has. keep drops matches by their text.
+    with the regular expressions that the JVM has. pattern may be each row's own. keep drops matches by their text.
     """
+    each = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def place(pieces: Column, hits: Column) -> Column:
         steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: (F.length(p) + F.length(h)).cast("long"))
@@ -175,7 +122,7 @@ def spans(text: Column, pattern: str, order: int, kind: str, keep: Callable[[Col
             lambda e, h: F.struct((e - F.length(h)).alias("start"), F.lit(order).alias("k"), e.alias("end"), F.lit(kind).alias("kind"), h.alias("hit")),
         )
 
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: place(F.split(text, pattern, -1), hits))
+    found = let(F.regexp_extract_all(text, each, F.lit(0)), lambda hits: place(F.split(text, each, -1), hits))
     return F.filter(found, lambda s: keep(s["hit"])) if keep else found
 
 
@@ -200,8 +147,9 @@ def sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def ranked(scratch: Scratch, df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """row_number() from 1 over group by order, with no group in one task.
+def ranked(scratch: Scratch, df: DataFrame, group: list[str], order: list[str], name: str = "rank", total: str | None = None) -> DataFrame:
+    """row_number() from 1 over group by order, with no group in one task; with total, also the
+    running sum of that column as {total}_upto.
 
     Rows are dealt by range of (group, order), numbered within each range, and shifted by the
     rows that earlier ranges hold of the group. The counts are one row a range and group.
@@ -212,13 +160,15 @@ def ranked(scratch: Scratch, df: DataFrame, group: list[str], order: list[str],
     at = scratch.save(
         df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *[F.col(k).asc_nulls_last() for k in keys], "_tie").withColumn("_part", F.spark_partition_id())
     )
-    counts = at.groupBy("_part", *group).agg(F.count("*").alias("_n"))
+    sums = {"_n": F.count("*")} | ({"_t": F.sum(total)} if total else {})
+    counts = at.groupBy("_part", *group).agg(*[v.alias(k) for k, v in sums.items()])
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select("_part", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    shift = counts.select("_part", *group, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_shift") for k in sums])
     inside = Window.partitionBy("_part", *group).orderBy(*[F.col(k).asc_nulls_last() for k in order], "_tie")
-    numbered = at.withColumn("_rn", F.row_number().over(inside)).alias("a")
+    own = {"_rn": F.row_number().over(inside)} | ({"_sum": F.sum(total).over(inside.rowsBetween(Window.unboundedPreceding, 0))} if total else {})
     on = F.col("a._part") == F.col("b._part")
     for g in group:
         on &= F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
-    out = numbered.join(shift.alias("b"), on)
-    return out.select("a.*", (F.col("a._rn") + F.col("b._shift")).cast("long").alias(name)).drop("_part", "_rn", "_tie")
+    out = at.withColumns(own).alias("a").join(shift.alias("b"), on)
+    more = [(F.col("a._sum") + F.col("b._t_shift")).cast("long").alias(f"{total}_upto")] if total else []
+    return out.select("a.*", (F.col("a._rn") + F.col("b._n_shift")).cast("long").alias(name), *more).drop("_part", "_rn", "_sum", "_tie")

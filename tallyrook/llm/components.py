@@ -14,7 +14,8 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     The large star hangs a node's larger neighbours on the smallest, the small star the smaller
     ones; the number of rounds follows the logarithm of the longest path. A node of many
     neighbours is never gathered: its minimum is aggregated and joined back. Each round is
-    written, so lineage stays short. Loops and repeated edges do no harm.
+    written, so lineage stays short. Loops and repeated edges do no harm, edges with a null end are
+    left out, and no edges give no rows.
     """
     e = scratch.write(edges.where("u <> v").select(F.greatest("u", "v").alias("c"), F.least("u", "v").alias("p")).distinct())
     before = None

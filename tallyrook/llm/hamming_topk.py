@@ -12,7 +12,7 @@ from .common import Scratch
 
 @dataclass(frozen=True)
 class Codes:
-    """dims: bits of a code, the signs of so many numbers. seg: bits of a segment, about the
+    """dims: bits of a code, the signs of so many numbers; longer vectors are an error. seg: bits of a segment, about the
     logarithm of the number of different codes. k: neighbours of each query."""
 
     dims: int = 64
@@ -30,9 +30,10 @@ class Codes:
 
 def sign_code(vector: str, rule: Codes) -> Column:
     """The signs of a vector as 64-bit words; a missing or null number counts as not positive.
-    Null for a null vector."""
+    Null for a null vector, an error for one of more numbers than a code has bits."""
     word = lambda w: f"aggregate(sequence(0, 63), 0L, (a, i) -> a | if({w * 64} + i < {rule.dims} and coalesce(get(`{vector}`, {w * 64} + i), 0) > 0, shiftleft(1L, i), 0L))"
-    return F.expr(f"if(`{vector}` is null, null, array({', '.join(word(w) for w in range(rule.words))}))")
+    long = f"if(size(`{vector}`) > {rule.dims}, cast(raise_error('a vector is longer than {rule.dims}') as array<bigint>), null)"
+    return F.expr(f"if(`{vector}` is null, null, coalesce({long}, array({', '.join(word(w) for w in range(rule.words))})))")
 
 
 def _segment(code: str, j: int, rule: Codes) -> Column:
@@ -58,6 +59,8 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, rule: Codes = Codes(),
     distance is no more than that. A code is verified in the round and segment in which it is
     nearest, so once. The radius grows only for queries that are not done.
 
+    A frequent code is one entry, whose members are limited in each partition before they meet; a frequent
+    segment's postings are the different codes that share it, and Spark splits such a join by itself.
     Null vectors are neither found nor answered; null ids are found last in ties and asked for as
     any other; fewer rows than k give all there are; repeated rows are rows of their own, of which
     one of the query's id is left out; an empty table gives an empty result.

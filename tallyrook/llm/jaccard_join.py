@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, Scratch, body, words
+from .common import UPPER, Scratch, body, row_hash, small_batches, words
 from .components import connected_components
 
 
@@ -26,7 +26,9 @@ class Join:
     most frequent first; the table is broadcast, and tokens beyond it are indexed singly.
     single_from: sets of more shingles than this index single tokens, as their combinations would
     be many; sets near it index both ways. stars: rounds that test one member of each list
-    before the rest are tested in full. send: rows of ids that may be broadcast.
+    before the rest are tested in full. send: rows of ids that may be broadcast. length, cuts: a
+    list of more than `length` members, or of more than a `cuts`th of all entries, is dealt into parts of that
+    length; so there are at most `cuts` such lists, whatever the data.
     """
 
     width: int = 3
@@ -37,6 +39,8 @@ class Join:
     single_from: int = 1_500
     stars: int = 2
     send: int = 500_000
+    length: int = 500
+    cuts: int = 100_000
 
 
 #: Bits of every set, and of sets from WIDE_FROM shingles on.
@@ -224,6 +228,26 @@ def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFr
     return shared.where(F.col("i") * rule.den >= (F.col("na") + F.col("nb") - F.col("i")) * rule.num).select("a", "b")
 
 
+def _in_parts(lists: DataFrame) -> DataFrame:
+    """A row for each part of the lists (sig, parts)."""
+    return lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
+def _lists_of(nodes: DataFrame, rule: Join) -> DataFrame:
+    """(sig, part, parts, nid): the lists that have several members. Long ones are dealt into parts by a
+    hash of the member, and are told without a join on what they share."""
+    posts = nodes.select("nid", F.explode("sigs").alias("sig"))
+    total = nodes.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
+    longest = max(rule.length, total // rule.cuts)
+    sizes = posts.groupBy("sig").agg(F.count("*").alias("m"))
+    long = sizes.where(F.col("m") > longest).select("sig", F.ceil(F.col("m") / longest).cast("int").alias("parts"))  # at most rule.cuts rows
+    tagged = posts.join(F.broadcast(long), "sig", "left")
+    cut = tagged.where("parts is not null").select("sig", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int").alias("part"), "parts", "nid")
+    shared = sizes.where((F.col("m") > 1) & (F.col("m") <= longest)).select("sig")
+    plain = tagged.where("parts is null").join(shared, "sig").select("sig", F.lit(0).alias("part"), F.lit(1).alias("parts"), "nid")
+    return cut.unionByName(plain)
+
+
 def jaccard_groups(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, n_shingles, component_id), one row for each of docs.
 
@@ -237,6 +261,7 @@ def jaccard_groups(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id",
     component's id is the smallest id of its documents, null if all are null; repeated rows are
     one node; other columns do not matter; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"))
     hashed = slim.select("_id", _word_hashes(F.col("_text")).alias("w"))
@@ -244,18 +269,16 @@ def jaccard_groups(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id",
     rows = scratch.save(_index(hashed, indexer, rule))
     same = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     nodes = scratch.save(same.withColumn("nid", F.monotonically_increasing_id()))
-    posts = nodes.select("nid", F.explode("sigs").alias("sig"))
-    shared = posts.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
-    lists = scratch.save(posts.join(shared, "sig").select("sig", "nid"))
+    lists = scratch.save(_lists_of(nodes, rule))
     labels = None  # (nid, root) of linked nodes
 
     def placed(at: DataFrame) -> DataFrame:
         """Rows of lists with their component, of the lists that hold several."""
         if labels is None:
             return at.withColumn("root", F.col("nid"))
-        named = at.join(labels, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        open_ = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-        return named.join(open_, "sig")
+        named = scratch.save(at.join(labels, "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+        open_ = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("parts").alias("parts")).where("lo < hi")
+        return named.join(_in_parts(open_.select("sig", "parts")).drop("parts"), ["sig", "part"])
 
     def joined(links: DataFrame) -> DataFrame:
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -265,20 +288,21 @@ def jaccard_groups(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id",
 
     for r in range(rule.stars):
         at = scratch.save(placed(lists))
-        pivot = at.groupBy("sig").agg(F.min_by(F.struct("nid", "root"), F.xxhash64("sig", "nid", F.lit(r))).alias("p"))
-        told = scratch.save(at.join(pivot, "sig").where("nid <> p.nid"))
+        pivot = at.groupBy("sig").agg(F.min_by(F.struct("nid", "root"), F.xxhash64("sig", "nid", F.lit(r))).alias("p"), F.max("parts").alias("parts"))
+        told = scratch.save(at.join(_in_parts(pivot).drop("parts"), ["sig", "part"]).where("nid <> p.nid"))
         pairs = told.where("root <> p.root").select(F.least("nid", "p.nid").alias("a"), F.greatest("nid", "p.nid").alias("b")).distinct()
         near = _with_ends(pairs, nodes, "bits").where(_near("x", "y", rule)).select("a", "b")
         labels = joined(_verified(scratch, slim, nodes, near, rule))
         # the member that was tested against all others has done its part
-        lists = told.select("sig", "nid")
+        lists = told.select("sig", "part", "parts", "nid")
 
     at = scratch.save(placed(lists).join(nodes.select("nid", "n", "bits"), "nid"))
-    sizes = at.groupBy("sig", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-    told = scratch.save(at.join(main, "sig"))
-    few, every = told.where("root <> main").alias("x"), told.alias("y")
-    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.nid") < F.col("y.nid")))
+    sizes = at.groupBy("sig", "root").agg(F.count("*").alias("m"), F.max("parts").alias("parts"))
+    main = sizes.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("parts").alias("parts"))
+    told = scratch.save(at.join(_in_parts(main).drop("parts"), ["sig", "part"]))
+    # each member outside the largest component meets every part of its list
+    few, every = _in_parts(told.where("root <> main").drop("part")).alias("x"), told.alias("y")
+    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.nid") < F.col("y.nid")))
     rest = few.join(every, across & _near("x", "y", rule)).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
     labels = joined(_verified(scratch, slim, nodes, rest, rule))
 
@@ -292,14 +316,16 @@ def jaccard_groups(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id",
 
 def keep_first(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each group: the one of the smallest id stays, and one
-    of rows that repeat it. Documents without an id stay only if no document with an id is in
-    their group, one for each different text."""
-    groups = Scratch(docs.sparkSession).save(jaccard_groups(docs, rule, id_col, text_col).select("_id", "component_id"))
-    first = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.count("*").alias("_copies"))
-    kept = docs.alias("d").join(first.alias("f"), F.col(f"d.{id_col}").eqNullSafe(F.col("f._id"))).select("d.*", "f._copies")
-    alone = kept.where("_copies = 1")
-    again = kept.where("_copies > 1").withColumn("_text_md5", F.md5(body(text_col))).dropDuplicates([id_col, "_text_md5"])
-    return alone.drop("_copies").unionByName(again.drop("_copies", "_text_md5"))
+    of rows that repeat id and text, the least by a hash of the whole row. Documents without an id stay
+    only if no document with an id is in their group, one for each different text; null and empty
+    texts have no group and stay. Columns may have any names; an empty table stays empty."""
+    scratch = Scratch(docs.sparkSession)
+    groups = scratch.save(jaccard_groups(docs, rule, id_col, text_col).select("_id", "component_id"))
+    first = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.count("*").alias("copies"))
+    whole = docs.select(F.col(id_col).alias("_id"), F.md5(body(text_col)).alias("text"), row_hash(docs).alias("order"), F.struct("*").alias("row"))
+    kept = whole.alias("d").join(first.alias("f"), F.col("d._id").eqNullSafe(F.col("f._id"))).select("d.*", "f.copies")
+    again = kept.where("copies > 1").groupBy("_id", "text").agg(F.min_by("row", "order").alias("row"))
+    return kept.where("copies = 1").select("row").unionByName(again.select("row")).select("row.*")
 
 
 def report(groups: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"[\p{L}\p{N}]{4,}"
+LETTER = r"[\p{L}\p{N}]"
+TERM = LETTER + "{4,}"
 
 
 @dataclass(frozen=True)
@@ -136,8 +137,10 @@ def find_pii(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "
     based = salted.join(dealt, ["key", "salt"], "left").withColumn("base", base_spans(F.col("t")))
     strength = lambda s: F.col("told")[F.lower(s["hit"])]
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    # only the telling terms are looked for: of all terms of a text they are few
+    whole = F.concat(F.lit(rf"(?iu)(?<!{LETTER})(?:"), F.array_join(F.sort_array(F.map_keys("told")), "|"), F.lit(rf")(?!{LETTER})"))
     added = F.transform(
-        F.filter(spans(F.col("t"), TERM, 4, "term"), lambda s: strength(s).isNotNull() & free(s)),
+        F.filter(spans(F.col("t"), whole, 4, "term"), lambda s: strength(s).isNotNull() & free(s)),
         lambda s: s.withField("kind", F.when(strength(s) >= rule.remove, F.lit("term")).otherwise(F.lit("class"))),
     )
     found = based.select("row", F.when(F.col("told").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added))).alias("pii"))
@@ -146,7 +149,8 @@ def find_pii(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "
 
 def sanitise(found: DataFrame, text_col: str = "text") -> DataFrame:
     """The text with entities marked by kind, telling terms removed and weaker ones generalised
-    to the sort of word they are."""
+    to the sort of word they are. Null and empty texts, and texts without spans, stay as they are; all
+    rows and other columns stay."""
     sort = lambda h: F.when(h.rlike("[0-9]"), F.lit("[number]")).when(h.rlike(r"^\p{Lu}"), F.lit("[name]")).otherwise(F.lit("[word]"))
     mark = lambda s: F.when(s["kind"] == "term", F.lit("")).when(s["kind"] == "class", sort(s["hit"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     text = F.col(text_col)

@@ -65,7 +65,7 @@ def _repeated(w: Column) -> Column:
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and
-    the features. One pass over whole texts."""
+    the features; columns of these names, and _w, _bare, _dup and _lines, are replaced. One pass over whole texts."""
     text = body(text_col)
     full = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
     s = docs.withColumns({

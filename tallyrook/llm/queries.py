@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +48,10 @@ def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
-    """The tokenizer's file, from TOKENIZER_FILE if that is set."""
+    """The file of the tokenizer that op8 is held against."""
     import public_tokenizers
 
-    return os.environ.get("TOKENIZER_FILE") or str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

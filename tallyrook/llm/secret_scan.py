@@ -101,18 +101,38 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((s for s in sets if not any(o < s for o in sets)), key=sorted)
 
 
+#: A text is read in parts of so many characters, which bounds the trigrams that are held at once.
+PART = 1 << 16
+
+
+def _one_of(grams: Sequence[str]) -> str:
+    """A pattern for any of the trigrams, as a tree over their characters."""
+    own = lambda c: f"\\u{ord(c):04x}"
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in sorted(grams):
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+    return "|".join(own(a) + "(?:" + "|".join(own(b) + "[" + "".join(map(own, cs)) + "]" for b, cs in bs.items()) + ")" for a, bs in tree.items())
+
+
+def held_grams(text: Column, grams: Sequence[str]) -> Column:
+    """Which of the trigrams a lower-case text holds, each once, by one pass over it."""
+    if not grams:
+        return F.array().cast("array<string>")
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{PART + 2}}})).{{1,{PART}}}"), F.lit(1))
+    found = lambda p: F.array_distinct(F.regexp_extract_all(p, F.lit(f"(?=({_one_of(grams)}))"), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(parts, found)))
+
+
 def postings(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The inverted index as (trigram, id): one posting for each trigram of the queries that a
-    text holds, and one under the rule's own name for texts that a full scan has found."""
+    text holds, and one under the rule's own name for texts that a full scan has found. However
+    many trigrams the rules have, a text is read once for them all."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     grams = sorted({g for q in queries.values() for s in q or () for g in s})
-    low = F.lower(body(text_col))
-    held = [F.when(F.contains(F.col("_low"), F.lit(g)), F.lit(g)) for g in grams]
-    held += [F.when(F.col("_text").rlike(r.run or r.pattern), F.lit(f"scan:{r.kind}")) for r in rules if queries[r.kind] is None]
-    return (
-        docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"), low.alias("_low"))
-        .select("_id", F.explode(F.array_compact(F.array(*held))).alias("trigram"))
-    )
+    scans = [F.when(F.col("_text").rlike(r.run or r.pattern), F.lit(f"scan:{r.kind}")) for r in rules if queries[r.kind] is None]
+    text = docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"))
+    found = F.concat(held_grams(F.lower("_text"), grams), F.array_compact(F.array(*scans)).cast("array<string>"))
+    return text.select("_id", F.explode(found).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +163,8 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the spans of `secrets` replaced by a mark; spans that overlap are one."""
+    """docs with the spans of `secrets` replaced by a mark; spans that overlap are one. Null and empty
+    texts, and texts without spans, stay as they are; all rows and other columns stay."""
 
     def cut(text: Column, found: Column) -> Column:
         step = F.aggregate(

@@ -14,18 +14,17 @@ from .common import Scratch, body, ranked
 class Balance:
     """shards: how many. rounds: propagation steps. filler: unlinked documents up to so many times
     the mean size may be dealt last, to even out. buckets: classes of documents by hash, by which
-    quotas admit moves. part: documents that one task numbers together."""
+    quotas admit moves."""
 
     shards: int = 24
     rounds: int = 4
     filler: float = 2.0
     buckets: int = 1024
-    part: int = 20_000
 
 
 def _deal(scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
     """A first balanced state: documents by falling size are dealt forth and back over shards."""
-    r = ranked(scratch, rows.withColumn("_neg", -F.col("size")), [], ["_neg", "_key"], "_rank")
+    r = ranked(scratch, rows.withColumn("_neg", -F.col("size")), [], ["_neg", "_key", "text_crc32"], "_rank")
     turn = F.pmod(F.col("_rank") - 1, F.lit(2 * n))
     return r.withColumn("shard", F.when(turn < n, turn).otherwise(2 * n - 1 - turn).cast("int")).drop("_neg", "_rank")
 
@@ -35,7 +34,8 @@ def _propagate(scratch: Scratch, linked: DataFrame, still: DataFrame, mean: Data
 
     Each asks for the shard that holds most bytes of its group. A shard admits requests, in the
     order of a hash, while what it holds apart from fillers stays below the mean. Which fit is read
-    off running sums over hash buckets: shards times buckets rows, whatever the data.
+    off running sums over hash buckets: shards times buckets rows, whatever the data, of which a task has
+    those of a shard.
     """
     held = linked.groupBy("group", "shard").agg(F.sum("size").alias("b"))
     best = held.groupBy("group").agg(F.max(F.struct("b", (-F.col("shard")).alias("s"))).alias("m")).select("group", (-F.col("m.s")).alias("goal"))
@@ -50,23 +50,19 @@ def _propagate(scratch: Scratch, linked: DataFrame, still: DataFrame, mean: Data
     return moved.withColumn("shard", F.when(F.col("bucket") <= F.col("last"), F.col("goal")).otherwise(F.col("shard"))).select(*linked.columns)
 
 
-def _fill(fillers: DataFrame, loads: DataFrame, rule: Balance) -> DataFrame:
+def _fill(scratch: Scratch, fillers: DataFrame, loads: DataFrame) -> DataFrame:
     """fillers with the shard in which they raise all shards to one level.
 
     loads: (shard, load), a row for each shard. The level is where the fillers' bytes fill the
-    lowest shards evenly. Fillers in the order of a hash then run through the shards' gaps, by
-    running sums within parts and over parts.
+    lowest shards evenly. Fillers in the order of a hash then run through the shards' gaps, by running sums.
     """
-    total = fillers.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("f"), F.ceil((F.count("*") + 1) / rule.part).cast("int").alias("parts"))
+    total = fillers.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("f"))  # one row
     low = Window.orderBy("load", "shard")
     level = loads.join(F.broadcast(total), F.lit(True)).withColumn("l", (F.col("f") + F.sum("load").over(low)) / F.row_number().over(low))
     gaps = level.withColumn("gap", F.greatest(F.min("l").over(Window.partitionBy()) - F.col("load"), F.lit(0.0)))
-    ends = gaps.withColumn("end", F.sum("gap").over(Window.orderBy("shard"))).agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"), F.first("parts").alias("parts"))
-    f = fillers.join(F.broadcast(ends), F.lit(True)).withColumn("_part", F.pmod(F.xxhash64("_key", "_row"), F.col("parts")).cast("int"))
-    sums = f.groupBy("_part").agg(F.sum("size").alias("b"))
-    shift = sums.withColumn("_shift", F.sum("b").over(Window.orderBy("_part")) - F.col("b")).drop("b")
-    f = f.withColumn("_in", F.sum("size").over(Window.partitionBy("_part").orderBy("_key", "_row"))).join(F.broadcast(shift), "_part")
-    mid = F.col("_shift") + F.col("_in") - F.col("size") / 2
+    ends = gaps.withColumn("end", F.sum("gap").over(Window.orderBy("shard"))).agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))  # one row
+    f = ranked(scratch, fillers, [], ["_key", "size"], "_nth", "size").join(F.broadcast(ends), F.lit(True))
+    mid = F.col("size_upto") - F.col("size") / 2
     nth = F.size(F.filter("ends", lambda e: e["end"] <= mid))
     return f.withColumn("shard", F.get("ends", F.least(nth, F.size("ends") - 1))["shard"]).select(*fillers.columns)
 
@@ -78,7 +74,8 @@ def shard_documents(docs: DataFrame, rule: Balance = Balance(), id_col: str = "d
     pairs, so a group of any size costs its members. All start in a balanced deal by size; then
     propagation moves linked documents towards the shard of most of their group, under quotas that
     leave no shard above the mean, so that a group larger than the room stays split; last, small unlinked
-    documents are dealt anew to bring all shards to one level. Slots count from 0 in each shard.
+    documents are dealt anew to bring all shards to one level. Slots count from 0 in each shard, in the order of
+    a hash of id and text; reruns agree, however the table is cut into tasks.
     Null and empty texts have 8 bytes and are not linked; repeated rows are documents of their own,
     linked; other columns do not matter; an empty table stays empty.
     """
@@ -90,7 +87,7 @@ def shard_documents(docs: DataFrame, rule: Balance = Balance(), id_col: str = "d
         F.crc32(body(text_col).cast("binary")).cast("long").alias("text_crc32"),
         F.when(F.length(text) > 0, F.md5(text)).alias("group"),
     ).withColumn("_key", F.md5(F.concat_ws(":", F.col("_id").cast("string"), "text_crc32")))
-    dealt = scratch.save(_deal(scratch, slim, rule.shards).withColumn("_row", F.monotonically_increasing_id()))
+    dealt = scratch.save(_deal(scratch, slim, rule.shards))
     # written, so that the join deals both sides anew and a large group can be split
     many = scratch.save(dealt.where("group is not null").groupBy("group").agg(F.count("*").alias("_m")).where("_m > 1").select("group", F.lit(True).alias("_linked")))
     mean = scratch.save(dealt.agg((F.sum("size") / rule.shards).alias("mean"), F.avg("size").alias("each")))  # one row
@@ -104,13 +101,9 @@ def shard_documents(docs: DataFrame, rule: Balance = Balance(), id_col: str = "d
         linked = scratch.save(_propagate(scratch, linked, still, mean, rule))
     firm = linked.unionByName(dealt.where("_kind = 'large'"))
     loads = shards.join(firm.groupBy("shard").agg(F.sum("size").alias("own")), "shard", "left").select("shard", F.coalesce("own", F.lit(0)).alias("load"))
-    placed = scratch.save(firm.unionByName(_fill(dealt.where("_kind = 'filler'"), loads, rule)))
-    per = placed.groupBy("shard").agg(F.ceil(F.count("*") / rule.part).cast("int").alias("_parts"))
-    cut = placed.join(F.broadcast(per), "shard").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))  # one row a shard
-    counts = cut.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    shift = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    out = cut.withColumn("_rn", F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_key", "_row"))).join(shift, ["shard", "_part"])
-    return out.select("_id", "size", "text_crc32", "group", "shard", (F.col("_rn") - 1 + F.col("_shift")).cast("long").alias("slot"))
+    placed = scratch.save(firm.unionByName(_fill(scratch, dealt.where("_kind = 'filler'"), loads)))
+    out = ranked(scratch, placed, ["shard"], ["_key", "size"], "slot")
+    return out.select("_id", "size", "text_crc32", "group", "shard", (F.col("slot") - 1).alias("slot"))
 
 
 def report(sharded: DataFrame) -> DataFrame:

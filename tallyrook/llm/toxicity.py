@@ -135,12 +135,12 @@ class Grammar:
 
         return Known()
 
-    def features(self, texts: Iterable[str]) -> np.ndarray:
+    def features(self, texts: Iterable[str], known: dict | None = None) -> np.ndarray:
         """Of each text: 1, log of the best clause, log of the number of clauses with a match, and
-        their share of all clauses."""
+        their share of all clauses. known: a reader that is kept from batch to batch."""
         nxt, factor = compose(GRAMMAR)
         nxt, factor = nxt.tolist(), factor.tolist()
-        known, out = self.reader(), []
+        known, out = self.reader() if known is None else known, []
         for text in texts:
             read = [known[w] for w in _WORD.findall(text)]
             if not any(k in (INSULT, HURT) for k, _, _ in read):
@@ -161,8 +161,8 @@ class Grammar:
             out.append((1.0, math.log1p(best), math.log1p(matched), matched / clauses))
         return np.array(out, float).reshape(-1, FEATURES)
 
-    def scores(self, texts: Iterable[str]) -> np.ndarray:
-        z = np.clip(self.features(texts) @ np.array(self.weights), -30, 30)
+    def scores(self, texts: Iterable[str], known: dict | None = None) -> np.ndarray:
+        z = np.clip(self.features(texts, known) @ np.array(self.weights), -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
@@ -251,8 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, rule: Fit = Fit(), id_col: str = "do
     columns = [f"f{i}" for i in range(FEATURES)]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = grammar.reader()
         for b in batches:
-            yield pd.DataFrame(grammar.features(b["_text"]), columns=columns).assign(y=b["_y"].to_numpy())
+            yield pd.DataFrame(grammar.features(b["_text"], known), columns=columns).assign(y=b["_y"].to_numpy())
         release()
 
     got = rows.mapInPandas(measure, ", ".join(f"{c} double" for c in columns) + ", y int").toPandas()  # at most rule.sample rows
@@ -271,8 +272,10 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFram
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = grammar.reader()
         for texts in batches:
-            yield pd.Series(grammar.scores(texts))
+            yield pd.Series(grammar.scores(texts, known))
+        known.clear()
         release()
 
     return docs.withColumn("score", rate(body(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

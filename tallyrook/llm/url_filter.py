@@ -22,14 +22,13 @@ class Automaton:
     """Multiword Shift-And masks: bit i of a pattern says that i of its characters are read.
 
     step[w, c]: states that character c moves on; stay[w, c]: states at a wildcard that c keeps;
-    first, last: a pattern's first and last state. All have one 64-bit word for each 64 states.
+    first: the patterns' first states; last: each one's last. Masks have one 64-bit word for each 64 states.
     """
 
     step: np.ndarray
     stay: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    owner: tuple[int, ...]
 
     @staticmethod
     def of(globs: Sequence[str]) -> Automaton:
@@ -50,7 +49,7 @@ class Automaton:
                     loop, i = "", i + 1
             last.append(len(chars) - 1)
         n = -(-len(chars) // 64)
-        step, stay, f, e = (np.zeros((n, 256), np.uint64) for _ in range(4))
+        step, stay = (np.zeros((n, 256), np.uint64) for _ in range(2))
         for s, (c, loop) in enumerate(zip(chars, loops)):
             bit = np.uint64(1 << (s % 64))
             if c is None:
@@ -61,11 +60,10 @@ class Automaton:
                 stay[s // 64] |= bit
             if loop == "*":
                 stay[s // 64, ord("/")] &= ~bit
-        start, end = np.zeros(n, np.uint64), np.zeros((len(globs), n), np.uint64)
-        for k, (a, b) in enumerate(zip(first, last)):
+        start = np.zeros(n, np.uint64)
+        for a in first:
             start[a // 64] |= np.uint64(1 << (a % 64))
-            end[k, b // 64] |= np.uint64(1 << (b % 64))
-        return Automaton(step, stay, start, end, tuple(range(len(globs))))
+        return Automaton(step, stay, start, np.array(last, np.int64))
 
     def match(self, strings: Sequence[bytes]) -> np.ndarray:
         """Which pattern takes which whole string: bool[string, pattern]. All strings advance a
@@ -87,7 +85,10 @@ class Automaton:
             up = moved << one
             up[:, 1:] |= moved[:, :-1] >> top
             state[:live] = up | (now & self.stay[:, c].T)
-        got = ((state[:, None, :] & self.last[None, :, :]) != 0).any(axis=2)
+        # a pattern has matched if its last bit is set, which stands in one word
+        got = np.empty((n, len(self.last)), bool)
+        for k, s in enumerate(self.last.tolist()):
+            got[:, k] = state[:, s // 64] >> np.uint64(s % 64) & one
         out = np.empty_like(got)
         out[order] = got
         return out
@@ -127,9 +128,10 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = BASE,
         return pd.DataFrame({"rule": rule, "verdict": verdict})
 
     host, path = host_path(F.col(url_col))
-    out = pages.withColumns({"host": host, "path": path})
-    out = out.withColumn("_judged", judge(F.concat("host", "path")))
-    return out.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    # the caller's columns stay wrapped, so that none can clash with those between
+    wrapped = pages.drop("host", "path", "rule", "verdict").select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
+    out = wrapped.withColumn("judged", judge(F.concat("host", "path")))
+    return out.select("row.*", "host", "path", "judged.rule", "judged.verdict")
 
 
 def report(judged: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -58,6 +58,15 @@ def test_secrets(spark):
     assert got[12]["spans"] == "pem:0:31" and got[13]["spans"].startswith("forge:0:40")
 
 
+def test_grams_of_long_texts(spark):
+    """One pass finds the trigrams that a text holds, over the borders of its parts, too."""
+    grams = sorted({g for r in secret_scan.RULES for q in secret_scan.trigram_query(r.pattern) or () for g in q})
+    texts = ["", "token", "x" * (secret_scan.PART - 1) + "akia" + "é" * 70_000 + "secret", "😀" * (secret_scan.PART - 2) + "eyJ", "-----BEGIN", "tok oken", "ab\ntok\nen"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secret_scan.held_grams(F.lower("t"), grams).alias("g"))
+    for t, g in df.collect():
+        assert sorted(g) == [x for x in grams if x in t.lower()], t[:30]
+
+
 def test_secret_index_loses_nothing(spark):
     """Every text that a rule matches is a candidate of the rule."""
     found = {r["_id"]: set(r["kinds"]) for r in secret_scan.candidates(docs_of(spark, SECRETS)).collect()}
@@ -250,7 +259,7 @@ def test_outliers_that_one_start_misses(spark):
     assert (d2[250:] > rule.cutoff).all() and (d2[:250] <= rule.cutoff).all()
 
 
-@pytest.mark.parametrize("rule", [jaccard_join.Join(), jaccard_join.Join(width=5, num=80), jaccard_join.Join(classes=((2, 2, 2), (6, 3, 2)), single_from=40, stars=1)])
+@pytest.mark.parametrize("rule", [jaccard_join.Join(), jaccard_join.Join(width=5, num=80), jaccard_join.Join(length=3, cuts=1000, stars=1), jaccard_join.Join(classes=((2, 2, 2), (6, 3, 2)), single_from=40, stars=1)])
 def test_jaccard(spark, rule):
     rng = np.random.default_rng(3)
     texts = [None, "", "one", "one two", "One TWO", "one two three"]
@@ -348,6 +357,9 @@ def test_topk(spark):
     for q in range(0, 400, 10):
         assert got[q] == sorted((int((codes[q] != c).sum()), i) for i, c in codes.items() if i != q)[:10]
     assert 400 not in got
+    with pytest.raises(Exception, match="longer than 64"):
+        long = spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<double>")
+        hamming_topk.nearest_codes(long, long, rule).collect()
 
 
 TEXTS = [None, "", " ", "Hello world! It's 12345 o'clock...  \n\n\tdon't", "<|endoftext|>a<|endoftext|><|endoftext|> b", "été \u00a0 x\u0085y", "日本語 テキスト 😀😀", "a\u2028b \u200b c", "''s 's  's", "x" * 3000, "١٢٣ ½ ² Ⅷ", "\x1c\x1d \x00"]
@@ -409,6 +421,77 @@ def test_sharding(spark):
     assert sum(out.loc[i, "shard"] == pairs[t] for i, t in enumerate(texts) if t and t.startswith("pair")) >= 76
 
 
+def shards_by_brute_force(rows, rule):
+    """Each document's shard by plain Python, from the balanced deal through the rounds of propagation to the fillers."""
+    import zlib
+
+    import xxhash
+
+    n = rule.shards
+    docs = []
+    for i, t in rows:
+        b = (t or "").encode()
+        crc = zlib.crc32(b)
+        key = hashlib.md5(":".join(([] if i is None else [str(i)]) + [str(crc)]).encode()).hexdigest()
+        docs.append({"id": i, "size": len(b) + 8, "crc": crc, "group": hashlib.md5(b).hexdigest() if t else None, "key": key, "bucket": xxhash.xxh64_intdigest(key, 42) % rule.buckets})
+    for r, d in enumerate(sorted(docs, key=lambda d: (-d["size"], d["key"]))):
+        d["shard"] = r % (2 * n) if r % (2 * n) < n else 2 * n - 1 - r % (2 * n)
+    many, mean, each = Counter(d["group"] for d in docs if d["group"]), sum(d["size"] for d in docs) / n, sum(d["size"] for d in docs) / len(docs)
+    for d in docs:
+        d["kind"] = "linked" if many[d["group"]] > 1 else "filler" if d["size"] <= rule.filler * each else "large"
+    load = lambda kinds: {s: sum(d["size"] for d in docs if d["shard"] == s and d["kind"] in kinds) for s in range(n)}
+    still, linked = load(["large"]), [d for d in docs if d["kind"] == "linked"]
+    for _ in range(rule.rounds):
+        held, own = defaultdict(Counter), load(["linked"])
+        for d in linked:
+            held[d["group"]][d["shard"]] += d["size"]
+        goal = {g: max(c.items(), key=lambda x: (x[1], -x[0]))[0] for g, c in held.items()}
+        flow = defaultdict(Counter)
+        for d in linked:
+            if goal[d["group"]] != d["shard"]:
+                flow[goal[d["group"]]][d["bucket"]] += d["size"]
+        last = {}
+        for s, c in flow.items():
+            upto = 0
+            for b in sorted(c):
+                upto += c[b]
+                if upto <= mean - still[s] - own[s]:
+                    last[s] = b
+        for d in linked:
+            if d["bucket"] <= last.get(goal[d["group"]], -1):
+                d["shard"] = goal[d["group"]]
+    fillers, firm = sorted((d for d in docs if d["kind"] == "filler"), key=lambda d: (d["key"], d["size"])), load(["linked", "large"])
+    low = sorted((b, s) for s, b in firm.items())
+    level = min((sum(d["size"] for d in fillers) + sum(b for b, _ in low[: k + 1])) / (k + 1) for k in range(n))
+    ends, upto = [], 0.0
+    for s in range(n):
+        upto += max(level - firm[s], 0.0)
+        ends.append((upto, s))
+    ends.sort()
+    at = 0
+    for d in fillers:
+        at += d["size"]
+        d["shard"] = ends[min(sum(e <= at - d["size"] / 2 for e, _ in ends), n - 1)][1]
+    return docs
+
+
+@pytest.mark.parametrize("rule", [sharding.Balance(), sharding.Balance(shards=3, rounds=2, filler=1.0, buckets=16)])
+def test_sharding_by_brute_force(spark, rule):
+    """The same shards as plain Python gives, and slots in the order of the keys; large groups, nulls and repeats included."""
+    rng = np.random.default_rng(14)
+    texts = [None, "", "é" * 50] * 9 + ["hot copy of a text"] * 200 + [f"text {i} " * int(k) for i, k in enumerate(rng.integers(1, 30, 250))] + [f"group {i}" * 9 for i in range(30)] * 6
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "again"), (3, "again"), (None, "no id")]
+    want = Counter((d["id"], d["size"], d["crc"], d["shard"]) for d in shards_by_brute_force(rows, rule))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (docs, docs.repartition(7)):
+        got = sharding.shard_documents(df, rule).collect()
+        assert Counter((r["_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == want
+    for s in range(rule.shards):
+        mine = sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])
+        keys = [hashlib.md5(":".join(([] if r["_id"] is None else [str(r["_id"])]) + [str(r["text_crc32"])]).encode()).hexdigest() for r in mine]
+        assert [r["slot"] for r in mine] == list(range(len(mine))) and keys == sorted(keys)
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(8)
     rows = [(i, "w " * int(n), f"s{i % 7}" if i % 7 else None) for i, n in enumerate(rng.integers(0, 60, 900))] + [(7, "w w", "s0")] * 3
@@ -548,21 +631,60 @@ def test_empty_tables(spark):
         assert out.count() == 0
 
 
+CLASH = ["secrets", "pii", "score", "predicted", "size", "shard", "slot", "n_words", "group", "hit", "row", "key", "t", "told", "base", "salt", "part", "_id", "_text", "_h", "_copies", "_rows", "_row", "_i", "_base", "_key", "_bucket", "_order",
+         "_text_md5", "order", "copies", "_lines", "x0", "g", "d2", "m0", "l00", "_judged", "_tie", "_part", "_rank", "_hash", "distance", "kept"]
+
+
 def test_nulls_and_repeats_everywhere(spark):
+    """Null, empty and repeated rows, and columns of every name that a step uses; those that are not an operator's own stay."""
     rows = [(None, None, None, None, None)] * 3 + [(1, "a b c token=abcdefgh x@y.zz", "en", "s", 5)] * 3 + [(None, "a b c token=abcdefgh x@y.zz", "en", "s", 5)] * 2 + [(2, "", None, "s", 0)]
-    docs = spark.createDataFrame(rows, DOCS).withColumns({"secrets": F.lit(1), "pii": F.lit(1), "score": F.lit(1), "size": F.lit(1), "shard": F.lit(1), "n_words": F.lit(1), "group": F.lit(1), "hit": F.lit(1)})
-    assert secret_scan.report(secret_scan.scan_secrets(docs)).agg(F.sum("n_assign"), F.count("*")).first()[:] == (5, 9)
-    assert pii.report(pii.find_pii(docs)).agg(F.sum("n_email"), F.count("*")).first()[:] == (5, 9)
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("user's") for c in CLASH})
+
+    def stays(out, own):
+        assert set(out.columns) == set(docs.columns) | set(own)
+        assert all(r[c] == "user's" for r in out.collect() for c in CLASH if c not in own)
+        return out
+
+    scanned = stays(secret_scan.scan_secrets(docs), ["secrets"])
+    stays(secret_scan.redact(scanned), ["secrets"])
+    assert secret_scan.report(scanned).agg(F.sum("n_assign"), F.count("*")).first()[:] == (5, 9)
+    found = stays(pii.find_pii(docs), ["pii"])
+    stays(pii.sanitise(found), ["pii"])
+    assert pii.report(found).agg(F.sum("n_email"), F.count("*")).first()[:] == (5, 9)
     assert quality_rules.report(quality_rules.judge_quality(docs)).count() == 9
     assert bpe.report(bpe.encode_decode(docs, tokenizer_path())).count() == 9
     assert sharding.report(sharding.shard_documents(docs)).count() == 9
     assert mixing.report(mixing.mix_sources(docs)).count() == 9
-    assert mixing.take(docs).columns == docs.columns
+    taken = stays(mixing.take(docs), [])
+    assert taken.columns == docs.columns
     got = jaccard_join.jaccard_groups(docs).collect()
     assert len(got) == 9 and {r["component_id"] for r in got if r["n_shingles"] > 0} == {1}
-    kept = jaccard_join.keep_first(docs)
+    kept = stays(jaccard_join.keep_first(docs), [])
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {1, 2}
-    assert toxicity.report(toxicity.score(docs, toxicity.Grammar({}))).count() == 9
+    assert stays(toxicity.score(docs, toxicity.Grammar({})), ["score", "predicted"]).count() == 9
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), *CLASH)
+    judged = url_filter.filter_urls(pages)
+    assert judged.count() == 9 and all(r[c] == "user's" for r in judged.collect() for c in CLASH)
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    vectors = docs.select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id").isNotNull(), F.array(F.lit(1.0), F.lit(-1.0))).alias("embedding"), *CLASH)
+    hits = hamming_topk.nearest_codes(vectors, vectors.where("vec_id = 1 or vec_id is null"), hamming_topk.Codes(seg=4)).collect()
+    assert sorted((r["query"], r["rank"], r["neighbour"]) for r in hits) == sorted([(1, 1, 1), (1, 2, 1), (1, 3, 2)] * 3)
+
+
+def test_stages_hold_for_any_rows(spark):
+    """Every stage of the pipeline on empty tables, nulls, repeats, extra columns and a very long text."""
+    import corpus_pipeline as cp
+
+    long = " ".join(f"word{i % 977}x{i}" for i in range(60_000)) + " token=abcdefgh12"
+    rows = [(None, None, None, None, None)] * 2 + [(1, "a b c token=abcdefgh x@y.zz", "en", "s", 5)] * 3 + [(2, "", None, "s", 0), (3, long, "en", None, len(long)), (4, long + " end", "en", None, len(long))]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"row": F.lit(1), "_h": F.lit(2)})
+    for name, stage in cp.STAGES:
+        out, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+        assert none.count() == 0 and (name == "tokens" or out.columns == docs.columns), name
+        ids = {r["doc_id"] for r in out.collect()}
+        assert ids == ({None, 1, 2, 3} if name == "near_copies" else ids & {None, 1, 2, 3, 4}) and {1, 3} <= ids, name
+    masked = {r["doc_id"]: r for r in cp.mask_secrets(spark, docs, SF).collect()}
+    assert masked[3]["text"] == long.replace("token=abcdefgh12", "[SECRET]") and masked[3]["n_chars"] == len(masked[3]["text"])
 
 
 def test_pipeline(spark):
