@@ -707,3 +707,92 @@ def test_pipeline(spark):
     out = cp.tokenize(spark, mixed, SF)
     assert out.count() == mixed.count()
     assert [name for name, _ in cp.STAGES] == ["toxicity", "near_copies", "secrets", "mix", "tokens"]
+
+
+def toxic_by_hand(g, text):
+    """Whether a text scores 0.5 or more, each transducer stepped on its own."""
+    reader, clauses, part, own = g.reader(), [], 0.0, [0] * len(toxicity.GRAMMAR)
+    for w in WORD.findall(text):
+        kind, ends, weight = reader[w]
+        steps = [t.step(q, kind) for t, q in zip(toxicity.GRAMMAR, own)]
+        f, own = float(np.prod([x for _, x in steps])), [q for q, _ in steps]
+        part = part + weight * f if kind in (toxicity.INSULT, toxicity.HURT) else part * f if kind == toxicity.WHOM else part
+        if ends:
+            clauses, part, own = [*clauses, part], 0.0, [0] * len(toxicity.GRAMMAR)
+    clauses.append(part)
+    found = sum(c >= toxicity.MATCH for c in clauses)
+    return np.dot(g.weights, [1, np.log1p(max(clauses)), np.log1p(found), found / len(clauses)]) >= 0
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() over a small folder against plain Python: clauses, all pairs of shingle sets, regular expressions,
+    prefix sums per source and the tokenizers library."""
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(21)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))
+    texts = [prose(int(n)) for n in rng.integers(3, 60, 90)]
+    for base in (texts[5] + " " + prose(60), texts[6] + " " + prose(80)):  # near and exact copies
+        for _ in range(4):
+            w = base.split()
+            w[int(rng.integers(0, len(w)))] = "changed"
+            texts += [" ".join(w), base]
+    texts += [f"{prose(20)} you utter moron. {prose(9)} idiot and moron! {prose(5)}" for _ in range(30)]
+    texts += [None, "", "  "] + [f"{prose(12)} token=abcdef{i}234 {prose(4)} ghp_{'a' * 36} end" for i in range(12)]
+    rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, int("moron" in (t or ""))) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in cp.run(spark, str(tmp_path)).collect())
+
+    g = toxicity.fit(spark.createDataFrame(rows, DOCS), labels)
+    docs = [r for r in rows if not toxic_by_hand(g, r[1] or "")]
+    assert len(rows) - len(docs) == 30
+    shingles = lambda t: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := WORD.findall((t or "").lower())) else frozenset()
+    sets, root = [shingles(r[1]) for r in docs], list(range(len(docs)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = [r for a, r in enumerate(docs) if find(a) == a]
+    assert len(docs) <= 90 + 3 + 12 + 4
+
+    def masked(t):
+        spans = sorted((m.start(), m.end()) for r in secret_scan.RULES for m in re.finditer(r.pattern, t) if len(m[r.group]) >= r.least)
+        out, at = [], 0
+        for a, b in spans:
+            out += [] if a < at else [t[at:a], "[SECRET]"]
+            at = max(at, b)
+        return "".join(out) + t[at:]
+
+    docs = [(i, None if t is None else masked(t), s) for i, t, _, s, _ in docs]
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in docs}
+    held = Counter()
+    for i, _, s in docs:
+        held[s] += size[i]
+    order = sorted(held, key=lambda s: (s is None, s or ""))
+    weight, total, free, target = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(held.values()), set(order), {}
+    while free:
+        level = total / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > 2 * held[s]}
+        target |= {s: 2.0 * held[s] for s in over} if over else {s: weight[s] * level for s in free}
+        total -= sum(2 * held[s] for s in over)
+        free = free - over if over else set()
+    tokenizer, want = Tokenizer.from_file(tokenizer_path()), Counter()
+    for s in order:
+        rate = min(target[s] / held[s], 2.0) if held[s] else 0.0
+        u = int(hashlib.md5(f"7:{chr(0) if s is None else s}".encode()).hexdigest()[:8], 16) / 4294967296.0
+        mine = sorted((r for r in docs if r[2] == s), key=lambda r: (size[r[0]], hashlib.md5(str(r[0]).encode()).hexdigest()))
+        for k, (i, t, _) in enumerate(mine):
+            copies = min(int(np.floor(rate * (k + 1) + u) - np.floor(rate * k + u)), 2)
+            ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+            want[i, len(ids), np.array(ids, "<u4").tobytes()] += copies
+    assert got == +want
