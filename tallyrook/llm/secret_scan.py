@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re._constants as sc
-import re._parser as sp
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -62,40 +61,65 @@ MORE = (
 RULES = BASE + MORE
 
 
-def _ways(tree) -> list[tuple[str, ...]]:
-    """All ways to read a parsed pattern, each as literal fragments; a break stands between
-    fragments that need not touch. Too many ways count as one without literals."""
+_GROUP, _QUANTIFIER = re.compile(r"\((?:\?[a-z]*:)?"), re.compile(r"([?*+])|\{(\d+)(,?)(\d*)\}")
+_CHAR = re.compile(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\([^a-zA-Z0-9])|([^\\])", re.S)
+#: What stands for characters that are not known; fragments on its two sides need not touch.
+GAP = [("", "")]
+
+
+def _class(part: str) -> list[tuple[str, ...]]:
+    """The characters of a class that lists at most eight of them; a gap for any other."""
+    chars = [m for m in _CHAR.finditer(part)]
+    if part.startswith("^") or "-" in part[1:-1] or sum(m.end() - m.start() for m in chars) != len(part) or len(chars) > 8:
+        return GAP
+    return [(_literal(m),) for m in chars]
+
+
+def _literal(m: re.Match) -> str:
+    return chr(int(m[1] or m[2], 16)) if m[1] or m[2] else m[3] or m[4]
+
+
+def _ways(pattern: str, i: int = 0) -> tuple[list[tuple[str, ...]], int]:
+    """All ways to read a pattern from i on to its end or the group's, each as literal fragments, and
+    where that is. What is not a literal, a short class, a group, a choice or a repeat is a gap. Too
+    many ways count as one without literals."""
+    done: list[tuple[str, ...]] = []
     ways: list[tuple[str, ...]] = [("",)]
-    for op, arg in tree:
-        if op is sc.LITERAL:
-            step = [(chr(arg),)]
-        elif op is sc.IN and all(o is sc.LITERAL for o, _ in arg) and len(arg) <= 8:
-            step = [(chr(a),) for _, a in arg]
-        elif op is sc.SUBPATTERN:
-            step = _ways(arg[3])
-        elif op is sc.BRANCH:
-            step = [w for part in arg[1] for w in _ways(part)]
-        elif op in (sc.MAX_REPEAT, sc.MIN_REPEAT):
-            low, high, part = arg
-            once = _ways(part)
-            if (low, high) == (0, 1):
-                step = [("",), *once]
-            elif low:
-                step = [(*w, "", *w) if low > 1 else (*w, "") for w in once]
-            else:
-                step = [("", "")]
+    while i < len(pattern) and pattern[i] != ")":
+        c = pattern[i]
+        if c == "|":
+            done, ways, i = done + ways, [("",)], i + 1
+            continue
+        if c == "(":
+            if not (m := _GROUP.match(pattern, i)) or pattern.startswith("?", m.end()):
+                raise ValueError(f"no group that is understood, at {i} of {pattern!r}")
+            step, i = _ways(pattern, m.end())
+            i += 1
+        elif c == "[":
+            end = re.compile(r"\^?\]?(?:\\.|[^\]\\])*\]", re.S).match(pattern, i + 1).end()
+            step, i = _class(pattern[i + 1 : end - 1]), end
+        elif c not in ".^$" and (m := _CHAR.match(pattern, i)):
+            step, i = [(_literal(m),)], m.end()
         else:
-            step = [("", "")]
-        ways = list({(*a[:-1], a[-1] + b[0], *b[1:]) for a, b in product(ways, step)})
+            step, i = GAP, i + (2 if c == "\\" else 1)
+        if m := _QUANTIFIER.match(pattern, i):
+            low = {"?": 0, "*": 0, "+": 1}[m[1]] if m[1] else int(m[2])
+            once = m[1] == "?" or (not m[1] and (low, m[3], m[4]) == (0, ",", "1"))
+            step = [("",), *step] if once else [(*w, "", *w) if low > 1 else (*w, "") for w in step] if low else GAP
+            i = m.end() + (pattern[m.end() : m.end() + 1] in ("?", "+"))
+        ways = list({(*x[:-1], x[-1] + y[0], *y[1:]) for x, y in product(ways, step)})
         if len(ways) > MAX_WAYS:
-            return [("", "")]
-    return ways
+            ways = GAP
+    return list(dict.fromkeys(done + ways)), i
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """Alternatives of trigrams, folded to lower case: a match has all of one alternative.
     None: the pattern has no mandatory trigram, and every text must be read."""
-    sets = {frozenset(f[i : i + 3].lower() for f in way for i in range(len(f) - 2)) for way in _ways(sp.parse(pattern))}
+    ways, end = _ways(pattern)
+    if end < len(pattern):
+        raise ValueError(f"a group ends that did not begin, at {end} of {pattern!r}")
+    sets = {frozenset(f[i : i + 3].lower() for f in way for i in range(len(f) - 2)) for way in ways}
     if frozenset() in sets:
         return None
     return sorted((s for s in sets if not any(o < s for o in sets)), key=sorted)

@@ -58,6 +58,18 @@ def test_secrets(spark):
     assert got[12]["spans"] == "pem:0:31" and got[13]["spans"].startswith("forge:0:40")
 
 
+def test_trigram_queries():
+    q = lambda p: secret_scan.trigram_query(p)
+    sets = lambda *xs: sorted((frozenset(x.split()) for x in xs), key=sorted)
+    assert q("abcd") == sets("abc bcd") and q("abc|xyz") == sets("abc", "xyz") and q("ab[cd]") == sets("abc", "abd") and q("ab") is None and q("abc?") is None
+    assert q("(?i:ABC)+x") == sets("abc") and q("abc.def") == sets("abc def") and q("abc(?:x|)d") == sets("abc bcd", "abc bcx cxd") and q("[a-z]{3}") is None and q(r"\d+abc\x20") == [frozenset({"abc", "bc "})]
+    assert q(r"a\.bc") == sets("a.b .bc") and q("(ab){2}c") == sets("abc") and q("(abc){2,}") == sets("abc") and q("[^a]bcd") == sets("bcd") and q("x(?m:$)abc") == sets("abc")
+    for bad in ("(?=abc)", "a)b"):
+        with pytest.raises(ValueError):
+            q(bad)
+    assert {r.kind for r in secret_scan.RULES if q(r.pattern) is None} == {"hex"}
+
+
 def test_grams_of_long_texts(spark):
     """One pass finds the trigrams that a text holds, over the borders of its parts, too."""
     grams = sorted({g for r in secret_scan.RULES for q in secret_scan.trigram_query(r.pattern) or () for g in q})
