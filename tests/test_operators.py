@@ -234,6 +234,24 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "registry")).count() == 2 and (tmp_path / "registry/user=u1").is_dir()
 
 
+def test_readers_of_lines_store_and_policy(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{"x": 2}\n')
+    assert sorted(r["raw"] for r in files.read_lines(spark, str(tmp_path / "a.jsonl")).collect()) == ["", '{"x": 1}', '{"x": 2}']
+    (tmp_path / "policy.json").write_text('{"retention_days": 30, "redact": true}')
+    assert files.read_policy(spark, str(tmp_path / "policy.json")) == Policy(retention_days=30)
+    files.append_store(spark.createDataFrame([("1",)], "event_id string"), str(tmp_path / "store"))
+    files.append_store(spark.createDataFrame([("2",)], "event_id string"), str(tmp_path / "store"), "recovered")
+    assert {tuple(r) for r in files.read_store(spark, str(tmp_path / "store")).collect()} == {("1", "direct"), ("2", "recovered")}
+    with pytest.raises(ValueError):
+        files.append_store(spark.createDataFrame([("3",)], "event_id string"), str(tmp_path / "store"), "other")
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a", 7, 8, 9), (1, "bb", 7, 8, 9)], "n int, prompt string, _rn int, _bytes int, upto int")
+    assert [tuple(r) for r in matching.first_per_id(df, ["n"], [F.col("prompt").desc()]).collect()] == [(1, "bb", 7, 8, 9)]
+    assert budget.within_budget(df, ["prompt"], Policy(batch_rows=1)).collect()[0].asDict() == {"n": 1, "prompt": "a", "_rn": 7, "_bytes": 8, "upto": 9}
+
+
 def test_tail_reads_pieces_once(tmp_path, monkeypatch):
     p = tmp_path / "a.jsonl"
     lines = [f"line {i} " + "é" * (i % 30) + "\r" * (i % 3) for i in range(500)]
