@@ -33,4 +33,6 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         old, e = e, scratch.write(small)
         scratch.drop(old)
     stars = scratch.read(e)
-    return scratch.save(stars.select(F.col("c").alias("nid"), F.col("p").alias("root")).union(stars.select(F.col("p").alias("nid"), F.col("p").alias("root"))).distinct())
+    out = scratch.save(stars.select(F.col("c").alias("nid"), F.col("p").alias("root")).union(stars.select(F.col("p").alias("nid"), F.col("p").alias("root"))).distinct())
+    scratch.drop(e)
+    return out

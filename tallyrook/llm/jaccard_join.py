@@ -225,7 +225,9 @@ def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFr
     sets = scratch.save(_sets(docs, wanted, rule))
     both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
-    return shared.where(F.col("i") * rule.den >= (F.col("na") + F.col("nb") - F.col("i")) * rule.num).select("a", "b")
+    linked = scratch.save(shared.where(F.col("i") * rule.den >= (F.col("na") + F.col("nb") - F.col("i")) * rule.num).select("a", "b"))
+    scratch.forget(pairs, wanted, sets)
+    return linked
 
 
 def _in_parts(lists: DataFrame) -> DataFrame:
@@ -266,49 +268,62 @@ def jaccard_groups(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id",
     slim = docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"))
     hashed = slim.select("_id", _word_hashes(F.col("_text")).alias("w"))
     indexer = Indexer(rule, *_frequent(scratch, hashed, rule))
-    rows = scratch.save(_index(hashed, indexer, rule))
-    same = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
+    indexed = scratch.save(_index(hashed, indexer, rule))
+    same = indexed.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     nodes = scratch.save(same.withColumn("nid", F.monotonically_increasing_id()))
+    rows = scratch.save(indexed.select("_id", "n", "node"))
+    scratch.forget(indexed)
     lists = scratch.save(_lists_of(nodes, rule))
     labels = None  # (nid, root) of linked nodes
 
     def placed(at: DataFrame) -> DataFrame:
-        """Rows of lists with their component, of the lists that hold several."""
+        """Rows of lists, saved, with their component, of the lists that hold several. The rows before go."""
         if labels is None:
-            return at.withColumn("root", F.col("nid"))
-        named = scratch.save(at.join(labels, "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+            out = scratch.save(at.withColumn("root", F.col("nid")))
+            scratch.forget(at)
+            return out
+        named = scratch.save(at.select("sig", "part", "parts", "nid").join(labels, "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+        scratch.forget(at)
         open_ = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("parts").alias("parts")).where("lo < hi")
-        return named.join(_in_parts(open_.select("sig", "parts")).drop("parts"), ["sig", "part"])
+        out = scratch.save(named.join(_in_parts(open_.select("sig", "parts")).drop("parts"), ["sig", "part"]))
+        scratch.forget(named)
+        return out
 
     def joined(links: DataFrame) -> DataFrame:
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if labels is not None:
             edges = edges.union(labels.where("nid <> root").select(F.col("nid").alias("u"), F.col("root").alias("v")))
-        return connected_components(scratch, edges)
+        out = connected_components(scratch, edges)
+        scratch.forget(links, *([] if labels is None else [labels]))
+        return out
 
     for r in range(rule.stars):
-        at = scratch.save(placed(lists))
+        at = placed(lists)
         pivot = at.groupBy("sig").agg(F.min_by(F.struct("nid", "root"), F.xxhash64("sig", "nid", F.lit(r))).alias("p"), F.max("parts").alias("parts"))
-        told = scratch.save(at.join(_in_parts(pivot).drop("parts"), ["sig", "part"]).where("nid <> p.nid"))
-        pairs = told.where("root <> p.root").select(F.least("nid", "p.nid").alias("a"), F.greatest("nid", "p.nid").alias("b")).distinct()
+        # the member that is tested against all others has done its part
+        lists = scratch.save(at.join(_in_parts(pivot).drop("parts"), ["sig", "part"]).where("nid <> p.nid"))
+        scratch.forget(at)
+        pairs = lists.where("root <> p.root").select(F.least("nid", "p.nid").alias("a"), F.greatest("nid", "p.nid").alias("b")).distinct()
         near = _with_ends(pairs, nodes, "bits").where(_near("x", "y", rule)).select("a", "b")
         labels = joined(_verified(scratch, slim, nodes, near, rule))
-        # the member that was tested against all others has done its part
-        lists = told.select("sig", "part", "parts", "nid")
 
-    at = scratch.save(placed(lists).join(nodes.select("nid", "n", "bits"), "nid"))
+    at = placed(lists)
     sizes = at.groupBy("sig", "root").agg(F.count("*").alias("m"), F.max("parts").alias("parts"))
     main = sizes.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("parts").alias("parts"))
-    told = scratch.save(at.join(_in_parts(main).drop("parts"), ["sig", "part"]))
+    told = scratch.save(at.join(_in_parts(main).drop("parts"), ["sig", "part"]).join(nodes.select("nid", "n", "bits"), "nid"))
+    scratch.forget(at)
     # each member outside the largest component meets every part of its list
     few, every = _in_parts(told.where("root <> main").drop("part")).alias("x"), told.alias("y")
     across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.nid") < F.col("y.nid")))
     rest = few.join(every, across & _near("x", "y", rule)).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
-    labels = joined(_verified(scratch, slim, nodes, rest, rule))
+    linked = _verified(scratch, slim, nodes, rest, rule)
+    scratch.forget(told)
+    labels = joined(linked)
 
     home = nodes.select("node", "nid", "rep").join(labels, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     ids = home.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = scratch.save(home.join(ids, "root").select("node", "component_id"))
+    scratch.forget(nodes, labels)
     out = rows.select("_id", "n", "node").alias("r").join(named.alias("c"), F.col("r.node") == F.col("c.node"), "left")
     own = F.when(F.col("r.node").isNull(), F.col("r._id")).otherwise(F.col("c.component_id"))
     return out.select("r._id", F.col("r.n").alias("n_shingles"), own.alias("component_id"))
