@@ -125,22 +125,23 @@ def find_pii(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "
     """
     scratch = Scratch(docs.sparkSession)
     rest = docs.drop("pii")
-    rows = rest.select(F.struct("*").alias("row"), body(text_col).alias("t")).withColumn("key", F.md5("t"))
+    rows = rest.select(F.struct("*").alias("row"), F.md5(body(text_col)).alias("key"))
+    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
     telling = scratch.save(disclosing_terms(docs, rule, text_col))
-    every = rows.select("key", F.explode(terms(F.col("t"))).alias("w"))
+    every = rows.select("key", F.explode(terms(text)).alias("w"))
     held = every.join(sieve(telling, "t"), bucket_of(F.col("w")) == F.col("_bucket"), "left_semi").join(telling.withColumnRenamed("t", "w"), "w").groupBy("key", "w").agg(F.max("strength").alias("strength"))
     told = scratch.save(held.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("w", "strength"))).alias("told")))
     flagged = rows.join(sieve(told, "key"), bucket_of(F.col("key")) == F.col("_bucket"), "left")
-    plain = flagged.where("_bucket is null").select("row", base_spans(F.col("t")).alias("pii"))
+    plain = flagged.where("_bucket is null").select("row", base_spans(text).alias("pii"))
     salted = flagged.where("_bucket is not null").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(rule.salts)).cast("int"))
     dealt = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rule.salts - 1))))
-    based = salted.join(dealt, ["key", "salt"], "left").withColumn("base", base_spans(F.col("t")))
+    based = salted.join(dealt, ["key", "salt"], "left").withColumn("base", base_spans(text))
     strength = lambda s: F.col("told")[F.lower(s["hit"])]
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     # only the telling terms are looked for: of all terms of a text they are few
     whole = F.concat(F.lit(rf"(?iu)(?<!{LETTER})(?:"), F.array_join(F.sort_array(F.map_keys("told")), "|"), F.lit(rf")(?!{LETTER})"))
     added = F.transform(
-        F.filter(spans(F.col("t"), whole, 4, "term"), lambda s: strength(s).isNotNull() & free(s)),
+        F.filter(spans(text, whole, 4, "term"), lambda s: strength(s).isNotNull() & free(s)),
         lambda s: s.withField("kind", F.when(strength(s) >= rule.remove, F.lit("term")).otherwise(F.lit("class"))),
     )
     found = based.select("row", F.when(F.col("told").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added))).alias("pii"))
