@@ -176,5 +176,58 @@ r as (select d.*, t.source_size, t.target, case when t.source_size > 0 then leas
 select doc_id, size, source_size, target, (least(floor(rate * rnk + u) - floor(rate * (rnk - 1) + u), 2)::bigint * size)::bigint as taken from r"""
 
 
+_RUNS = rf"regexp_extract_all({_AZ}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+#: CTE crc_tab: the 256 entries of CRC-32's table as one list.
+_CRC_TAB = "crc_tab as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as tab from range(256) r(i))"
+
+
+def _crc(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8 bytes, where crc_tab's `tab` is at hand."""
+    raw = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {raw}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def op11_decontaminate() -> str:
+    return f"""with d as (select doc_id, {_RUNS} as w from documents),
+b as (select item_id::varchar as item, {_RUNS} as w from benchmark where item_id is not null),
+win as (select distinct item, least(len(w), 10) as t, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as x from b, unnest(range(1, len(w) - least(len(w), 10) + 2)) u(i) where len(w) > 0),
+pl as (select doc_id, t, i, array_to_string(w[i:i + t - 1], ' ') as x from d, (select distinct t from win) l, unnest(range(1, len(w) - t + 2)) u(i)),
+hit as (select pl.* from pl semi join win using (t, x)),
+n as (select doc_id, count(distinct i + j) as n_hit from hit, unnest(range(0, t)) u(j) group by 1),
+its as (select doc_id, list_sort(list(distinct item)) as items from hit join win using (t, x) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, n_hit is not null as contaminated
+from d left join n using (doc_id) left join its using (doc_id)"""
+
+
+def op12_resample() -> str:
+    return f"""with {_CRC_TAB}, d as (select doc_id, {_RUNS} as w from documents), g as (select {_RUNS} as w from benchmark),
+dw as (select doc_id, unnest(w) as x from d), gw as (select unnest(w) as x from g),
+v as (select x, ({_crc("x")}) % 10000 as bucket from (select x from dw union select x from gw), crc_tab),
+s as (select bucket, count(*) as s from dw join v using (x) group by 1), t as (select bucket, count(*) as t from gw join v using (x) group by 1),
+n as (select (select count(*) from dw) as s_all, (select count(*) from gw) as t_all),
+gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + 10000)::double / ((s + 1)::double * (t_all + 10000)::double)))::bigint as gain from s left join t using (bucket), n),
+own as (select doc_id, floor(sum(gain)::double / count(*))::bigint as weight from dw join v using (x) join gain using (bucket) group by 1),
+r as (select d.doc_id, len(w) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('2024:' || d.doc_id::varchar), 1, 8))::bigint as h from d left join own using (doc_id)),
+sc as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::double)))::bigint as score from r),
+o as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as nth, (count(*) over (partition by n_features >= 20)) * 10 // 100 as drawn from sc)
+select doc_id, n_features, weight, score, case when n_features >= 20 and nth <= drawn then nth end as "rank" from o"""
+
+
+def op13_conversation_trie() -> str:
+    return f"""with {_CRC_TAB}, o as (select conv_id as c, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} order by turn nulls first) as l from conversations where conv_id is not null group by 1),
+h as (select o.*, ({_crc("c::varchar")}) % 4 as h from o, crc_tab),
+rb as (select h.c, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:len(h.l)]) as p from h left join o b on b.c = h.c - h.c % 20),
+pl as (select c, d, len(p) = d as ends, md5(p[1:d]::varchar) as k, p[d].x as x from rb, unnest(range(0, len(p) + 1)) u(d)),
+node as (select d, k, min(c) as conv_id, count(*) as n_convs, case when d = 0 then 0 else len({_WORDS.format("any_value(x)")}) end as w,
+  sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ends), '')) as ends_sha256 from pl group by 1, 2),
+up as (select md5(p[1:d]::varchar) as k, d, md5(p[1:e]::varchar) as a, e from (select distinct p, unnest(range(0, len(p) + 1)) as d from rb), unnest(range(0, d + 1)) u(e)),
+pair as (select distinct k, d, a, e from up),
+sums as (select e as d, a as k, count(*) filter (where pair.d = e + 1) as n_children, sum((n_convs - 1) * w)::bigint as saved_tokens,
+  count(*) filter (where not exists (select 1 from pair q where q.e = pair.d and q.a = pair.k and q.d > q.e)) as n_leaves from pair join node on node.d = pair.d and node.k = pair.k group by 1, 2)
+select node.conv_id, node.d as depth, par.conv_id as parent_conv_id, node.n_convs, n_children, n_leaves, saved_tokens, node.ends_sha256
+from node join sums using (d, k) left join pair on pair.d = node.d and pair.k = node.k and pair.e = node.d - 1 left join node par on par.d = pair.e and par.k = pair.a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op1_secret_scan, op3_pii, op4_quality_rules, op5_jaccard_join, op6_url_filter, op7_hamming_topk, op10_mixing)}
+    own = (op1_secret_scan, op3_pii, op4_quality_rules, op5_jaccard_join, op6_url_filter, op7_hamming_topk, op10_mixing, op11_decontaminate, op12_resample, op13_conversation_trie)
+    return {f.__name__: f() for f in own}

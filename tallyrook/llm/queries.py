@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hamming_topk, jaccard_join, mixing, oracles, pii, quality_rules, secret_scan, sharding, toxicity, url_filter
+from . import bpe, conversation_trie, decontaminate, hamming_topk, jaccard_join, mixing, oracles, pii, quality_rules, resample, secret_scan, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,8 +66,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix_sources(_table(spark, sf_dir, "documents")))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.report(decontaminate.find_overlaps(docs, _table(spark, sf_dir, "benchmark")))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.report(resample.draw(resample.weigh(docs, _table(spark, sf_dir, "benchmark")).drop("text")))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.report(conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     found = [op1_secret_scan, op2_toxicity, op3_pii, op4_quality_rules, op5_jaccard_join, op6_url_filter, op7_hamming_topk, op8_bpe, op9_sharding, op10_mixing]
+    found += [op11_decontaminate, op12_resample, op13_conversation_trie]
     return {f.__name__: f for f in found}
 
 
