@@ -25,7 +25,7 @@ def _plain(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
 
     def cell(v):
-        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT or v is pd.NA:
             return None
         return str(pd.Timestamp(v)) if hasattr(v, "year") else round(v, 9) if isinstance(v, float) else v
 
