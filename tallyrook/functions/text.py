@@ -1,4 +1,4 @@
-"""Column functions: digests, byte limits, redaction, versions, paths and strict JSON."""
+"""Column functions: digests, byte limits, redaction, versions and paths."""
 
 from __future__ import annotations
 
@@ -58,28 +58,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_digest(df: DataFrame) -> Column:
+    """A hash of 64 bits of the whole row, by which rows that are equal can be told and ordered. Maps and variants, which Spark
+    does not hash, are read as JSON."""
+    own = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    odd = lambda f: any(k in f.dataType.simpleString() for k in ("map<", "variant"))
+    return F.xxhash64(F.lit(0), *[F.to_json(F.struct(own(f))) if odd(f) else own(f) for f in df.schema.fields])
+
+
 def native_id() -> Column:
     """The event's own id: prompt_id, else turn_id, else session and time."""
     return F.coalesce("prompt_id", "turn_id", F.concat_ws("/", "session_id", F.col("ts").cast("string")))
-
-
-def json_verdict(raw: Column, allowed: Sequence[str], required: Sequence[str] = (), forbidden: Sequence[str] = (), limit: int | None = None) -> Column:
-    """ok, or why a line is refused: oversize, malformed, forbidden, unknown or missing.
-
-    A line must be one JSON object without repeated keys and with nothing behind it. Spark's own
-    readers let unknown keys, repeated keys and trailing text pass.
-    """
-    text = F.trim(raw)
-    keys = F.json_object_keys(text)
-    names = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    # one object only: an array of the line parses just if the line is one value
-    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)
-    good = text.startswith("{") & text.endswith("}") & keys.isNotNull() & whole
-    verdict = F.when(F.octet_length(raw) > limit, "oversize") if limit else F.when(raw.isNull(), "malformed")
-    return (
-        verdict.when(~F.coalesce(good, F.lit(False)), "malformed")
-        .when(F.arrays_overlap(keys, names(forbidden)), "forbidden")
-        .when(F.size(F.array_except(keys, names(allowed))) > 0, "unknown")
-        .when(F.size(F.array_except(names(required), keys)) > 0, "missing")
-        .otherwise("ok")
-    )

@@ -7,23 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import digest, json_verdict, redact, truncate_bytes, version_at_least, within
+from ..functions.schema import Contract, Field, decode, judge, strings
+from ..functions.text import digest, redact, truncate_bytes, version_at_least, within
 from ..policy import ENVELOPE_FORBIDDEN, ENVELOPE_REQUIRED, EVENT_FIELDS, Policy
 
+#: An event, a transcript's line, which also tells who spoke and where, and a captured envelope.
+EVENT = Contract(tuple(Field(n, "time" if n == "ts" else "string", n in ("event_id", "tool", "session_id", "prompt")) for n in EVENT_FIELDS))
+LINE = EVENT.but(Field("role"), Field("cwd"))
+ENVELOPE = Contract((*strings(ENVELOPE_REQUIRED, ENVELOPE_REQUIRED), *strings(("hook_event_name", "transcript_path", "model")), Field("ts", "time")), ENVELOPE_FORBIDDEN)
 
-def judge_lines(lines: DataFrame, policy: Policy = Policy(), allowed: Sequence[str] = EVENT_FIELDS, required: Sequence[str] = (), forbidden: Sequence[str] = (), raw: str = "raw") -> DataFrame:
-    """lines with `reason`: ok, or why the fixed schema refuses the line."""
-    return lines.withColumn("reason", json_verdict(F.col(raw), allowed, required, forbidden, policy.line_bytes))
 
+def judge_lines(lines: DataFrame, policy: Policy = Policy(), contract: Contract = EVENT, raw: str = "raw") -> DataFrame:
+    """lines with `reason`: ok, or why the contract refuses the line."""
+    return judge(lines, contract, policy.line_bytes, raw)
 
-def judge_envelopes(lines: DataFrame, policy: Policy = Policy(), optional: Sequence[str] = ("hook_event_name", "transcript_path", "model", "ts"), raw: str = "raw") -> DataFrame:
+
+def judge_envelopes(lines: DataFrame, policy: Policy = Policy(), contract: Contract = ENVELOPE, raw: str = "raw") -> DataFrame:
     """lines with `reason` under the envelope's contract; a sub-agent's marks are refused."""
-    return lines.withColumn("reason", json_verdict(F.col(raw), [*ENVELOPE_REQUIRED, *optional, *ENVELOPE_FORBIDDEN], ENVELOPE_REQUIRED, ENVELOPE_FORBIDDEN, policy.envelope_bytes))
+    return judge(lines, contract, policy.envelope_bytes, raw)
 
 
-def accepted(judged: DataFrame, schema: str, raw: str = "raw") -> DataFrame:
-    """The accepted lines as columns. The strict verdict comes first, so the reader need not be."""
-    return judged.where("reason = 'ok'").withColumn("_e", F.from_json(raw, schema)).select(*[c for c in judged.columns if c not in (raw, "reason")], "_e.*")
+def accepted(judged: DataFrame, contract: Contract = EVENT, raw: str = "raw") -> DataFrame:
+    """The accepted lines as typed columns, of those fields that the contract names."""
+    return decode(judged.where("reason = 'ok'").drop("reason"), contract, raw)
 
 
 def quarantined(judged: DataFrame, raw: str = "raw") -> DataFrame:

@@ -14,8 +14,13 @@ from ..functions.text import free_name
 
 
 def new_events(events: DataFrame, durable: DataFrame, keys: Sequence[str] = ("tool", "event_id")) -> DataFrame:
-    """Events whose id is not durable yet. Against the store itself, so an id is never forgotten."""
-    return events.join(durable.select(*keys), list(keys), "left_anti")
+    """Events whose id is not durable yet. Against the store itself, so an id is never forgotten. A null
+    equals a null here, else events without an id would be new each time."""
+    own = durable.select(*[F.col(k).alias(f"_known{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= events[k].eqNullSafe(own[f"_known{i}"])
+    return events.join(own, same, "left_anti")
 
 
 def first_per_id(events: DataFrame, keys: Sequence[str] = ("tool", "event_id"), order: Sequence[Column] = ()) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..functions.schema import Contract, Field, strings
 from ..operators import budget, filters, matching, reports
-from ..policy import Policy
+from ..policy import EVENT_FIELDS, Policy
 
 #: 2024-01-31, the day after the last event; the clock of all queries.
 NOW = "timestamp_ntz'2024-01-31 00:00:00'"
@@ -59,12 +60,12 @@ def _injected(spark, sf_dir):
 
 def strict_keys(spark, sf_dir):
     """Every seventh row has a field that the schema does not know."""
-    return filters.judge_lines(_injected(spark, sf_dir), allowed=("k",), required=("k",)).where("reason = 'ok'").select("event_id")
+    return filters.judge_lines(_injected(spark, sf_dir), contract=Contract((Field("k", "long", needed=True),))).where("reason = 'ok'").select("event_id")
 
 
 def quarantine_digest(spark, sf_dir):
     """K4, X1."""
-    bad = filters.judge_lines(_injected(spark, sf_dir), allowed=("k",)).withColumn("line_no", F.col("event_id"))
+    bad = filters.judge_lines(_injected(spark, sf_dir), contract=Contract((Field("k", "long"),))).withColumn("line_no", F.col("event_id"))
     return filters.quarantined(bad)
 
 
@@ -248,6 +249,38 @@ def _envelopes(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", raw.alias("raw"))
 
 
+def _typed_lines(spark, sf_dir):
+    """Lines made from events, in which by id a field is missing, null, of a wrong type or nested too deep, a time can't be read, or the end is cut."""
+    by = lambda n: F.col("event_id") % n == 0
+    own = F.col("event_id").cast("string")
+    fields = [
+        F.when(~by(11), F.concat(F.lit('"event_id":'), F.when(by(7), "null").when(by(5), own).otherwise(F.concat(F.lit('"'), own, F.lit('"'))))),
+        F.concat(F.lit('"ts":"'), F.when(by(13), "13:00").when(by(17), "2024-02-30T00:00:00Z").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit('"')),
+        F.concat(F.lit('"meta":{"k":'), F.when(by(23), '"x"').otherwise(F.get_json_object("props", "$.k")), F.when(by(19), ',"response":"r"').otherwise(""), F.lit("}")),
+        F.concat(F.lit('"tags":["a"'), F.when(by(29), ",1").otherwise(',"b"'), F.lit("]")),
+        F.when(by(37), F.concat(F.lit('"event_type":{"event_type":"'), F.col("event_type"), F.lit('"}'))).otherwise(F.concat(F.lit('"event_type":"'), F.col("event_type"), F.lit('"'))),
+    ]
+    raw = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.when(by(31), F.lit("")).when(by(41), F.lit("}]{}")).otherwise(F.lit("}")))
+    return _events(spark, sf_dir).select(F.col("event_id").alias("line_no"), raw.alias("raw"))
+
+
+TYPED = Contract((
+    Field("event_id", needed=True), Field("ts", "time", needed=True), Field("meta", "object", fields=(Field("k", "long", needed=True),)), Field("tags", "array", item=Field("tag", needed=True)),
+    Field("event_type", needed=True),
+))
+
+
+def typed_lines(spark, sf_dir):
+    """What a typed contract says of each line, at every level."""
+    return filters.judge_lines(_typed_lines(spark, sf_dir), contract=TYPED).select("line_no", "reason")
+
+
+def typed_fields(spark, sf_dir):
+    """The accepted lines as typed columns."""
+    found = filters.accepted(filters.judge_lines(_typed_lines(spark, sf_dir), contract=TYPED), TYPED)
+    return found.select("line_no", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("meta.k").alias("k"), F.size("tags").alias("n_tags"), "event_type")
+
+
 def envelope_verdicts(spark, sf_dir):
     """What the envelope's contract says of each, with a limit of 400 bytes; every 17th is cut."""
     return filters.judge_envelopes(_envelopes(spark, sf_dir), Policy(envelope_bytes=400)).select("event_id", "reason")
@@ -255,7 +288,7 @@ def envelope_verdicts(spark, sf_dir):
 
 def envelope_fields(spark, sf_dir):
     """The accepted envelopes as columns."""
-    return filters.accepted(filters.judge_envelopes(_envelopes(spark, sf_dir), Policy(envelope_bytes=400)), "session_id string, turn_id string, cwd string, prompt string")
+    return filters.accepted(filters.judge_envelopes(_envelopes(spark, sf_dir), Policy(envelope_bytes=400)), Contract(strings(("session_id", "turn_id", "cwd", "prompt"))))
 
 
 def event_kinds(spark, sf_dir):
@@ -328,7 +361,7 @@ def registry_strict(spark, sf_dir):
     """Registry lines, of which every sixth has a response; these are left out."""
     e = _events(spark, sf_dir)
     line = F.concat(F.lit('{"event_id":"'), "event_id", F.lit('","tool":"'), "event_type", F.lit('","prompt":"p"'), F.when(F.col("event_id") % 6 == 0, ',"response":"x"').otherwise(""), F.lit("}"))
-    return filters.accepted(filters.judge_lines(e.select(line.alias("raw")), required=("event_id", "tool", "prompt")), "event_id string, tool string, prompt string")
+    return filters.accepted(filters.judge_lines(e.select(line.alias("raw")), contract=Contract(strings(EVENT_FIELDS, ("event_id", "tool", "prompt")))), Contract(strings(("event_id", "tool", "prompt"))))
 
 
 def torn_tails(spark, sf_dir):
@@ -368,6 +401,18 @@ def _cut(text: str, limit: int, mark: str) -> str:
     return f"case when strlen({text}) <= {limit} then {text} else coalesce({cuts}, '') || '{mark}' end"
 
 
+_LINES = """select event_id as line_no, concat('{', concat_ws(',',
+  case when event_id % 11 <> 0 then '"event_id":' || case when event_id % 7 = 0 then 'null' when event_id % 5 = 0 then event_id::varchar else '"' || event_id || '"' end end,
+  '"ts":"' || case when event_id % 13 = 0 then '13:00' when event_id % 17 = 0 then '2024-02-30T00:00:00Z' else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end || '"',
+  '"meta":{"k":' || case when event_id % 23 = 0 then '"x"' else props->>'$.k' end || case when event_id % 19 = 0 then ',"response":"r"' else '' end || '}',
+  '"tags":["a"' || case when event_id % 29 = 0 then ',1' else ',"b"' end || ']',
+  case when event_id % 37 = 0 then '"event_type":{"event_type":"' || event_type || '"}' else '"event_type":"' || event_type || '"' end),
+  case when event_id % 31 = 0 then '' when event_id % 41 = 0 then '}]{}' else '}' end) as raw from events"""
+_TYPED = f"""select line_no, raw, case when not json_valid(raw) then 'malformed'
+  when len(list_filter(json_keys(raw), lambda x: x not in ('event_id', 'ts', 'meta', 'tags', 'event_type'))) > 0 or len(list_filter(json_keys(raw, '$.meta'), lambda x: x <> 'k')) > 0 then 'unknown'
+  when json_type(raw, '$.event_id') is null then 'missing' when json_type(raw, '$.event_id') = 'NULL' then 'null'
+  when json_type(raw, '$.event_id') <> 'VARCHAR' or json_type(raw, '$.meta.k') = 'VARCHAR' or json_type(raw, '$.tags[1]') <> 'VARCHAR' or json_type(raw, '$.event_type') <> 'VARCHAR' then 'type'
+  when not regexp_matches(raw->>'$.ts', '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9:]{{8}}Z$') or try_cast(replace(raw->>'$.ts', 'Z', '') as timestamp) is null then 'time' else 'ok' end as reason from ({_LINES})"""
 _RAW = "select event_id, case when event_id % 7 = 0 then regexp_replace(props, '\\}$', ', \"response\": \"x\"}') else props end as raw from events"
 _BUDGET = "select *, sum(strlen(text)) over (order by conv_id, turn) as s, row_number() over (order by conv_id, turn) as k from conversations where role = 'user'"
 _ALIAS = """with a as (select o.doc_id as old_id, e.doc_id as event_id, count(*) over (partition by o.doc_id) as x, count(*) over (partition by e.doc_id) as y
@@ -377,6 +422,9 @@ ORACLES = {
     "status_by_tool": "select event_type as tool, count(*) as n, max(ts) as last_ts from events group by 1",
     "silent_tools": "select event_type as tool, count(*) as n, max(max(ts)) over () - max(ts) > interval 1 minute as silent from events group by 1",
     "human_prompts": "select conv_id, turn, text as prompt from conversations where role = 'user'",
+    "typed_lines": f"select line_no, reason from ({_TYPED})",
+    "typed_fields": f"""select line_no, raw->>'$.event_id' as event_id, (raw->>'$.ts')::timestamp as ts, (raw->>'$.meta.k')::bigint as k, json_array_length(raw, '$.tags')::int as n_tags, raw->>'$.event_type' as event_type
+from ({_TYPED}) where reason = 'ok'""",
     "strict_keys": f"select event_id from ({_RAW}) where len(list_filter(json_keys(raw::json), lambda x: x not in ('k'))) = 0",
     "quarantine_digest": f"select event_id as line_no, strlen(raw) as n_bytes, sha256(raw) as sha256, 'unknown' as reason from ({_RAW}) where len(list_filter(json_keys(raw::json), lambda x: x not in ('k'))) > 0",
     "redact_text": r"""select doc_id, regexp_replace(regexp_replace(text, '(?i)((?:password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["'']?)[A-Za-z0-9+/_.=-]{6,}', '\1[REDACTED]', 'g'), '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}', '[IP]', 'g') as text from documents""",
@@ -433,7 +481,7 @@ QUERIES = (
     status_by_tool, silent_tools, human_prompts, strict_keys, quarantine_digest, redact_text, exact_text_dedup, known_id_anti, correlate_candidates, correlate_one_to_one,
     unmatched_recovered, alias_bijection, alias_void, manifest_equality, manifest_rows, batch_budget, batch_cursor, reserve_then_budget, retention, pending_merge,
     sessions_without_prompts, quiet_session_runs, repeated_repairs, queue_age, partial_sources, version_floor, health_rollup, report_by_day, byte_truncate, prefix_digest,
-    latest_per_session, repo_scope, registry_drift, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check,
+    latest_per_session, repo_scope, registry_drift, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check, typed_lines, typed_fields,
     event_contract, truncation_alerts, provider_names, registry_strict, torn_tails, log_listing, lines_in_order,
 )
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.filters import accepted, judge_lines, quarantined
+from ..functions.schema import Contract, Field
+from ..operators.filters import EVENT, accepted, judge_lines, quarantined
 from ..policy import EVENT_FIELDS, Policy, check_name
 
 
@@ -41,12 +42,12 @@ def read_policy(spark: SparkSession, path: str) -> Policy:
 
 def read_registry(spark: SparkSession, path: str, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
     """(events, evidence) of the public registry, strictly: lines with any other field, without a
-    needed one or malformed are left out, and only their digest is kept. What is missing then comes
+    needed one, of a wrong type or malformed are left out, and only their digest is kept. What is missing then comes
     back when the registry is rebuilt from the private store."""
     lines = spark.read.text(f"{path}").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-    judged = judge_lines(lines, policy, EVENT_FIELDS, ("event_id", "tool", "prompt"))
-    schema = ", ".join(f"{f} {'timestamp' if f == 'ts' else 'string'}" for f in EVENT_FIELDS)
-    return accepted(judged, schema), quarantined(judged)
+    published = Contract(tuple(Field(f.name, f.kind, f.name in ("event_id", "tool", "prompt")) for f in EVENT.fields))
+    judged = judge_lines(lines, policy, published)
+    return accepted(judged, published), quarantined(judged)
 
 
 def append_store(events: DataFrame, path: str, origin: str = "direct") -> None:

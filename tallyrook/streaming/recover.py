@@ -15,16 +15,15 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.scratch import Scratch
 from ..operators.budget import within_budget
-from ..operators.filters import accepted, in_scope, judge_lines, to_events
+from ..functions.schema import decode, judge
+from ..operators.filters import LINE, accepted, in_scope, to_events
 from ..operators.matching import correlate, first_per_id, new_events, void_aliases
 from ..policy import EVENT_FIELDS, Policy
 from ..sources.files import append_store, write_health
 from ..sources.tail import TailSource, broken, cursors, listed, read_ranges
 
 EVENT_SCHEMA = "event_id string, tool string, session_id string, ts timestamp, prompt string, identity string, repo string, branch string, commit string"
-LINE_SCHEMA = f"{EVENT_SCHEMA}, role string, cwd string"
 STORE_SCHEMA = f"{EVENT_SCHEMA}, origin string"
-REQUIRED = ("event_id", "tool", "session_id", "prompt")
 RANGES, ALIASES = "path string, start long, `end` long, sha256 string", "tool string, old_id string, event_id string"
 
 
@@ -52,11 +51,14 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def judged_lines(lines: DataFrame, policy: Policy) -> DataFrame:
     """lines with `reason`. A line of another role than user is `other`: neither event nor evidence."""
-    judged = judge_lines(lines, policy, [*EVENT_FIELDS, "role", "cwd"], REQUIRED)
-    unread = F.when(F.col("n_bytes") > policy.line_bytes, "oversize").otherwise("malformed")
-    role = F.coalesce(F.get_json_object("raw", "$.role"), F.lit("user"))
-    kind = F.when(F.col("raw").isNull(), unread).when(F.col("reason").isin("ok", "unknown", "missing") & (role != "user"), "other")
-    return judged.withColumn("reason", kind.otherwise(F.col("reason")))
+
+    def kind(v, reason):
+        role = F.try_variant_get(v, "$.role", "variant")
+        others = (F.schema_of_variant(role) == "STRING") & (F.try_variant_get(role, "$", "string") != "user")
+        unread = F.when(F.col("n_bytes") > policy.line_bytes, "oversize").otherwise("malformed")
+        return F.when(F.col("raw").isNull(), unread).when(others & ~reason.isin("oversize", "malformed"), "other").otherwise(reason)
+
+    return judge(lines, LINE, policy.line_bytes, also=kind)
 
 
 def append_evidence(bad: DataFrame, path: str) -> None:
@@ -143,9 +145,9 @@ def recover_pass(spark: SparkSession, pattern: str, store: str, quarantine: str,
     todo = [(p, 0 if p in lost else at.get(p, 0), f["size"]) for p, f in files.items()]
     lines = judged_lines(read_ranges(spark, [t for t in todo if t[1] < t[2]], policy.line_bytes), policy)
     place = ["path", "start", "offset", "end", "upto", "n_bytes", "sha256", "reason", "cwd"]
-    parsed = lines.withColumn("_e", F.when(F.col("reason") == "ok", F.from_json("raw", LINE_SCHEMA))).select(*[c for c in lines.columns if c != "raw"], "_e.*")
+    read = decode(lines.withColumn("raw", F.when(F.col("reason") == "ok", F.col("raw"))), LINE)
     # raw lines are not stored, not even here
-    rows = scratch.save(to_events(parsed, rules.repo, rules.device, policy, keep=place))
+    rows = scratch.save(to_events(read, rules.repo, rules.device, policy, keep=place))
     append_evidence(rows.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason"), quarantine)
 
     events = rows.where("reason = 'ok'")
@@ -235,7 +237,7 @@ def append_batch(store: str, quarantine: str, prepare: Callable[[DataFrame], Dat
     def step(lines: DataFrame, _: int) -> None:
         judged = judged_lines(lines, policy)
         bad = judged.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason")
-        events = ready(accepted(judged.select("path", "offset", "raw", "reason"), LINE_SCHEMA)).select(*EVENT_FIELDS)
+        events = ready(accepted(judged.select("path", "offset", "raw", "reason"), LINE)).select(*EVENT_FIELDS)
         append_store(new_events(first_per_id(events), read_or_empty(lines.sparkSession, store, STORE_SCHEMA)), store, "recovered")
         append_evidence(bad, quarantine)
 
