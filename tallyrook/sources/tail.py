@@ -6,14 +6,16 @@ import glob
 import hashlib
 import os
 import stat
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 BLOCK = 1 << 20
+#: Bytes of a file that are read by one task, and digested together once they have been taken.
+CHUNK = 64 << 20
 LINES = "path string, start long, offset long, `end` long, raw string, n_bytes long, sha256 string, upto string"
 
 
@@ -43,14 +45,14 @@ def _open(path: str):
 
 
 def listed(pattern: str) -> dict[str, dict]:
-    """{path: size and identity} of the regular files that match. Nothing is opened."""
+    """{path: size, identity and time of change} of the regular files that match. Nothing is opened."""
     out = {}
     for path in sorted(glob.glob(pattern)):
         try:
             found = _regular(path)
         except (OSError, ValueError):
             continue
-        out[path] = {"size": found.st_size, "file": f"{found.st_dev}:{found.st_ino}"}
+        out[path] = {"size": found.st_size, "file": f"{found.st_dev}:{found.st_ino}", "mtime": found.st_mtime_ns}
     return out
 
 
@@ -115,16 +117,23 @@ def _split(block: bytes) -> Iterator[bytes]:
 
 
 def _pieces(path: str, start: int, end: int, piece_bytes: int) -> Iterator[tuple[str, int, int]]:
+    """Cut at whole multiples of piece_bytes, so that ranges taken in turn fall into the same chunks."""
     while start < end:
-        stop = min(start + piece_bytes, end)
+        stop = min((start // piece_bytes + 1) * piece_bytes, end)
         yield path, start, stop
         start = stop
 
 
-def read_ranges(spark: SparkSession, ranges: Sequence[tuple[str, int, int]], line_bytes: int, piece_bytes: int = 64 << 20) -> DataFrame:
+#: The most tasks among which the pieces of one read are dealt.
+TASKS = 10_000
+
+
+def read_ranges(ranges: DataFrame, line_bytes: int, piece_bytes: int = CHUNK) -> DataFrame:
     """The lines of byte ranges (path, start, end), read by tasks in pieces. An error fails the job."""
-    rows = [p for r in ranges for p in _pieces(*r, piece_bytes)]
-    todo = spark.createDataFrame(rows, "path string, start long, `end` long").repartition(max(1, len(rows)), "path", "start")
+    k = F.explode(F.sequence(F.expr(f"start div {piece_bytes}"), F.expr(f"(`end` - 1) div {piece_bytes}")))
+    cut = ranges.where(F.col("start") < F.col("end")).select("path", "start", "end", k.alias("k"))
+    rows = cut.select("path", F.greatest(F.col("start"), F.col("k") * piece_bytes).alias("start"), F.least(F.col("end"), (F.col("k") + 1) * piece_bytes).alias("end"))
+    todo = rows.repartition(max(1, min(TASKS, rows.count())), "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,38 +156,68 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def broken(known: DataFrame) -> DataFrame:
-    """The paths of known (path, start, end, sha256) of which some range does not hold any more:
-    tasks read each range again. A file that is gone, shorter or no regular one is broken, too."""
+CHECKED = "path string, start long, `end` long, sha256 string, n_bytes long, ok boolean"
+
+
+def authenticated(known: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(path, start, end, sha256, n_bytes, ok) of known (path, start, end, sha256): tasks read each range once.
+
+    Ranges that follow one another within a chunk become one, whose digest is taken from the same bytes
+    as theirs, so a file that grew in small steps has one digest for each chunk again. n_bytes is what was read.
+    A range that does not hold, a file that is gone, shorter or no regular one, is not ok.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, f = None, None  # path, chunk, start, end, digest, whether all held
         for b in batches:
-            bad = []
+            out = []
             for path, start, end, want in zip(*[b[c].to_pylist() for c in ("path", "start", "end", "sha256")]):
+                if now is None or (path, start // chunk, start) != (now[0], now[1], now[3]):
+                    out += [_checked(now)] if now else []
+                    if f and now[0] != path:
+                        f.close()
+                        f = None
+                    now = [path, start // chunk, start, start, hashlib.sha256(), True]
                 digest, left = hashlib.sha256(), end - start
                 try:
-                    with _open(path) as f:
-                        f.seek(start)
-                        while left and (block := f.read(min(BLOCK, left))):
-                            digest.update(block)
-                            left -= len(block)
+                    f = f or _open(path)
+                    f.seek(start)
+                    while left and (block := f.read(min(BLOCK, left))):
+                        digest.update(block)
+                        now[4].update(block)
+                        left -= len(block)
                 except (OSError, ValueError):
                     left = -1
-                if left or digest.hexdigest() != want:
-                    bad.append(path)
-            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])
+                now[3], now[5] = end, now[5] and not left and digest.hexdigest() == want
+            yield _checks(out)
+        if f:
+            f.close()
+        yield _checks([_checked(now)] if now else [])
 
-    return known.select("path", "start", "end", "sha256").mapInArrow(check, "path string").distinct()
+    by = known.select("path", "start", "end", "sha256").repartition("path", F.expr(f"start div {chunk}")).sortWithinPartitions("path", "start", "end")
+    return by.mapInArrow(check, CHECKED)
+
+
+def _checked(now: list) -> tuple:
+    path, _, start, end, digest, ok = now
+    return path, start, end, digest.hexdigest(), end - start, ok
+
+
+def _checks(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+    names = ("path", "start", "end", "sha256", "n_bytes", "ok")
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
 class TailReader(DataSourceStreamReader):
-    """The offset holds each file's size and identity. The driver looks at nothing else of a file; tasks
-    read what was added. A file that was replaced or cut is read again from its start. One that was
-    rewritten in place is not noticed here, but by recover(), which authenticates what it has read."""
+    """The offset holds each file's size, identity and time of change. The driver looks at nothing else of a
+    file; tasks read what was added. A file that was replaced or cut, or changed without growing, is read
+    again from its start. One that was rewritten and grew is noticed by those who authenticate what they
+    have read, as follow() and recover() do."""
 
     def __init__(self, options: dict):
         self.pattern, self.line_bytes = options["path"], int(options.get("lineBytes", 8 << 20))
-        self.piece_bytes = int(options.get("pieceBytes", 64 << 20))
+        self.piece_bytes = int(options.get("pieceBytes", CHUNK))
 
     def initialOffset(self) -> dict:
         return {}
@@ -190,14 +229,15 @@ class TailReader(DataSourceStreamReader):
         pieces = []
         for path, to in end.items():
             known = start.get(path, {"size": 0, "file": to["file"]})
-            at = known["size"] if known["file"] == to["file"] and known["size"] <= to["size"] else 0
+            still = known["size"] == to["size"] and known.get("mtime", to["mtime"]) != to["mtime"]
+            at = known["size"] if known["file"] == to["file"] and known["size"] <= to["size"] and not still else 0
             pieces += [Piece(*p) for p in _pieces(path, at, to["size"], self.piece_bytes)]
         return pieces
 
     def read(self, piece: Piece) -> Iterator[tuple]:
         """An error fails the batch, so that its retry reads the same range."""
-        for path, _, offset, _, raw, size, digest, _ in lines_in(piece.path, piece.start, piece.end, self.line_bytes):
-            yield path, offset, raw, size, digest
+        for path, start, offset, end, raw, size, digest, upto in lines_in(piece.path, piece.start, piece.end, self.line_bytes):
+            yield path, offset, raw, size, digest, start, end, upto
 
     def commit(self, end: dict) -> None:
         pass
@@ -211,7 +251,7 @@ class TailSource(DataSource):
         return "tail"
 
     def schema(self) -> str:
-        return "path string, offset long, raw string, n_bytes long, sha256 string"
+        return "path string, offset long, raw string, n_bytes long, sha256 string, start long, `end` long, upto string"
 
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import threading
-import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -20,11 +18,11 @@ from ..operators.filters import LINE, accepted, in_scope, to_events
 from ..operators.matching import correlate, first_per_id, new_events, void_aliases
 from ..policy import EVENT_FIELDS, Policy
 from ..sources.files import append_store, write_health
-from ..sources.tail import TailSource, broken, cursors, listed, read_ranges
+from ..sources.tail import TailSource, authenticated, cursors, listed, read_ranges
+from .state import BACKUPS, Lease, State, Superseded, read_or_empty
 
 EVENT_SCHEMA = "event_id string, tool string, session_id string, ts timestamp, prompt string, identity string, repo string, branch string, commit string"
 STORE_SCHEMA = f"{EVENT_SCHEMA}, origin string"
-RANGES, ALIASES = "path string, start long, `end` long, sha256 string", "tool string, old_id string, event_id string"
 
 
 @dataclass(frozen=True)
@@ -40,15 +38,6 @@ class Recovery:
     policy: Policy = field(default_factory=Policy)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def judged_lines(lines: DataFrame, policy: Policy) -> DataFrame:
     """lines with `reason`. A line of another role than user is `other`: neither event nor evidence."""
 
@@ -67,87 +56,74 @@ def append_evidence(bad: DataFrame, path: str) -> None:
     bad.join(old, ["path", "line_no", "sha256"], "left_anti").select("path", "line_no", "n_bytes", "sha256", "reason").write.mode("append").parquet(path)
 
 
-class State:
-    """The scan's state: which ranges of which file were taken, with their digests, and the aliases.
+class Stopped(RuntimeError):
+    """The watchdog has ended the run."""
+
+
+PLACE = ("path", "start", "offset", "end", "upto", "n_bytes", "sha256", "reason", "cwd")
+
+
+def redacted(lines: DataFrame, policy: Policy, repo: str, device: str) -> DataFrame:
+    """Judged lines with their place, and the accepted ones as redacted events. Raw lines go no further."""
+    judged = judged_lines(lines, policy)
+    read = decode(judged.withColumn("raw", F.when(F.col("reason") == "ok", F.col("raw"))), LINE)
+    return to_events(read, repo, device, policy, keep=[c for c in PLACE if c in read.columns])
+
+
+def taken_ranges(rows: DataFrame) -> DataFrame:
+    """(path, start, end, sha256) up to the last of the rows of each piece that was read."""
+    return rows.groupBy("path", "start").agg(F.max("end").alias("end"), F.max_by("upto", "end").alias("sha256"))
+
+
+def store_files(spark: SparkSession, store: str) -> DataFrame:
+    """(path, length, modified) of the store's files; their content is not read."""
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], BACKUPS)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def prefix_lost(before: DataFrame, now: DataFrame) -> bool:
+    """Whether some file that repeats were told by is gone, or is not what it was."""
+    return not before.join(now, ["path", "length", "modified"], "left_anti").isEmpty()
 
-    A version is a folder that appears by one rename, so a crash leaves the last one. Losing
-    all of it costs a full scan and changes nothing, as ids in the store are permanent.
-    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.hadoop = spark._jvm.org.apache.hadoop.fs
-        self.fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, path: str):
-        return self.hadoop.Path(path)
-
-    def versions(self) -> list[int]:
-        if not self.fs.exists(self._at(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._at(self.path))]
-        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"v=(\d+)", n)))
-
-    def age(self) -> float | None:
-        """Seconds since the last version."""
-        found = self.versions()
-        return time.time() - self.fs.getFileStatus(self._at(f"{self.path}/v={found[-1]}")).getModificationTime() / 1000 if found else None
-
-    def read(self) -> tuple[DataFrame, DataFrame]:
-        found = self.versions()
-        at = f"{self.path}/v={found[-1]}" if found else f"{self.path}/none"
-        return read_or_empty(self.spark, f"{at}/ranges", RANGES), read_or_empty(self.spark, f"{at}/aliases", ALIASES)
-
-    def write(self, ranges: DataFrame, aliases: DataFrame) -> None:
-        found = self.versions()
-        new, to = f"{self.path}/new-{uuid.uuid4().hex}", f"{self.path}/v={(found[-1] if found else 0) + 1}"
-        ranges.select("path", "start", "end", "sha256").write.parquet(f"{new}/ranges")
-        aliases.select("tool", "old_id", "event_id").write.parquet(f"{new}/aliases")
-        if not self.fs.rename(self._at(new), self._at(to)):
-            raise RuntimeError(f"the state could not be renamed to {to}")
-        for v in found[:-1]:
-            self.fs.delete(self._at(f"{self.path}/v={v}"), True)
-
-    def lock(self, seconds: float) -> bool:
-        """Takes the lock if nobody has it, or if its owner must have been stopped by the watchdog."""
-        at = self._at(f"{self.path}/lock")
-        if self.fs.exists(at) and time.time() - self.fs.getFileStatus(at).getModificationTime() / 1000 > seconds:
-            self.fs.delete(at, False)
-        self.fs.mkdirs(self._at(self.path))
-        try:
-            return bool(self.fs.createNewFile(at))
-        except Exception as e:
-            if self.fs.exists(at):  # another pass was faster
-                return False
-            raise e
-
-    def unlock(self) -> None:
-        self.fs.delete(self._at(f"{self.path}/lock"), False)
-
-
-def recover_pass(spark: SparkSession, pattern: str, store: str, quarantine: str, state: State, rules: Recovery = Recovery(), health: str | None = None) -> dict:
+def recover_pass(
+    spark: SparkSession, pattern: str, store: str, quarantine: str, state: State, rules: Recovery = Recovery(), health: str | None = None,
+    lease: Lease | None = None, going: Callable[[], None] = lambda: None, trusted: bool = False,
+) -> dict:
     """One pass: what it appended, deferred and refused, as counts.
 
-    Each file goes on behind what was taken of it, if all of that still has its digest; else it is
-    read again from the start. Lines of people in this repository become redacted events; what the
+    Each file goes on behind what was taken of it, if all of that still has its digest, for which tasks read
+    it once; else it is read again from the start. trusted: this run has just done so, and only sizes and
+    identities are looked at. Lines of people in this repository become redacted events; what the
     store has under the same id (J1), what a direct capture answers for one to one (J3) and known
     aliases (J5) are left out before the budget is spent, so repeats cannot starve later events. After
     the append the cursor of each file moves to its first line that is deferred, for want of a folder
-    or of budget. A crash before that repeats the pass, which then finds the ids in the store.
+    or of budget, provided that the store's files by which repeats were told are still what they were, and
+    that the lease holds. A crash before that repeats the pass, which then finds the ids in the store.
+    going is called between steps, and raises if the run must end.
     """
     policy, scratch = rules.policy, Scratch(spark)
-    known, aliases = state.read()
-    known = scratch.save(known)
-    files = listed(pattern)
-    lost = {r["path"] for r in broken(known).collect()}
-    at = {r["path"]: r["offset"] for r in cursors(known).collect()}
-    lost |= {p for p, offset in at.items() if p in files and files[p]["size"] < offset}
-    todo = [(p, 0 if p in lost else at.get(p, 0), f["size"]) for p, f in files.items()]
-    lines = judged_lines(read_ranges(spark, [t for t in todo if t[1] < t[2]], policy.line_bytes), policy)
-    place = ["path", "start", "offset", "end", "upto", "n_bytes", "sha256", "reason", "cwd"]
-    read = decode(lines.withColumn("raw", F.when(F.col("reason") == "ok", F.col("raw"))), LINE)
+    known, aliases, backups = state.read()
+    durable_files = scratch.save(store_files(spark, store))
+    forget = prefix_lost(backups, durable_files)  # the store was cut or replaced: all is scanned again
+    known = scratch.save(known.limit(0) if forget else known)
+    checked = known.select("path", "start", "end", "sha256", F.lit(0).cast("long").alias("n_bytes"), F.lit(True).alias("ok")) if trusted else authenticated(known)
+    checked = scratch.save(checked)
+    going()
+    files = spark.createDataFrame([(p, f["size"]) for p, f in listed(pattern).items()], "path string, size long")
+    at = cursors(checked)
+    cut = at.join(files, "path", "left").where(F.col("size").isNull() | (F.col("size") < F.col("offset")))
+    lost = scratch.save(checked.where("not ok").select("path").union(cut.select("path")).distinct())
+    sound = checked.join(lost, "path", "left_anti")
+    todo = files.join(cursors(sound), "path", "left").select("path", F.coalesce("offset", F.lit(0)).cast("long").alias("start"), F.col("size").alias("end"))
     # raw lines are not stored, not even here
-    rows = scratch.save(to_events(read, rules.repo, rules.device, policy, keep=place))
+    rows = scratch.save(redacted(read_ranges(scratch.save(todo), policy.line_bytes), policy, rules.repo, rules.device))
+    going()
     append_evidence(rows.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason"), quarantine)
 
     events = rows.where("reason = 'ok'")
@@ -164,27 +140,34 @@ def recover_pass(spark: SparkSession, pattern: str, store: str, quarantine: str,
     free = durable.where("origin = 'direct'").join(aliases.select("tool", "event_id"), ["tool", "event_id"], "left_anti")
     free = free.join(events.select("tool", "event_id"), ["tool", "event_id"], "left_anti")  # those answer for themselves
     side = lambda df: df.select("tool", "session_id", "ts", F.sha2("prompt", 256).alias("text"), F.struct("tool", "event_id").alias("id"))
+    going()
     pairs = scratch.save(correlate(side(free), side(fresh), ["tool", "session_id", "text"], policy.correlation_minutes * 60_000_000))
     met = pairs.select("recovered_id.tool", F.col("recovered_id.event_id").alias("old_id"), F.col("direct_id.event_id").alias("event_id"))
     wanted = fresh.join(met.select("tool", F.col("old_id").alias("event_id")), ["tool", "event_id"], "left_anti")
     taken = scratch.save(within_budget(wanted, ["path", "offset"], policy))
+    going()
+    if lease and not lease.holds():
+        raise Superseded("the lease is over")
     append_store(taken.select(*EVENT_FIELDS), store, "recovered")
 
     waiting = scratch.save(wanted.join(taken.select("tool", "event_id"), ["tool", "event_id"], "left_anti").select("path", "offset").unionByName(deferred.select("path", "offset")))
     stop = waiting.groupBy("path").agg(F.min("offset").alias("stop"))
     done = rows.join(stop, "path", "left").where(F.col("stop").isNull() | (F.col("offset") < F.col("stop")))
-    new = done.groupBy("path", "start").agg(F.max("end").alias("end"), F.max_by("upto", "end").alias("sha256"))
-    held = known.where(~F.col("path").isin(sorted(lost))) if lost else known
+    new = taken_ranges(done)
+    held = sound.select("path", "start", "end", "sha256")
     # an alias whose event came back under its own id voids what was scanned
     again = void.count() > 0
     ranges = scratch.save((new if again else held.unionByName(new)).select("path", "start", "end", "sha256").where(F.lit(not again)))
-    gone = broken(ranges)
-    state.write(ranges.join(gone, "path", "left_anti"), aliases.unionByName(met.select("tool", "old_id", "event_id")))
+    going()
+    after = store_files(spark, store)
+    moved = prefix_lost(durable_files, after)
+    if not moved:
+        state.write(ranges, aliases.unionByName(met.select("tool", "old_id", "event_id")), after, lease)
     counts = {r["reason"]: r["count"] for r in rows.groupBy("reason").count().collect()}
     refused = sum(n for r, n in counts.items() if r not in ("ok", "other"))
-    out = {"appended": taken.count(), "deferred": waiting.count(), "refused": refused, "truncated": taken.where("truncated").count(), "rescanned": len(lost), "voided": int(again)}
+    out = {"appended": taken.count(), "deferred": waiting.count(), "refused": refused, "truncated": taken.where("truncated").count(), "rescanned": lost.count(), "voided": int(again), "backup_moved": int(forget or moved), "authenticated": 0 if trusted else checked.agg(F.sum("n_bytes")).first()[0] or 0}
     if health:
-        codes = {"PARTIAL_TRANSCRIPT": counts.get("malformed", 0) + counts.get("oversize", 0), "QUARANTINED": refused, "PROMPT_TRUNCATED": out["truncated"], "RESCANNED": out["rescanned"], "ALIAS_VOIDED": out["voided"]}
+        codes = {"PARTIAL_TRANSCRIPT": counts.get("malformed", 0) + counts.get("oversize", 0), "QUARANTINED": refused, "PROMPT_TRUNCATED": out["truncated"], "RESCANNED": out["rescanned"], "ALIAS_VOIDED": out["voided"], "BACKUP_CHANGED": out["backup_moved"]}
         write_health(spark.createDataFrame([(c,) for c, n in codes.items() if n], "code string").select(F.current_timestamp().alias("ts"), "code"), health)
     scratch.end()
     return out
@@ -202,52 +185,92 @@ def recover(
     age = state.age()
     if throttled and age is not None and age < 60 * rules.policy.recovery_minutes:
         return True
-    if not state.lock(timeout):
+    lease = state.lease(timeout)
+    if lease is None:
         return False
     group, stopped = f"recover-{uuid.uuid4().hex}", threading.Event()
     spark.sparkContext.setJobGroup(group, "recovery", interruptOnCancel=True)
 
     def stop() -> None:
         stopped.set()
-        spark.sparkContext.cancelJobGroup(group)
+        spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)
+
+    def going() -> None:
+        if stopped.is_set():
+            raise Stopped
 
     watchdog = threading.Timer(timeout, stop)
     watchdog.daemon = True
     watchdog.start()
     try:
-        more = True
-        while more and not stopped.is_set():
-            done = recover_pass(spark, pattern, store, quarantine, state, rules, health)
-            more = bool(done["appended"] or done["voided"])
+        more = first = True
+        while more:
+            going()
+            done = recover_pass(spark, pattern, store, quarantine, state, rules, health, lease, going, trusted=not first)
+            more, first = bool(done["appended"] or done["voided"]) and not done["backup_moved"], False
+    except Superseded:
+        return False
     except Exception:
         if not stopped.is_set():
             raise
     finally:
         watchdog.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-        state.unlock()
+        lease.release()
     return not stopped.is_set()
 
 
-def append_batch(store: str, quarantine: str, prepare: Callable[[DataFrame], DataFrame] | None = None, policy: Policy = Policy()) -> Callable[[DataFrame, int], None]:
+def append_batch(
+    store: str, quarantine: str, prepare: Callable[[DataFrame], DataFrame] | None = None, policy: Policy = Policy(), checkpoint: str | None = None
+) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step over the tail source. A batch that runs again after a crash appends nothing
-    twice, since it leaves out ids that the store holds. Events are redacted, unless prepare does otherwise."""
-    ready = prepare or (lambda events: to_events(events, "local", "device", policy))
+    twice, since it leaves out ids that the store holds. Events are redacted, unless prepare does otherwise
+    to the judged and decoded lines.
 
-    def step(lines: DataFrame, _: int) -> None:
+    checkpoint: where the digests of what was taken are kept. Files that a batch has lines of are
+    authenticated then, and one that was rewritten meanwhile is read again from its start.
+    """
+
+    def read(lines: DataFrame) -> DataFrame:
+        if prepare is None:
+            return redacted(lines, policy, "local", "device")
         judged = judged_lines(lines, policy)
-        bad = judged.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason")
-        events = ready(accepted(judged.select("path", "offset", "raw", "reason"), LINE)).select(*EVENT_FIELDS)
-        append_store(new_events(first_per_id(events), read_or_empty(lines.sparkSession, store, STORE_SCHEMA)), store, "recovered")
+        return prepare(decode(judged.withColumn("raw", F.when(F.col("reason") == "ok", F.col("raw"))), LINE))
+
+    def step(lines: DataFrame, _: int) -> None:
+        spark = lines.sparkSession
+        scratch = Scratch(spark)
+        rows = scratch.save(read(lines))
+        state = State(spark, checkpoint) if checkpoint else None
+        if state:
+            known, aliases, _backups = state.read()
+            met = rows.groupBy("path").agg(F.min("start").alias("from"), F.max("end").alias("end"))
+            # what a batch reads from the start again replaces what was known of a file
+            old = known.join(met.where("from > 0"), "path", "left_semi")
+            checked = scratch.save(authenticated(old))
+            broken = scratch.save(checked.where("not ok").select("path").distinct())
+            again = met.join(broken, "path").select("path", F.lit(0).cast("long").alias("start"), "end")
+            if not again.isEmpty():
+                whole = read(read_ranges(scratch.save(again), policy.line_bytes))
+                rows = scratch.save(rows.join(broken, "path", "left_anti").unionByName(whole.select(*rows.columns)))
+        bad = rows.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason")
+        events = rows.where("reason = 'ok'").select(*EVENT_FIELDS)
+        append_store(new_events(first_per_id(events), read_or_empty(spark, store, STORE_SCHEMA)), store, "recovered")
         append_evidence(bad, quarantine)
+        if state:
+            rest = known.join(met, "path", "left_anti").select("path", "start", "end", "sha256")
+            held = checked.join(broken, "path", "left_anti").select("path", "start", "end", "sha256")
+            state.write(scratch.save(rest.unionByName(held).unionByName(taken_ranges(rows)).distinct()), aliases)
+        scratch.end()
 
     return step
 
 
 def follow(spark: SparkSession, pattern: str, store: str, quarantine: str, checkpoint: str, policy: Policy = Policy(), every: Sequence[str] | None = None):
     """A streaming query that appends what files gain, every policy.recovery_minutes, or once over all
-    that is there if every is empty. It goes by ids alone; recover() correlates, defers and keeps a budget."""
+    that is there if every is empty. It goes by ids alone, and reads files again
+    that were rewritten; recover() correlates, defers and keeps a budget."""
     spark.dataSource.register(TailSource)
     lines = spark.readStream.format("tail").option("path", pattern).option("lineBytes", policy.line_bytes).load()
     trigger = {"processingTime": f"{policy.recovery_minutes} minutes"} if every is None else {"availableNow": True}
-    return lines.writeStream.foreachBatch(append_batch(store, quarantine, policy=policy)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return lines.writeStream.foreachBatch(append_batch(store, quarantine, policy=policy, checkpoint=f"{checkpoint}/taken")).option("checkpointLocation", checkpoint).trigger(**trigger).start()

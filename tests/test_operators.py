@@ -551,14 +551,134 @@ def test_one_runner_and_its_cadence(spark, tmp_path):
     _write(tmp_path, "a.jsonl", _line(1))
     run = lambda **more: rec.recover(spark, str(tmp_path / "src" / "*.jsonl"), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "state"), **more)
     state = rec.State(spark, str(tmp_path / "state"))
-    assert state.lock(300) and not state.lock(300) and not run()
-    state.unlock()
+    lease = state.lease(300)
+    assert lease and not state.lease(300) and not run()
+    lease.release()
     assert run() and _ids(spark, tmp_path) == ["event_id1"]
     _write(tmp_path, "a.jsonl", _line(2))
     assert run(throttled=True) and len(_ids(spark, tmp_path)) == 1
     assert run() and len(_ids(spark, tmp_path)) == 2
 
 
+def test_leases_exclude(spark, tmp_path):
+    """A run whose lease was taken over can't end its successor's, nor write; of many that ask, one gets it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    states = [rec.State(spark, str(tmp_path / "state")) for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        got = [x for x in pool.map(lambda s: s.lease(300), states) if x]
+    assert len(got) == 1 and got[0].holds()
+    os.utime(tmp_path / "state" / "leases" / "1", (1, 1))
+    second = states[1].lease(300)
+    assert second.holds() and not got[0].holds()
+    got[0].release()
+    assert second.holds() and states[2].lease(300) is None
+    ranges, aliases, backups = states[3].read()
+    with pytest.raises(rec.Superseded):
+        states[3].write(ranges, aliases, backups, got[0])
+    second.release()
+    assert states[2].lease(300).holds()
+
+
+def test_versions_are_compared_and_set(spark, tmp_path):
+    """Two runs that began with the same version: the first writes it, the second fails, and nothing is lost."""
+    a, b = rec.State(spark, str(tmp_path / "s")), rec.State(spark, str(tmp_path / "s"))
+    ranges, aliases, _ = a.read()
+    b.read()
+    mine = spark.createDataFrame([("p", 0, 1, "x")], ranges.schema)
+    a.write(mine, aliases)
+    with pytest.raises(rec.Superseded):
+        b.write(ranges, aliases)
+    assert b.read()[0].count() == 1 and b.base == 1
+    b.write(ranges, aliases)
+    assert a.read()[0].count() == 0 and a.versions() == [2]
+    (tmp_path / "s" / "versions" / "v=3").write_text("")  # a writer died within it
+    assert a.read()[0].count() == 0 and a.base == 3
+    a.write(mine, aliases)
+    assert a.read()[0].count() == 1 and a.versions() == [4]
+
+
+def test_superseded_run_appends_nothing(spark, tmp_path, monkeypatch):
+    _write(tmp_path, "a.jsonl", _line(1))
+    monkeypatch.setattr(rec.Lease, "holds", lambda self: False)
+    assert not rec.recover(spark, str(tmp_path / "src" / "*.jsonl"), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "state"))
+    assert not (tmp_path / "store").exists()
+
+
+def test_watchdog_stops_between_jobs(spark, tmp_path, monkeypatch):
+    """Jobs that begin after the watchdog fail at once, and no step follows."""
+    _write(tmp_path, "a.jsonl", *[_line(i) for i in range(3)])
+    slow = rec.append_evidence
+    monkeypatch.setattr(rec, "append_evidence", lambda *a: time.sleep(8) or slow(*a))
+    run = lambda **more: rec.recover(spark, str(tmp_path / "src" / "*.jsonl"), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "state"), **more)
+    began = time.time()
+    assert not run(timeout=7) and time.time() - began < 25 and not (tmp_path / "store").exists()
+    monkeypatch.setattr(rec, "append_evidence", slow)
+    assert run() and len(_ids(spark, tmp_path)) == 3
+
+
+def test_history_is_read_once(spark, tmp_path, monkeypatch):
+    """recover() authenticates what was taken once, however many passes it makes; ranges become one for each chunk."""
+    for n in range(4):
+        _write(tmp_path, "a.jsonl", *[_line(10 * n + i) for i in range(10)])
+        _pass(spark, tmp_path)
+    src, state = tmp_path / "src" / "a.jsonl", rec.State(spark, str(tmp_path / "state"))
+    size, seen, real = src.stat().st_size, [], rec.recover_pass
+    assert state.read()[0].count() == 2  # one for all but the last pass
+    monkeypatch.setattr(rec, "recover_pass", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    _write(tmp_path, "a.jsonl", *[_line(100 + i) for i in range(5)])
+    assert rec.recover(spark, str(src), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "state"), rec.Recovery(policy=Policy(batch_rows=2)))
+    assert len(seen) == 4 and sum(d["authenticated"] for d in seen) == size and len(_ids(spark, tmp_path)) == 45
+    _pass(spark, tmp_path)
+    held = state.read()[0].collect()
+    assert [(r["start"], r["end"], r["sha256"]) for r in held] == [(0, src.stat().st_size, hashlib.sha256(src.read_bytes()).hexdigest())]
+
+
+def test_chunks_are_checked_one_by_one(spark, tmp_path):
+    p = tmp_path / "f"
+    p.write_bytes(bytes(range(256)) * 40)
+    digest = lambda a, b: hashlib.sha256(p.read_bytes()[a:b]).hexdigest()
+    cuts = [0, 300, 900, 1000, 2500, 4096, 5000, 9000]
+    known = spark.createDataFrame([(str(p), a, b, digest(a, b)) for a, b in zip(cuts, cuts[1:])] + [(str(tmp_path / "gone"), 0, 5, "x")], "path string, start long, `end` long, sha256 string")
+    found = lambda: sorted(tuple(r) for r in tail.authenticated(known, 1000).collect() if r["path"] == str(p))
+    assert [(a, b, h, n, ok) for _, a, b, h, n, ok in found()] == [(a, b, digest(a, b), b - a, True) for a, b in ((0, 1000), (1000, 2500), (2500, 4096), (4096, 5000), (5000, 9000))]
+    assert not any(r["ok"] for r in tail.authenticated(known, 1000).collect() if r["path"] != str(p))
+    with p.open("r+b") as f:
+        f.seek(3000)
+        f.write(b"!")
+    assert [ok for *_, ok in found()] == [True, True, False, True, True]
+
+
+def test_a_store_that_was_replaced_is_scanned_against_again(spark, tmp_path):
+    """Files of the store that repeats were told by are gone: what was scanned is forgotten, and missing events come back."""
+    import shutil
+
+    _write(tmp_path, "a.jsonl", _line(1), _line(2))
+    _pass(spark, tmp_path)
+    assert _pass(spark, tmp_path)["appended"] == 0
+    shutil.rmtree(tmp_path / "store")
+    got = _pass(spark, tmp_path, health=str(tmp_path / "health"))
+    assert got["appended"] == 2 and got["backup_moved"] == 1 and _ids(spark, tmp_path) == ["event_id1", "event_id2"]
+    assert "BACKUP_CHANGED" in {r["code"] for r in spark.read.parquet(str(tmp_path / "health")).collect()}
+    assert _pass(spark, tmp_path)["backup_moved"] == 0
+
+
+def test_follow_reads_a_rewritten_file_again(spark, tmp_path):
+    run = lambda: rec.follow(spark, str(tmp_path / "src" / "*.jsonl"), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "check"), every=()).awaitTermination()
+    _write(tmp_path, "a.jsonl", _line(1), _line(2))
+    _write(tmp_path, "b.jsonl", _line(3), _line(4))
+    run()
+    with (tmp_path / "src" / "a.jsonl").open("r+") as f:  # rewritten in place, and longer
+        f.write(_line(7) + "\n" + _line(2) + "\n" + _line(8) + "\n")
+    run()
+    assert _ids(spark, tmp_path) == [f"event_id{i}" for i in (1, 2, 3, 4, 7, 8)]
+    with (tmp_path / "src" / "b.jsonl").open("r+") as f:  # rewritten in place, no longer
+        f.write(_line(9) + "\n")
+    os.utime(tmp_path / "src" / "b.jsonl", (2e9, 2e9))
+    run()
+    assert _ids(spark, tmp_path) == [f"event_id{i}" for i in (1, 2, 3, 4, 7, 8, 9)]
+
+
 def test_follow(spark, tmp_path):
     """The streaming query appends what files gain, each id once, and redacted."""
     run = lambda: rec.follow(spark, str(tmp_path / "src" / "*.jsonl"), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "check"), every=()).awaitTermination()
