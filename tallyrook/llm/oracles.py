@@ -44,14 +44,24 @@ def op3_pii() -> str:
         ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) between 14 and 19 and {luhn}"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) between 10 and 15"),
         ("term", r"[\pL\pN]{4,}", "true"),
     ]
-    return f"""with {_spans(base)},
+    return f"""with recursive {_spans(base)},
 plain as (select doc_id, kind, case kind when 'email' then lower(hit) when 'ip' then hit else {digits} end as v from f where k < 4),
 ent as (select distinct doc_id, md5(x) as key, unnest([concat(kind, ':', v), concat(kind, ':', case kind when 'email' then '@' || split_part(v, '@', -1) when 'ip' then concat(split_part(v, '.', 1), '.', split_part(v, '.', 2), '.*')
   when 'card' then v[1:6] || '*' else v[1:4] || '*' end), kind]) as e from plain join t using (doc_id)),
 term as (select distinct doc_id, lower(hit) as w from f where k = 4),
 often as (select w, count(*) as n_t from term group by 1), size as (select count(*) as n from t),
-ents as (select e, count(*) as n_e, count(distinct key) as texts from ent group by 1 having count(distinct key) >= 3),
-co as (select e, w, n_e, count(*) as n_et from ent join ents using (e) join term using (doc_id) group by 1, 2, 3 having count(distinct key) >= 3),
+sk as (select key, list_sort(list_distinct(list(('0x' || substr(md5(w), 1, 15))::bigint)))[1:128] as h from (select distinct key, w from (select distinct doc_id, key from ent) join term using (doc_id)) group by 1 having count(*) >= 8),
+lv as (select *, case when len(h) >= 64 then 16 when len(h) >= 32 then 8 when len(h) >= 16 then 4 when len(h) >= 8 then 2 else 1 end as m from sk),
+bd as (select key, m, c, list_reduce(list_concat([0::bigint], list_filter(h, lambda z: z % m = c)), lambda a, b: xor(a, b)) as x
+  from (select key, h, m from lv union select key, h, m // 2 from lv where m > 1), unnest(range(0, m)) u(c)),
+tried as (select distinct bd.key, f.other from bd join (select m, c, x, min(key) as other from bd group by 1, 2, 3) f using (m, c, x) where bd.key <> f.other),
+near as (select t.key, t.other, a.h as ah, b.h as bh, list_sort(list_distinct(list_concat(a.h, b.h)))[1:128] as u from tried t join sk a on a.key = t.key join sk b on b.key = t.other),
+edge as (select key as p, other as q from near where 100 * len(list_intersect(list_intersect(u, ah), bh)) >= 80 * len(u)),
+two as (select p, q from edge union select q, p from edge), reach as (select p, p as q from two union select r.p, e.q from reach r join two e on e.p = r.q),
+grp as (select p as key, min(q) as g from reach group by 1),
+entg as (select ent.*, coalesce(g, key) as grp from ent left join grp using (key)),
+ents as (select e, count(*) as n_e from entg group by 1 having count(distinct grp) >= 3),
+co as (select e, w, n_e, count(*) as n_et from entg join ents using (e) join term using (doc_id) group by 1, 2, 3 having count(distinct grp) >= 3),
 told as (select w, max(ln(n * n_et / (n_e * n_t)) / ln(n / n_e)) as strength from co join often using (w), size where n_e < n group by 1),
 tell as (select doc_id, w, strength from told join term using (w) where strength >= 0.75),
 add_ as (select f.doc_id, f.k, case when strength >= 0.95 then 'term' else 'class' end as kind, f.s, f.e from f join tell on tell.doc_id = f.doc_id and tell.w = lower(f.hit)

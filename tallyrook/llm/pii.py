@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, body, bucket_of, counted, listed, no_spans, sha, sieve, spans
+from .components import connected_components
 
 #: The kinds in their order, in Java's syntax. A run starts at its first character or
 #: where the last match ended, and possessive repeats never go back: the same matches as the plain
@@ -27,11 +28,15 @@ class Disclosure:
 
     An entity is a value, or one of the classes that pool values too rare to be estimated on their
     own: an address's mail domain, an IP address's network, a card's issuer, a number's area,
-    and the kind. min_texts: different texts that must hold both. generalise, remove: the two
+    and the kind. min_texts: different texts that must hold both, of which those whose terms agree to at
+    least `alike` hundredths, as near copies do, are one. Below `short` terms a text is too short to be told from
+    another one of its sort, and only equal texts are one. generalise, remove: the two
     thresholds. salts: parts into which the texts of one key are dealt.
     """
 
     min_texts: int = 3
+    alike: int = 80
+    short: int = 8
     generalise: float = 0.75
     remove: float = 0.95
     salts: int = 16
@@ -86,10 +91,45 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+#: Hashes of a text's terms that stand for them where texts are compared; all of them, if there are no more.
+SKETCH = 128
+
+
+def sketch(of: Column) -> Column:
+    """The smallest hashes of the terms, sorted. MD5 serves, as other engines have it, too."""
+    return F.slice(F.array_sort(F.transform(of, lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long"))), 1, SKETCH)
+
+
+def _bands(hashes: Column) -> Column:
+    """array<struct<m,c,x>>: hashes fall into m classes by their remainder, about four to eight of them in each, and
+    x is a class's xor; so texts that differ in few terms agree in some class. The next coarser
+    division is there as well, for texts at whose size the division changes."""
+    n = F.size(hashes)
+    m = F.when(n >= 64, 16).when(n >= 32, 8).when(n >= 16, 4).when(n >= 8, 2).otherwise(1)
+    of = lambda m, c: F.aggregate(F.filter(hashes, lambda h: h % m == c), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+    level = lambda m: F.transform(F.sequence(F.lit(0), m - 1), lambda c: F.struct(m.cast("int").alias("m"), c.cast("int").alias("c"), of(m, c).alias("x")))
+    return F.concat(level(m), F.when(m > 1, level((m / 2).cast("int"))).otherwise(F.array().cast("array<struct<m:int,c:int,x:bigint>>")))
+
+
+def near_groups(scratch: Scratch, texts: DataFrame, alike: int = 80, short: int = 8) -> DataFrame:
+    """(key, grp) for those of texts (key, terms) that are near copies of another: grp is the smallest key of
+    the group. Each text meets the smallest key of each band that it shares, never all others of it."""
+    own = scratch.save(texts.select("key", sketch(F.col("terms")).alias("hashes")).where(F.size("hashes") >= short))
+    bands = own.select("key", F.explode(_bands(F.col("hashes"))).alias("b")).select("key", "b.*")
+    first = bands.groupBy("m", "c", "x").agg(F.min("key").alias("other"), F.count("*").alias("n")).where("n > 1")
+    tried = bands.join(first, ["m", "c", "x"]).where("key <> other").select("key", "other").distinct()
+    both = tried.join(own.withColumnRenamed("hashes", "a"), "key").join(own.select(F.col("key").alias("other"), F.col("hashes").alias("b")), "other")
+    least = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect(least, F.col("a")), F.col("b")))
+    edges = scratch.save(both.where(100 * shared >= alike * F.size(least)).select(F.col("key").alias("u"), F.col("other").alias("v")))
+    return connected_components(scratch, edges).withColumnsRenamed({"nid": "key", "root": "grp"})
+
+
 def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
     """(t, strength): the terms to take out wherever they stand, with the most that each tells of any entity.
 
-    All counts are over all documents, copies included; what carries support is different texts.
+    All counts are over all documents, copies included; what carries support is different texts, near
+    copies of one counting once, so that a copied text's own words tell nothing.
     Pairs are those that stand in one text: the entities that enough texts name times the text's
     terms. They are counted without a join, so that a common entity meets in no task; sieves leave
     out rare entities before, and the other terms of all documents after.
@@ -100,10 +140,12 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), text_col:
         named.select(F.md5("_t").alias("key"), F.array_distinct(F.flatten(F.transform("_s", _entities))).alias("entities"), terms(F.col("_t")).alias("terms"))
         .groupBy("key", "entities", "terms").agg(F.count("*").alias("copies"))
     )
-    by_entity = texts.select("copies", "terms", F.explode("entities").alias("e"))
-    entities = scratch.save(by_entity.groupBy("e").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts_e")).where(F.col("texts_e") >= rule.min_texts).select("e", "n_e"))
-    both = by_entity.join(sieve(entities, "e"), bucket_of(F.col("e")) == F.col("_bucket"), "left_semi").select("copies", "e", F.explode("terms").alias("t"))
-    co = scratch.save(both.groupBy("e", "t").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts_et")).where(F.col("texts_et") >= rule.min_texts).select("e", "t", "n_et"))
+    grouped = texts.join(near_groups(scratch, texts, rule.alike, rule.short), "key", "left").withColumn("grp", F.coalesce("grp", "key"))
+    by_entity = scratch.save(grouped.select("copies", "grp", "terms", "entities")).select("copies", "grp", "terms", F.explode("entities").alias("e"))
+    entities = scratch.save(by_entity.groupBy("e").agg(F.sum("copies").alias("n_e"), F.count_distinct("grp").alias("texts_e")).where(F.col("texts_e") >= rule.min_texts).select("e", "n_e"))
+    both = by_entity.join(sieve(entities, "e"), bucket_of(F.col("e")) == F.col("_bucket"), "left_semi").select("copies", "grp", "e", F.explode("terms").alias("t"))
+    by_group = both.groupBy("e", "t", "grp").agg(F.sum("copies").alias("copies"))
+    co = scratch.save(by_group.groupBy("e", "t").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts_et")).where(F.col("texts_et") >= rule.min_texts).select("e", "t", "n_et"))
     every = docs.select(F.explode(terms(body(text_col))).alias("t"))
     often = every.join(sieve(co, "t"), bucket_of(F.col("t")) == F.col("_bucket"), "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     size = docs.agg(F.count("*").alias("n"))  # one row
@@ -138,10 +180,8 @@ def find_pii(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "
     based = salted.join(dealt, ["key", "salt"], "left").withColumn("base", base_spans(text))
     strength = lambda s: F.col("told")[F.lower(s["hit"])]
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    # only the telling terms are looked for: of all terms of a text they are few
-    whole = F.concat(F.lit(rf"(?iu)(?<!{LETTER})(?:"), F.array_join(F.sort_array(F.map_keys("told")), "|"), F.lit(rf")(?!{LETTER})"))
     added = F.transform(
-        F.filter(spans(text, whole, 4, "term"), lambda s: strength(s).isNotNull() & free(s)),
+        F.filter(spans(text, TERM, 4, "term"), lambda s: strength(s).isNotNull() & free(s)),
         lambda s: s.withField("kind", F.when(strength(s) >= rule.remove, F.lit("term")).otherwise(F.lit("class"))),
     )
     found = based.select("row", F.when(F.col("told").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added))).alias("pii"))

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrook.llm import conversation_trie, decontaminate, resample
+from tallyrook.llm import conversation_trie, decontaminate, pii, resample
 from tallyrook.llm.common import Scratch
 
 RUN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -223,3 +223,36 @@ def test_spilling_queue():
             held.append(x)
             queue.push(x)
     assert [queue.pop() for _ in range(len(held))] == sorted(held) and queue.first() is None
+
+
+# personal data in near copies
+
+
+def test_near_copies_are_one_witness(spark, tmp_path):
+    """Fifty near copies of a text with an address: none of its words is told, while a nickname that stands
+    with the address in different texts is. The SQL agrees."""
+    import duckdb
+
+    from tallyrook.llm import oracles, queries
+
+    rng = random.Random(11)
+    fresh = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    base, texts = fresh(90), []
+    for i in range(50):
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(90)] = fresh(1)[0]
+        texts.append(" ".join([*own[:40], "write to someone@hidden.example now", *own[40:]]))
+    texts += [" ".join([*fresh(20), "zorblax has z@else.example"]) for _ in range(6)]
+    texts += [" ".join(fresh(30)) for _ in range(80)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    told = {r["t"] for r in pii.disclosing_terms(docs).collect()}
+    assert "zorblax" in told and not told & set(base)
+    groups = pii.near_groups(Scratch(spark), docs.where("doc_id < 56").select(F.md5("text").alias("key"), pii.terms(F.col("text")).alias("terms")), 80).collect()
+    assert len({r["key"] for r in groups}) >= 45 and len({r["grp"] for r in groups}) == 1
+    got = queries.op3_pii(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(oracles.oracle_sql()["op3_pii"]).df().sort_values("doc_id")
+    assert got[want.columns].to_numpy().tolist() == want.to_numpy().tolist()
