@@ -45,10 +45,24 @@ def version_at_least(c: Column, floor: str) -> Column:
     return F.coalesce(F.when(c.rlike(r"^[0-9]{1,9}\.[0-9]{1,9}\.[0-9]{1,9}$"), parts >= least), F.lit(False))
 
 
+def canonical(path: Column) -> Column:
+    """An absolute path without `.`, `..`, repeated or trailing slashes; the root itself is /. A drive's
+    letter is lower case and its backslashes are slashes. Null for a path that is not absolute.
+
+    Its parts are folded onto a stack. Links are not followed, as a path in a log has no file system.
+    """
+    drive = path.rlike(r"^[A-Za-z]:[\\/]")
+    plain = F.when(drive, F.concat(F.lit("/"), F.lower(F.substring(path, 1, 2)), F.translate(F.substring(path, 3, 1 << 20), "\\", "/"))).otherwise(path)
+    none = F.array().cast("array<string>")
+    step = lambda stack, part: F.when(part.isin("", "."), stack).when(part == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.array_append(stack, part))
+    folded = F.aggregate(F.split(plain, "/", -1), none, step)
+    return F.when(plain.startswith("/"), F.concat(F.lit("/"), F.array_join(folded, "/")))
+
+
 def within(path: Column, root: Column) -> Column:
-    """Whether a canonical path is the root or lies below it."""
-    base = F.regexp_replace(root, "/+$", "")
-    return (path == base) | path.startswith(F.concat(base, F.lit("/")))
+    """Whether an absolute path is the root or lies below it, both read in their canonical form; false for others."""
+    here, base = canonical(path), canonical(root)
+    return F.coalesce((here == base) | here.startswith(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"))), F.lit(False))
 
 
 def free_name(df: DataFrame, name: str) -> str:

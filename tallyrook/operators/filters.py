@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import Contract, Field, decode, judge, strings
-from ..functions.text import digest, redact, truncate_bytes, version_at_least, within
+from ..functions.text import canonical, digest, redact, truncate_bytes, version_at_least, within
 from ..policy import ENVELOPE_FORBIDDEN, ENVELOPE_REQUIRED, EVENT_FIELDS, Policy
 
 #: An event, a transcript's line, which also tells who spoke and where, and a captured envelope.
@@ -67,15 +67,16 @@ def with_markers(rows: DataFrame, markers: Sequence[str]) -> DataFrame:
 
 def in_scope(rows: DataFrame, root: str, nested: DataFrame, cwd: str = "cwd") -> tuple[DataFrame, DataFrame]:
     """(inside, deferred): rows below root and below no nested repository (nested: one column
-    `root`); rows whose cwd is unknown are tried again later and must not advance a cursor.
+    `root`); rows whose cwd is unknown are tried again later and must not advance a cursor. Paths are
+    compared in their canonical form, and one that is not absolute is in no repository.
 
     Each different folder meets nested by all folders above it, an equality that needs no loop over
     nested roots.
     """
-    known = rows.where(F.col(cwd).isNotNull() & within(F.col(cwd), F.lit(root)))
-    parts = F.split(cwd, "/")
+    known = rows.where(within(F.col(cwd), F.lit(root)))
+    parts = F.split(canonical(F.col(cwd)), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    roots = nested.select(F.regexp_replace("root", "/+$", "").alias("_root")).distinct()
+    roots = nested.select(canonical(F.col("root")).alias("_root")).distinct()
     inner = known.select(cwd).distinct().withColumn("_root", F.explode(above)).join(roots, "_root", "left_semi").select(cwd).distinct()
     return known.join(inner, cwd, "left_anti"), rows.where(F.col(cwd).isNull())
 

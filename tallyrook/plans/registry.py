@@ -16,6 +16,8 @@ from ..functions import text as fx
 from ..functions.schema import Contract, Field, strings
 from ..operators import budget, filters, matching, reports
 from ..policy import EVENT_FIELDS, Policy
+from ..sources.adapters import Adapter, Place
+from ..streaming.recover import decoded
 
 #: 2024-01-31, the day after the last event; the clock of all queries.
 NOW = "timestamp_ntz'2024-01-31 00:00:00'"
@@ -230,6 +232,41 @@ def repo_scope(spark, sf_dir):
     return filters.in_scope(p, "/en", nested)[0].select("page_id")
 
 
+def canonical_scope(spark, sf_dir):
+    """urls' paths as folders with detours, below /en/.. or not."""
+    p = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/]*(/[^?#]*)", 1).alias("path"))
+    n = F.col("page_id")
+    cwd = F.when(n % 5 == 0, F.concat(F.lit("/en/.."), "path")).when(n % 5 == 1, F.concat("path", F.lit("/../../x"))).when(n % 5 == 2, F.concat(F.lit("/./"), "path", F.lit("//.//"))).when(n % 5 == 3, F.concat(F.lit("en"), "path")).otherwise(F.col("path"))
+    found = p.withColumn("cwd", cwd)
+    return found.select("page_id", fx.canonical(F.col("cwd")).alias("folder"), fx.within(F.col("cwd"), F.lit("/en//./")).alias("inside"))
+
+
+#: Events as three clients would write them: flat, below a message, and as a list of parts.
+CLIENTS = (
+    Adapter("one", "^/one/", "$.kind", ("user",), {"event_id": Place(("$.id",)), "session_id": Place(("$.session",)), "ts": Place(("$.at",)), "prompt": Place(("$.text",))}),
+    Adapter("two", "^/two/", "$.type", ("user", "human"), {"event_id": Place(("$.uuid",)), "session_id": Place(("$.meta.sessionId",)), "ts": Place(("$.meta.timestamp",)), "prompt": Place(("$.message.content",))}),
+    Adapter("three", "^/three/", "$.payload.type", ("message",), {"session_id": Place(("$.payload.session", "$.session")), "ts": Place(("$.timestamp",)), "prompt": Place(("$.payload.content",), kinds=("input_text",))}),
+)
+
+
+def adapted_events(spark, sf_dir):
+    """events' props and types in the shapes of three clients become the same fields again."""
+    e = _events(spark, sf_dir)
+    q = lambda c: F.concat(F.lit('"'), c.cast("string") if not isinstance(c, str) else F.col(c).cast("string"), F.lit('"'))
+    at, k = q(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.get_json_object("props", "$.k")
+    who = F.when(F.col("event_type") == "error", F.lit('"assistant"')).otherwise(F.lit('"user"'))
+    said = q(F.concat("event_type", F.lit(" "), k))
+    one = F.concat(F.lit('{"kind":'), who, F.lit(',"id":'), q("event_id"), F.lit(',"session":'), q("user_id"), F.lit(',"at":'), at, F.lit(',"text":'), said, F.lit(',"response":"r"}'))
+    two = F.concat(F.lit('{"type":'), who, F.lit(',"uuid":'), q("event_id"), F.lit(',"meta":{"sessionId":'), q("user_id"), F.lit(',"timestamp":'), at, F.lit('},"message":{"content":'), said, F.lit("}}"))
+    kind = F.when(F.col("event_type") == "error", F.lit('"reasoning"')).otherwise(F.lit('"message"'))
+    parts = F.concat(F.lit('[{"type":"input_text","text":'), q("event_type"), F.lit('},{"type":"tool","text":"x"},{"type":"input_text","text":'), q(k), F.lit("}]"))
+    three = F.concat(F.lit('{"timestamp":'), at, F.lit(',"session":'), q("user_id"), F.lit(',"payload":{"type":'), kind, F.lit(',"content":'), parts, F.lit("}}"))
+    shape = F.col("event_id") % 3
+    lines = e.select(F.when(shape == 0, "/one/a").when(shape == 1, "/two/a").otherwise("/three/a").alias("path"), F.when(shape == 0, one).when(shape == 1, two).otherwise(three).alias("raw"))
+    found = decoded(lines, Policy(), CLIENTS).where("reason = 'ok'")
+    return found.select("tool", "event_id", "session_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "prompt")
+
+
 def registry_drift(spark, sf_dir):
     """The store against a registry that lost and changed rows."""
     e = _events(spark, sf_dir).select("event_id", "event_type")
@@ -475,13 +512,21 @@ select event_id, {_cut("t", 100, "[CUT]")} as prompt, strlen(t) > 100 as truncat
     "prefix_digest": "select doc_id, sha256(encode(text)[1:64]) as sha256 from documents",
     "latest_per_session": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "repo_scope": r"with p as (select page_id, regexp_replace(regexp_extract(url, '://[^/]*(/[^?#]*)', 1), '^(/en/)([0-9])', '\1\2/') as cwd from pages) select page_id from p where (cwd = '/en' or starts_with(cwd, '/en/')) and not (cwd = '/en/9' or starts_with(cwd, '/en/9/'))",
+    "canonical_scope": r"""with p as (select page_id, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) as path from pages),
+c as (select page_id, case page_id % 5 when 0 then '/en/..' || path when 1 then path || '/../../x' when 2 then '/./' || path || '//.//' when 3 then 'en' || path else path end as cwd from p),
+f as (select page_id, case when starts_with(cwd, '/') then coalesce(nullif(list_reduce(list_concat([''], string_split(cwd, '/')),
+  lambda a, x: case when x in ('', '.') then a when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end), ''), '/') end as folder from c)
+select page_id, folder, coalesce(folder = '/en' or starts_with(folder, '/en/'), false) as inside from f""",
+    "adapted_events": """select case event_id % 3 when 0 then 'one' when 1 then 'two' else 'three' end as tool,
+  case when event_id % 3 = 2 then user_id || '/' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') else event_id::varchar end as event_id, user_id::varchar as session_id, date_trunc('second', ts) as ts,
+  event_type || case when event_id % 3 = 2 then chr(10) else ' ' end || (props->>'$.k') as prompt from events where event_type <> 'error'""",
     "registry_drift": "select event_id, case when event_id % 10 = 0 then 'missing' else 'changed' end as state from events where event_id % 10 = 0 or event_id % 13 = 0",
 }
 QUERIES = (
     status_by_tool, silent_tools, human_prompts, strict_keys, quarantine_digest, redact_text, exact_text_dedup, known_id_anti, correlate_candidates, correlate_one_to_one,
     unmatched_recovered, alias_bijection, alias_void, manifest_equality, manifest_rows, batch_budget, batch_cursor, reserve_then_budget, retention, pending_merge,
     sessions_without_prompts, quiet_session_runs, repeated_repairs, queue_age, partial_sources, version_floor, health_rollup, report_by_day, byte_truncate, prefix_digest,
-    latest_per_session, repo_scope, registry_drift, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check, typed_lines, typed_fields,
+    latest_per_session, repo_scope, registry_drift, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check, typed_lines, typed_fields, canonical_scope, adapted_events,
     event_contract, truncation_alerts, provider_names, registry_strict, torn_tails, log_listing, lines_in_order,
 )
 

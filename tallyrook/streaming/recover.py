@@ -7,17 +7,19 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.scratch import Scratch
 from ..operators.budget import within_budget
-from ..functions.schema import decode, judge
-from ..operators.filters import LINE, accepted, in_scope, to_events
+from ..functions.schema import fields_of, let, parsed, verdict
+from ..functions.text import free_name
+from ..operators.filters import LINE, accepted, in_scope, judge_lines, quarantined, to_events
 from ..operators.matching import correlate, first_per_id, new_events, void_aliases
 from ..policy import EVENT_FIELDS, Policy
-from ..sources.files import append_store, write_health
+from ..sources.adapters import Adapter, event_at
+from ..sources.files import append_store, read_pending, write_health
 from ..sources.tail import TailSource, authenticated, cursors, listed, read_ranges
 from .state import BACKUPS, Lease, State, Superseded, read_or_empty
 
@@ -29,25 +31,35 @@ STORE_SCHEMA = f"{EVENT_SCHEMA}, origin string"
 class Recovery:
     """What a pass goes by. root: the repository's folder, below which a line's cwd must lie; without
     it all lines are in scope. nested: repositories below it that are not it. repo: the project's
-    fixed identity. device: the identity of events that have none."""
+    fixed identity. device: the identity of events that have none. adapters: of clients whose transcripts have
+    a shape of their own."""
 
     root: str | None = None
     nested: tuple[str, ...] = ()
     repo: str = "local"
     device: str = "device"
     policy: Policy = field(default_factory=Policy)
+    adapters: tuple[Adapter, ...] = ()
 
 
-def judged_lines(lines: DataFrame, policy: Policy) -> DataFrame:
-    """lines with `reason`. A line of another role than user is `other`: neither event nor evidence."""
+def decoded(lines: DataFrame, policy: Policy, adapters: tuple[Adapter, ...] = ()) -> DataFrame:
+    """lines with `reason` and, where that is ok, the fields of a line in the place of raw. A line of another role
+    than user is `other`: neither event nor evidence. Files of an adapter are read by it, all others
+    by the strict contract."""
 
-    def kind(v, reason):
+    def strict(v: Column) -> Column:
         role = F.try_variant_get(v, "$.role", "variant")
         others = (F.schema_of_variant(role) == "STRING") & (F.try_variant_get(role, "$", "string") != "user")
-        unread = F.when(F.col("n_bytes") > policy.line_bytes, "oversize").otherwise("malformed")
-        return F.when(F.col("raw").isNull(), unread).when(others & ~reason.isin("oversize", "malformed"), "other").otherwise(reason)
+        reason = let(verdict(v, LINE), lambda r: F.when(others & (r != "malformed"), "other").otherwise(r))
+        return let(reason, lambda r: F.struct(r.alias("reason"), *[F.when(r == "ok", c).alias(f.name) for f, c in zip(LINE.fields, fields_of(v, LINE))]))
 
-    return judge(lines, LINE, policy.line_bytes, also=kind)
+    told = free_name(lines, "_told")
+    read = let(parsed(F.col("raw"), policy.line_bytes), lambda v: event_at(F.col("path"), v, adapters, strict(v)))
+    big = F.coalesce(F.col("n_bytes") > policy.line_bytes, F.lit(False)) if "n_bytes" in lines.columns else F.lit(False)
+    big |= F.coalesce(F.octet_length("raw") > policy.line_bytes, F.lit(False))
+    reason = F.when(big, "oversize").when(F.col("raw").isNull(), "malformed").otherwise(F.col(f"{told}.reason"))
+    rest = [c for c in lines.columns if c != "raw"]
+    return lines.withColumn(told, read).select(*rest, reason.alias("reason"), *[F.col(f"{told}.{f.name}") for f in LINE.fields])
 
 
 def append_evidence(bad: DataFrame, path: str) -> None:
@@ -63,10 +75,9 @@ class Stopped(RuntimeError):
 PLACE = ("path", "start", "offset", "end", "upto", "n_bytes", "sha256", "reason", "cwd")
 
 
-def redacted(lines: DataFrame, policy: Policy, repo: str, device: str) -> DataFrame:
+def redacted(lines: DataFrame, policy: Policy, repo: str, device: str, adapters: tuple[Adapter, ...] = ()) -> DataFrame:
     """Judged lines with their place, and the accepted ones as redacted events. Raw lines go no further."""
-    judged = judged_lines(lines, policy)
-    read = decode(judged.withColumn("raw", F.when(F.col("reason") == "ok", F.col("raw"))), LINE)
+    read = decoded(lines, policy, adapters)
     return to_events(read, repo, device, policy, keep=[c for c in PLACE if c in read.columns])
 
 
@@ -122,7 +133,7 @@ def recover_pass(
     sound = checked.join(lost, "path", "left_anti")
     todo = files.join(cursors(sound), "path", "left").select("path", F.coalesce("offset", F.lit(0)).cast("long").alias("start"), F.col("size").alias("end"))
     # raw lines are not stored, not even here
-    rows = scratch.save(redacted(read_ranges(scratch.save(todo), policy.line_bytes), policy, rules.repo, rules.device))
+    rows = scratch.save(redacted(read_ranges(scratch.save(todo), policy.line_bytes), policy, rules.repo, rules.device, rules.adapters))
     going()
     append_evidence(rows.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason"), quarantine)
 
@@ -173,13 +184,37 @@ def recover_pass(
     return out
 
 
+def merge_queue(spark: SparkSession, pending: str, store: str, quarantine: str, rules: Recovery = Recovery()) -> int:
+    """Appends what captures have left in the queue while the store was busy, one event in a file, as direct
+    captures, redacted; those whose id the store has are left out, so it may be asked again. What is refused
+    is evidence. The files stay for who owns the queue to remove. The number of events appended."""
+    policy, scratch = rules.policy, Scratch(spark)
+    try:
+        lines = read_pending(spark, pending)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    judged = judge_lines(lines, policy)
+    append_evidence(quarantined(judged).withColumn("line_no", F.lit(0).cast("long")), quarantine)
+    events = to_events(accepted(judged), rules.repo, rules.device, policy, keep=["path"])
+    fresh = new_events(first_per_id(events, order=[F.col("ts").asc_nulls_last(), F.col("path")]), read_or_empty(spark, store, STORE_SCHEMA))
+    fresh = scratch.save(fresh.select(*EVENT_FIELDS))
+    append_store(fresh, store, "direct")
+    n = fresh.count()
+    scratch.end()
+    return n
+
+
 def recover(
-    spark: SparkSession, pattern: str, store: str, quarantine: str, checkpoint: str, rules: Recovery = Recovery(), health: str | None = None, timeout: int = 300, throttled: bool = False
+    spark: SparkSession, pattern: str, store: str, quarantine: str, checkpoint: str, rules: Recovery = Recovery(), health: str | None = None, timeout: int = 300, throttled: bool = False,
+    pending: str | None = None,
 ) -> bool:
     """Passes until nothing new is appended; True if they ended within the timeout (the watchdog).
 
-    checkpoint holds the state, and a lock that admits one run at a time. throttled: leaves at once
-    if the last pass is younger than policy.recovery_minutes, as for a scheduler that asks often.
+    checkpoint holds the state, and leases that admit one run at a time. throttled: leaves at once
+    if the last pass is younger than policy.recovery_minutes, as for a scheduler that asks often. pending:
+    the queue's folder, which is merged first.
     """
     state = State(spark, checkpoint)
     age = state.age()
@@ -203,6 +238,8 @@ def recover(
     watchdog.daemon = True
     watchdog.start()
     try:
+        if pending:
+            merge_queue(spark, pending, store, quarantine, rules)
         more = first = True
         while more:
             going()
@@ -232,10 +269,7 @@ def append_batch(
     """
 
     def read(lines: DataFrame) -> DataFrame:
-        if prepare is None:
-            return redacted(lines, policy, "local", "device")
-        judged = judged_lines(lines, policy)
-        return prepare(decode(judged.withColumn("raw", F.when(F.col("reason") == "ok", F.col("raw"))), LINE))
+        return prepare(decoded(lines, policy)) if prepare else redacted(lines, policy, "local", "device")
 
     def step(lines: DataFrame, _: int) -> None:
         spark = lines.sparkSession

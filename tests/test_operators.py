@@ -53,8 +53,11 @@ def test_versions(spark):
 
 
 def test_paths(spark):
-    for p, ok in (("/a/b", True), ("/a/b/c", True), ("/a/bc", False), ("/a", False)):
-        assert one(spark, p, lambda c: fx.within(c, F.lit("/a/b/"))) is ok
+    for p, ok in (("/a/b", True), ("/a/b/c", True), ("/a/bc", False), ("/a", False), ("/a/b/../c", False), ("/a/./b/x", True), ("/a//b/", True), ("/../a/b", True), ("/a/x/../b/y", True), ("a/b/c", False), (None, False), ("", False)):
+        assert one(spark, p, lambda c: fx.within(c, F.lit("/a/b/"))) is ok, p
+    assert one(spark, "/x", lambda c: fx.within(c, F.lit("/"))) is True
+    for p, want in (("/", "/"), ("/..", "/"), ("/a/../..", "/"), ("/a/b/../../c/.", "/c"), ("C:\\Repo\\..\\x", "/c:/x"), ("c:/repo//y/", "/c:/repo/y"), ("/a/..b/...", "/a/..b/..."), ("x", None), (None, None)):
+        assert one(spark, p, lambda c: fx.canonical(c)) == want, p
 
 
 @pytest.mark.parametrize(
@@ -560,6 +563,49 @@ def test_one_runner_and_its_cadence(spark, tmp_path):
     assert run() and len(_ids(spark, tmp_path)) == 2
 
 
+def test_transcripts_of_three_shapes(spark, tmp_path):
+    """Clients whose lines nest their fields otherwise give equal events; what else a line has is not stored."""
+    from tallyrook.sources.adapters import Adapter, Place
+
+    P = lambda *paths, **more: Place(paths, **more)
+    adapters = (
+        Adapter("flat", "/flat[.]jsonl$", "$.kind", ("user",), {"event_id": P("$.id"), "session_id": P("$.session"), "ts": P("$.at"), "prompt": P("$.text"), "cwd": P("$.dir")}),
+        Adapter("deep", "/deep[.]jsonl$", "$.type", ("user",), {"event_id": P("$.uuid"), "session_id": P("$.sessionId"), "ts": P("$.timestamp"), "prompt": P("$.message.content"), "cwd": P("$.cwd"), "branch": P("$.git.branch")}),
+        Adapter("parts", "/parts[.]jsonl$", "$.payload.type", ("message",), {"session_id": P("$.payload.sid"), "ts": P("$.t"), "prompt": P("$.payload.content", kinds=("input_text",)), "cwd": P("$.payload.cwd")}),
+    )
+    t = "2024-01-01T00:00:00Z"
+    flat = {"kind": "user", "id": "1", "session": "s", "at": t, "text": "hello token=abcdefgh", "dir": "/r", "response": "leak"}
+    deep = {"type": "user", "uuid": "2", "sessionId": "s", "timestamp": t, "message": {"role": "user", "content": "hello token=abcdefgh"}, "cwd": "/r/x", "git": {"branch": "main"}, "toolUseResult": "leak"}
+    part = lambda kind, text: {"type": kind, "text": text}
+    parts = {"t": t, "payload": {"type": "message", "sid": "s", "cwd": "/r", "content": [part("input_text", "hello token=abcdefgh"), part("output", "leak")]}}
+    _write(tmp_path, "flat.jsonl", *map(json.dumps, (flat, flat | {"kind": "assistant", "id": "9"}, flat | {"id": "8", "text": {"text": "leak"}}, flat | {"id": "7", "at": "soon"})), "{torn leak")
+    _write(tmp_path, "deep.jsonl", *map(json.dumps, (deep, deep | {"type": "tool", "uuid": "9"}, deep | {"uuid": "6", "message": {"content": [part("tool_result", "leak")]}})))
+    _write(tmp_path, "parts.jsonl", json.dumps(parts), json.dumps({"t": t, "payload": {"type": "reasoning", "text": "leak"}}))
+    _write(tmp_path, "own.jsonl", _line(5, cwd="/r"))
+    got = _pass(spark, tmp_path, rec.Recovery(root="/r", adapters=adapters))
+    rows = {r["event_id"]: r for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert set(rows) == {"1", "2", f"s/{t}", "event_id5"} and {r["prompt"] for i, r in rows.items() if i != "event_id5"} == {"hello token=[REDACTED]"}
+    assert {i: r["tool"] for i, r in rows.items() if i != "event_id5"} == {"1": "flat", "2": "deep", f"s/{t}": "parts"} and rows["2"]["branch"] == "main" and rows["1"]["ts"] == T0
+    assert got["refused"] == 4 and sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["malformed", "missing", "missing", "time"]
+    assert not any("leak" in str(r) for p in ("store", "bad") for r in spark.read.parquet(str(tmp_path / p)).collect())
+    with pytest.raises(ValueError):
+        Adapter("x", "y", "$.k", (), {"response": P("$.r")})
+
+
+def test_the_queue_is_merged_first(spark, tmp_path):
+    """Queued events are direct captures: their echo in a transcript is no event of its own; asked again, nothing is added."""
+    (tmp_path / "pending").mkdir()
+    for i, line in enumerate([_line(1, tool="t", session_id="s", prompt="said token=abcdefgh"), _line(1, tool="t", session_id="s", prompt="said token=abcdefgh"), _line(2, response="leak"), "{torn"]):
+        (tmp_path / "pending" / f"{i}.json").write_text(line)
+    _write(tmp_path, "a.jsonl", _line(50, tool="t", session_id="s", prompt="said token=abcdefgh"), _line(51, tool="t"))
+    run = lambda: rec.recover(spark, str(tmp_path / "src" / "*.jsonl"), str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "state"), pending=str(tmp_path / "pending"))
+    assert run() and run() and _ids(spark, tmp_path) == ["event_id1", "event_id51"]
+    rows = {r["event_id"]: r for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert rows["event_id1"]["origin"] == "direct" and rows["event_id1"]["prompt"] == "said token=[REDACTED]"
+    assert sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["malformed", "unknown"]
+    assert rec.merge_queue(spark, str(tmp_path / "nowhere"), str(tmp_path / "store"), str(tmp_path / "bad")) == 0
+
+
 def test_leases_exclude(spark, tmp_path):
     """A run whose lease was taken over can't end its successor's, nor write; of many that ask, one gets it."""
     from concurrent.futures import ThreadPoolExecutor
