@@ -131,8 +131,10 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), text_col:
     All counts are over all documents, copies included; what carries support is different texts, near
     copies of one counting once, so that a copied text's own words tell nothing.
     Pairs are those that stand in one text: the entities that enough texts name times the text's
-    terms. They are counted without a join, so that a common entity meets in no task; sieves leave
-    out rare entities before, and the other terms of all documents after.
+    terms. They are counted without a join, so that a common entity meets in no task. A pair can be told only
+    if t's documents that name anything are share (n_e / n) ** (1 - generalise) of all that have t, since no more
+    of them name e. That leaves out most pairs before they are counted, by two sieves: the greatest share, and
+    the least n_e, of what falls into a bucket.
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(body(text_col).alias("_t")).withColumn("_s", base_spans(F.col("_t"))).where(F.size("_s") > 0)
@@ -141,19 +143,28 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), text_col:
         .groupBy("key", "entities", "terms").agg(F.count("*").alias("copies"))
     )
     grouped = texts.join(near_groups(scratch, texts, rule.alike, rule.short), "key", "left").withColumn("grp", F.coalesce("grp", "key"))
-    by_entity = scratch.save(grouped.select("copies", "grp", "terms", "entities")).select("copies", "grp", "terms", F.explode("entities").alias("e"))
+    grouped = scratch.save(grouped.select("copies", "grp", "terms", "entities"))
+    by_entity = grouped.select("copies", "grp", "terms", F.explode("entities").alias("e"))
     entities = scratch.save(by_entity.groupBy("e").agg(F.sum("copies").alias("n_e"), F.count_distinct("grp").alias("texts_e")).where(F.col("texts_e") >= rule.min_texts).select("e", "n_e"))
-    both = by_entity.join(sieve(entities, "e"), bucket_of(F.col("e")) == F.col("_bucket"), "left_semi").select("copies", "grp", "e", F.explode("terms").alias("t"))
+    held = grouped.select("copies", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("copies").alias("n_held"), F.count("*").alias("texts_t"))
+    held = scratch.save(held.where(F.col("texts_t") >= rule.min_texts).select("t", "n_held"))
+    every = docs.select(F.explode(terms(body(text_col))).alias("t"))
+    often = every.join(sieve(held, "t"), bucket_of(F.col("t")) == F.col("_bucket"), "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
+    often = scratch.save(often.join(held, "t").select("t", "n_t", (F.col("n_held") / F.col("n_t")).alias("share")))
+    n = docs.count()
+    rare = F.broadcast(entities.groupBy(bucket_of(F.col("e")).alias("_rare")).agg(F.min("n_e").alias("n_least")))
+    close = F.broadcast(often.groupBy(bucket_of(F.col("t")).alias("_close")).agg(F.max("share").alias("share")))
+    pairs = by_entity.join(rare, bucket_of(F.col("e")) == F.col("_rare")).select("copies", "grp", "e", "n_least", F.explode("terms").alias("t"))
+    able = F.col("share") >= F.pow(F.col("n_least") / F.lit(max(n, 1)), F.lit(1 - rule.generalise)) * (1 - 1e-9)
+    both = pairs.join(close, bucket_of(F.col("t")) == F.col("_close")).where(able)
     by_group = both.groupBy("e", "t", "grp").agg(F.sum("copies").alias("copies"))
     co = scratch.save(by_group.groupBy("e", "t").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts_et")).where(F.col("texts_et") >= rule.min_texts).select("e", "t", "n_et"))
-    every = docs.select(F.explode(terms(body(text_col))).alias("t"))
-    often = every.join(sieve(co, "t"), bucket_of(F.col("t")) == F.col("_bucket"), "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
-    size = docs.agg(F.count("*").alias("n"))  # one row
     # an entity's pairs are dealt by their terms
     salt = F.pmod(F.xxhash64("t"), F.lit(rule.salts)).cast("int")
     dealt = entities.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rule.salts - 1))))
-    ratio = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
-    told = co.withColumn("salt", salt).join(dealt, ["e", "salt"]).join(often, "t").join(F.broadcast(size), F.lit(True)).where("n_e < n")
+    size = F.lit(n).cast("long")
+    ratio = F.log(size * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(size / F.col("n_e"))
+    told = co.withColumn("salt", salt).join(dealt, ["e", "salt"]).join(often, "t").where(F.col("n_e") < n)
     return told.withColumn("strength", ratio).where(F.col("strength") >= rule.generalise).groupBy("t").agg(F.max("strength").alias("strength"))
 
 
