@@ -109,21 +109,35 @@ REASONS = ("malformed", "forbidden", "unknown", "missing", "null", "type", "time
 OK = len(REASONS) - 1
 
 
+def _place(reason: str) -> Column:
+    return F.lit(REASONS.index(reason))
+
+
+def _keys(v: Column) -> Column:
+    """The names in an object; null for anything else."""
+    return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def _object_code(v: Column, f: Field, keys: Column, forbidden: Sequence[str] = ()) -> Column:
+    names = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    out = F.when(F.arrays_overlap(keys, names(forbidden)), _place("forbidden")) if forbidden else F.when(F.lit(False), OK)
+    more = F.size(F.array_except(keys, names([x.name for x in f.fields]))) > 0
+    return out.when(more, _place("unknown")).otherwise(F.least(F.lit(OK), F.lit(OK), *[_code_at(v, x) for x in f.fields]))
+
+
 def _code(v: Column, f: Field) -> Column:
     """The place in REASONS of what is wrong with a field's value and all below it. Either may be missing
     or null, if the field is not needed."""
-    code = lambda r: F.lit(REASONS.index(r))
-    inner = F.lit(OK)
-    if f.kind == "time":
-        inner = F.when(time_of(F.try_variant_get(v, "$", "string")).isNull(), code("time")).otherwise(OK)
-    elif f.kind == "object":
-        known = F.array(*[F.lit(x.name) for x in f.fields]).cast("array<string>")
-        more = F.size(F.array_except(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), known)) > 0
-        inner = F.least(F.when(more, code("unknown")).otherwise(OK), F.lit(OK), *[_code_at(v, x) for x in f.fields])
-    elif f.kind == "array":
-        inner = F.coalesce(F.array_min(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _code(x, f.item))), F.lit(OK))
-    missing, null = (code("missing"), code("null")) if f.needed else (F.lit(OK), F.lit(OK))
-    return F.when(v.isNull(), missing).when(F.is_variant_null(v), null).when(~_is(v, f.kind), code("type")).otherwise(inner)
+    missing, null = (_place("missing"), _place("null")) if f.needed else (F.lit(OK), F.lit(OK))
+    there = F.when(v.isNull(), missing).when(F.is_variant_null(v), null)
+    if f.kind == "object":
+        return there.otherwise(let(_keys(v), lambda k: F.when(k.isNull(), _place("type")).otherwise(_object_code(v, f, k))))
+    if f.kind == "array":
+        items = F.try_variant_get(v, "$", "array<variant>")
+        worst = lambda xs: F.when(xs.isNull(), _place("type")).otherwise(F.coalesce(F.array_min(F.transform(xs, lambda x: _code(x, f.item))), F.lit(OK)))
+        return there.otherwise(let(items, worst))
+    there = there.when(~_is(v, f.kind), _place("type"))
+    return there.when(time_of(F.try_variant_get(v, "$", "string")).isNull(), _place("time")).otherwise(OK) if f.kind == "time" else there.otherwise(OK)
 
 
 def _code_at(v: Column, f: Field) -> Column:
@@ -133,14 +147,8 @@ def _code_at(v: Column, f: Field) -> Column:
 def verdict(line: Column, contract: Contract) -> Column:
     """ok, or why a parsed line is refused: malformed, forbidden, unknown, missing, null, type or time,
     in this order of reasons, whatever their place."""
-    names = F.array(*[F.lit(n) for n in contract.forbidden]).cast("array<string>")
-
-    def of(v: Column) -> Column:
-        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-        code = F.when(keys.isNull(), 0).when(F.arrays_overlap(keys, names), 1).otherwise(_code(v, contract.whole))
-        return F.get(F.array(*[F.lit(r) for r in REASONS]), code)
-
-    return let(line, of)
+    code = lambda v: let(_keys(v), lambda k: F.when(k.isNull(), 0).otherwise(_object_code(v, contract.whole, k, contract.forbidden)))
+    return F.get(F.array(*[F.lit(r) for r in REASONS]), let(line, code))
 
 
 def _read(v: Column, f: Field) -> Column:
