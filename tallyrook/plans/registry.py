@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..functions.scratch import Scratch
 from ..functions.schema import Contract, Field, strings
 from ..operators import budget, filters, matching, reports
 from ..policy import EVENT_FIELDS, Policy
 from ..sources.adapters import Adapter, Place
 from ..streaming.recover import decoded
+from ..streaming.store import Layout, Store
 
 #: 2024-01-31, the day after the last event; the clock of all queries.
 NOW = "timestamp_ntz'2024-01-31 00:00:00'"
@@ -87,6 +89,14 @@ def known_id_anti(spark, sf_dir):
     return matching.new_events(e, e.where("event_id % 2 = 0"), ["event_id"]).select("event_id", "event_type")
 
 
+def indexed_new_ids(spark, sf_dir):
+    """Documents whose source and id are not in a store of buckets, to which the even ones are committed."""
+    d = _t(spark, sf_dir, "documents").select("source", "doc_id")
+    store = Store(spark, f"{Scratch(spark).base}/store", "source string, doc_id long", Layout(("source", "doc_id")))
+    store.append(d.where("doc_id % 2 = 0"))
+    return store.new(d)
+
+
 def correlate_candidates(spark, sf_dir):
     """J3, first half."""
     return matching.candidates(*_sides(spark, sf_dir), ["event_type", "user_id"], WIDE)
@@ -467,6 +477,7 @@ from ({_TYPED}) where reason = 'ok'""",
     "redact_text": r"""select doc_id, regexp_replace(regexp_replace(text, '(?i)((?:password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["'']?)[A-Za-z0-9+/_.=-]{6,}', '\1[REDACTED]', 'g'), '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}', '[IP]', 'g') as text from documents""",
     "exact_text_dedup": "select sha256(text) as sha256, min(doc_id) as doc_id, count(*) as n from documents group by text",
     "known_id_anti": "select event_id, event_type from events e where not exists (select 1 from events d where d.event_id = e.event_id and d.event_id % 2 = 0)",
+    "indexed_new_ids": "select source, doc_id from documents where not coalesce(doc_id % 2 = 0, false)",
     "correlate_candidates": f"{_SIDES} select d.id as direct_id, r.id as recovered_id from d join r on d.event_type = r.event_type and d.user_id = r.user_id and abs(epoch_us(d.ts) - epoch_us(r.ts)) <= 21600000000",
     "correlate_one_to_one": f"{_WALK} select a as direct_id, b as recovered_id from w where a is not null",
     "unmatched_recovered": f"{_WALK} select id from r where id not in (select b from w where b is not null)",
@@ -523,7 +534,7 @@ select page_id, folder, coalesce(folder = '/en' or starts_with(folder, '/en/'),
     "registry_drift": "select event_id, case when event_id % 10 = 0 then 'missing' else 'changed' end as state from events where event_id % 10 = 0 or event_id % 13 = 0",
 }
 QUERIES = (
-    status_by_tool, silent_tools, human_prompts, strict_keys, quarantine_digest, redact_text, exact_text_dedup, known_id_anti, correlate_candidates, correlate_one_to_one,
+    status_by_tool, silent_tools, human_prompts, strict_keys, quarantine_digest, redact_text, exact_text_dedup, known_id_anti, indexed_new_ids, correlate_candidates, correlate_one_to_one,
     unmatched_recovered, alias_bijection, alias_void, manifest_equality, manifest_rows, batch_budget, batch_cursor, reserve_then_budget, retention, pending_merge,
     sessions_without_prompts, quiet_session_runs, repeated_repairs, queue_age, partial_sources, version_floor, health_rollup, report_by_day, byte_truncate, prefix_digest,
     latest_per_session, repo_scope, registry_drift, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check, typed_lines, typed_fields, canonical_scope, adapted_events,

@@ -22,6 +22,7 @@ from ..sources.adapters import Adapter, event_at
 from ..sources.files import append_store, read_pending, write_health
 from ..sources.tail import TailSource, authenticated, cursors, listed, read_ranges
 from .state import BACKUPS, Lease, State, Superseded, read_or_empty
+from .store import Store
 
 EVENT_SCHEMA = "event_id string, tool string, session_id string, ts timestamp, prompt string, identity string, repo string, branch string, commit string"
 STORE_SCHEMA = f"{EVENT_SCHEMA}, origin string"
@@ -86,10 +87,36 @@ def taken_ranges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path", "start").agg(F.max("end").alias("end"), F.max_by("upto", "end").alias("sha256"))
 
 
-def store_files(spark: SparkSession, store: str) -> DataFrame:
+def indexed_store(spark: SparkSession, path: str, **layout) -> Store:
+    """A store of events in buckets, that tells repeats by its filter (`streaming/store.py`)."""
+    return Store(spark, path, STORE_SCHEMA, **layout)
+
+
+def stored(spark: SparkSession, store: str | Store) -> DataFrame:
+    return store.rows() if isinstance(store, Store) else read_or_empty(spark, store, STORE_SCHEMA)
+
+
+def not_stored(events: DataFrame, store: str | Store, scratch: Scratch) -> DataFrame:
+    return store.new(events, scratch=scratch) if isinstance(store, Store) else new_events(events, stored(events.sparkSession, store))
+
+
+def put(events: DataFrame, store: str | Store, origin: str, writer: str | None = None, batch: int | None = None) -> None:
+    """Appends events. A store in buckets leaves out repeats once more, and a batch that it has applied."""
+    if isinstance(store, Store):
+        store.append(events.withColumn("origin", F.lit(origin)), writer, batch)
+    else:
+        append_store(events, store, origin)
+
+
+def store_files(spark: SparkSession, store: str | Store) -> DataFrame:
     """(path, length, modified) of the store's files; their content is not read."""
+    folders, read = [store], spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+    if isinstance(store, Store):
+        folders, read = store.files(), read.option("basePath", f"{store.path}/rows")
+    if not folders:
+        return spark.createDataFrame([], BACKUPS)
     try:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(store)
+        found = read.load(folders)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -103,7 +130,7 @@ def prefix_lost(before: DataFrame, now: DataFrame) -> bool:
 
 
 def recover_pass(
-    spark: SparkSession, pattern: str, store: str, quarantine: str, state: State, rules: Recovery = Recovery(), health: str | None = None,
+    spark: SparkSession, pattern: str, store: str | Store, quarantine: str, state: State, rules: Recovery = Recovery(), health: str | None = None,
     lease: Lease | None = None, going: Callable[[], None] = lambda: None, trusted: bool = False,
 ) -> dict:
     """One pass: what it appended, deferred and refused, as counts.
@@ -141,12 +168,12 @@ def recover_pass(
     deferred = events.limit(0)
     if rules.root is not None:
         events, deferred = in_scope(events, rules.root, spark.createDataFrame([(r,) for r in rules.nested], "root string"))
-    durable = read_or_empty(spark, store, STORE_SCHEMA)
-    deferred = new_events(deferred, durable)
+    durable = stored(spark, store)
+    deferred = not_stored(deferred, store, scratch)
     void = scratch.save(void_aliases(aliases, events.select("tool", "event_id")))
     aliases = scratch.save(aliases.join(void, ["tool", "old_id"], "left_anti"))
     first = first_per_id(events, order=[F.col("ts").asc_nulls_last(), F.col("path"), F.col("offset")])
-    fresh = new_events(first, durable)
+    fresh = not_stored(first, store, scratch)
     fresh = scratch.save(fresh.join(aliases.select("tool", F.col("old_id").alias("event_id")), ["tool", "event_id"], "left_anti"))
     free = durable.where("origin = 'direct'").join(aliases.select("tool", "event_id"), ["tool", "event_id"], "left_anti")
     free = free.join(events.select("tool", "event_id"), ["tool", "event_id"], "left_anti")  # those answer for themselves
@@ -159,7 +186,7 @@ def recover_pass(
     going()
     if lease and not lease.holds():
         raise Superseded("the lease is over")
-    append_store(taken.select(*EVENT_FIELDS), store, "recovered")
+    put(taken.select(*EVENT_FIELDS), store, "recovered")
 
     waiting = scratch.save(wanted.join(taken.select("tool", "event_id"), ["tool", "event_id"], "left_anti").select("path", "offset").unionByName(deferred.select("path", "offset")))
     stop = waiting.groupBy("path").agg(F.min("offset").alias("stop"))
@@ -184,7 +211,7 @@ def recover_pass(
     return out
 
 
-def merge_queue(spark: SparkSession, pending: str, store: str, quarantine: str, rules: Recovery = Recovery()) -> int:
+def merge_queue(spark: SparkSession, pending: str, store: str | Store, quarantine: str, rules: Recovery = Recovery()) -> int:
     """Appends what captures have left in the queue while the store was busy, one event in a file, as direct
     captures, redacted; those whose id the store has are left out, so it may be asked again. What is refused
     is evidence. The files stay for who owns the queue to remove. The number of events appended."""
@@ -198,16 +225,16 @@ def merge_queue(spark: SparkSession, pending: str, store: str, quarantine: str,
     judged = judge_lines(lines, policy)
     append_evidence(quarantined(judged).withColumn("line_no", F.lit(0).cast("long")), quarantine)
     events = to_events(accepted(judged), rules.repo, rules.device, policy, keep=["path"])
-    fresh = new_events(first_per_id(events, order=[F.col("ts").asc_nulls_last(), F.col("path")]), read_or_empty(spark, store, STORE_SCHEMA))
+    fresh = not_stored(first_per_id(events, order=[F.col("ts").asc_nulls_last(), F.col("path")]), store, scratch)
     fresh = scratch.save(fresh.select(*EVENT_FIELDS))
-    append_store(fresh, store, "direct")
+    put(fresh, store, "direct")
     n = fresh.count()
     scratch.end()
     return n
 
 
 def recover(
-    spark: SparkSession, pattern: str, store: str, quarantine: str, checkpoint: str, rules: Recovery = Recovery(), health: str | None = None, timeout: int = 300, throttled: bool = False,
+    spark: SparkSession, pattern: str, store: str | Store, quarantine: str, checkpoint: str, rules: Recovery = Recovery(), health: str | None = None, timeout: int = 300, throttled: bool = False,
     pending: str | None = None,
 ) -> bool:
     """Passes until nothing new is appended; True if they ended within the timeout (the watchdog).
@@ -258,7 +285,7 @@ def recover(
 
 
 def append_batch(
-    store: str, quarantine: str, prepare: Callable[[DataFrame], DataFrame] | None = None, policy: Policy = Policy(), checkpoint: str | None = None
+    store: str | Store, quarantine: str, prepare: Callable[[DataFrame], DataFrame] | None = None, policy: Policy = Policy(), checkpoint: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step over the tail source. A batch that runs again after a crash appends nothing
     twice, since it leaves out ids that the store holds. Events are redacted, unless prepare does otherwise
@@ -271,7 +298,7 @@ def append_batch(
     def read(lines: DataFrame) -> DataFrame:
         return prepare(decoded(lines, policy)) if prepare else redacted(lines, policy, "local", "device")
 
-    def step(lines: DataFrame, _: int) -> None:
+    def step(lines: DataFrame, batch: int) -> None:
         spark = lines.sparkSession
         scratch = Scratch(spark)
         rows = scratch.save(read(lines))
@@ -289,8 +316,8 @@ def append_batch(
                 rows = scratch.save(rows.join(broken, "path", "left_anti").unionByName(whole.select(*rows.columns)))
         bad = rows.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason")
         events = rows.where("reason = 'ok'").select(*EVENT_FIELDS)
-        append_store(new_events(first_per_id(events), read_or_empty(spark, store, STORE_SCHEMA)), store, "recovered")
         append_evidence(bad, quarantine)
+        put(not_stored(first_per_id(events), store, scratch), store, "recovered", *((checkpoint, batch) if checkpoint else ()))
         if state:
             rest = known.join(met, "path", "left_anti").select("path", "start", "end", "sha256")
             held = checked.join(broken, "path", "left_anti").select("path", "start", "end", "sha256")
@@ -300,7 +327,7 @@ def append_batch(
     return step
 
 
-def follow(spark: SparkSession, pattern: str, store: str, quarantine: str, checkpoint: str, policy: Policy = Policy(), every: Sequence[str] | None = None):
+def follow(spark: SparkSession, pattern: str, store: str | Store, quarantine: str, checkpoint: str, policy: Policy = Policy(), every: Sequence[str] | None = None):
     """A streaming query that appends what files gain, every policy.recovery_minutes, or once over all
     that is there if every is empty. It goes by ids alone, and reads files again
     that were rewritten; recover() correlates, defers and keeps a budget."""

@@ -29,34 +29,13 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-class Lease:
-    """The right to work, as a number: the highest that was ever created. It is over when a higher one is."""
-
-    def __init__(self, state: State, number: int):
-        self.state, self.number = state, number
-
-    def holds(self) -> bool:
-        return self.state.leases()[-1:] == [self.number]
-
-    def release(self) -> None:
-        """Marks this lease, and no other, as over."""
-        self.state.create(f"leases/{self.number}.over", "")
-
-
-class State:
-    """Which ranges of which file were taken, with their digests, the aliases, and the store's files by
-    which repeats were told.
-
-    A version is a small file v=N that names the folder of its data, and is created only if no one
-    else has: of two writers that began with the same version one fails, and loses nothing but its
-    pass. Losing all of it costs a full scan and changes nothing, as ids in the store are permanent.
-    """
+class Folder:
+    """A folder in which small files are created once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.hadoop = spark._jvm.org.apache.hadoop.fs
         self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-        self.base = 0
 
     def _at(self, name: str):
         return self.hadoop.Path(f"{self.path}/{name}" if name else self.path)
@@ -90,19 +69,53 @@ class State:
         out.close()
         return True
 
-    def _names(self, folder: str) -> list[str]:
+    def names(self, folder: str) -> list[str]:
         at = self._at(folder)
         return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
 
-    def _text(self, name: str) -> str:
+    def text(self, name: str) -> str:
         source = self.fs.open(self._at(name))
         try:
             return bytes(source.readAllBytes()).decode()
         finally:
             source.close()
 
+    def versions(self) -> list[int]:
+        return sorted(int(m[1]) for n in self.names("versions") if (m := re.fullmatch(r"v=(\d+)", n)))
+
+    def seconds_old(self, name: str) -> float:
+        return time.time() - self.fs.getFileStatus(self._at(name)).getModificationTime() / 1000
+
+
+class Lease:
+    """The right to work, as a number: the highest that was ever created. It is over when a higher one is."""
+
+    def __init__(self, state: State, number: int):
+        self.state, self.number = state, number
+
+    def holds(self) -> bool:
+        return self.state.leases()[-1:] == [self.number]
+
+    def release(self) -> None:
+        """Marks this lease, and no other, as over."""
+        self.state.create(f"leases/{self.number}.over", "")
+
+
+class State(Folder):
+    """Which ranges of which file were taken, with their digests, the aliases, and the store's files by
+    which repeats were told.
+
+    A version is a small file v=N that names the folder of its data, and is created only if no one
+    else has: of two writers that began with the same version one fails, and loses nothing but its
+    pass. Losing all of it costs a full scan and changes nothing, as ids in the store are permanent.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path)
+        self.base = 0
+
     def leases(self) -> list[int]:
-        return sorted(int(n) for n in self._names("leases") if n.isdigit())
+        return sorted(int(n) for n in self.names("leases") if n.isdigit())
 
     def lease(self, seconds: float) -> Lease | None:
         """The next number, if the last lease is over or so old that the watchdog has ended its run. Of many
@@ -110,8 +123,7 @@ class State:
         found = self.leases()
         last = found[-1] if found else 0
         if last and not self.fs.exists(self._at(f"leases/{last}.over")):
-            age = time.time() - self.fs.getFileStatus(self._at(f"leases/{last}")).getModificationTime() / 1000
-            if age <= seconds:
+            if self.seconds_old(f"leases/{last}") <= seconds:
                 return None
         if not self.create(f"leases/{last + 1}", ""):
             return None
@@ -120,18 +132,15 @@ class State:
                 self.fs.delete(self._at(f"leases/{name}"), False)
         return Lease(self, last + 1)
 
-    def versions(self) -> list[int]:
-        return sorted(int(m[1]) for n in self._names("versions") if (m := re.fullmatch(r"v=(\d+)", n)))
-
     def age(self) -> float | None:
         """Seconds since the last version."""
         found = self.versions()
-        return time.time() - self.fs.getFileStatus(self._at(f"versions/v={found[-1]}")).getModificationTime() / 1000 if found else None
+        return self.seconds_old(f"versions/v={found[-1]}") if found else None
 
     def _data(self, version: int) -> str | None:
         """The folder of a version; none if its writer died within the file."""
         try:
-            return json.loads(self._text(f"versions/v={version}"))["data"]
+            return json.loads(self.text(f"versions/v={version}"))["data"]
         except (ValueError, KeyError, TypeError):
             return None
 
