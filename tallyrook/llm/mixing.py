@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, body, n_words, ranked, row_hash
+from .common import Scratch, body, bucket_of, n_words, ranked, row_hash, sieve
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int) -> DataFrame:
@@ -79,10 +79,13 @@ def take(docs: DataFrame, **options) -> DataFrame:
     whole = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(body(text_col)).alias("_hash"), row_hash(docs).alias("_order"), F.struct("*").alias("_row")).alias("d")
     on = F.col("d._id").eqNullSafe(F.col("c._id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d._hash") == F.col("c._hash"))
 
-    def found(part: DataFrame) -> DataFrame:
-        return whole.join(part.alias("c"), on).select("d.*", "c._copies", "c._rows")
+    def found(part: DataFrame, among: DataFrame = whole) -> DataFrame:
+        return among.alias("d").join(part.alias("c"), on).select("d.*", "c._copies", "c._rows")
 
-    nth = ranked(scratch, found(chosen.where("_rows > 1")), key, ["_order"], "_nth")
+    # few rows repeat, so the others are left out before the join shuffles whole texts a second time
+    repeated = chosen.where("_rows > 1")
+    likely = whole.withColumn("_bucket", bucket_of(F.col("_id"), F.col("_hash"))).join(sieve(repeated, "_id", "_hash"), "_bucket").drop("_bucket")
+    nth = ranked(scratch, found(repeated, likely), key, ["_order"], "_nth")
     share = (F.col("_nth") * F.col("_copies")).cast("decimal(38,0)"), ((F.col("_nth") - 1) * F.col("_copies")).cast("decimal(38,0)")
     dealt = nth.withColumn("_copies", F.floor(share[0] / F.col("_rows")) - F.floor(share[1] / F.col("_rows")))
     every = found(chosen.where("_rows = 1")).select("_row", "_copies").unionByName(dealt.select("_row", "_copies"))
