@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, Scratch, body, row_hash, small_batches, words
+from .common import UPPER, Scratch, body, bucket_of, row_hash, sieve, small_batches, words
 from .components import connected_components
 
 
@@ -336,11 +336,17 @@ def keep_first(docs: DataFrame, rule: Join = Join(), id_col: str = "doc_id", tex
     texts have no group and stay. Columns may have any names; an empty table stays empty."""
     scratch = Scratch(docs.sparkSession)
     groups = scratch.save(jaccard_groups(docs, rule, id_col, text_col).select("_id", "component_id"))
-    first = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.count("*").alias("copies"))
+    # written, so that its size is known before texts would be shuffled to meet it
+    first = scratch.save(groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.count("*").alias("copies")))
     whole = docs.select(F.col(id_col).alias("_id"), F.md5(body(text_col)).alias("text"), row_hash(docs).alias("order"), F.struct("*").alias("row"))
-    kept = whole.alias("d").join(first.alias("f"), F.col("d._id").eqNullSafe(F.col("f._id"))).select("d.*", "f.copies")
-    again = kept.where("copies > 1").groupBy("_id", "text").agg(F.min_by("row", "order").alias("row"))
-    return kept.where("copies = 1").select("row").unionByName(again.select("row")).select("row.*")
+
+    def found(among: DataFrame, part: DataFrame) -> DataFrame:
+        return among.alias("d").join(part.alias("f"), F.col("d._id").eqNullSafe(F.col("f._id"))).select("d.*")
+
+    repeated = first.where("copies > 1")
+    likely = whole.withColumn("_bucket", bucket_of(F.col("_id"))).join(sieve(repeated, "_id"), "_bucket").drop("_bucket")
+    again = found(likely, repeated).groupBy("_id", "text").agg(F.min_by("row", "order").alias("row"))
+    return found(whole, first.where("copies = 1")).select("row").unionByName(again.select("row")).select("row.*")
 
 
 def report(groups: DataFrame) -> DataFrame:
