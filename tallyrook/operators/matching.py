@@ -173,3 +173,42 @@ def prefixes_hold(backups: DataFrame, state: DataFrame) -> DataFrame:
 def merge_pending(backup: DataFrame, pending: DataFrame, keys: Sequence[str] = ("tool", "event_id")) -> DataFrame:
     """The backup with the queue's events that it lacks, each once."""
     return backup.unionByName(new_events(first_per_id(pending, keys), backup, keys))
+
+
+def multiset_digest(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, digest, n_rows, n_bytes): rows of equal keys as a digest that no order changes and repeats do.
+
+    It adds up two 60-bit parts of each value's SHA-256, so tasks add up their own rows first, and a
+    hot key costs no more than others. A null value counts as a row of its own. Up to 10^12 rows a key.
+    """
+    sha = F.coalesce(F.sha2(F.col(value), 256), F.lit("0" * 64))
+    part = lambda at: F.sum(F.conv(F.substring(sha, at, 15), 16, 10).cast("decimal(20,0)"))
+    sums = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.octet_length(value)), F.lit(0)).alias("n_bytes"), part(1).alias("a"), part(16).alias("b"))
+    return sums.select(*keys, F.concat_ws("-", "n_rows", "a", "b").alias("digest"), "n_rows", "n_bytes")
+
+
+def differing(want: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """(key, n_bytes, had) of keys whose digests differ between two results of multiset_digest: n_bytes that are wanted,
+    and whether the other side has the key at all."""
+    both = want.join(have.select(F.col(key).alias("_key"), F.col("digest").alias("_had")), F.col(key).eqNullSafe(F.col("_key")), "full")
+    both = both.where(~F.col("digest").eqNullSafe(F.col("_had")))
+    return both.select(F.coalesce(key, "_key").alias(key), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.col("_had").isNotNull().alias("had"))
+
+
+def isolate(df: DataFrame, keys: Sequence[str], content: str, order: Sequence[Column] = (), scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, others): each id once, by order and then by its content's digest, and the rows whose content
+    is another than the one kept under their id. Equal contents are one. Null keys are equal.
+
+    Only rows of ids that stand more than once are shuffled; those are found by counts."""
+    many = df.groupBy(*[F.col(k).alias(f"_many{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    many = (scratch or Scratch(df.sparkSession)).save(many)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= df[k].eqNullSafe(many[f"_many{i}"])
+    repeated = df.join(many, same, "left_semi")
+    first = first_per_id(repeated, keys, [*order, F.sha2(F.col(content), 256)])
+    own = first.select(*[F.col(k).alias(f"_own{i}") for i, k in enumerate(keys)], F.sha2(F.col(content), 256).alias("_sha"))
+    match = F.sha2(repeated[content], 256).eqNullSafe(own["_sha"])
+    for i, k in enumerate(keys):
+        match &= repeated[k].eqNullSafe(own[f"_own{i}"])
+    return df.join(many, same, "left_anti").unionByName(first), repeated.join(own, match, "left_anti")

@@ -284,6 +284,24 @@ def registry_drift(spark, sf_dir):
     return matching.compare(e, public, "event_id", "event_type")
 
 
+def registry_changed_users(spark, sf_dir):
+    """K3: users whose registry is not what the store has, by digests: one lost, changed or repeated rows of events."""
+    e = _events(spark, sf_dir).select("user_id", F.concat_ws(" ", "event_id", "event_type").alias("line"))
+    id_ = F.col("line").substr(F.lit(1), F.instr("line", " ") - 1).cast("long")
+    public = e.where(id_ % 1009 != 0).withColumn("line", F.when(id_ % 1013 == 0, "x").otherwise(F.col("line")))
+    public = public.unionByName(e.where(id_ % 1019 == 0))
+    found = matching.differing(matching.multiset_digest(e, ["user_id"], "line"), matching.multiset_digest(public, ["user_id"], "line"), "user_id")
+    return found.select("user_id", "had")
+
+
+def id_collisions(spark, sf_dir):
+    """User and kind as an id under which several contents stand; the first by time is kept, others are set aside."""
+    e = _events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", "props")
+    kept, others = matching.isolate(e, ["user_id", "event_type"], "props", [F.col("ts"), F.col("event_id")])
+    own = lambda df, state: df.select("event_id", F.lit(state).alias("state"))
+    return own(kept, "kept").unionByName(own(others, "collision"))
+
+
 def _envelopes(spark, sf_dir):
     """Envelopes made from events: every 5th without a folder, every 7th of a sub-agent, every 11th with another field, every 13th long."""
     by = lambda n: F.col("event_id") % n == 0
@@ -532,12 +550,16 @@ select page_id, folder, coalesce(folder = '/en' or starts_with(folder, '/en/'),
   case when event_id % 3 = 2 then user_id || '/' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') else event_id::varchar end as event_id, user_id::varchar as session_id, date_trunc('second', ts) as ts,
   event_type || case when event_id % 3 = 2 then chr(10) else ' ' end || (props->>'$.k') as prompt from events where event_type <> 'error'""",
     "registry_drift": "select event_id, case when event_id % 10 = 0 then 'missing' else 'changed' end as state from events where event_id % 10 = 0 or event_id % 13 = 0",
+    "registry_changed_users": """with e as (select user_id, event_id % 1009 <> 0 as stays, event_id % 1013 = 0 as other, event_id % 1019 = 0 as again from events)
+  select user_id, bool_or(stays or again) as had from e group by user_id having bool_or((stays and other) or (stays and not other)::int + again::int <> 1)""",
+    "id_collisions": """with e as (select event_id, props, row_number() over w as n, first_value(props) over w as own from events window w as (partition by user_id, event_type order by ts, event_id))
+  select event_id, case when n = 1 then 'kept' else 'collision' end as state from e where n = 1 or props is distinct from own""",
 }
 QUERIES = (
     status_by_tool, silent_tools, human_prompts, strict_keys, quarantine_digest, redact_text, exact_text_dedup, known_id_anti, indexed_new_ids, correlate_candidates, correlate_one_to_one,
     unmatched_recovered, alias_bijection, alias_void, manifest_equality, manifest_rows, batch_budget, batch_cursor, reserve_then_budget, retention, pending_merge,
     sessions_without_prompts, quiet_session_runs, repeated_repairs, queue_age, partial_sources, version_floor, health_rollup, report_by_day, byte_truncate, prefix_digest,
-    latest_per_session, repo_scope, registry_drift, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check, typed_lines, typed_fields, canonical_scope, adapted_events,
+    latest_per_session, repo_scope, registry_drift, registry_changed_users, id_collisions, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check, typed_lines, typed_fields, canonical_scope, adapted_events,
     event_contract, truncation_alerts, provider_names, registry_strict, torn_tails, log_listing, lines_in_order,
 )
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -19,7 +20,7 @@ from ..operators.filters import LINE, accepted, in_scope, judge_lines, quarantin
 from ..operators.matching import correlate, first_per_id, new_events, void_aliases
 from ..policy import EVENT_FIELDS, Policy
 from ..sources.adapters import Adapter, event_at
-from ..sources.files import append_store, read_pending, write_health
+from ..sources.files import alert, append_store, read_pending
 from ..sources.tail import TailSource, authenticated, cursors, listed, read_ranges
 from .state import BACKUPS, Lease, State, Superseded, read_or_empty
 from .store import Store
@@ -73,6 +74,38 @@ class Stopped(RuntimeError):
     """The watchdog has ended the run."""
 
 
+class WriteFailed(RuntimeError):
+    """The store or the state could not be written; the cause says why."""
+
+
+@contextlib.contextmanager
+def writing() -> Iterator[None]:
+    """Tells failures to write from all others."""
+    try:
+        yield
+    except (Superseded, WriteFailed):
+        raise
+    except Exception as e:
+        raise WriteFailed("the store or the state could not be written") from e
+
+
+class Watched:
+    """Tables written to scratch whose counts are observed while they are written, so no job is run for them."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.seen = scratch, {}
+
+    def save(self, name: str, df: DataFrame, **counts: Column) -> DataFrame:
+        """df, written. name is counted by its rows, and each of counts by its own aggregate."""
+        seen = Observation()
+        saved = self.scratch.save(df.observe(seen, F.count(F.lit(1)).alias(name), *[c.alias(n) for n, c in counts.items()]))
+        self.seen |= {n: v or 0 for n, v in seen.get.items()}
+        return saved
+
+    def __getitem__(self, name: str) -> int:
+        return self.seen[name]
+
+
 PLACE = ("path", "start", "offset", "end", "upto", "n_bytes", "sha256", "reason", "cwd")
 
 
@@ -146,21 +179,23 @@ def recover_pass(
     going is called between steps, and raises if the run must end.
     """
     policy, scratch = rules.policy, Scratch(spark)
+    watched = Watched(scratch)
     known, aliases, backups = state.read()
     durable_files = scratch.save(store_files(spark, store))
     forget = prefix_lost(backups, durable_files)  # the store was cut or replaced: all is scanned again
     known = scratch.save(known.limit(0) if forget else known)
     checked = known.select("path", "start", "end", "sha256", F.lit(0).cast("long").alias("n_bytes"), F.lit(True).alias("ok")) if trusted else authenticated(known)
-    checked = scratch.save(checked)
+    checked = watched.save("ranges", checked, authenticated=F.sum("n_bytes"))
     going()
     files = spark.createDataFrame([(p, f["size"]) for p, f in listed(pattern).items()], "path string, size long")
     at = cursors(checked)
     cut = at.join(files, "path", "left").where(F.col("size").isNull() | (F.col("size") < F.col("offset")))
-    lost = scratch.save(checked.where("not ok").select("path").union(cut.select("path")).distinct())
+    lost = watched.save("rescanned", checked.where("not ok").select("path").union(cut.select("path")).distinct())
     sound = checked.join(lost, "path", "left_anti")
     todo = files.join(cursors(sound), "path", "left").select("path", F.coalesce("offset", F.lit(0)).cast("long").alias("start"), F.col("size").alias("end"))
     # raw lines are not stored, not even here
-    rows = scratch.save(redacted(read_ranges(scratch.save(todo), policy.line_bytes), policy, rules.repo, rules.device, rules.adapters))
+    read = redacted(read_ranges(scratch.save(todo), policy.line_bytes), policy, rules.repo, rules.device, rules.adapters)
+    rows = watched.save("lines", read, refused=F.count_if(~F.col("reason").isin("ok", "other")), partial=F.count_if(F.col("reason").isin("malformed", "oversize")))
     going()
     append_evidence(rows.where("reason not in ('ok', 'other')").select("path", F.col("offset").alias("line_no"), "n_bytes", "sha256", "reason"), quarantine)
 
@@ -170,7 +205,7 @@ def recover_pass(
         events, deferred = in_scope(events, rules.root, spark.createDataFrame([(r,) for r in rules.nested], "root string"))
     durable = stored(spark, store)
     deferred = not_stored(deferred, store, scratch)
-    void = scratch.save(void_aliases(aliases, events.select("tool", "event_id")))
+    void = watched.save("voided", void_aliases(aliases, events.select("tool", "event_id")))
     aliases = scratch.save(aliases.join(void, ["tool", "old_id"], "left_anti"))
     first = first_per_id(events, order=[F.col("ts").asc_nulls_last(), F.col("path"), F.col("offset")])
     fresh = not_stored(first, store, scratch)
@@ -182,31 +217,31 @@ def recover_pass(
     pairs = scratch.save(correlate(side(free), side(fresh), ["tool", "session_id", "text"], policy.correlation_minutes * 60_000_000))
     met = pairs.select("recovered_id.tool", F.col("recovered_id.event_id").alias("old_id"), F.col("direct_id.event_id").alias("event_id"))
     wanted = fresh.join(met.select("tool", F.col("old_id").alias("event_id")), ["tool", "event_id"], "left_anti")
-    taken = scratch.save(within_budget(wanted, ["path", "offset"], policy))
+    taken = watched.save("appended", within_budget(wanted, ["path", "offset"], policy), truncated=F.count_if("truncated"))
     going()
     if lease and not lease.holds():
         raise Superseded("the lease is over")
-    put(taken.select(*EVENT_FIELDS), store, "recovered")
+    with writing():
+        put(taken.select(*EVENT_FIELDS), store, "recovered")
 
-    waiting = scratch.save(wanted.join(taken.select("tool", "event_id"), ["tool", "event_id"], "left_anti").select("path", "offset").unionByName(deferred.select("path", "offset")))
+    waiting = watched.save("deferred", wanted.join(taken.select("tool", "event_id"), ["tool", "event_id"], "left_anti").select("path", "offset").unionByName(deferred.select("path", "offset")))
     stop = waiting.groupBy("path").agg(F.min("offset").alias("stop"))
     done = rows.join(stop, "path", "left").where(F.col("stop").isNull() | (F.col("offset") < F.col("stop")))
     new = taken_ranges(done)
     held = sound.select("path", "start", "end", "sha256")
     # an alias whose event came back under its own id voids what was scanned
-    again = void.count() > 0
+    again = watched["voided"] > 0
     ranges = scratch.save((new if again else held.unionByName(new)).select("path", "start", "end", "sha256").where(F.lit(not again)))
     going()
     after = store_files(spark, store)
     moved = prefix_lost(durable_files, after)
     if not moved:
-        state.write(ranges, aliases.unionByName(met.select("tool", "old_id", "event_id")), after, lease)
-    counts = {r["reason"]: r["count"] for r in rows.groupBy("reason").count().collect()}
-    refused = sum(n for r, n in counts.items() if r not in ("ok", "other"))
-    out = {"appended": taken.count(), "deferred": waiting.count(), "refused": refused, "truncated": taken.where("truncated").count(), "rescanned": lost.count(), "voided": int(again), "backup_moved": int(forget or moved), "authenticated": 0 if trusted else checked.agg(F.sum("n_bytes")).first()[0] or 0}
+        with writing():
+            state.write(ranges, aliases.unionByName(met.select("tool", "old_id", "event_id")), after, lease)
+    out = {n: watched[n] for n in ("appended", "deferred", "refused", "truncated", "rescanned", "authenticated")} | {"voided": int(again), "backup_moved": int(forget or moved)}
     if health:
-        codes = {"PARTIAL_TRANSCRIPT": counts.get("malformed", 0) + counts.get("oversize", 0), "QUARANTINED": refused, "PROMPT_TRUNCATED": out["truncated"], "RESCANNED": out["rescanned"], "ALIAS_VOIDED": out["voided"], "BACKUP_CHANGED": out["backup_moved"]}
-        write_health(spark.createDataFrame([(c,) for c, n in codes.items() if n], "code string").select(F.current_timestamp().alias("ts"), "code"), health)
+        codes = {"PARTIAL_TRANSCRIPT": watched["partial"], "QUARANTINED": out["refused"], "PROMPT_TRUNCATED": out["truncated"], "RESCANNED": out["rescanned"], "ALIAS_VOIDED": out["voided"], "BACKUP_CHANGED": out["backup_moved"]}
+        alert(spark, health, *(c for c, n in codes.items() if n))
     scratch.end()
     return out
 
@@ -227,7 +262,8 @@ def merge_queue(spark: SparkSession, pending: str, store: str | Store, quarantin
     events = to_events(accepted(judged), rules.repo, rules.device, policy, keep=["path"])
     fresh = not_stored(first_per_id(events, order=[F.col("ts").asc_nulls_last(), F.col("path")]), store, scratch)
     fresh = scratch.save(fresh.select(*EVENT_FIELDS))
-    put(fresh, store, "direct")
+    with writing():
+        put(fresh, store, "direct")
     n = fresh.count()
     scratch.end()
     return n
@@ -241,14 +277,18 @@ def recover(
 
     checkpoint holds the state, and leases that admit one run at a time. throttled: leaves at once
     if the last pass is younger than policy.recovery_minutes, as for a scheduler that asks often. pending:
-    the queue's folder, which is merged first.
+    the queue's folder, which is merged first. health: where codes go; beside those of a pass, LOCKED if another run holds
+    the lease or took it over, TIMEOUT if the watchdog ended the run, WRITE_FAILED if the store or the state could not be
+    written, and RECOVERY_FAILED for all else that ended it.
     """
-    state = State(spark, checkpoint)
+    state, code = State(spark, checkpoint), None
     age = state.age()
     if throttled and age is not None and age < 60 * rules.policy.recovery_minutes:
         return True
     lease = state.lease(timeout)
     if lease is None:
+        if health:
+            alert(spark, health, "LOCKED")
         return False
     group, stopped = f"recover-{uuid.uuid4().hex}", threading.Event()
     spark.sparkContext.setJobGroup(group, "recovery", interruptOnCancel=True)
@@ -273,14 +313,20 @@ def recover(
             done = recover_pass(spark, pattern, store, quarantine, state, rules, health, lease, going, trusted=not first)
             more, first = bool(done["appended"] or done["voided"]) and not done["backup_moved"], False
     except Superseded:
+        code = "LOCKED"
         return False
-    except Exception:
+    except Exception as e:
         if not stopped.is_set():
+            code = "WRITE_FAILED" if isinstance(e, WriteFailed) else "RECOVERY_FAILED"
             raise
     finally:
         watchdog.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         lease.release()
+        code = "TIMEOUT" if stopped.is_set() else code
+        if health and code:
+            with contextlib.suppress(Exception):  # what ended the run matters more, and a full disk takes no code
+                alert(spark, health, code)
     return not stopped.is_set()
 
 

@@ -10,7 +10,8 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
+
+from ..functions.scratch import read_or_empty
 
 RANGES, ALIASES = "path string, start long, `end` long, sha256 string", "tool string, old_id string, event_id string"
 BACKUPS = "path string, length long, modified timestamp"
@@ -20,15 +21,6 @@ class Superseded(RuntimeError):
     """Another run took the lease, or wrote the version, that this one was about to write."""
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 class Folder:
     """A folder in which small files are created once."""
 
