@@ -285,20 +285,18 @@ def registry_drift(spark, sf_dir):
 
 
 def registry_changed_users(spark, sf_dir):
-    """K3: users whose registry is not what the store has, by digests: one lost, changed or repeated rows of events."""
-    e = _events(spark, sf_dir).select("user_id", F.concat_ws(" ", "event_id", "event_type").alias("line"))
-    id_ = F.col("line").substr(F.lit(1), F.instr("line", " ") - 1).cast("long")
-    public = e.where(id_ % 1009 != 0).withColumn("line", F.when(id_ % 1013 == 0, "x").otherwise(F.col("line")))
-    public = public.unionByName(e.where(id_ % 1019 == 0))
-    found = matching.differing(matching.multiset_digest(e, ["user_id"], "line"), matching.multiset_digest(public, ["user_id"], "line"), "user_id")
-    return found.select("user_id", "had")
+    """K3: conversations as users whose registry is not what the store has, by digests: one lost, changed or repeated lines."""
+    e = _t(spark, sf_dir, "conversations").select("conv_id", F.concat_ws(" ", F.col("turn").cast("string"), "role", "text").alias("line"), (F.col("conv_id") * 31 + F.coalesce("turn", F.lit(0))).alias("k"))
+    public = e.where("k % 7 <> 0").withColumn("line", F.when(F.col("k") % 11 == 0, "x").otherwise(F.col("line"))).unionByName(e.where("k % 13 = 0"))
+    found = matching.differing(matching.multiset_digest(e, ["conv_id"], "line"), matching.multiset_digest(public, ["conv_id"], "line"), "conv_id")
+    return found.select("conv_id", "had")
 
 
 def id_collisions(spark, sf_dir):
-    """User and kind as an id under which several contents stand; the first by time is kept, others are set aside."""
-    e = _events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", "props")
-    kept, others = matching.isolate(e, ["user_id", "event_type"], "props", [F.col("ts"), F.col("event_id")])
-    own = lambda df, state: df.select("event_id", F.lit(state).alias("state"))
+    """Documents whose text is the id, and source the content: the first is kept, those of another source are set aside."""
+    e = _t(spark, sf_dir, "documents").select("doc_id", "source", fx.digest(F.col("text")).alias("id"))
+    kept, others = matching.isolate(e, ["id"], "source", [F.col("doc_id")])
+    own = lambda df, state: df.select("doc_id", F.lit(state).alias("state"))
     return own(kept, "kept").unionByName(own(others, "collision"))
 
 
@@ -550,10 +548,12 @@ select page_id, folder, coalesce(folder = '/en' or starts_with(folder, '/en/'),
   case when event_id % 3 = 2 then user_id || '/' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') else event_id::varchar end as event_id, user_id::varchar as session_id, date_trunc('second', ts) as ts,
   event_type || case when event_id % 3 = 2 then chr(10) else ' ' end || (props->>'$.k') as prompt from events where event_type <> 'error'""",
     "registry_drift": "select event_id, case when event_id % 10 = 0 then 'missing' else 'changed' end as state from events where event_id % 10 = 0 or event_id % 13 = 0",
-    "registry_changed_users": """with e as (select user_id, event_id % 1009 <> 0 as stays, event_id % 1013 = 0 as other, event_id % 1019 = 0 as again from events)
-  select user_id, bool_or(stays or again) as had from e group by user_id having bool_or((stays and other) or (stays and not other)::int + again::int <> 1)""",
-    "id_collisions": """with e as (select event_id, props, row_number() over w as n, first_value(props) over w as own from events window w as (partition by user_id, event_type order by ts, event_id))
-  select event_id, case when n = 1 then 'kept' else 'collision' end as state from e where n = 1 or props is distinct from own""",
+    "registry_changed_users": """with e as (select conv_id, concat_ws(' ', turn, role, text) as line, conv_id * 31 + coalesce(turn, 0) as k from conversations),
+  p as (select conv_id, case when k % 11 = 0 then 'x' else line end as line from e where k % 7 <> 0 union all select conv_id, line from e where k % 13 = 0),
+  d as (select conv_id, line from (select conv_id, line, 1 as n from e union all select conv_id, line, -1 from p) group by all having sum(n) <> 0)
+  select distinct conv_id, conv_id in (select conv_id from p) as had from d""",
+    "id_collisions": """with e as (select doc_id, source, row_number() over w as n, first_value(source) over w as own from documents window w as (partition by text order by doc_id))
+  select doc_id, case when n = 1 then 'kept' else 'collision' end as state from e where n = 1 or source is distinct from own""",
 }
 QUERIES = (
     status_by_tool, silent_tools, human_prompts, strict_keys, quarantine_digest, redact_text, exact_text_dedup, known_id_anti, indexed_new_ids, correlate_candidates, correlate_one_to_one,
