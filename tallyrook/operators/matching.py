@@ -72,6 +72,93 @@ def _walk(names: Sequence[str], micros: int):
     return walk
 
 
+def _walk_on(micros: int):
+    """As _walk, over ranges of which each begins with what waits from the one before it (first = 0). Beside
+    pairs it yields what waits at a range's end, with no other."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, side, waiting, last = None, True, deque(), 0
+        names, kinds = ["range", "t", "direct", "id", "other"], None
+
+        def rest() -> list:
+            return [(now, t, side, own, None) for t, own in waiting if last - t <= micros]
+
+        for b in batches:
+            kinds = b.schema
+            rows = []
+            for key, first, t, direct, own in zip(*[b[n].to_pylist() for n in ("range", "first", "t", "direct", "id")]):
+                if key != now:
+                    rows += rest()
+                    now = key
+                    waiting.clear()
+                if first == 0:
+                    side = direct
+                    waiting.append((t, own))
+                    last = t
+                    continue
+                last = t
+                while waiting and t - waiting[0][0] > micros:
+                    waiting.popleft()
+                if waiting and side != direct:
+                    _, other = waiting.popleft()
+                    rows.append((key, t, None, own, other) if direct else (key, t, None, other, own))
+                else:
+                    side = direct
+                    waiting.append((t, own))
+            yield _batch(rows, names, kinds)
+        if kinds is not None:
+            yield _batch(rest(), names, kinds)
+
+    return walk
+
+
+def _batch(rows: list, names: Sequence[str], kinds: pa.Schema) -> pa.RecordBatch:
+    of = {n: kinds.field("id" if n == "other" else n).type for n in names}
+    return pa.RecordBatch.from_arrays([pa.array(c, of[n]) for n, c in zip(names, zip(*rows) if rows else [[]] * len(names))], list(names))
+
+
+def _pair_ranges(events: DataFrame, micros: int, n: int, scratch: Scratch) -> DataFrame:
+    """(direct_id, recovered_id) of (chain, part, t, direct, id), in which a chain is one long piece over several parts.
+
+    All parts are walked through at once, as if nothing waited at their starts. Then those are walked through
+    again at whose start something else waits than was supposed, until there are none. The first part of a chain is right
+    at once, and each round makes right at least one more; mostly what waits soon no longer
+    depends on how a part began, and a few rounds do. What is kept in the driver is a number for each part.
+    """
+    spark = events.sparkSession
+    events = scratch.save(events.withColumn("range", F.concat_ws(":", "chain", "part")))
+    follows = events.select("chain", "part", "range").distinct().withColumn("after", F.lead("range").over(Window.partitionBy("chain").orderBy("part")))
+    follows = scratch.save(follows.where("after is not null").select("range", "after"))
+    kind = events.schema["id"].dataType.simpleString()
+
+    def walked(own: DataFrame, waiting: DataFrame) -> DataFrame:
+        both = own.select("range", F.lit(1).alias("first"), "t", "direct", "id").unionByName(waiting.select("range", F.lit(0).alias("first"), "t", "direct", "id"))
+        dealt = both.repartition(n, "range").sortWithinPartitions("range", "first", "t", "id")
+        return dealt.mapInArrow(_walk_on(micros), f"range string, t long, direct boolean, id {kind}, other {kind}")
+
+    last = {r["range"]: 0 for r in events.select("range").distinct().collect()}
+    empty = events.limit(0).select("range", "t", "direct", "id")
+    supposed = scratch.save(multiset_digest(empty.withColumn("line", F.lit("")), ["range"], "line"))
+    rounds = [scratch.save(walked(events, empty))]
+    while True:
+        held = F.broadcast(spark.createDataFrame(list(last.items()), "range string, round int"))  # a row for each part
+        now = rounds[0].withColumn("round", F.lit(0))
+        for i, table in enumerate(rounds[1:], 1):
+            now = now.unionByName(table.withColumn("round", F.lit(i)))
+        now = now.join(held, ["range", "round"]).drop("round")
+        waits = now.where("other is null").join(F.broadcast(follows), "range").select(F.col("after").alias("range"), "t", "direct", "id")
+        waits = scratch.save(waits)
+        found = scratch.save(multiset_digest(waits.withColumn("line", F.concat_ws(" ", "t", "direct", F.xxhash64("id"))), ["range"], "line"))
+        stale = differing(found, supposed, "range").select("range")
+        names = [r["range"] for r in stale.collect()]  # at most a row for each part
+        if not names:
+            return now.where("other is not null").select(F.col("id").alias("direct_id"), F.col("other").alias("recovered_id"))
+        again = F.broadcast(spark.createDataFrame([(x,) for x in names], "range string"))
+        rounds.append(scratch.save(walked(events.join(again, "range", "left_semi"), waits.join(again, "range", "left_semi"))))
+        last |= dict.fromkeys(names, len(rounds) - 1)
+        supposed = found
+
+
 def correlate(direct: DataFrame, recovered: DataFrame, keys: Sequence[str], micros: int, id_col: str = "id", ts: str = "ts") -> DataFrame:
     """(direct_id, recovered_id): the most one-to-one pairs of equal keys within micros.
 
@@ -82,8 +169,8 @@ def correlate(direct: DataFrame, recovered: DataFrame, keys: Sequence[str], micr
     how near the other side comes, and those that it does not come near leave. A key is cut wherever
     no pair can cross, that is where on either side the next event is too far from the last one of the
     other; the pieces are dealt by hash, and a task walks through its sorted pieces in batches
-    and remembers no more than what may still be matched. Only a key in which both sides are dense
-    throughout is walked through by a single task.
+    and remembers no more than what may still be matched. A key in which both sides are dense
+    throughout is one piece over many parts, and those are walked through side by side (`_pair_ranges`).
     """
     scratch = Scratch(direct.sparkSession)
     names = [f"k{i}" for i in range(len(keys))]
@@ -112,12 +199,22 @@ def correlate(direct: DataFrame, recovered: DataFrame, keys: Sequence[str], micr
     crossing = F.coalesce(F.least("nr", r) - F.col("pd") <= micros, F.lit(False)) | F.coalesce(F.least("nd", d) - F.col("pr") <= micros, F.lit(False))
     kept = near.withColumns({"met": met, "cut": (~crossing).cast("long")}).withColumn("cuts", F.sum("cut").over(inside.orderBy(*order)))
     kept = scratch.save(kept.where("met").select("part", *names, *order, "cuts"))
-    most = kept.groupBy("part", *names).agg(F.max("cuts").alias("cuts"))
-    shift = most.withColumn("shift", F.coalesce(F.sum("cuts").over(earlier), F.lit(0))).where("shift > 0").drop("cuts")
+    most = kept.groupBy("part", *names).agg(F.min("cuts").alias("low"), F.max("cuts").alias("cuts"))
+    most = scratch.save(most.withColumn("shift", F.coalesce(F.sum("cuts").over(earlier), F.lit(0))))
+    shift = most.where("shift > 0").select("part", *names, "shift")
     pieces = kept.join(F.broadcast(shift), ["part", *names], "left").withColumn("piece", F.col("cuts") + F.coalesce("shift", F.lit(0)))
-    dealt = pieces.repartition(n, *names, "piece").sortWithinPartitions(*names, "piece", "t", "id")
+    # pieces that fill a part and reach into both its neighbours: fewer than there are parts
+    ends = most.select("part", *names, F.explode(F.array_distinct(F.array(F.col("low") + F.col("shift"), F.col("cuts") + F.col("shift")))).alias("piece"))
+    long = ends.groupBy(*names, "piece").agg(F.count("*").alias("parts")).where("parts >= 3").drop("parts")
+    long = scratch.save(long.withColumn("chain", F.row_number().over(Window.orderBy(*names, "piece"))))
     id_type = direct.schema[id_col].dataType.simpleString()
-    return dealt.select(*names, "piece", "t", "direct", "id").mapInArrow(_walk(names, micros), f"direct_id {id_type}, recovered_id {id_type}")
+    some = not long.isEmpty()
+    short = pieces.join(F.broadcast(long), [*names, "piece"], "left_anti") if some else pieces
+    dealt = short.repartition(n, *names, "piece").sortWithinPartitions(*names, "piece", "t", "id")
+    pairs = dealt.select(*names, "piece", "t", "direct", "id").mapInArrow(_walk(names, micros), f"direct_id {id_type}, recovered_id {id_type}")
+    if not some:
+        return pairs
+    return pairs.unionByName(_pair_ranges(pieces.join(F.broadcast(long), [*names, "piece"]).select("chain", "part", "t", "direct", "id"), micros, n, scratch))
 
 
 def unmatched(recovered: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFrame:
