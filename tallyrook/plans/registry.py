@@ -18,6 +18,7 @@ from ..functions.schema import Contract, Field, strings
 from ..operators import budget, filters, matching, reports
 from ..policy import EVENT_FIELDS, Policy
 from ..sources.adapters import Adapter, Place
+from ..streaming import capture
 from ..streaming.recover import decoded
 from ..streaming.store import Layout, Store
 
@@ -300,6 +301,17 @@ def id_collisions(spark, sf_dir):
     return own(kept, "kept").unionByName(own(others, "collision"))
 
 
+def captured_events(spark, sf_dir):
+    """The capture step: turns of conversations as envelopes; by turn a client is too old, lacks its marker, works elsewhere, or is a sub-agent."""
+    c = _t(spark, sf_dir, "conversations").where("role = 'user' and text is not null").withColumn("k", F.col("conv_id") * 31 + F.col("turn"))
+    by = lambda n: F.col("k") % n == 0
+    cwd = F.when(by(11), "/repo/inner/x").when(by(17), "/repo/../etc").otherwise("/repo/./x")
+    fields = [F.col("conv_id").cast("string").alias("session_id"), F.concat_ws("-", "conv_id", "turn").alias("turn_id"), cwd.alias("cwd"), F.lit("ask").alias("permission_mode"), F.col("text").alias("prompt"), F.when(by(13), "a").alias("agent_id")]
+    lines = c.select(F.to_json(F.struct(*fields)).alias("raw"), F.lit("one").alias("tool"), F.when(by(5), "1.0.57").otherwise("1.1.0").alias("version"), F.when(~by(7), "m").alias("marker"))
+    rules = capture.Capture({"one": "1.0.58"}, {"one": ("marker",)}, "/repo", ("/repo/inner",), policy=Policy(redact=False))
+    return capture.captured(filters.judge_envelopes(lines), rules).select("event_id", "session_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 def _envelopes(spark, sf_dir):
     """Envelopes made from events: every 5th without a folder, every 7th of a sub-agent, every 11th with another field, every 13th long."""
     by = lambda n: F.col("event_id") % n == 0
@@ -554,12 +566,14 @@ select page_id, folder, coalesce(folder = '/en' or starts_with(folder, '/en/'),
   select distinct conv_id, conv_id in (select conv_id from p) as had from d""",
     "id_collisions": """with e as (select doc_id, source, row_number() over w as n, first_value(source) over w as own from documents window w as (partition by text order by doc_id))
   select doc_id, case when n = 1 then 'kept' else 'collision' end as state from e where n = 1 or source is distinct from own""",
+    "captured_events": """select conv_id || '-' || turn as event_id, conv_id::varchar as session_id, sha256(text) as prompt_sha256 from (select *, conv_id * 31 + turn as k from conversations)
+  where role = 'user' and text is not null and k % 5 <> 0 and k % 7 <> 0 and k % 11 <> 0 and k % 13 <> 0 and k % 17 <> 0""",
 }
 QUERIES = (
     status_by_tool, silent_tools, human_prompts, strict_keys, quarantine_digest, redact_text, exact_text_dedup, known_id_anti, indexed_new_ids, correlate_candidates, correlate_one_to_one,
     unmatched_recovered, alias_bijection, alias_void, manifest_equality, manifest_rows, batch_budget, batch_cursor, reserve_then_budget, retention, pending_merge,
     sessions_without_prompts, quiet_session_runs, repeated_repairs, queue_age, partial_sources, version_floor, health_rollup, report_by_day, byte_truncate, prefix_digest,
-    latest_per_session, repo_scope, registry_drift, registry_changed_users, id_collisions, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check, typed_lines, typed_fields, canonical_scope, adapted_events,
+    latest_per_session, repo_scope, registry_drift, registry_changed_users, id_collisions, captured_events, envelope_verdicts, envelope_fields, event_kinds, provider_markers, native_ids, deferred_rows, deferred_cursor, republish_check, typed_lines, typed_fields, canonical_scope, adapted_events,
     event_contract, truncation_alerts, provider_names, registry_strict, torn_tails, log_listing, lines_in_order,
 )
 

@@ -65,9 +65,9 @@ def decoded(lines: DataFrame, policy: Policy, adapters: tuple[Adapter, ...] = ()
 
 
 def append_evidence(bad: DataFrame, path: str) -> None:
-    """Appends what is not there yet: where, how long, digest and reason."""
+    """Appends what is not there yet: where, how long, digest and reason. A line that is null has no digest, and is told by its place."""
     old = read_or_empty(bad.sparkSession, path, "path string, line_no long, n_bytes long, sha256 string, reason string")
-    bad.join(old, ["path", "line_no", "sha256"], "left_anti").select("path", "line_no", "n_bytes", "sha256", "reason").write.mode("append").parquet(path)
+    new_events(bad, old, ("path", "line_no", "sha256")).select("path", "line_no", "n_bytes", "sha256", "reason").write.mode("append").parquet(path)
 
 
 class Stopped(RuntimeError):
