@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schema import Contract, Field, decode, judge, strings
+from ..functions.schema import Contract, Field, accept, decode, judge, strings
 from ..functions.text import canonical, digest, redact, truncate_bytes, version_at_least, within
 from ..policy import ENVELOPE_FORBIDDEN, ENVELOPE_REQUIRED, EVENT_FIELDS, Policy
 
@@ -32,6 +32,16 @@ def accepted(judged: DataFrame, contract: Contract = EVENT, raw: str = "raw") ->
     return decode(judged.where("reason = 'ok'").drop("reason"), contract, raw)
 
 
+def accept_lines(lines: DataFrame, policy: Policy = Policy(), contract: Contract = EVENT, fields: Contract | None = None, raw: str = "raw") -> DataFrame:
+    """What accepted gives of judge_lines, in one pass: the accepted lines as typed columns, those of fields or else of the contract."""
+    return accept(lines, contract, fields or contract, policy.line_bytes, raw)
+
+
+def accept_envelopes(lines: DataFrame, policy: Policy = Policy(), contract: Contract = ENVELOPE, fields: Contract | None = None, raw: str = "raw") -> DataFrame:
+    """What accepted gives of judge_envelopes, in one pass."""
+    return accept(lines, contract, fields or contract, policy.envelope_bytes, raw)
+
+
 def quarantined(judged: DataFrame, raw: str = "raw") -> DataFrame:
     """Refused lines as evidence: where, how long, digest and reason; never their content."""
     where = [c for c in ("source", "path", "line_no") if c in judged.columns]

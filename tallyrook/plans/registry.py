@@ -352,7 +352,7 @@ def typed_lines(spark, sf_dir):
 
 def typed_fields(spark, sf_dir):
     """The accepted lines as typed columns."""
-    found = filters.accepted(filters.judge_lines(_typed_lines(spark, sf_dir), contract=TYPED), TYPED)
+    found = filters.accept_lines(_typed_lines(spark, sf_dir), contract=TYPED)
     return found.select("line_no", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("meta.k").alias("k"), F.size("tags").alias("n_tags"), "event_type")
 
 
@@ -363,7 +363,7 @@ def envelope_verdicts(spark, sf_dir):
 
 def envelope_fields(spark, sf_dir):
     """The accepted envelopes as columns."""
-    return filters.accepted(filters.judge_envelopes(_envelopes(spark, sf_dir), Policy(envelope_bytes=400)), Contract(strings(("session_id", "turn_id", "cwd", "prompt"))))
+    return filters.accept_envelopes(_envelopes(spark, sf_dir), Policy(envelope_bytes=400), fields=Contract(strings(("session_id", "turn_id", "cwd", "prompt"))))
 
 
 def event_kinds(spark, sf_dir):
@@ -436,7 +436,7 @@ def registry_strict(spark, sf_dir):
     """Registry lines, of which every sixth has a response; these are left out."""
     e = _events(spark, sf_dir)
     line = F.concat(F.lit('{"event_id":"'), "event_id", F.lit('","tool":"'), "event_type", F.lit('","prompt":"p"'), F.when(F.col("event_id") % 6 == 0, ',"response":"x"').otherwise(""), F.lit("}"))
-    return filters.accepted(filters.judge_lines(e.select(line.alias("raw")), contract=Contract(strings(EVENT_FIELDS, ("event_id", "tool", "prompt")))), Contract(strings(("event_id", "tool", "prompt"))))
+    return filters.accept_lines(e.select(line.alias("raw")), contract=Contract(strings(EVENT_FIELDS, ("event_id", "tool", "prompt"))), fields=Contract(strings(("event_id", "tool", "prompt"))))
 
 
 def torn_tails(spark, sf_dir):

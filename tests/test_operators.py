@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyrook.functions import schema
 from tallyrook.functions import text as fx
 from tallyrook.operators import budget, filters, matching, reports
+from tallyrook.plans import registry
 from tallyrook.policy import ENVELOPE_FORBIDDEN, ENVELOPE_REQUIRED, EVENT_FIELDS, Policy, check_name
 from tallyrook.sources import files
 from tallyrook.sources import tail
@@ -126,6 +127,33 @@ def test_envelopes(spark):
     assert filters.accepted(judged, schema.Contract(schema.strings(("session_id", "prompt")))).count() == 1
 
 
+def test_accepted_lines_are_parsed_once(spark):
+    """Neither the line, which a filter takes along, nor what is parsed from it is computed again for the reason or a field."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = plan(registry.envelope_fields(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")))
+    assert made.count("parseJson") == made.count("sha2(") == made.count('"permission_mode"') == 1
+    lines = spark.range(3).select("id", F.reverse(F.col("id").cast("string")).alias("raw"))
+    judged = plan(filters.judge_lines(lines).where("reason = 'ok'").select("id"))
+    assert judged.count("parseJson") == judged.count("sha2(") == judged.count("reverse(") == 1
+
+
+def test_accepted_in_one_pass(spark):
+    """The one pass gives the rows of judging and then reading."""
+    F_ = schema.Field
+    rows = [r for r, _ in TYPED] + [None, "", "null", '{"event_id":"1","tool":"t","session_id":"s","prompt":"' + "x" * 300 + '"}', ' {"event_id":"é","tool":"t","session_id":"s","prompt":"","cwd":null} ']
+    df, policy = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string"), Policy(line_bytes=200, envelope_bytes=200)
+    want = filters.accepted(filters.judge_lines(df, policy, filters.LINE), filters.LINE)
+    got = filters.accept_lines(df, policy, filters.LINE)
+    assert got.columns == want.columns and got.dtypes == want.dtypes and got.count() == 4
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    few = filters.accept_envelopes(df, policy, filters.LINE, schema.Contract(schema.strings(("prompt",))))
+    assert few.columns == ["i", "prompt"] and {r["i"]: r["prompt"] for r in few.collect()} == {r["i"]: r["prompt"] for r in want.collect()} == {0: "a", 8: "a", 9: "a", 18: ""}
+    contract = schema.Contract((F_("a.b", "object", True, (F_("q'", "long"), F_("t", "time"))), F_("xs", "array", item=F_("x", "long")), F_("ok", "boolean"), F_('d"', "double")))
+    nested = spark.createDataFrame([(0, '{"a.b":{"q\'":1,"t":"2024-01-01T00:00:00Z"},"xs":[1,null],"ok":true,"d\\"":0.5}'), (1, '{"a.b":{}}'), (2, '{"a.b":{"q\'":"1"}}')], "i int, raw string")
+    read = schema.accept(nested, contract, contract)
+    assert read.collect() == schema.decode(nested.where("i < 2"), contract).collect() and read.first()["xs"] == [1, None] and read.first()['d"'] == 0.5
+
+
 def test_scope(spark):
     rows = spark.createDataFrame([("/r",), ("/r/a",), ("/r/sub/x",), ("/rx",), (None,)], "cwd string")
     inside, later = filters.in_scope(rows, "/r", spark.createDataFrame([("/r/sub",)], "root string"))
